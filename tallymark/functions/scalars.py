@@ -66,9 +66,22 @@ def parse_instant(value: Column | str) -> Column:
     return F.when(text.rlike(_ISO_INSTANT), F.try_to_timestamp(plain))
 
 
-def iso_text(value: Column | str) -> Column:
-    """UTC timestamp as ISO text with microseconds."""
-    return F.date_format(_col(value), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+def _iso(value: Column | str, suffix: str) -> Column:
+    instant = _col(value)
+    whole = F.unix_micros(instant) % F.lit(1_000_000) == 0
+    return F.when(whole, F.date_format(instant, f"yyyy-MM-dd'T'HH:mm:ss'{suffix}'")).otherwise(
+        F.date_format(instant, f"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'{suffix}'")
+    )
+
+
+def iso_z(value: Column | str) -> Column:
+    """UTC instant as messages carry it; the fraction only when there is one."""
+    return _iso(value, "Z")
+
+
+def iso_offset(value: Column | str) -> Column:
+    """UTC instant as reports and exports print it."""
+    return _iso(value, "+00:00")
 
 
 def micros(value: Column | str) -> Column:

@@ -120,7 +120,7 @@ EXTERNAL_EVENT = _struct(
     ("source", _text),
     ("external_event_id", _text),
     ("payload", _text),
-    ("ingested_at", _time),
+    ("ord", _long),
 )
 
 RUN = _struct(
