@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.session import materialise
+
 # Keys are counted by hash bucket, so the list of hot buckets has at most this
 # many rows and can always be broadcast.
 HASH_BUCKETS = 65_536
@@ -46,9 +48,16 @@ def hot_buckets(rows: DataFrame, keys: list[str], hot_rows: int | None = None) -
 
 def split_by_heat(
     rows: DataFrame, keys: list[str], hot_rows: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of possibly hot keys)."""
-    hot = F.broadcast(hot_buckets(rows, keys, hot_rows))
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of possibly hot keys or None).
+
+    Looks at the data when called: one pass over the key columns. Data without
+    hot keys, the usual case, then needs no second plan.
+    """
+    hot = hot_buckets(rows, keys, hot_rows)
+    if hot.isEmpty():
+        return rows, None
+    hot = F.broadcast(materialise(hot))
     tagged = rows.withColumn(_BUCKET, key_bucket(keys))
     return (
         tagged.join(hot, _BUCKET, "left_anti").drop(_BUCKET),
@@ -92,6 +101,8 @@ def number_rows(
     usual, hot = split_by_heat(rows, keys, hot_rows)
     by_key = Window.partitionBy(*keys).orderBy("ord")
     usual = usual.withColumn(out, F.row_number().over(by_key).cast("bigint"))
+    if hot is None:
+        return usual
     return usual.unionByName(number_hot_rows(hot, keys, out))
 
 

@@ -59,11 +59,16 @@ def signed_amount(direction: Column | str, amount: Column | str) -> Column:
 
 
 def parse_instant(value: Column | str) -> Column:
-    """ISO-8601 text to a timestamp; anything else becomes null. No offset = UTC."""
+    """ISO-8601 text to a timestamp; anything else becomes null. No offset = UTC.
+
+    The usual spellings are read directly; a comma before the fraction or an
+    offset without a colon is rewritten first.
+    """
     text = _col(value)
     plain = F.replace(F.upper(text), F.lit(","), F.lit("."))
     plain = F.regexp_replace(plain, r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
-    return F.when(text.rlike(_ISO_INSTANT), F.try_to_timestamp(plain))
+    parsed = F.coalesce(text.try_cast("timestamp"), plain.try_cast("timestamp"))
+    return F.when(text.rlike(_ISO_INSTANT), parsed)
 
 
 def _iso(value: Column | str, suffix: str) -> Column:

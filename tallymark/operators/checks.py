@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallymark import schemas
 from tallymark.functions.scalars import micros
-from tallymark.operators.matching import MatchOutcome, pair_in_order, side_by_side
+from tallymark.operators.matching import MatchOutcome, pair_in_order
+from tallymark.session import materialise
 
 _NATURAL_KEY = ["type", "source", "asset", "reference", "internal_amount", "external_amount"]
 
@@ -25,9 +26,11 @@ def amount_mismatches(outcome: MatchOutcome, hot_rows: int | None = None) -> Dat
     Paired in arrival order within the key, so copies of one reference do not
     multiply.
     """
-    ledger = outcome.unmatched_ledger.drop("reason")
-    external = outcome.unmatched_external.drop("reason")
-    rows = side_by_side(ledger, external).where("reference IS NOT NULL")
+    alone = outcome.pairing.where("(l IS NULL) <> (e IS NULL)")
+    side = F.when(F.col("l").isNotNull(), 0).otherwise(1).alias("side")
+    rows = alone.select(side, F.coalesce("l", "e").alias("x")).select("side", "x.*")
+    # Read several times below; written once, without the work that found it.
+    rows = materialise(rows.where("reference IS NOT NULL"))
     paired = pair_in_order(rows, ["reference", "asset"], hot_rows)
     both = paired.where("l IS NOT NULL AND e IS NOT NULL").where(
         "l.amount <> coalesce(e.amount, 0)"

@@ -64,6 +64,7 @@ def pair_in_order(rows: DataFrame, keys: list[str], hot_rows: int | None = None)
     When pairing asks only for equality, taking the earliest unused candidate
     for every ledger row in turn gives exactly this pairing. An ordinary key
     is read from one shuffle: numbering and pairing share its partitioning.
+    Rows of hot keys are numbered in slices and then meet by key and number.
     """
     payload = F.struct(*[F.col(c) for c in rows.columns if c not in ("side", *keys)])
     paired = [
@@ -73,8 +74,11 @@ def pair_in_order(rows: DataFrame, keys: list[str], hot_rows: int | None = None)
     usual, hot = ranking.split_by_heat(rows, keys, hot_rows)
     in_side = Window.partitionBy(*keys, "side").orderBy("ord")
     usual = usual.repartition(*keys).withColumn("n", F.row_number().over(in_side).cast("bigint"))
+    usual = usual.groupBy(*keys, "n").agg(*paired)
+    if hot is None:
+        return usual
     hot = ranking.number_hot_rows(hot, [*keys, "side"], "n")
-    return usual.groupBy(*keys, "n").agg(*paired).unionByName(hot.groupBy(*keys, "n").agg(*paired))
+    return usual.unionByName(hot.groupBy(*keys, "n").agg(*paired))
 
 
 def pair_exact(

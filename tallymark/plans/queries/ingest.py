@@ -70,6 +70,11 @@ def posting_json(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select(F.to_json(doc).alias("value"))
 
 
+def opened(text: DataFrame, schema) -> DataFrame:
+    """JSON documents as rows; each is parsed once."""
+    return text.select(F.inline(F.array(F.from_json("value", schema))))
+
+
 def _ledger_out(frame: DataFrame) -> DataFrame:
     return frame.select("reference", "asset", money("amount"), "counterparty", us("ts"))
 
@@ -88,7 +93,7 @@ UNION ALL SELECT reference, asset, {_SIGN1}, {_PARTY.format(p='C')}, epoch_us(TI
 FROM legs WHERE l_orderkey % 17 <> 0""",
 )
 def ledger_from_postings(spark, d):
-    docs = posting_json(spark, d).select(F.from_json("value", schemas.POSTING).alias("p")).select("p.*")
+    docs = opened(posting_json(spark, d), schemas.POSTING)
     return _ledger_out(lg.from_postings(docs))
 
 
@@ -107,8 +112,7 @@ def ledger_from_items(spark, d):
         F.array(_entry(0, _posting_id(), account), _entry(1, _posting_id(), account)).alias("entries"),
     )
     text = table(spark, d, "lineitem").select(F.to_json(page).alias("value"))
-    pages = text.select(F.from_json("value", schemas.ACCOUNT_PAGE).alias("p")).select("p.*")
-    return _ledger_out(lg.from_account_pages(pages))
+    return _ledger_out(lg.from_account_pages(opened(text, schemas.ACCOUNT_PAGE)))
 
 
 @query(
@@ -229,8 +233,7 @@ def parse_external_payload(spark, d):
 def decode_json_safe(spark, d):
     rows = ms.decode(message_rows(spark, d))
     return rows.select(
-        F.col("offset").alias("pos"), F.col("doc").isNotNull().alias("is_object"),
-        ms.text_field("asset").alias("asset"),
+        F.col("offset").alias("pos"), "is_object", F.col(ms.field("asset")).alias("asset")
     )
 
 

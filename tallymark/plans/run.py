@@ -119,7 +119,7 @@ def reconcile(
     started_at: datetime,
     completed_at: datetime | None = None,
 ) -> Run:
-    """The whole run as a lazy plan."""
+    """The whole run as a plan; only the check for hot keys reads data here."""
     outcome = match(ledger, external, strategy, tolerance_seconds)
     record = count_outcome(outcome).select(
         F.lit(run_id).alias("run_id"),

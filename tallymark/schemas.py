@@ -116,6 +116,22 @@ MESSAGE = _struct(
     ("value", _text),
 )
 
+# Fields read from a payload; other fields stay in the stored text. All are
+# taken as text, so a value of another type never spoils the rest.
+PAYLOAD = _struct(
+    ("external_event_id", _text),
+    ("posting_id", _text),
+    ("entry_id", _text),
+    ("asset", _text),
+    ("reference", _text),
+    ("amount", _text),
+    ("counterparty", _text),
+    ("account_id", _text),
+    ("direction", _text),
+    ("timestamp", _text),
+    ("created_at", _text),
+)
+
 EXTERNAL_EVENT = _struct(
     ("source", _text),
     ("external_event_id", _text),

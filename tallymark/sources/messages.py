@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark import schemas
 from tallymark.functions.scalars import (
-    amount_or_zero,
     first_present,
     parse_instant,
     signed_amount,
@@ -36,53 +36,53 @@ def route(messages: DataFrame, topics: dict[str, str] | None = None) -> DataFram
     return messages.where(F.col("topic").isin(list(by_topic))).withColumn("source", known[F.col("topic")])
 
 
-def decode(messages: DataFrame) -> DataFrame:
-    """Add `doc`: the payload as a variant, null unless it is a JSON object."""
-    parsed = F.try_parse_json(F.col("value").cast("string"))
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
-    return messages.withColumn("doc", F.when(is_object, parsed))
+def field(name: str) -> str:
+    """Column that holds a decoded payload field."""
+    return f"p_{name}"
 
 
-def text_field(name: str, doc: Column | str = "doc") -> Column:
-    return F.try_variant_get(F.col(doc) if isinstance(doc, str) else doc, f"$.{name}", "string")
+def decode(rows: DataFrame, text: str = "value") -> DataFrame:
+    """Add the payload fields as columns and `is_object`.
 
-
-def _amount_kind(doc: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(F.col(doc), "$.amount", "variant"))
-
-
-def _is_number_or_text(doc: str) -> Column:
-    kind = _amount_kind(doc)
-    return kind.isin("STRING", "BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-
-
-def parse_amount(doc: str = "doc") -> Column:
-    """Numbers and numeric text; other JSON types count as no amount."""
-    number = F.expr(
-        f"try_cast(try_variant_get({doc}, '$.amount', 'string') AS {schemas.MATCH_MONEY.simpleString()})"
+    The text is parsed once per row: generating the columns keeps the
+    optimizer from repeating the parser for every field.
+    """
+    corrupt = "_unreadable"
+    shape = T.StructType([*schemas.PAYLOAD.fields, T.StructField(corrupt, T.StringType())])
+    payload = F.col(text).cast("string")
+    parsed = F.from_json(payload, shape, {"columnNameOfCorruptRecord": corrupt})
+    names = [field(f.name) for f in shape.fields]
+    opened = rows.select("*", F.inline(F.array(parsed)).alias(*names))
+    readable = F.col(field(corrupt)).isNull() & payload.rlike(r"^\s*\{")
+    return opened.withColumn("is_object", F.coalesce(readable, F.lit(False))).drop(field(corrupt))
+
+
+def _no_amount_type(text: str) -> Column:
+    """Whether the amount is a JSON object or array rather than text that looks like one."""
+    kind = F.schema_of_variant(
+        F.try_variant_get(F.try_parse_json(F.col(text).cast("string")), "$.amount", "variant")
     )
-    return F.when(_is_number_or_text(doc), number)
+    looks_nested = F.col(field("amount")).rlike(r"^\s*[\[{]")
+    return F.when(looks_nested, ~F.coalesce(kind == "STRING", F.lit(False))).otherwise(F.lit(False))
 
 
-def bad_amount(doc: str = "doc") -> Column:
-    """Text that is not a number, or a boolean."""
-    given = _is_number_or_text(doc) | (_amount_kind(doc) == "BOOLEAN")
-    return F.coalesce(given, F.lit(False)) & parse_amount(doc).isNull()
+def parse_amount() -> Column:
+    """Numbers and numeric text; anything else is null."""
+    return F.col(field("amount")).try_cast(schemas.MATCH_MONEY)
 
 
-def error_of(doc: str = "doc") -> Column:
-    return F.when(F.col(doc).isNull(), F.lit(NOT_AN_OBJECT)).when(bad_amount(doc), F.lit(BAD_AMOUNT))
+def error_of(text: str = "value") -> Column:
+    """Why a message cannot be taken. An amount that is an object or a list
+    counts as no amount; other values must be numbers."""
+    bad = F.col(field("amount")).isNotNull() & parse_amount().isNull() & ~_no_amount_type(text)
+    return F.when(~F.col("is_object"), F.lit(NOT_AN_OBJECT)).when(bad, F.lit(BAD_AMOUNT))
 
 
 def event_id() -> Column:
     """The first id present, else the position of the message."""
     place = F.concat_ws(":", "topic", F.col("partition").cast("string"), F.col("offset").cast("string"))
-    return F.coalesce(
-        first_present(
-            text_field("external_event_id"), text_field("posting_id"), text_field("entry_id")
-        ),
-        place,
-    )
+    given = first_present(field("external_event_id"), field("posting_id"), field("entry_id"))
+    return F.coalesce(given, place)
 
 
 def arrival_position() -> Column:
@@ -106,7 +106,7 @@ def prepare(
     """
     rows = decode(route(messages, topics))
     if undecodable == "empty":
-        rows = rows.withColumn("doc", F.coalesce("doc", F.parse_json(F.lit("{}"))))
+        rows = rows.withColumn("is_object", F.lit(True))
     return (
         rows.withColumn("external_event_id", event_id())
         .withColumn("error", error_of())
@@ -149,35 +149,29 @@ def ingest(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
 
 def external_entries(events: DataFrame) -> DataFrame:
     """Stored events as rows for matching."""
-    rows = events.withColumn("doc", F.try_parse_json("payload"))
-    return rows.select(
+    return decode(events, "payload").select(
         "ord",
         "external_event_id",
         "source",
-        text_or_empty(text_field("asset")).alias("asset"),
-        text_field("reference").alias("reference"),
+        text_or_empty(field("asset")).alias("asset"),
+        F.col(field("reference")).alias("reference"),
         parse_amount().alias("amount"),
-        text_field("counterparty").alias("counterparty"),
-        parse_instant(text_field("timestamp")).alias("ts"),
+        F.col(field("counterparty")).alias("counterparty"),
+        parse_instant(field("timestamp")).alias("ts"),
     )
 
 
 def ledger_entries(events: DataFrame) -> DataFrame:
     """Stored LEDGER events as the ledger side of a match."""
-    rows = events.where("source = 'LEDGER'").withColumn("doc", F.try_parse_json("payload"))
-    amount = signed_amount(text_field("direction"), amount_or_zero(parse_amount()))
+    rows = decode(events.where("source = 'LEDGER'"), "payload")
+    reference = first_present(field("reference"), field("posting_id"), field("entry_id"))
     return rows.select(
         "ord",
-        F.coalesce(
-            first_present(
-                text_field("reference"), text_field("posting_id"), text_field("entry_id")
-            ),
-            F.lit(""),
-        ).alias("reference"),
-        text_or_empty(text_field("asset")).alias("asset"),
-        amount.alias("amount"),
-        first_present(text_field("counterparty"), text_field("account_id")).alias("counterparty"),
-        parse_instant(F.coalesce(text_field("timestamp"), text_field("created_at"))).alias("ts"),
+        F.coalesce(reference, F.lit("")).alias("reference"),
+        text_or_empty(field("asset")).alias("asset"),
+        signed_amount(field("direction"), parse_amount()).alias("amount"),
+        first_present(field("counterparty"), field("account_id")).alias("counterparty"),
+        parse_instant(F.coalesce(field("timestamp"), field("created_at"))).alias("ts"),
     )
 
 
