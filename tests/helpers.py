@@ -67,3 +67,22 @@ def greedy_fuzzy(ledger, events, tolerance):
             used.add(best[0])
             pairs.append((l[0], best[0], int(gap or 0)))
     return sorted(pairs)
+
+
+def break_row(id="b1", run_id="r1", type="TIMING_GAP", classification="TIMING", source="RAILS", asset="USD",
+              reference="ref1", internal="100", external=None, status="OPEN", detected=0, resolved=None, age=0):
+    money = lambda v: None if v is None else Decimal(v)
+    return (id, run_id, type, classification, source, asset, reference, money(internal), money(external),
+            status, at(detected), at(resolved), age)
+
+
+def breaks_frame(spark, *rows):
+    return spark.createDataFrame(list(rows), schemas.BREAK)
+
+
+def events_frame(spark, *rows):
+    return spark.createDataFrame(list(rows), schemas.EXTERNAL)
+
+
+def commands_frame(spark, *rows):
+    return spark.createDataFrame(list(rows), "break_id string, actor string, note string, ord bigint")
