@@ -106,6 +106,22 @@ def number_rows(
     return usual.unionByName(number_hot_rows(hot, keys, out))
 
 
+SALTS = 256
+
+
+def first_rows(rows: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """The first `count` rows of each key by ord.
+
+    Picked among the rows of each salt first, so a large key is sorted by many
+    tasks and at most SALTS x count of its rows meet.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)))
+    for part in ([*keys, "_salt"], keys):
+        first = Window.partitionBy(*part).orderBy("ord")
+        salted = salted.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= count)
+    return salted.drop("_salt", "_n")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner equality join where null equals null; keys appear once."""
     renamed = right.select(

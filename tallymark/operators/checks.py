@@ -15,7 +15,9 @@ _NATURAL_KEY = ["type", "source", "asset", "reference", "internal_amount", "exte
 
 def new_breaks_only(found: DataFrame, breaks: DataFrame) -> DataFrame:
     """Breaks of this run that are not open already; null equals null."""
-    known = breaks.where("status = 'OPEN'").select(*[F.col(c).alias(f"k_{c}") for c in _NATURAL_KEY])
+    open_breaks = breaks.where("status = 'OPEN'")
+    # Equal rows are combined before the shuffle, however often a break recurs.
+    known = open_breaks.select(*[F.col(c).alias(f"k_{c}") for c in _NATURAL_KEY]).distinct()
     on = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in _NATURAL_KEY]
     return found.join(known, on, "left_anti")
 

@@ -187,43 +187,48 @@ def _first_closing_event(
         ).alias("ref"),
         micros("detected_at").alias("t"),
     )
-    offered = incoming.select(
-        "source", "asset", amount_or_zero(match_money("amount")).alias("amount"),
-        F.col("reference").alias("ref"), micros("ts").alias("t"), "ord",
+    # Breaks of one run share their time, and events may come in bursts: both
+    # sides are reduced to distinct key and time, combined before the shuffle.
+    moments = wanted.select(*key, "t").distinct()
+    offered = (
+        incoming.select(
+            "source", "asset", amount_or_zero(match_money("amount")).alias("amount"),
+            F.col("reference").alias("ref"), micros("ts").alias("t"), "ord",
+        )
+        .groupBy(*key, "t")
+        .agg(F.min("ord").alias("ord"))
     )
-    cell = F.expr(f"(t - pmod(t, {width}L)) div {width}L")
-    none = F.lit(None)
-    points = offered.where("t IS NOT NULL").select(
-        *key, "t", "ord", none.cast("string").alias("break_id"),
-        F.explode(F.array(F.lit("head"), F.lit("tail"))).alias("part"),
+    parts = F.explode(F.array(F.lit("head"), F.lit("tail"))).alias("part")
+    none = F.lit(None).cast("bigint")
+    points = offered.where("t IS NOT NULL").select(*key, "t", "ord", none.alias("moment"), parts)
+    ends = F.array(
+        F.struct((F.col("t") + tolerance).alias("t"), F.lit("head").alias("part")),
+        F.struct((F.col("t") - tolerance).alias("t"), F.lit("tail").alias("part")),
+    )
+    probes = moments.select(*key, F.col("t").alias("moment"), F.explode(ends).alias("p")).select(
+        *key, "p.t", none.alias("ord"), "moment", "p.part"
     )
-    probes = wanted.select(
-        *key, F.explode(
-            F.array(
-                F.struct((F.col("t") + tolerance).alias("t"), F.lit("head").alias("part")),
-                F.struct((F.col("t") - tolerance).alias("t"), F.lit("tail").alias("part")),
-            )
-        ).alias("p"), "break_id",
-    ).select(*key, "p.t", none.cast("bigint").alias("ord"), "break_id", "p.part")
-    line = points.unionByName(probes).withColumn("cell", cell)
+    cell = F.expr(f"(t - pmod(t, {width}L)) div {width}L")
     # Heads run forward in time, tails backward; an event at the very time of a
     # probe counts, which a range frame takes care of.
-    line = line.withColumn("at", F.when(F.col("part") == "head", F.col("t")).otherwise(-F.col("t")))
+    at = F.when(F.col("part") == "head", F.col("t")).otherwise(-F.col("t"))
     running = Window.partitionBy(*key, "part", "cell").orderBy("at").rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     timed = (
-        line.withColumn("first_ord", F.min("ord").over(running))
-        .where("break_id IS NOT NULL AND first_ord IS NOT NULL")
-        .select("break_id", "first_ord")
+        points.unionByName(probes)
+        .withColumn("cell", cell)
+        .withColumn("at", at)
+        .withColumn("ord", F.min("ord").over(running))
+        .where("moment IS NOT NULL AND ord IS NOT NULL")
+        .select(*key, F.col("moment").alias("t"), "ord")
     )
-    timeless = offered.where("t IS NULL").groupBy(*key).agg(F.min("ord").alias("first_ord"))
-    untimed = null_safe_join(wanted.select(*key, "break_id"), timeless, key)
-    return (
-        timed.unionByName(untimed.select("break_id", "first_ord"))
-        .groupBy("break_id")
-        .agg(F.min("first_ord").alias("ord"))
+    untimed = null_safe_join(moments, offered.where("t IS NULL").select(*key, "ord"), key)
+    first = timed.unionByName(untimed.select(*timed.columns)).groupBy(*key, "t").agg(
+        F.min("ord").alias("ord")
     )
+    found = null_safe_join(wanted, first, [*key, "t"])
+    return found.groupBy("break_id").agg(F.min("ord").alias("ord"))
 
 
 def auto_resolve(

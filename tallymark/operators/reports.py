@@ -107,13 +107,22 @@ def write_rows(rows: DataFrame, path: str, fmt: str = "csv") -> None:
         writer.option("header", "true").option("emptyValue", "").csv(path)
 
 
+FILES_PER_RUN = 16
+
+
 def archive_reports(runs: DataFrame, breaks: DataFrame, root: str) -> str:
-    """One folder of CSV files per run: `reports/run_source=…/run_id=…`."""
+    """One folder of CSV files per run: `reports/run_source=…/run_id=…`.
+
+    A run is spread over a few tasks, so that one with very many breaks is not
+    written by a single one.
+    """
     place = f"{root}/reports"
     known = runs.select("run_id", F.col("source").alias("run_source"))
     rows = report_rows(breaks).join(known, "run_id")
+    spread = F.pmod(F.xxhash64("break_id"), F.lit(FILES_PER_RUN))
     (
-        rows.write.mode("overwrite")
+        rows.repartition("run_source", "run_id", spread)
+        .write.mode("overwrite")
         .partitionBy("run_source", "run_id")
         .option("header", "true")
         .csv(place)

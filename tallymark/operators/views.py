@@ -47,7 +47,8 @@ def get_break(breaks: DataFrame, break_id: str) -> DataFrame:
 def break_history(breaks: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Each break with its resolutions as rows; breaks without any have one row.
 
-    Kept flat, because nothing limits how often a break is acted on.
+    Kept flat, because nothing limits how often a break is acted on. The inner
+    join can be split on either side where one break has very many.
     """
     steps = resolutions.select(
         "break_id",
@@ -56,7 +57,10 @@ def break_history(breaks: DataFrame, resolutions: DataFrame) -> DataFrame:
         "note",
         F.col("created_at").alias("resolution_at"),
     )
-    return breaks.join(steps, "break_id", "left")
+    acted_on = breaks.join(steps, "break_id")
+    untouched = breaks.join(steps.select("break_id").distinct(), "break_id", "left_anti")
+    blank = [F.lit(None).cast(steps.schema[c].dataType).alias(c) for c in steps.columns[1:]]
+    return acted_on.unionByName(untouched.select("*", *blank))
 
 
 def break_with_resolutions(breaks: DataFrame, resolutions: DataFrame, break_id: str) -> DataFrame:

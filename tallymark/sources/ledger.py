@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark import schemas
+from tallymark.functions.ranking import first_rows
 from tallymark.functions.scalars import (
     blank_to_null,
     first_present,
@@ -83,12 +84,5 @@ def scope(
     if limit is None:
         return found
     share = max(1, limit // len(names))
-    by_account = Window.partitionBy("counterparty").orderBy("ord")
     listed = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("counterparty"))
-    return (
-        found.withColumn("_n", F.row_number().over(by_account))
-        .where(F.col("_n") <= share)
-        .orderBy(listed, "ord")
-        .limit(limit)
-        .drop("_n")
-    )
+    return first_rows(found, ["counterparty"], share).orderBy(listed, "ord").limit(limit)

@@ -136,9 +136,14 @@ def first_of_each(events: DataFrame) -> DataFrame:
 
 
 def not_stored(events: DataFrame, stored: DataFrame) -> DataFrame:
-    """Events whose (source, id) is not stored yet: the first payload stays."""
-    known = stored.select("source", "external_event_id")
-    return events.join(known, ["source", "external_event_id"], "left_anti")
+    """Events whose (source, id) is not stored yet: the first payload stays.
+
+    The store is reduced to the arriving ids first. A small arrival is then
+    broadcast to it by the session, and the store is read but not shuffled.
+    """
+    key = ["source", "external_event_id"]
+    known = stored.select(*key).join(events.select(*key), key, "left_semi")
+    return events.join(known, key, "left_anti")
 
 
 def ingest(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
