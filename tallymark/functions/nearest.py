@@ -6,7 +6,7 @@ the exchange between groups are Spark jobs (`operators.fuzzy`).
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 
 import numpy as np
 
@@ -123,22 +123,50 @@ def settle(l_ord, l_ts, e_ord, e_ts, tolerance, claim_event, claim_by):
     return out_l, out_e, out_d
 
 
-def nearest_before(l_ord, l_ts, limit, e_ord, e_ts, tolerance):
-    """Distance from each ledger row to the nearest event that arrived before `limit`.
+def nearest_between(l_ord, l_ts, low, high, e_ord, e_ts, tolerance):
+    """Distance from each ledger row to the nearest event with low <= ord < high.
 
-    Returns (l_ord, distance) for the rows that have one within the tolerance.
+    Both limits grow along the ledger rows. Returns (l_ord, distance) for the
+    rows that have such an event within the tolerance.
     """
-    by_time = np.lexsort((e_ord, e_ts))
-    slots = FreeSlots(e_ts[by_time].tolist(), e_ord[by_time].tolist())
-    latest_first = np.argsort(-e_ord[by_time], kind="stable").tolist()
-    dropped = 0
+    arrival = np.argsort(e_ord, kind="stable")
+    orders, times = e_ord[arrival].tolist(), e_ts[arrival].tolist()
+    live: list[int] = []
+    entered = left = 0
     out_l, out_d = [], []
-    for k in np.argsort(-limit, kind="stable").tolist():
-        while dropped < len(latest_first) and slots.orders[latest_first[dropped]] >= limit[k]:
-            slots.take(latest_first[dropped])
-            dropped += 1
-        i, distance = slots.nearest(int(l_ts[k]), tolerance)
-        if i >= 0:
+    for k in np.argsort(high, kind="stable").tolist():
+        while entered < len(orders) and orders[entered] < high[k]:
+            if entered >= left:
+                insort(live, times[entered])
+            entered += 1
+        while left < len(orders) and orders[left] < low[k]:
+            if left < entered:
+                del live[bisect_left(live, times[left])]
+            left += 1
+        t = int(l_ts[k])
+        at = bisect_left(live, t)
+        near = [abs(x - t) for x in live[max(at - 1, 0) : at + 1]]
+        if near and min(near) <= tolerance:
             out_l.append(int(l_ord[k]))
-            out_d.append(distance)
+            out_d.append(min(near))
     return out_l, out_d
+
+
+def scan_in_order(l_ord, e_ord, gone_at):
+    """Rows without a time take events in arrival order.
+
+    Each takes the next event that no earlier row took and that is not gone:
+    `gone_at[i]` is the arrival of the ledger row that took event i.
+    """
+    out_l, out_e = [], []
+    waiting = np.sort(l_ord).tolist()
+    served = 0
+    arrival = np.argsort(e_ord, kind="stable")
+    for event, gone in zip(e_ord[arrival].tolist(), gone_at[arrival].tolist()):
+        if served == len(waiting):
+            break
+        if gone > waiting[served]:
+            out_l.append(waiting[served])
+            out_e.append(event)
+            served += 1
+    return out_l, out_e

@@ -9,6 +9,8 @@ unique on its side, so the limit holds for any data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,35 +67,52 @@ def split_by_heat(
     )
 
 
-def number_hot_rows(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """`row_number()` over (keys ordered by ord) with no task bound to a whole key."""
-    sliced = rows.withColumn("_slice", F.shiftright("ord", SLICE_BITS)).withColumn(
-        "_group", F.shiftright("ord", 2 * SLICE_BITS)
-    )
-    # Rows before each slice = rows in earlier groups of slices
-    # + rows in earlier slices of the same group.
-    slices = sliced.groupBy(*keys, "_group", "_slice").agg(F.count("*").alias("_n"))
-    in_group = Window.partitionBy(*keys, "_group").orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    groups = slices.groupBy(*keys, "_group").agg(F.sum("_n").alias("_gn"))
-    across = Window.partitionBy(*keys).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.select(
-        *keys, "_group", F.coalesce(F.sum("_gn").over(across), F.lit(0)).alias("_group_start")
-    )
-    offsets = slices.withColumn("_slice_start", F.coalesce(F.sum("_n").over(in_group), F.lit(0)))
-    offsets = null_safe_join(offsets, starts, [*keys, "_group"]).select(
-        *keys, "_slice", (F.col("_group_start") + F.col("_slice_start")).alias("_before")
+def before(
+    rows: DataFrame, keys: list[str], value: Column, out: str, combine: Callable = F.sum
+) -> DataFrame:
+    """`combine` (F.sum or F.max) of `value` over the rows of the key that come
+    earlier by ord; null if there are none. No task is bound to a whole key.
+    """
+    sliced = (
+        rows.withColumn("_value", value)
+        .withColumn("_slice", F.shiftright("ord", SLICE_BITS))
+        .withColumn("_group", F.shiftright("ord", 2 * SLICE_BITS))
     )
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy("ord")
-    local = sliced.withColumn("_local", F.row_number().over(in_slice))
+
+    def earlier(part: list[str], order: str) -> Column:
+        frame = Window.partitionBy(*part).orderBy(order)
+        return combine("_value").over(frame.rowsBetween(Window.unboundedPreceding, -1))
+
+    def joined(*parts: str) -> Column:
+        if combine is F.sum:
+            known = F.coalesce(*parts)
+            total = sum((F.coalesce(F.col(p), F.lit(0)) for p in parts), F.lit(0))
+            return F.when(known.isNotNull(), total)
+        return F.greatest(*parts)
+
+    # What comes before a slice = earlier groups of slices
+    # + earlier slices of the same group.
+    slices = sliced.groupBy(*keys, "_group", "_slice").agg(combine("_value").alias("_value"))
+    groups = slices.groupBy(*keys, "_group").agg(combine("_value").alias("_value"))
+    starts = groups.select(*keys, "_group", earlier(keys, "_group").alias("_of_group"))
+    offsets = null_safe_join(
+        slices.withColumn("_of_slice", earlier([*keys, "_group"], "_slice")), starts, [*keys, "_group"]
+    ).select(*keys, "_slice", "_of_group", "_of_slice")
+    local = sliced.withColumn("_local", earlier([*keys, "_slice"], "ord"))
     return (
         null_safe_join(local, offsets, [*keys, "_slice"])
-        .withColumn(out, (F.col("_before") + F.col("_local")).cast("bigint"))
-        .drop("_slice", "_group", "_local", "_before")
+        .withColumn(out, joined("_of_group", "_of_slice", "_local"))
+        .drop("_value", "_slice", "_group", "_local", "_of_group", "_of_slice")
     )
 
 
+def number_hot_rows(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """`row_number()` over (keys ordered by ord) with no task bound to a whole key."""
+    one = F.lit(1).cast("bigint")
+    counted = before(rows, keys, one, out, F.sum)
+    return counted.withColumn(out, (F.coalesce(F.col(out), F.lit(0)) + 1).cast("bigint"))
+
+
 def number_rows(
     rows: DataFrame, keys: list[str], out: str, hot_rows: int | None = None
 ) -> DataFrame:

@@ -8,6 +8,8 @@ the same event, so the work is cut where they cannot:
    shuffle. Neighbouring cells further apart than the tolerance separate
    blocks. Blocks with rows on one side only are done.
 2. A block with one row on each side is decided from those counts alone.
+   In a block whose rows all carry the same time everybody takes the next free
+   event, so it is paired by numbering both sides, whatever its size.
 3. Other blocks are settled in tasks, many per task. A block above
    `chunk_rows` is cut into chunks of whole cells, each settled on its own
    with a copy of the events its neighbours can reach.
@@ -17,383 +19,96 @@ the same event, so the work is cut where they cannot:
    ledger row can be served differently.
 
 Rows without a time can meet rows at any time. A small key is then settled
-whole. In a large one the rows that take events without a time are found by
-numbering both sides, and only the rest goes through the steps above.
+whole; for a large one see `operators.timeless`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark import schemas
-from tallymark.functions import nearest
 from tallymark.functions.ranking import null_safe_join
-from tallymark.functions.scalars import amount_or_zero, micros
+from tallymark.operators import chunks as ck
 from tallymark.operators.matching import (
+    ENTRY,
     MatchOutcome,
-    _as_pairing,
-    _PAYLOAD,
+    as_pairing,
     empty_balances,
     pair_in_order,
 )
+from tallymark.operators.timeless import pair_large_keys
 from tallymark.session import materialise
 
-CHUNK_ROWS = 200_000
-_MIN_CELL_SECONDS = 300
-_KEY = ["asset", "amount"]
-_PAIR_SCHEMA = "gid bigint, chunk int, l_ord bigint, e_ord bigint, delta_us bigint"
-_LEDGER, _EVENT, _CLAIM = 0, 1, 2
-
-
-def _rows(ledger: DataFrame, external: DataFrame) -> DataFrame:
-    left = ledger.where("amount IS NOT NULL").select(
-        "asset", "amount", F.lit(_LEDGER).alias("side"), "ord", micros("ts").alias("t")
-    )
-    right = external.select(
-        "asset",
-        amount_or_zero("amount").alias("amount"),
-        F.lit(_EVENT).alias("side"),
-        "ord",
-        micros("ts").alias("t"),
-    )
-    return left.unionByName(right)
-
-
-def _with_cell(rows: DataFrame, tolerance_us: int) -> DataFrame:
-    width = max(tolerance_us, _MIN_CELL_SECONDS * 1_000_000)
-    return rows.withColumn("cell", F.expr(f"t div {width}"))
-
-
-def _plan_cells(rows: DataFrame, tolerance_us: int, chunk_rows: int) -> DataFrame:
-    """One row per (asset, amount, cell) that can take part in a pair, with its
-    block, chunk and route.
-
-    A key has as many cells as the time span holds, however many rows it has.
-    """
-    is_ledger, is_event = F.col("side") == _LEDGER, F.col("side") == _EVENT
-    cells = _with_cell(rows, tolerance_us).groupBy(*_KEY, "cell").agg(
-        F.count_if(is_ledger).alias("n_l"),
-        F.count_if(is_event).alias("n_e"),
-        F.min("t").alias("from_t"),
-        F.max("t").alias("to_t"),
-        F.min(F.when(is_event, F.col("ord"))).alias("e_ord"),
-        F.min(F.when(is_ledger, F.col("ord"))).alias("l_ord"),
-        F.min(F.when(is_event, F.col("t"))).alias("e_t"),
-        F.min(F.when(is_ledger, F.col("t"))).alias("l_t"),
-    )
-    key = Window.partitionBy(*_KEY)
-    timed = F.col("cell").isNotNull()
-
-    def in_key(count: str, when=None):
-        value = F.col(count) if when is None else F.when(when, F.col(count)).otherwise(0)
-        return F.sum(value).over(key)
-
-    cells = (
-        cells.withColumn("key_l", in_key("n_l"))
-        .withColumn("key_e", in_key("n_e"))
-        .withColumn("timed_l", in_key("n_l", timed))
-        .withColumn("timed_e", in_key("n_e", timed))
-        .where("key_l > 0 AND key_e > 0")
-    )
-    # timed: nothing unknown · whole: one group · numbered: one side has no
-    # times at all · mostly: only events lack times · mixed: settled whole.
-    route = (
-        F.when(F.expr("key_l = timed_l AND key_e = timed_e"), "timed")
-        .when(F.expr(f"key_l + key_e <= {chunk_rows}"), "whole")
-        .when(F.expr("timed_l = 0 OR timed_e = 0"), "numbered")
-        .when(F.expr("key_l = timed_l"), "mostly")
-        .otherwise("mixed")
-    )
-    by_time = key.orderBy("cell")
-    gap = F.col("from_t") - F.lag("to_t").over(by_time)
-    cells = (
-        cells.withColumn("route", route)
-        .withColumn("_cut", F.when(gap > tolerance_us, 1).otherwise(0))
-        .withColumn("block", F.when(F.col("route") == "timed", F.sum("_cut").over(by_time)).otherwise(-1))
-    )
-    block = Window.partitionBy(*_KEY, "block")
-    in_block = block.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        cells.withColumn("block_l", F.sum("n_l").over(block))
-        .withColumn("block_e", F.sum("n_e").over(block))
-        .where("block_l > 0 AND block_e > 0")
-        # Arrival positions are unique, so the first event names the block.
-        .withColumn("gid", F.min("e_ord").over(block))
-        .withColumn("_before", F.coalesce(F.sum(F.col("n_l") + F.col("n_e")).over(in_block), F.lit(0)))
-        .withColumn(
-            "_part",
-            F.when(F.col("route") == "timed", F.expr(f"_before div {chunk_rows}")).otherwise(0),
-        )
-    )
-    parts = block.orderBy("_part")
-    earlier = parts.rangeBetween(Window.unboundedPreceding, -1)
-    later = parts.rangeBetween(1, Window.unboundedFollowing)
-    return (
-        cells.withColumn("chunk", F.dense_rank().over(parts).cast("int"))
-        .withColumn("chunks", F.max("chunk").over(block))
-        .withColumn("left_t", F.max("to_t").over(earlier))
-        .withColumn("right_t", F.min("from_t").over(later))
-        .select(
-            *_KEY, "cell", "route", "gid", "chunk", "chunks", "left_t", "right_t",
-            "block_l", "block_e", "l_ord", "e_ord", "l_t", "e_t",
-        )
-    )
-
-
-def _decide_single(cells: DataFrame, tolerance_us: int) -> DataFrame:
-    """Blocks with one row on each side."""
-    best = cells.where("block_l = 1 AND block_e = 1 AND route IN ('timed', 'whole')")
-    best = best.groupBy("gid").agg(*[F.max(c).alias(c) for c in ("l_ord", "e_ord", "l_t", "e_t")])
-    delta = F.abs(F.col("l_t") - F.col("e_t"))
-    return best.where((delta <= tolerance_us) | delta.isNull()).select(
-        "l_ord", "e_ord", F.coalesce(delta, F.lit(0)).alias("delta_us")
-    )
-
-
-def _units(rows: DataFrame, cells: DataFrame, tolerance_us: int) -> DataFrame:
-    """Rows tagged with the chunk that settles them; events near a border of
-    their chunk also go to the neighbour (`copy`)."""
-    placed = null_safe_join(
-        _with_cell(rows, tolerance_us),
-        cells.select(*_KEY, "cell", "gid", "chunk", "chunks", "left_t", "right_t"),
-        [*_KEY, "cell"],
-    )
-    event = F.col("side") == _EVENT
-    reach_left = event & (F.col("t") - F.col("left_t") <= tolerance_us)
-    reach_right = event & (F.col("right_t") - F.col("t") <= tolerance_us)
-    targets = F.array_compact(
-        F.array(
-            F.lit(0),
-            F.when(reach_left, F.lit(-1)),
-            F.when(reach_right, F.lit(1)),
-        )
-    )
-    return placed.withColumn("_step", F.explode(targets)).select(
-        "gid",
-        (F.col("chunk") + F.col("_step")).alias("chunk"),
-        "chunks",
-        F.col("side").alias("kind"),
-        "ord",
-        F.coalesce("t", F.lit(nearest.UNKNOWN)).alias("t"),
-        *[c for c in rows.columns if c == "mark"],
-        (F.col("_step") != 0).alias("copy"),
-        (F.size(targets) > 1).alias("shared"),
-    )
-
-
-def _by_unit(settle_unit: Callable[[pd.DataFrame], pd.DataFrame]):
-    """Feed whole groups, which start where n = 1, to `settle_unit`, holding no
-    more than one group and one batch."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []
-        for batch in batches:
-            if batch.empty:
-                continue
-            starts = np.nonzero(batch["n"].to_numpy() == 1)[0]
-            if not len(starts):
-                rest.append(batch)
-                continue
-            cut = int(starts[-1])
-            ready = pd.concat([*rest, batch.iloc[:cut]])
-            rest = [batch.iloc[cut:]]
-            if len(ready):
-                yield settle_unit(ready)
-        if rest:
-            yield settle_unit(pd.concat(rest))
-
-    return run
-
-
-def _in_groups(units: DataFrame) -> DataFrame:
-    """Rows of a unit next to each other in one partition, numbered.
-
-    The numbering is what makes the engine keep units whole: a bare
-    `repartition` may be dropped when a union below looks partitioned already.
-    """
-    unit = Window.partitionBy("gid", "chunk").orderBy("kind", "ord")
-    columns = ["gid", "chunk", "kind", "ord", "t", "mark"]
-    return units.select(*columns, F.row_number().over(unit).alias("n"))
-
-
-def _each_unit(frame: pd.DataFrame) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
-    arrays = {c: frame[c].to_numpy() for c in frame.columns}
-    gid, chunk = arrays["gid"], arrays["chunk"]
-    bounds = [*np.nonzero(arrays["n"] == 1)[0].tolist(), len(gid)]
-    for lo, hi in zip(bounds, bounds[1:]):
-        yield int(gid[lo]), int(chunk[lo]), {c: a[lo:hi] for c, a in arrays.items()}
-
-
-def _settle(units: DataFrame, tolerance_us: int) -> DataFrame:
-    """Settle every unit. Columns in: gid, chunk, kind, ord, t, mark."""
-
-    def settle_units(frame: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
-        for gid, chunk, u in _each_unit(frame):
-            left, event, claim = (u["kind"] == k for k in (_LEDGER, _EVENT, _CLAIM))
-            l_ord, e_ord, delta = nearest.settle(
-                u["ord"][left], u["t"][left], u["ord"][event], u["t"][event],
-                tolerance_us, u["ord"][claim], u["mark"][claim],
-            )
-            if l_ord:
-                found.append(
-                    pd.DataFrame(
-                        {"gid": gid, "chunk": chunk, "l_ord": l_ord, "e_ord": e_ord, "delta_us": delta}
-                    )
-                )
-        if not found:
-            return pd.DataFrame(columns=["gid", "chunk", "l_ord", "e_ord", "delta_us"])
-        return pd.concat(found)
-
-    return _in_groups(units).mapInPandas(_by_unit(settle_units), _PAIR_SCHEMA)
-
-
-def _settle_chunked(units: DataFrame, tolerance_us: int) -> DataFrame:
-    """Blocks of several chunks: settle, exchange what was taken, settle again
-    where that changed something."""
-    units = materialise(units.withColumn("mark", F.lit(0).cast("bigint")))
-    shared = units.where(f"kind = {_EVENT} AND shared").select(
-        "gid", F.col("chunk").alias("seen_by"), F.col("ord").alias("e_ord")
-    )
-
-    def claims_of(pairs: DataFrame) -> DataFrame:
-        other = pairs.join(shared, ["gid", "e_ord"]).where("seen_by <> chunk")
-        return other.select(
-            "gid", F.col("seen_by").alias("chunk"), F.lit(_CLAIM).alias("kind"),
-            F.col("e_ord").alias("ord"), F.lit(0).cast("bigint").alias("t"),
-            F.col("l_ord").alias("mark"),
-        )
-
-    pairs = materialise(_settle(units, tolerance_us))
-    known = claims_of(pairs).limit(0)
-    while True:
-        claims = materialise(claims_of(pairs))
-        # A claim found in one of the two sets only is news for its chunk.
-        news = (
-            claims.unionByName(known)
-            .groupBy("gid", "chunk", "ord", "mark")
-            .count()
-            .where("count = 1")
-            .select("gid", "chunk")
-            .distinct()
-        )
-        news = materialise(news)
-        if news.isEmpty():
-            return pairs
-        again = units.join(news, ["gid", "chunk"], "left_semi").select(*claims.columns)
-        again = again.unionByName(claims.join(news, ["gid", "chunk"], "left_semi"))
-        pairs = materialise(
-            pairs.join(news, ["gid", "chunk"], "left_anti").unionByName(_settle(again, tolerance_us))
-        )
-        known = claims
-
-
-def _timed_pairs(rows: DataFrame, tolerance_us: int, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, cells) for all keys but those routed to numbering."""
-    cells = materialise(_plan_cells(rows, tolerance_us, chunk_rows))
-    busy = cells.where("block_l > 1 OR block_e > 1").where("route IN ('timed', 'whole', 'mixed')")
-    single = _units(rows, busy.where("chunks = 1"), tolerance_us)
-    single = single.withColumn("mark", F.lit(0).cast("bigint"))
-    found = [_decide_single(cells, tolerance_us), _settle(single, tolerance_us)]
-    if not cells.where("chunks > 1").isEmpty():
-        several = _units(rows, busy.where("chunks > 1"), tolerance_us)
-        found.append(_settle_chunked(several, tolerance_us))
-    columns = ["l_ord", "e_ord", "delta_us"]
-    return reduce(DataFrame.unionByName, [f.select(*columns) for f in found]), cells
+_PAIR = ["l_ord", "e_ord", "delta_us"]
 
 
 def _rows_of(rows: DataFrame, cells: DataFrame, route: str) -> DataFrame:
     """Rows of the large keys with this route; there are few such keys."""
-    keys = cells.where(F.col("route") == route).select(*_KEY).distinct()
-    return null_safe_join(rows, keys, _KEY)
+    keys = cells.where(F.col("route") == route).select(*ck.KEY).distinct()
+    return null_safe_join(rows, keys, ck.KEY)
 
 
-def _numbered_pairs(rows: DataFrame, hot_rows: int | None) -> DataFrame:
-    paired = pair_in_order(rows, _KEY, hot_rows)
+def _next_free(rows: DataFrame, keys: list[str], hot_rows: int | None) -> DataFrame:
+    paired = pair_in_order(rows, keys, hot_rows).where("l IS NOT NULL AND e IS NOT NULL")
     return paired.select(
         F.col("l.ord").alias("l_ord"), F.col("e.ord").alias("e_ord"),
-        F.col("l.t").alias("l_t"), *_KEY,
+        F.lit(0).cast("bigint").alias("delta_us"),
     )
 
 
-def _nearest_earlier(probes: DataFrame, events: DataFrame, tolerance_us: int, chunk_rows: int) -> DataFrame:
-    """(l_ord, near_us): distance to the nearest event that arrived before `mark`."""
-
-    def probe_units(frame: pd.DataFrame) -> pd.DataFrame:
-        found_l: list[int] = []
-        found_d: list[int] = []
-        for _, _, u in _each_unit(frame):
-            left, event = u["kind"] == _LEDGER, u["kind"] == _EVENT
-            l_ord, distance = nearest.nearest_before(
-                u["ord"][left], u["t"][left], u["mark"][left],
-                u["ord"][event], u["t"][event], tolerance_us,
-            )
-            found_l += l_ord
-            found_d += distance
-        return pd.DataFrame({"l_ord": found_l, "near_us": found_d}, dtype="int64")
-
-    rows = probes.unionByName(events.withColumn("mark", F.lit(0).cast("bigint")))
-    cells = _plan_cells(rows.drop("mark"), tolerance_us, chunk_rows)
-    units = _in_groups(_units(rows, cells, tolerance_us))
-    return units.mapInPandas(_by_unit(probe_units), "l_ord bigint, near_us bigint")
+def _pair_instants(
+    rows: DataFrame, cells: DataFrame, tolerance_us: int, hot_rows: int | None
+) -> DataFrame:
+    placed = null_safe_join(
+        ck.with_cell(rows, tolerance_us), cells.select(*ck.KEY, "cell", "gid"), [*ck.KEY, "cell"]
+    )
+    return _next_free(placed.select("gid", "side", "ord"), ["gid"], hot_rows)
 
 
 def pair_fuzzy(
     ledger: DataFrame,
     external: DataFrame,
     tolerance_seconds: int = schemas.DEFAULT_TOLERANCE_SECONDS,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int = ck.CHUNK_ROWS,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """(l_ord, e_ord, delta_us) of every pair."""
     tolerance_us = tolerance_seconds * 1_000_000
-    rows = _rows(ledger, external)
-    pairs, cells = _timed_pairs(rows, tolerance_us, chunk_rows)
-    routes = {r.route for r in cells.select("route").distinct().limit(8).collect()}
+    rows = ck.narrow_rows(ledger, external)
+    cells = materialise(ck.plan_cells(rows, tolerance_us, chunk_rows))
+    several_rows = cells.where("(block_l > 1 OR block_e > 1) AND route IN ('timed', 'whole')")
+    busy = several_rows.where("NOT instant")
+    found = [
+        ck.decide_single(cells, tolerance_us),
+        ck.settle(ck.units_of(rows, busy.where("chunks = 1"), tolerance_us), tolerance_us),
+    ]
+    # At most sixteen combinations.
+    kinds = cells.select("route", "instant", (F.col("chunks") > 1).alias("cut")).distinct().collect()
+    if any(k.instant for k in kinds):
+        found.append(_pair_instants(rows, several_rows.where("instant"), tolerance_us, hot_rows))
+    if any(k.cut for k in kinds):
+        several = ck.units_of(rows, busy.where("chunks > 1"), tolerance_us)
+        found.append(ck.settle_chunked(several, tolerance_us))
+    routes = {k.route for k in kinds}
     if "numbered" in routes:
-        numbered = _numbered_pairs(_rows_of(rows, cells, "numbered"), hot_rows)
-        pairs = pairs.unionByName(
-            numbered.where("l_ord IS NOT NULL AND e_ord IS NOT NULL").select(
-                "l_ord", "e_ord", F.lit(0).cast("bigint").alias("delta_us")
-            )
-        )
-    if "mostly" in routes:
-        mostly = _rows_of(rows, cells, "mostly")
-        first = materialise(
-            _numbered_pairs(mostly.where(f"side = {_LEDGER} OR t IS NULL"), hot_rows).where(
-                "l_ord IS NOT NULL"
-            )
-        )
-        done = first.where("e_ord IS NOT NULL")
-        timed = mostly.where(f"side = {_EVENT} AND t IS NOT NULL")
-        as_row = [*_KEY, F.lit(_LEDGER).alias("side"), F.col("l_ord").alias("ord"), F.col("l_t").alias("t")]
-        probes = done.select(*as_row, F.col("e_ord").alias("mark"))
-        near = _nearest_earlier(probes, timed, tolerance_us, chunk_rows)
-        pairs = pairs.unionByName(
-            done.join(near, "l_ord", "left").select(
-                "l_ord", "e_ord", F.coalesce("near_us", F.lit(0)).alias("delta_us")
-            )
-        )
-        rest = first.where("e_ord IS NULL").select(*as_row)
-        later, _ = _timed_pairs(rest.unionByName(timed), tolerance_us, chunk_rows)
-        pairs = pairs.unionByName(later)
-    return pairs
+        # One side has no times at all: everybody takes the next free event.
+        found.append(_next_free(_rows_of(rows, cells, "numbered"), ck.KEY, hot_rows))
+    if "mixed" in routes:
+        found.append(pair_large_keys(_rows_of(rows, cells, "mixed"), tolerance_us, chunk_rows))
+    return reduce(DataFrame.unionByName, [f.select(*_PAIR) for f in found])
 
 
 def match_fuzzy(
     ledger: DataFrame,
     external: DataFrame,
     tolerance_seconds: int = schemas.DEFAULT_TOLERANCE_SECONDS,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int = ck.CHUNK_ROWS,
 ) -> MatchOutcome:
     pairs = materialise(pair_fuzzy(ledger, external, tolerance_seconds, chunk_rows))
-    entry = F.struct(*[F.col(c) for c in _PAYLOAD])
+    entry = F.struct(*[F.col(c) for c in ENTRY])
     seconds = (F.col("delta_us") / F.lit(1_000_000)).cast("decimal(20,6)")
     left = ledger.withColumn("external_event_id", F.lit(None).cast("string")).withColumn(
         "source", F.lit(None).cast("string")
@@ -406,8 +121,8 @@ def match_fuzzy(
     alone_right = external.join(pairs, F.col("ord") == F.col("e_ord"), "left_anti")
     pairing = (
         both.select("l", "e", seconds.alias("delta_seconds"))
-        .unionByName(_as_pairing(alone_left, "l").select("*", nothing))
-        .unionByName(_as_pairing(alone_right, "e").select("*", nothing))
+        .unionByName(as_pairing(alone_left, "l").select("*", nothing))
+        .unionByName(as_pairing(alone_right, "e").select("*", nothing))
     )
     none = external.limit(0).select(*schemas.columns(schemas.EXTERNAL))
     return MatchOutcome("FUZZY", pairing, empty_balances(ledger), none)

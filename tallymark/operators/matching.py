@@ -12,7 +12,7 @@ from tallymark.functions import ranking
 from tallymark.functions.scalars import amount_or_zero, text_or_empty
 
 _LEDGER_SIDE, _EXTERNAL_SIDE = 0, 1
-_PAYLOAD = ["ord", "external_event_id", "source", "asset", "reference", "amount", "counterparty", "ts"]
+ENTRY = ["ord", "external_event_id", "source", "asset", "reference", "amount", "counterparty", "ts"]
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ class MatchOutcome:
 
 def side_by_side(ledger: DataFrame, external: DataFrame) -> DataFrame:
     """Both inputs as rows (side, entry)."""
-    entry = [F.col(c) for c in _PAYLOAD]
+    entry = [F.col(c) for c in ENTRY]
     left = ledger.withColumn("external_event_id", F.lit(None).cast("string")).withColumn(
         "source", F.lit(None).cast("string")
     )
@@ -174,9 +174,9 @@ def empty_balances(like: DataFrame) -> DataFrame:
     )
 
 
-def _as_pairing(rows: DataFrame, side: str) -> DataFrame:
+def as_pairing(rows: DataFrame, side: str) -> DataFrame:
     """Rows of one side only, in the shape of `MatchOutcome.pairing`."""
-    entry = F.struct(*[F.col(c) for c in _PAYLOAD])
+    entry = F.struct(*[F.col(c) for c in ENTRY])
     nothing = F.lit(None)
     kind = rows.select(entry.alias("x")).schema["x"].dataType
     left, right = (entry, nothing.cast(kind)) if side == "l" else (nothing.cast(kind), entry)
@@ -193,7 +193,7 @@ def match_exact(
 
 
 def match_balances(ledger: DataFrame, external: DataFrame) -> MatchOutcome:
-    leftovers = _as_pairing(roll_forward_leftovers(external), "e").withColumn(
+    leftovers = as_pairing(roll_forward_leftovers(external), "e").withColumn(
         "delta_seconds", F.lit(None).cast("decimal(20,6)")
     )
     none = external.limit(0).select(*schemas.columns(schemas.EXTERNAL))

@@ -144,6 +144,25 @@ def test_fuzzy_dependency_chain_across_many_chunks(spark):
     assert sorted(tuple(r) for r in got.collect()) == greedy_fuzzy(ledger, events, 300)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_fuzzy_large_keys_with_unknown_times_on_both_sides(spark, seed):
+    """Chunks by time and scans by arrival agree on one result."""
+    ledger, events = random_fuzzy(seed, 60, 5_000, 0.25, 0.1)
+    got = pair_fuzzy(*frames(spark, ledger, events), 250, chunk_rows=15, hot_rows=10)
+    assert sorted(tuple(r) for r in got.collect()) == greedy_fuzzy(ledger, events, 250)
+
+
+@pytest.mark.parametrize("hot_rows", [None, 5])
+def test_fuzzy_many_rows_at_the_same_times(spark, hot_rows):
+    """Dates as times: blocks of one instant are paired by number."""
+    rng = random.Random(2)
+    day = lambda: 86_400 * rng.randrange(3)
+    ledger = [ledger_row(o, amount="1", ts=day()) for o in rng.sample(range(500), 40)]
+    events = [event_row(o, amount="1", ts=day()) for o in rng.sample(range(500), 40)]
+    got = pair_fuzzy(*frames(spark, ledger, events), 300, chunk_rows=10, hot_rows=hot_rows)
+    assert sorted(tuple(r) for r in got.collect()) == greedy_fuzzy(ledger, events, 300)
+
+
 def test_fuzzy_accounts_for_every_row(spark):
     ledger, events = random_fuzzy(5, 40, 4_000, 0.1, 0.1)
     out = match_fuzzy(*frames(spark, ledger, events), 200)
