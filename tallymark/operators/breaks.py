@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark import schemas
-from tallymark.functions.scalars import classify_timing, first_present, stable_id, stored_money
+from tallymark.functions.scalars import classify_timing, first_present, stable_id
 from tallymark.operators.matching import MatchOutcome
 
 
@@ -100,21 +99,41 @@ def balance_breaks(balances: DataFrame, run_id: Column, source: Column, now: Col
     )
 
 
+def _duplicate_columns(prefix: str, run_id: Column, now: Column) -> list[Column]:
+    return _new_break(
+        run_id,
+        now,
+        "duplicate",
+        f"{prefix}ord",
+        type=F.lit("DUPLICATE"),
+        classification=F.lit("REAL"),
+        source=F.col(f"{prefix}source"),
+        asset=F.col(f"{prefix}asset"),
+        reference=F.col(f"{prefix}reference"),
+        external_amount=F.col(f"{prefix}amount"),
+    )
+
+
 def duplicate_breaks(duplicates: DataFrame, run_id: Column, now: Column) -> DataFrame:
-    return duplicates.select(
-        *_new_break(
-            run_id,
-            now,
-            "duplicate",
-            "ord",
-            type=F.lit("DUPLICATE"),
-            classification=F.lit("REAL"),
-            source=F.col("source"),
-            asset=F.col("asset"),
-            reference=F.col("reference"),
-            external_amount=F.col("amount"),
+    return duplicates.select(*_duplicate_columns("", run_id, now))
+
+
+def _exact_breaks(
+    pairing: DataFrame, run_id: Column, source: Column, now: Column, tolerance_seconds: int
+) -> DataFrame:
+    """Leftovers and second copies in one pass; a row can be both."""
+    has_ledger = F.col("l").isNotNull()
+    leftover = F.struct(
+        *_leftover_columns(has_ledger, "l", "e", run_id, source, now, tolerance_seconds)
+    )
+    copy = F.struct(*_duplicate_columns("e.", run_id, now))
+    found = F.array_compact(
+        F.array(
+            F.when(has_ledger != F.col("e").isNotNull(), leftover),
+            F.when(F.col("e.copy") == 2, copy),
         )
     )
+    return pairing.select(F.inline(found))
 
 
 def as_column(value: Column | str | datetime) -> Column:
@@ -137,10 +156,9 @@ def detect_breaks(
     A duplicate that is also unmatched gives two.
     """
     run, src, at = as_column(run_id), as_column(source), as_column(now)
-    # Strategies produce either pairs or balances; the other part is an empty relation.
-    parts = [leftover_breaks(outcome.pairing, run, src, at, tolerance_seconds)]
-    if outcome.strategy == "BALANCE_ROLLFORWARD":
-        parts.append(balance_breaks(outcome.balances, run, src, at))
     if outcome.strategy == "EXACT":
-        parts.append(duplicate_breaks(outcome.duplicates, run, at))
-    return reduce(DataFrame.unionByName, parts)
+        return _exact_breaks(outcome.pairing, run, src, at, tolerance_seconds)
+    found = leftover_breaks(outcome.pairing, run, src, at, tolerance_seconds)
+    if outcome.strategy == "BALANCE_ROLLFORWARD":
+        found = found.unionByName(balance_breaks(outcome.balances, run, src, at))
+    return found

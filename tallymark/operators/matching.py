@@ -56,6 +56,15 @@ def side_by_side(ledger: DataFrame, external: DataFrame) -> DataFrame:
     )
 
 
+def _pairs(numbered: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row per (keys, n) with the entries of both sides."""
+    entry = F.struct(*columns)
+    return numbered.groupBy(*keys, "n").agg(
+        F.max(F.when(F.col("side") == _LEDGER_SIDE, entry)).alias("l"),
+        F.max(F.when(F.col("side") == _EXTERNAL_SIDE, entry)).alias("e"),
+    )
+
+
 def pair_in_order(rows: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
     """Pair the n-th ledger row of a key with its n-th external row.
 
@@ -66,40 +75,92 @@ def pair_in_order(rows: DataFrame, keys: list[str], hot_rows: int | None = None)
     is read from one shuffle: numbering and pairing share its partitioning.
     Rows of hot keys are numbered in slices and then meet by key and number.
     """
-    payload = F.struct(*[F.col(c) for c in rows.columns if c not in ("side", *keys)])
-    paired = [
-        F.max(F.when(F.col("side") == _LEDGER_SIDE, payload)).alias("l"),
-        F.max(F.when(F.col("side") == _EXTERNAL_SIDE, payload)).alias("e"),
-    ]
+    columns = [c for c in rows.columns if c not in ("side", *keys)]
     usual, hot = ranking.split_by_heat(rows, keys, hot_rows)
     in_side = Window.partitionBy(*keys, "side").orderBy("ord")
     usual = usual.repartition(*keys).withColumn("n", F.row_number().over(in_side).cast("bigint"))
-    usual = usual.groupBy(*keys, "n").agg(*paired)
+    usual = _pairs(usual, keys, columns)
     if hot is None:
         return usual
-    hot = ranking.number_hot_rows(hot, [*keys, "side"], "n")
-    return usual.unionByName(hot.groupBy(*keys, "n").agg(*paired))
+    return usual.unionByName(
+        _pairs(ranking.number_hot_rows(hot, [*keys, "side"], "n"), keys, columns)
+    )
 
 
-def pair_exact(
-    ledger: DataFrame, external: DataFrame, hot_rows: int | None = None
-) -> DataFrame:
-    """Reference, asset, amount and counterparty all equal; each event used once.
+def _with_match_keys(ledger: DataFrame, external: DataFrame) -> DataFrame:
+    """Both sides with the values that must be equal for an exact pair.
 
     Absent external references and amounts compare as '' and 0, and an empty
     counterparty is the same as none.
     """
-    rows = side_by_side(ledger, external)
     is_external = F.col("side") == _EXTERNAL_SIDE
-    keyed = rows.select(
+    return side_by_side(ledger, external).select(
         "*",
         F.when(is_external, text_or_empty("reference")).otherwise(F.col("reference")).alias("k_ref"),
         F.col("asset").alias("k_asset"),
         F.when(is_external, amount_or_zero("amount")).otherwise(F.col("amount")).alias("k_amount"),
         text_or_empty("counterparty").alias("k_party"),
     )
-    keys = ["k_ref", "k_asset", "k_amount", "k_party"]
-    return pair_in_order(keyed, keys, hot_rows).select("l", "e")
+
+
+_MATCH_KEY = ["k_ref", "k_asset", "k_amount", "k_party"]
+
+
+def pair_exact(
+    ledger: DataFrame, external: DataFrame, hot_rows: int | None = None
+) -> DataFrame:
+    """Reference, asset, amount and counterparty all equal; each event used once.
+
+    Events also get `copy`, their number among those with the same stored
+    reference and amount. Rows are shuffled by these two alone, which serves
+    pairing and counting copies at once.
+    """
+    rows = _with_match_keys(ledger, external)
+    place = ["k_ref", "k_amount"]
+    same = [*place, "side", "reference", "amount"]
+    usual, hot = ranking.split_by_heat(rows, place, hot_rows)
+    columns = [*ENTRY, "copy"]
+
+    def number(part: list[str]):
+        return F.row_number().over(Window.partitionBy(*part).orderBy("ord")).cast("bigint")
+
+    usual = usual.repartition(*place).withColumn("copy", number(same))
+    usual = _pairs(usual.withColumn("n", number([*_MATCH_KEY, "side"])), _MATCH_KEY, columns)
+    if hot is not None:
+        hot = ranking.number_hot_rows(hot, same, "copy")
+        hot = ranking.number_hot_rows(hot, [*_MATCH_KEY, "side"], "n")
+        usual = usual.unionByName(_pairs(hot, _MATCH_KEY, columns))
+    return usual.select("l", "e")
+
+
+def duplicates_in(pairing: DataFrame) -> DataFrame:
+    """The second copy of every event that has one, from an exact pairing."""
+    return pairing.where("e.copy = 2").select(*[f"e.{c}" for c in schemas.columns(schemas.EXTERNAL)])
+
+
+def count_exact(ledger: DataFrame, external: DataFrame) -> DataFrame:
+    """matched, unmatched and duplicates of an exact match as one row.
+
+    Counting needs no pairs: a key has as many as its smaller side has rows.
+    All sums are combined before the shuffle, so hot keys need no care.
+    """
+    sides = _with_match_keys(ledger, external).groupBy(*_MATCH_KEY).agg(
+        F.count_if(F.col("side") == _LEDGER_SIDE).alias("n_l"),
+        F.count_if(F.col("side") == _EXTERNAL_SIDE).alias("n_e"),
+    )
+    zero = F.lit(0).cast("bigint")
+    paired = sides.agg(
+        F.sum(F.least("n_l", "n_e")).alias("matched"),
+        F.sum(F.abs(F.col("n_l") - F.col("n_e"))).alias("unmatched"),
+        zero.alias("duplicates"),
+    )
+    copies = external.groupBy("reference", "amount").agg(F.count("*").alias("n"))
+    copied = copies.agg(
+        zero.alias("matched"), zero.alias("unmatched"), F.count_if(F.col("n") > 1).alias("duplicates")
+    )
+    return paired.unionByName(copied).agg(
+        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("matched", "unmatched", "duplicates")]
+    )
 
 
 def find_duplicates(external: DataFrame) -> DataFrame:
@@ -189,7 +250,7 @@ def match_exact(
     pairing = pair_exact(ledger, external, hot_rows).withColumn(
         "delta_seconds", F.lit(None).cast("decimal(20,6)")
     )
-    return MatchOutcome("EXACT", pairing, empty_balances(ledger), find_duplicates(external))
+    return MatchOutcome("EXACT", pairing, empty_balances(ledger), duplicates_in(pairing))
 
 
 def match_balances(ledger: DataFrame, external: DataFrame) -> MatchOutcome:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
-from functools import reduce
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from tallymark.functions.scalars import stable_id
 from tallymark.operators import events
 from tallymark.operators.breaks import as_column, detect_breaks
 from tallymark.operators.fuzzy import match_fuzzy
-from tallymark.operators.matching import MatchOutcome, match_balances, match_exact
+from tallymark.operators.matching import MatchOutcome, count_exact, match_balances, match_exact
 from tallymark.session import run_folder
 
 
@@ -66,45 +66,80 @@ def match_batch(
     )
 
 
+_COUNTERS = ("matched_count", "unmatched_count", "breaks_count")
+
+
 def count_outcome(outcome: MatchOutcome) -> DataFrame:
-    """matched, unmatched, breaks as one row.
+    """The three counters of a run as one row.
 
     Pairs and balanced assets are matched; rows without a partner are
     unmatched; breaks add unbalanced assets and duplicates.
     """
     zero = F.lit(0).cast("bigint")
     one_sided = F.count_if(F.col("l").isNull() != F.col("e").isNull())
-    parts = [
-        outcome.pairing.agg(
-            F.count_if(F.col("l").isNotNull() & F.col("e").isNotNull()).alias("matched"),
-            one_sided.alias("unmatched"),
-            one_sided.alias("breaks"),
-        )
-    ]
-    if outcome.strategy == "BALANCE_ROLLFORWARD":
-        parts.append(
-            outcome.balances.agg(
-                F.count_if("matched").alias("matched"),
-                zero.alias("unmatched"),
-                F.count_if(~F.col("matched")).alias("breaks"),
-            )
-        )
-    if outcome.strategy == "EXACT":
-        parts.append(
-            outcome.duplicates.agg(
-                zero.alias("matched"), zero.alias("unmatched"), F.count("*").alias("breaks")
-            )
-        )
-    return reduce(DataFrame.unionByName, parts).agg(
-        *[F.sum(c).alias(f"{c}_count") for c in ("matched", "unmatched", "breaks")]
+    copies = F.count_if(F.col("e.copy") == 2) if outcome.strategy == "EXACT" else zero
+    counts = outcome.pairing.agg(
+        F.count_if(F.col("l").isNotNull() & F.col("e").isNotNull()).alias("matched_count"),
+        one_sided.alias("unmatched_count"),
+        (one_sided + copies).alias("breaks_count"),
+    )
+    if outcome.strategy != "BALANCE_ROLLFORWARD":
+        return counts
+    balanced = outcome.balances.agg(
+        F.count_if("matched").alias("matched_count"),
+        zero.alias("unmatched_count"),
+        F.count_if(~F.col("matched")).alias("breaks_count"),
     )
+    return counts.unionByName(balanced).agg(*[F.sum(c).alias(c) for c in _COUNTERS])
 
 
 @dataclass(frozen=True)
 class Run:
-    record: DataFrame
-    outcome: MatchOutcome
-    breaks: DataFrame
+    """A run as plans. Building them reads data only to look for hot keys or,
+    for a fuzzy match, to settle it."""
+
+    ledger: DataFrame
+    external: DataFrame
+    run_id: str
+    source: str
+    scope: str
+    strategy: str
+    tolerance_seconds: int
+    started_at: datetime
+    completed_at: datetime
+
+    @cached_property
+    def outcome(self) -> MatchOutcome:
+        return match(self.ledger, self.external, self.strategy, self.tolerance_seconds)
+
+    @property
+    def breaks(self) -> DataFrame:
+        return detect_breaks(
+            self.outcome, self.run_id, self.source, self.started_at, self.tolerance_seconds
+        )
+
+    @property
+    def counters(self) -> DataFrame:
+        """As `count_outcome`, without pairing anything where that is possible."""
+        if self.strategy in ("FUZZY", "BALANCE_ROLLFORWARD"):
+            return count_outcome(self.outcome)
+        return count_exact(self.ledger, self.external).select(
+            F.col("matched").alias("matched_count"),
+            F.col("unmatched").alias("unmatched_count"),
+            (F.col("unmatched") + F.col("duplicates")).alias("breaks_count"),
+        )
+
+    @property
+    def record(self) -> DataFrame:
+        return self.counters.select(
+            F.lit(self.run_id).alias("run_id"),
+            F.lit(self.source).alias("source"),
+            F.lit(self.scope).alias("scope"),
+            F.lit("COMPLETED").alias("status"),
+            *_COUNTERS,
+            as_column(self.started_at).alias("started_at"),
+            as_column(self.completed_at).alias("completed_at"),
+        )
 
 
 def reconcile(
@@ -119,21 +154,10 @@ def reconcile(
     started_at: datetime,
     completed_at: datetime | None = None,
 ) -> Run:
-    """The whole run as a plan; only the check for hot keys reads data here."""
-    outcome = match(ledger, external, strategy, tolerance_seconds)
-    record = count_outcome(outcome).select(
-        F.lit(run_id).alias("run_id"),
-        F.lit(source).alias("source"),
-        F.lit(scope).alias("scope"),
-        F.lit("COMPLETED").alias("status"),
-        "matched_count",
-        "unmatched_count",
-        "breaks_count",
-        as_column(started_at).alias("started_at"),
-        as_column(completed_at or started_at).alias("completed_at"),
+    return Run(
+        ledger, external, run_id, source, scope, strategy, tolerance_seconds, started_at,
+        completed_at or started_at,
     )
-    found = detect_breaks(outcome, run_id, source, started_at, tolerance_seconds)
-    return Run(record, outcome, found)
 
 
 def ledger_lookback(
@@ -180,12 +204,8 @@ def execute(
         outcome = match(ledger, external, strategy, tolerance_seconds)
         place = f"{out}/pairing/run_id={run_id}"
         outcome.pairing.write.mode("overwrite").parquet(place)
-        stored = MatchOutcome(
-            outcome.strategy,
-            spark.read.schema(outcome.pairing.schema).parquet(place),
-            outcome.balances,
-            outcome.duplicates,
-        )
+        pairing = spark.read.schema(outcome.pairing.schema).parquet(place)
+        stored = replace(outcome, pairing=pairing)
         found = detect_breaks(stored, run_id, source, started_at, tolerance_seconds)
         found.drop("run_id").write.mode("overwrite").parquet(f"{out}/breaks/run_id={run_id}")
         breaks = spark.read.schema(found.schema).parquet(f"{out}/breaks").where(

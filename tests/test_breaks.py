@@ -9,7 +9,7 @@ from tallymark.functions.scalars import age_seconds, classify_amount, classify_t
 from tallymark.operators.breaks import as_column, detect_breaks
 from tallymark.operators.checks import amount_mismatches, detection_latency, new_breaks_only
 from tallymark.operators.matching import match_exact
-from tallymark.plans.run import execute, ledger_lookback, match, reconcile
+from tallymark.plans.run import count_outcome, execute, ledger_lookback, match, reconcile
 
 
 def detect(spark, ledger, events, strategy="EXACT"):
@@ -87,6 +87,17 @@ def test_run_counts(spark):
     assert (row.matched_count, row.unmatched_count, row.breaks_count) == (1, 0, 0)
 
 
+@pytest.mark.parametrize("hot_rows", [None, 2])
+def test_counters_agree_with_and_without_pairs(spark, hot_rows):
+    ledger = [ledger_row(ord=i, reference=f"r{i % 4}", counterparty="") for i in range(12)]
+    events = [event_row(ord=i, reference=f"r{i % 5}" if i % 3 else None, counterparty=None) for i in range(15)]
+    l, e = frames(spark, ledger, events)
+    outcome = match_exact(l, e, hot_rows)
+    run = reconcile(l, e, run_id="r", source="RAILS", started_at=T0)
+    assert count_outcome(outcome).first() == run.counters.first()
+    assert detect_breaks(outcome, "r", "RAILS", T0).count() == count_outcome(outcome).first().breaks_count
+
+
 def test_execute_writes_everything_and_can_be_repeated(spark, tmp_path):
     l, e = frames(spark, [ledger_row()], [event_row(reference="other")])
     out = str(tmp_path)

@@ -79,6 +79,13 @@ def test_exact_equals_first_unused(spark, seed, hot_rows):
     assert got == greedy_exact(ledger, events)
 
 
+@pytest.mark.parametrize("hot_rows", [None, 3])
+def test_duplicates_come_with_the_pairing(spark, hot_rows):
+    l, e = frames(spark, *random_exact(9, 60))
+    found = match_exact(l, e, hot_rows).duplicates
+    assert sorted(r.ord for r in found.collect()) == sorted(r.ord for r in find_duplicates(e).collect())
+
+
 def test_every_row_appears_once(spark):
     ledger, events = random_exact(7, 50)
     out = match_exact(*frames(spark, ledger, events))
