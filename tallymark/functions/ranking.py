@@ -18,7 +18,7 @@ from tallymark.session import materialise
 
 # Keys are counted by hash bucket, so the list of hot buckets has at most this
 # many rows and can always be broadcast.
-HASH_BUCKETS = 65_536
+HASH_BUCKETS = 16_384
 HOT_ROWS = 1_000_000
 HOT_FACTOR = 4
 SLICE_BITS = 20

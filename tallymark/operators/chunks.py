@@ -17,7 +17,7 @@ from tallymark.functions.ranking import null_safe_join
 from tallymark.functions.scalars import amount_or_zero, micros
 from tallymark.session import materialise
 
-CHUNK_ROWS = 200_000
+CHUNK_ROWS = 50_000
 _MIN_CELL_SECONDS = 60
 KEY = ["asset", "amount"]
 PAIR_SCHEMA = "gid bigint, chunk int, l_ord bigint, e_ord bigint, delta_us bigint"

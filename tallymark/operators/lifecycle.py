@@ -37,6 +37,7 @@ def _transition(
     note: Column | None = None,
     resolution: str | None = None,
     before_status: Column | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     new_status = F.lit(status) if isinstance(status, str) else status
     closed_at = F.when(new_status.isin(*_CLOSING), now)
@@ -54,6 +55,7 @@ def _transition(
         (F.lit(None).cast("string") if note is None else note).alias("note"),
         F.lit(resolution).cast("string").alias("resolution_type"),
         now.alias("at"),
+        *keep,
     )
 
 
@@ -240,6 +242,8 @@ def auto_resolve(
 ) -> DataFrame:
     """Open timing breaks closed by new events; an event may close many.
 
+    Transitions with `external_event_id`, the event that closed the break.
+
     Same source, asset and amount; same reference if the event has one; event
     time within the tolerance of the detection, or unknown.
     """
@@ -253,13 +257,10 @@ def auto_resolve(
         F.lit(prefix), F.col("source"), F.lit("/"), F.col("asset"), F.lit("/"),
         F.coalesce("_event_ref", F.lit(MISSING_REFERENCE)),
     )
-    rows = closed.withColumn("_note", note)
-    # Names the event that closed it; not part of the break itself.
-    moved = _transition(
-        rows, as_column(now), "RESOLVED", F.lit(0), "auto-resolved", F.lit("system"),
-        F.col("_note"), "AUTO",
+    return _transition(
+        closed, as_column(now), "RESOLVED", F.lit(0), "auto-resolved", F.lit("system"), note, "AUTO",
+        keep=("external_event_id",),
     )
-    return moved.join(rows.select("break_id", "external_event_id"), "break_id")
 
 
 def set_status(breaks: DataFrame, changes: DataFrame, now: Column | datetime) -> DataFrame:

@@ -194,7 +194,9 @@ def roll_forward(ledger: DataFrame, external: DataFrame) -> DataFrame:
     )
     expected = ledger.groupBy("asset").agg(F.sum("amount").alias("_expected"))
     zero = F.lit(0).cast(schemas.MATCH_MONEY)
-    joined = flows.join(expected, "asset", "left").withColumn(
+    same_asset = F.col("asset").eqNullSafe(F.col("_asset"))
+    expected = expected.withColumnRenamed("asset", "_asset")
+    joined = flows.join(expected, same_asset, "left").withColumn(
         "expected_closing", F.coalesce("_expected", zero)
     )
     delta = (F.col("net_flow") - F.col("expected_closing")).cast(schemas.MATCH_MONEY)
