@@ -9,14 +9,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+import tallymark
 from tallymark.functions import nearest
 from tallymark.functions.ranking import null_safe_join
 from tallymark.functions.scalars import amount_or_zero, micros
 from tallymark.session import materialise
 
+# Code that runs in tasks travels with them; the package need not be installed
+# on the executors.
+cloudpickle.register_pickle_by_value(tallymark)
+
 CHUNK_ROWS = 50_000
 _MIN_CELL_SECONDS = 60
 KEY = ["asset", "amount"]
