@@ -13,7 +13,7 @@ import time
 
 from tallymark.plans import queries as _registered  # noqa: F401
 from tallymark.plans.registry import QUERIES
-from tallymark.session import build_session
+from tallymark.session import build_session, clean_up
 
 HEADLINE = [
     "match_exact", "unmatched_ledger", "unmatched_external", "duplicates", "match_fuzzy",
@@ -39,6 +39,7 @@ def main() -> None:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             spent.append(time.perf_counter() - began)
         timings[name] = round(min(spent[1:]), 3)
+    clean_up(spark)
     spark.stop()
     print(
         json.dumps(

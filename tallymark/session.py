@@ -26,8 +26,6 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # Files of materialised results go when nothing refers to them any more.
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
@@ -55,17 +53,32 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="tallymark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
     return folder
 
 
+def _work_folder(spark: SparkSession) -> str:
+    """Where this application keeps what it writes for its own use."""
+    return f"{shared_folder(spark).rstrip('/')}/tallymark-{spark.sparkContext.applicationId}"
+
+
 def run_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name below the shared one."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder name for this application below the shared one."""
+    return f"{_work_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(frame: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder once and go on from there."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Write the rows to a table in the shared folder and go on from there.
+
+    The plan behind them is cut off, lost executors cost nothing, and later
+    readers open only the columns they need.
+    """
+    spark = frame.sparkSession
+    place = run_folder(spark, "table")
+    frame.write.parquet(place)
+    return spark.read.schema(frame.schema).parquet(place)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what this application wrote for its own use. Its frames are void then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

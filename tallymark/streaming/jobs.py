@@ -18,7 +18,6 @@ from tallymark.operators import lifecycle
 from tallymark.operators.breaks import leftover_breaks
 from tallymark.operators.matching import pair_exact, side_by_side
 from tallymark.sources import messages as msg
-from tallymark.session import materialise
 from tallymark.streaming.store import Table
 
 DEAD_LETTER = T.StructType([*schemas.MESSAGE.fields, T.StructField("error", T.StringType())])
@@ -35,6 +34,8 @@ TRANSITION = T.StructType(
     ]
 )
 _ENTRY = T.StructType([T.StructField("side", T.IntegerType()), *schemas.EXTERNAL.fields])
+_SIDE = T.StructType([*schemas.EXTERNAL.fields, T.StructField("copy", T.LongType())])
+_PAIRING = T.StructType([T.StructField("l", _SIDE), T.StructField("e", _SIDE)])
 _PAIR = T.StructType([T.StructField("l_ord", T.LongType()), T.StructField("e_ord", T.LongType())])
 _CLOCK = T.StructType([T.StructField("latest", T.TimestampType())])
 
@@ -120,6 +121,7 @@ class IncrementalMatch:
         tolerance_seconds: int = schemas.DEFAULT_TOLERANCE_SECONDS,
         delay_seconds: int = 0,
     ):
+        self.pairing = Table(spark, f"{out}/pairing", _PAIRING).create()
         self.pairs = Table(spark, f"{out}/pairs", _PAIR).create()
         self.waiting = Table(spark, f"{out}/waiting", _ENTRY).create()
         self.breaks = Table(spark, f"{out}/breaks", schemas.BREAK).create()
@@ -140,8 +142,9 @@ class IncrementalMatch:
         rows = batch.select(*_ENTRY.names).unionByName(self.waiting.part(batch_id - 1))
         ledger = rows.where("side = 0").select(*schemas.columns(schemas.LEDGER))
         external = rows.where("side = 1").drop("side")
-        # Both results are read from the pairing; it is written once.
-        pairing = materialise(pair_exact(ledger, external))
+        # All results are read from the pairing; it is written once.
+        self.pairing.put(pair_exact(ledger, external), batch_id)
+        pairing = self.pairing.part(batch_id)
         self.pairs.put(
             pairing.where("l IS NOT NULL AND e IS NOT NULL").select(
                 F.col("l.ord").alias("l_ord"), F.col("e.ord").alias("e_ord")

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from tallymark.session import build_session  # noqa: E402
+from tallymark.session import build_session, clean_up  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -18,4 +18,5 @@ def spark(tmp_path_factory):
         settings={"spark.checkpoint.dir": shared, "spark.sql.warehouse.dir": shared},
     )
     yield session
+    clean_up(session)
     session.stop()

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from helpers import T0, at, break_row, breaks_frame, event_row, ledger_row
@@ -11,7 +12,10 @@ from tallymark.streaming.store import run_available
 
 def land(folder, n, rows):
     folder.mkdir(exist_ok=True)
-    (folder / f"{n:03}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    file = folder / f"{n:03}.json"
+    file.write_text("".join(json.dumps(r) + "\n" for r in rows))
+    # A file source takes files by age.
+    os.utime(file, (1_700_000_000 + n, 1_700_000_000 + n))
 
 
 def message(offset, payload, topic="rail.events.v1", partition=0):
