@@ -292,6 +292,17 @@ def apply_to(breaks: DataFrame, transitions: DataFrame) -> DataFrame:
     return kept.unionByName(changed)
 
 
+def current_state(breaks: DataFrame, log: DataFrame) -> DataFrame:
+    """State after an append-only log of transitions with a `step` column.
+
+    Only the last transition of a break counts; all but one per break and task
+    are dropped before the shuffle.
+    """
+    latest = Window.partitionBy("break_id").orderBy(F.desc("step"), F.desc("at"))
+    last = log.withColumn("_n", F.row_number().over(latest)).where("_n = 1")
+    return apply_to(breaks, last)
+
+
 def resolutions_of(transitions: DataFrame) -> DataFrame:
     return transitions.where("resolution_type IS NOT NULL").select(
         "break_id", F.col("resolution_type").alias("type"), "actor", "note", F.col("at").alias("created_at")

@@ -63,18 +63,10 @@ def break_history(breaks: DataFrame, resolutions: DataFrame) -> DataFrame:
     return acted_on.unionByName(untouched.select("*", *blank))
 
 
-def break_with_resolutions(breaks: DataFrame, resolutions: DataFrame, break_id: str) -> DataFrame:
-    """One break with its resolutions nested, oldest first."""
-    steps = (
-        resolutions.where(F.col("break_id") == break_id)
-        .groupBy("break_id")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("created_at", "type", "actor", "note"))).alias(
-                "resolutions"
-            )
-        )
-    )
-    return get_break(breaks, break_id).join(steps, "break_id", "left")
+def break_with_history(breaks: DataFrame, resolutions: DataFrame, break_id: str) -> DataFrame:
+    """One break with its resolutions, oldest first."""
+    own = resolutions.where(F.col("break_id") == break_id)
+    return break_history(get_break(breaks, break_id), own).orderBy("resolution_at")
 
 
 def list_runs(runs: DataFrame, source: str | None = None) -> DataFrame:

@@ -201,9 +201,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived input as a DataFrame."""
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than cores, dealt out to all of them.
+
+    For small files in front of much work per row; a large input has more
+    splits than cores and stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, busy: bool = False) -> DataFrame:
+    """A derived input as a DataFrame; `busy` if much work per row follows."""
     order = _needed(name, [])
     for base in {need for v in order for need in VIEWS[v][0] if need not in VIEWS}:
-        table(spark, sf_dir, base).createOrReplaceTempView(base)
+        rows = table(spark, sf_dir, base)
+        (spread(rows) if busy else rows).createOrReplaceTempView(base)
     return spark.sql(with_inputs([name], f"SELECT * FROM {name}"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark import schemas
 from tallymark.functions.scalars import parse_instant, signed_amount
-from tallymark.plans.fixtures import table, view, with_inputs
+from tallymark.plans.fixtures import spread, table, view, with_inputs
 from tallymark.plans.registry import money, query, us
 from tallymark.sources import ledger as lg
 from tallymark.sources import messages as ms
@@ -67,7 +67,7 @@ def posting_json(spark, d) -> DataFrame:
         F.lit("2024-03-01T00:00:00+00:00").alias("created_at"),
         F.when(key % 17 != 0, F.array(_entry(0), _entry(1))).alias("entries"),
     )
-    return table(spark, d, "lineitem").select(F.to_json(doc).alias("value"))
+    return spread(table(spark, d, "lineitem")).select(F.to_json(doc).alias("value"))
 
 
 def opened(text: DataFrame, schema) -> DataFrame:
@@ -111,7 +111,7 @@ def ledger_from_items(spark, d):
         account.alias("account_id"),
         F.array(_entry(0, _posting_id(), account), _entry(1, _posting_id(), account)).alias("entries"),
     )
-    text = table(spark, d, "lineitem").select(F.to_json(page).alias("value"))
+    text = spread(table(spark, d, "lineitem")).select(F.to_json(page).alias("value"))
     return _ledger_out(lg.from_account_pages(opened(text, schemas.ACCOUNT_PAGE)))
 
 
@@ -199,7 +199,7 @@ good AS (SELECT * FROM checked WHERE error IS NULL)
 
 
 def message_rows(spark, d) -> DataFrame:
-    return as_messages(view(spark, d, "fx_messages"))
+    return as_messages(view(spark, d, "fx_messages", busy=True))
 
 
 def as_messages(rows: DataFrame) -> DataFrame:

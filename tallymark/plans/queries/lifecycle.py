@@ -158,6 +158,25 @@ def append_resolution(spark, d):
     )
 
 
+@query(
+    "current_state",
+    with_inputs(["fx_breaks", "fx_commands"], f"""SELECT b.break_id,
+  CASE WHEN c.break_id IS NOT NULL THEN 'RESOLVED' WHEN b.status = 'OPEN' AND new_age >= 3600 THEN 'ESCALATED' ELSE b.status END AS status,
+  CASE WHEN b.status = 'OPEN' AND new_age >= 3600 THEN new_age ELSE b.age_seconds END AS age_seconds,
+  epoch_us(coalesce(b.resolved_at, CASE WHEN c.break_id IS NOT NULL THEN {NOW_SQL} END)) AS resolved_us
+FROM {AGED} b LEFT JOIN fx_commands c ON b.break_id = c.break_id"""),
+)
+def current_state(spark, d):
+    """State from a log of two steps: stale breaks escalate, then operators resolve some."""
+    breaks = _breaks(spark, d)
+    first = lc.escalate_stale(breaks, NOW, 60)
+    second = lc.resolve_manually(lc.apply_to(breaks, first), _commands(spark, d), NOW)
+    log = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
+    return lc.current_state(breaks, log).select(
+        "break_id", "status", "age_seconds", us("resolved_at", "resolved_us")
+    )
+
+
 # --- Rules ---
 
 _KEYS = "(SELECT DISTINCT source, asset FROM fx_breaks)"

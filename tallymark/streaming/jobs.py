@@ -33,6 +33,14 @@ TRANSITION = T.StructType(
         T.StructField("at", T.TimestampType()),
     ]
 )
+_LANDED = T.StructType(
+    [
+        *DEAD_LETTER.fields,
+        T.StructField("source", T.StringType()),
+        T.StructField("external_event_id", T.StringType()),
+        T.StructField("ord", T.LongType()),
+    ]
+)
 _ENTRY = T.StructType([T.StructField("side", T.IntegerType()), *schemas.EXTERNAL.fields])
 _SIDE = T.StructType([*schemas.EXTERNAL.fields, T.StructField("copy", T.LongType())])
 _PAIRING = T.StructType([T.StructField("l", _SIDE), T.StructField("e", _SIDE)])
@@ -70,7 +78,10 @@ def drop_redelivered(events: DataFrame, event_time: str, horizon: str) -> DataFr
 
 
 class Ingestion:
-    """Messages to stored events and dead letters; new events close timing breaks."""
+    """Messages to stored events and dead letters; new events close timing breaks.
+
+    A micro-batch is parsed once and landed; what follows reads the landed part.
+    """
 
     def __init__(
         self,
@@ -81,6 +92,7 @@ class Ingestion:
         auto_resolve: bool = schemas.DEFAULT_AUTO_RESOLVE,
         now: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     ):
+        self.landed = Table(spark, f"{out}/landed", _LANDED).create()
         self.events = Table(spark, f"{out}/events", schemas.EXTERNAL_EVENT).create()
         self.dead_letters = Table(spark, f"{out}/dead_letters", DEAD_LETTER).create()
         self.transitions = Table(spark, f"{out}/transitions", TRANSITION).create()
@@ -88,7 +100,8 @@ class Ingestion:
         self.tolerance_seconds, self.auto_resolve, self.now = tolerance_seconds, auto_resolve, now
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
-        prepared = msg.prepare(batch)
+        self.landed.put(msg.prepare(batch), batch_id)
+        prepared = self.landed.part(batch_id)
         self.dead_letters.put(msg.dead_letters(prepared), batch_id)
         fresh = msg.ingest(msg.events_of(prepared), self.events.before(batch_id))
         self.events.put(fresh, batch_id)
@@ -96,6 +109,11 @@ class Ingestion:
             arrived = msg.external_entries(self.events.part(batch_id))
             self.resolve(arrived, batch_id)
 
+    def state(self) -> DataFrame:
+        """The breaks as they are now."""
+        log = self.transitions.read().withColumnRenamed("batch_id", "step")
+        return lifecycle.current_state(self.breaks, log)
+
     def resolve(self, arrived: DataFrame, batch_id: int) -> None:
         closed = self.transitions.before(batch_id).select("break_id")
         still_open = self.breaks.join(closed, "break_id", "left_anti")

@@ -80,6 +80,14 @@ def test_status_update_keeps_age_when_none_is_given(spark):
     assert rows["a"].resolved_at is not None and rows["b"].resolved_at is None
 
 
+def test_the_last_transition_of_a_log_counts(spark):
+    breaks = breaks_frame(spark, break_row("a", detected=-7200), break_row("b"))
+    first = lc.escalate_stale(breaks, T0).withColumn("step", F.lit(1))
+    second = lc.resolve_manually(breaks, commands_frame(spark, ("a", "x", None, 1)), at(9)).withColumn("step", F.lit(2))
+    state = lc.current_state(breaks, second.unionByName(first)).collect()
+    assert sorted((r.break_id, r.status) for r in state) == [("a", "RESOLVED"), ("b", "OPEN")]
+
+
 def test_resolutions_need_a_break(spark):
     rows = spark.createDataFrame([("a", "MANUAL", "x", None, T0), ("z", "MANUAL", "x", None, T0)], schemas.RESOLUTION)
     assert lc.append_resolutions(breaks_frame(spark, break_row("a")), rows).count() == 1

@@ -42,8 +42,8 @@ def test_filters_and_order(spark):
 def test_history(spark):
     rows = vw.break_history(two(spark), resolutions(spark)).collect()
     assert sorted((r.break_id, r.note or "") for r in rows) == [("a", "first"), ("a", "second"), ("b", ""), ("c", "")]
-    one = vw.break_with_resolutions(two(spark), resolutions(spark), "a").first()
-    assert [r.note for r in one.resolutions] == ["first", "second"]
+    one = vw.break_with_history(two(spark), resolutions(spark), "a").collect()
+    assert [r.note for r in one] == ["first", "second"]
 
 
 def test_runs(spark):

@@ -64,6 +64,8 @@ def test_new_events_close_timing_breaks_once(spark, tmp_path):
     run_available(jobs.read_landed_messages(spark, str(landing), 1), job.handle, f"{tmp_path}/cp")
     closed = job.transitions.read().select("break_id", "batch_id", "resolution_type").collect()
     assert sorted(tuple(r) for r in closed) == [("x", 0, "AUTO"), ("y", 1, "AUTO")]
+    state = {r.break_id: r.status for r in job.state().collect()}
+    assert state == {"x": "RESOLVED", "y": "RESOLVED", "z": "OPEN"}
 
 
 def test_switched_off_auto_resolution(spark, tmp_path):
