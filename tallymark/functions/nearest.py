@@ -60,7 +60,7 @@ class FreeSlots:
         return (best, gap) if best >= 0 else (-1, 0)
 
 
-def settle(l_ord, l_ts, e_ord, e_ts, tolerance, claim_event, claim_by):
+def serve(l_ord, l_ts, e_ord, e_ts, tolerance, claim_event, claim_by):
     """Serve ledger rows in arrival order; returns (l_ord, e_ord, distance) lists.
 
     `claim_event[i]` was taken in a neighbouring group by ledger row

@@ -6,6 +6,7 @@ See `operators.fuzzy` for the whole method.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 import tallymark
-from tallymark.functions import nearest
+from tallymark.functions.nearest import UNKNOWN, serve
 from tallymark.functions.ranking import null_safe_join
 from tallymark.functions.scalars import amount_or_zero, micros
 from tallymark.session import materialise
@@ -24,9 +25,8 @@ from tallymark.session import materialise
 cloudpickle.register_pickle_by_value(tallymark)
 
 CHUNK_ROWS = 50_000
-_MIN_CELL_SECONDS = 60
+_SECOND = 1_000_000
 KEY = ["asset", "amount"]
-PAIR_SCHEMA = "gid bigint, chunk int, l_ord bigint, e_ord bigint, delta_us bigint"
 LEDGER, EVENT, CLAIM = 0, 1, 2
 
 
@@ -44,9 +44,13 @@ def narrow_rows(ledger: DataFrame, external: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
+def cell_width(tolerance_us: int) -> int:
+    """Ten seconds to a minute: the smallest piece a chunk can be."""
+    return min(max(tolerance_us // 8, 10 * _SECOND), 60 * _SECOND)
+
+
 def with_cell(rows: DataFrame, tolerance_us: int) -> DataFrame:
-    width = max(tolerance_us, _MIN_CELL_SECONDS * 1_000_000)
-    return rows.withColumn("cell", F.expr(f"t div {width}"))
+    return rows.withColumn("cell", F.expr(f"t div {cell_width(tolerance_us)}"))
 
 
 def plan_cells(rows: DataFrame, tolerance_us: int, chunk_rows: int) -> DataFrame:
@@ -109,14 +113,12 @@ def plan_cells(rows: DataFrame, tolerance_us: int, chunk_rows: int) -> DataFrame
             F.when(F.col("route") == "timed", F.expr(f"_before div {chunk_rows}")).otherwise(0),
         )
     )
-    parts = block.orderBy("_part")
-    earlier = parts.rangeBetween(Window.unboundedPreceding, -1)
-    later = parts.rangeBetween(1, Window.unboundedFollowing)
+    chunk = Window.partitionBy(*KEY, "block", "chunk")
     return (
-        cells.withColumn("chunk", F.dense_rank().over(parts).cast("int"))
+        cells.withColumn("chunk", F.dense_rank().over(block.orderBy("_part")).cast("int"))
         .withColumn("chunks", F.max("chunk").over(block))
-        .withColumn("left_t", F.max("to_t").over(earlier))
-        .withColumn("right_t", F.min("from_t").over(later))
+        .withColumn("chunk_from", F.min("from_t").over(chunk))
+        .withColumn("chunk_to", F.max("to_t").over(chunk))
         # All rows of the block carry one and the same time.
         .withColumn(
             "instant",
@@ -124,7 +126,7 @@ def plan_cells(rows: DataFrame, tolerance_us: int, chunk_rows: int) -> DataFrame
             & (F.min("from_t").over(block) == F.max("to_t").over(block)),
         )
         .select(
-            *KEY, "cell", "route", "gid", "chunk", "chunks", "left_t", "right_t", "instant",
+            *KEY, "cell", "route", "gid", "chunk", "chunks", "chunk_from", "chunk_to", "instant",
             "block_l", "block_e", "l_ord", "e_ord", "l_t", "e_t",
         )
     )
@@ -140,35 +142,116 @@ def decide_single(cells: DataFrame, tolerance_us: int) -> DataFrame:
     )
 
 
-def units_of(rows: DataFrame, cells: DataFrame, tolerance_us: int) -> DataFrame:
-    """Rows tagged with the chunk that settles them; events near a border of
-    their chunk also go to the neighbour (`copy`)."""
+_UNIT = ["gid", "chunk"]
+# mark and low: what claims and probes carry · seen_from and seen_to: the times
+# between which the unit of a ledger row has every event.
+_UNIT_COLUMNS = ["gid", "chunk", "kind", "ord", "t", "mark", "low", "seen_from", "seen_to"]
+
+
+def as_units(rows: DataFrame) -> DataFrame:
+    """Fill in the unit columns that `rows` does not have."""
+    return rows.select(
+        *[
+            F.col(c) if c in rows.columns else F.lit(0).cast("bigint").alias(c)
+            for c in _UNIT_COLUMNS
+        ]
+    )
+
+
+def _place(rows: DataFrame, cells: DataFrame, tolerance_us: int) -> DataFrame:
+    """Rows with the block and chunk of their cell."""
     placed = null_safe_join(
-        with_cell(rows, tolerance_us),
-        cells.select(*KEY, "cell", "gid", "chunk", "chunks", "left_t", "right_t"),
-        [*KEY, "cell"],
+        with_cell(rows, tolerance_us), cells.select(*KEY, "cell", "gid", "chunk"), [*KEY, "cell"]
     )
-    event = F.col("side") == EVENT
-    reach_left = event & (F.col("t") - F.col("left_t") <= tolerance_us)
-    reach_right = event & (F.col("right_t") - F.col("t") <= tolerance_us)
-    targets = F.array_compact(
-        F.array(
-            F.lit(0),
-            F.when(reach_left, F.lit(-1)),
-            F.when(reach_right, F.lit(1)),
+    return placed.withColumnRenamed("side", "kind").drop(*KEY)
+
+
+def whole_blocks(rows: DataFrame, cells: DataFrame, tolerance_us: int) -> DataFrame:
+    """Units of blocks that are settled in one piece."""
+    placed = _place(rows, cells, tolerance_us)
+    return as_units(placed.withColumn("t", F.coalesce("t", F.lit(UNKNOWN))))
+
+
+class Chunks:
+    """Blocks cut into chunks, with the events each chunk sees.
+
+    A chunk sees its own events and those within its reach beyond both ends.
+    The reach starts at its own width, so that it sees about three times its
+    rows, and grows only for chunks with a ledger row that could be served
+    better by an event further away; never beyond the tolerance.
+    """
+
+    def __init__(self, rows: DataFrame, cells: DataFrame, tolerance_us: int):
+        self.tolerance_us = tolerance_us
+        self.width = cell_width(tolerance_us)
+        placed = materialise(_place(rows, cells, tolerance_us))
+        self.ledger = placed.where(f"kind = {LEDGER}")
+        self.events = placed.where(f"kind = {EVENT}")
+        own_width = F.col("chunk_to") - F.col("chunk_from")
+        reach = F.least(F.lit(tolerance_us), F.greatest(own_width, F.lit(self.width)))
+        bounds = cells.select("gid", "chunk", "chunk_from", "chunk_to").distinct()
+        self.bounds = materialise(bounds.withColumn("reach", reach.cast("bigint")))
+        own = self.events.select("gid", "chunk", "ord", "t")
+        self.seen = materialise(own.unionByName(self._beyond(self.bounds)))
+
+    def _beyond(self, bounds: DataFrame) -> DataFrame:
+        """Events of other chunks within reach."""
+
+        def cells_between(low, high):
+            return F.sequence(F.expr(f"({low}) div {self.width}"), F.expr(f"({high}) div {self.width}"))
+
+        outside = F.concat(
+            cells_between("chunk_from - reach", "chunk_from"),
+            cells_between("chunk_to", "chunk_to + reach"),
+        )
+        around = bounds.select("*", F.explode(F.array_distinct(outside)).alias("cell"))
+        others = self.events.select("gid", F.col("chunk").alias("_own"), "cell", "ord", "t")
+        return (
+            around.join(others, ["gid", "cell"])
+            .where("_own <> chunk AND t >= chunk_from - reach AND t <= chunk_to + reach")
+            .select("gid", "chunk", "ord", "t")
         )
-    )
-    return placed.withColumn("_step", F.explode(targets)).select(
-        "gid",
-        (F.col("chunk") + F.col("_step")).alias("chunk"),
-        "chunks",
-        F.col("side").alias("kind"),
-        "ord",
-        F.coalesce("t", F.lit(nearest.UNKNOWN)).alias("t"),
-        *[F.col(c) if c in rows.columns else F.lit(0).cast("bigint").alias(c) for c in ("mark", "low")],
-        (F.col("_step") != 0).alias("copy"),
-        (F.size(targets) > 1).alias("shared"),
-    )
+
+    def widen(self, short: DataFrame) -> None:
+        """Let the chunks in `short` see further."""
+        further = F.least(F.lit(self.tolerance_us), F.col("reach") * 4).cast("bigint")
+        wider = materialise(
+            self.bounds.join(short, _UNIT, "left_semi").withColumn("reach", further)
+        )
+        own = self.events.join(short, _UNIT, "left_semi").select("gid", "chunk", "ord", "t")
+        kept = self.seen.join(short, _UNIT, "left_anti")
+        self.seen = materialise(kept.unionByName(own).unionByName(self._beyond(wider)))
+        self.bounds = materialise(
+            self.bounds.join(short, _UNIT, "left_anti").unionByName(wider.select(*self.bounds.columns))
+        )
+
+    def units(self) -> DataFrame:
+        edges = self.bounds.select(
+            "gid", "chunk", (F.col("chunk_from") - F.col("reach")).alias("seen_from"),
+            (F.col("chunk_to") + F.col("reach")).alias("seen_to"),
+        )
+        left = as_units(self.ledger.join(edges, _UNIT))
+        return left.unionByName(as_units(self.seen.withColumn("kind", F.lit(EVENT))))
+
+    def settle(self, only: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
+        units = self.units()
+        if claims is not None:
+            units = units.unionByName(claims)
+        if only is not None:
+            units = units.join(only, _UNIT, "left_semi")
+        return settle(units, self.tolerance_us, chunked=True)
+
+    def claims(self, *taken: DataFrame) -> DataFrame:
+        """What others took of the events a chunk sees, from (l_ord, e_ord) rows
+        with the chunk that took it, if any."""
+        seen = self.seen.select("gid", F.col("chunk").alias("seen_by"), F.col("ord").alias("e_ord"))
+        found = []
+        for pairs in taken:
+            by_chunk = "chunk" in pairs.columns
+            met = pairs.join(seen, ["gid", "e_ord"] if by_chunk else "e_ord")
+            met = met.where("seen_by <> chunk") if by_chunk else met
+            found.append(met.select("gid", "seen_by", "e_ord", "l_ord"))
+        return materialise(_as_claims(reduce(DataFrame.unionByName, found)))
 
 
 def by_unit(settle_unit: Callable[[pd.DataFrame], pd.DataFrame]):
@@ -202,8 +285,7 @@ def in_groups(units: DataFrame) -> DataFrame:
     `repartition` may be dropped when a union below looks partitioned already.
     """
     unit = Window.partitionBy("gid", "chunk").orderBy("kind", "ord")
-    columns = ["gid", "chunk", "kind", "ord", "t", "mark", "low"]
-    return units.select(*columns, F.row_number().over(unit).alias("n"))
+    return units.select(*_UNIT_COLUMNS, F.row_number().over(unit).alias("n"))
 
 
 def each_unit(frame: pd.DataFrame) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
@@ -214,80 +296,104 @@ def each_unit(frame: pd.DataFrame) -> Iterator[tuple[int, int, dict[str, np.ndar
         yield int(gid[lo]), int(chunk[lo]), {c: a[lo:hi] for c, a in arrays.items()}
 
 
-def per_unit(units: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """Run `work(arrays of one unit) -> columns` for every unit of a partition."""
-    names = [field.split()[0] for field in schema.split(", ")]
+def per_unit(units: DataFrame, work: Callable, value: str) -> DataFrame:
+    """Run `work(arrays of one unit) -> (columns, short)` for every unit.
+
+    A unit that is short of events adds a row with `value` = -1.
+    """
+    names = ["gid", "chunk", "l_ord", "e_ord", value]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         found = []
         for gid, chunk, arrays in each_unit(frame):
-            columns = work(arrays)
-            if len(columns["l_ord"]):
-                found.append(pd.DataFrame({"gid": gid, "chunk": chunk, **columns})[names])
+            columns, short = work(arrays)
+            parts = {n: list(columns.get(n, [0] * len(columns["l_ord"]))) for n in names[2:]}
+            if short:
+                for name in names[2:]:
+                    parts[name].append(-1)
+            if parts["l_ord"]:
+                found.append(pd.DataFrame({"gid": gid, "chunk": chunk, **parts}))
         return pd.concat(found) if found else pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
 
+    schema = f"gid bigint, chunk int, l_ord bigint, e_ord bigint, {value} bigint"
     return in_groups(units).mapInPandas(by_unit(run), schema)
 
 
-def settle(units: DataFrame, tolerance_us: int) -> DataFrame:
-    """Serve the ledger rows of every unit."""
+def is_short(u: dict, left, l_ord: list, distance: list, tolerance_us: int) -> bool:
+    """Whether a row may have a better event beyond what its unit sees.
+
+    Ledger rows of a unit and those served come in arrival order.
+    """
+    t = u["t"][left]
+    needed = np.full(len(t), tolerance_us, dtype=np.int64)
+    needed[np.searchsorted(u["ord"][left], l_ord)] = distance
+    edge = np.minimum(t - u["seen_from"][left], u["seen_to"][left] - t)
+    return bool((needed > edge).any())
+
+
+def settle(units: DataFrame, tolerance_us: int, chunked: bool = False) -> DataFrame:
+    """Serve the ledger rows of every unit: (gid, chunk, l_ord, e_ord, delta_us)."""
 
-    def work(u: dict[str, np.ndarray]) -> dict[str, list]:
+    def work(u: dict[str, np.ndarray]):
         left, event, claim = (u["kind"] == k for k in (LEDGER, EVENT, CLAIM))
-        l_ord, e_ord, delta = nearest.settle(
+        l_ord, e_ord, delta = serve(
             u["ord"][left], u["t"][left], u["ord"][event], u["t"][event],
             tolerance_us, u["ord"][claim], u["mark"][claim],
         )
-        return {"l_ord": l_ord, "e_ord": e_ord, "delta_us": delta}
+        short = chunked and is_short(u, left, l_ord, delta, tolerance_us)
+        return {"l_ord": l_ord, "e_ord": e_ord, "delta_us": delta}, short
 
-    return per_unit(units, work, PAIR_SCHEMA)
+    return per_unit(units, work, "delta_us")
 
 
-def as_claims(seen: DataFrame) -> DataFrame:
+def _as_claims(met: DataFrame) -> DataFrame:
     """Rows (gid, seen_by, e_ord, l_ord) as claim rows of the unit that sees them."""
-    zero = F.lit(0).cast("bigint")
-    return seen.select(
-        "gid", F.col("seen_by").alias("chunk"), F.lit(CLAIM).alias("kind"),
-        F.col("e_ord").alias("ord"), zero.alias("t"), F.col("l_ord").alias("mark"), zero.alias("low"),
+    return as_units(
+        met.select(
+            "gid", F.col("seen_by").alias("chunk"), F.lit(CLAIM).alias("kind"),
+            F.col("e_ord").alias("ord"), F.col("l_ord").alias("mark"),
+        )
     )
 
 
-def changed_units(claims: DataFrame, known: DataFrame) -> DataFrame:
+def changed_units(claims: DataFrame, known: DataFrame | None) -> DataFrame:
     """Units with a claim that is in one of the two sets only."""
-    return materialise(
-        claims.unionByName(known)
-        .groupBy("gid", "chunk", "ord", "mark")
-        .count()
-        .where("count = 1")
-        .select("gid", "chunk")
-        .distinct()
-    )
-
-
-def settle_again(
-    pairs: DataFrame, units: DataFrame, claims: DataFrame, news: DataFrame, tolerance_us: int
-) -> DataFrame:
-    """Pairs after settling the units in `news` with all claims on them."""
-    unit = ["gid", "chunk"]
-    again = units.select(*claims.columns).unionByName(claims).join(news, unit, "left_semi")
-    kept = pairs.join(news, unit, "left_anti")
-    return materialise(kept.unionByName(settle(again, tolerance_us)))
+    both = claims if known is None else claims.unionByName(known)
+    return both.groupBy("gid", "chunk", "ord", "mark").count().where("count = 1").select(*_UNIT)
+
+
+class Rounds:
+    """Settling chunks until what they know of each other no longer changes."""
+
+    def __init__(self, chunks: Chunks):
+        self.chunks = chunks
+        self.out = materialise(chunks.settle())
+        self.known: DataFrame | None = None
+
+    @property
+    def pairs(self) -> DataFrame:
+        return self.out.where("delta_us >= 0")
+
+    def again(self, *others: DataFrame) -> bool:
+        """One round, given what `others` took; False if nothing was to do."""
+        short = materialise(self.out.where("delta_us < 0").select(*_UNIT))
+        if not short.isEmpty():
+            self.chunks.widen(short)
+        claims = self.chunks.claims(self.pairs, *others)
+        news = changed_units(claims, self.known).unionByName(short).distinct()
+        news = materialise(news)
+        if news.isEmpty():
+            return False
+        kept = self.out.join(news, _UNIT, "left_anti")
+        self.out = materialise(kept.unionByName(self.chunks.settle(news, claims)))
+        self.known = claims
+        return True
 
 
-def settle_chunked(units: DataFrame, tolerance_us: int) -> DataFrame:
+def settle_chunked(rows: DataFrame, cells: DataFrame, tolerance_us: int) -> DataFrame:
     """Blocks of several chunks: settle, exchange what was taken, settle again
     where that changed something."""
-    units = materialise(units)
-    shared = units.where(f"kind = {EVENT} AND shared").select(
-        "gid", F.col("chunk").alias("seen_by"), F.col("ord").alias("e_ord")
-    )
-    pairs = materialise(settle(units, tolerance_us))
-    known = None
-    while True:
-        taken = pairs.join(shared, ["gid", "e_ord"]).where("seen_by <> chunk")
-        claims = materialise(as_claims(taken))
-        news = changed_units(claims, claims.limit(0) if known is None else known)
-        if news.isEmpty():
-            return pairs
-        pairs = settle_again(pairs, units, claims, news, tolerance_us)
-        known = claims
+    rounds = Rounds(Chunks(rows, cells, tolerance_us))
+    while rounds.again():
+        pass
+    return rounds.pairs

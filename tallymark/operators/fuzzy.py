@@ -11,8 +11,9 @@ the same event, so the work is cut where they cannot:
    In a block whose rows all carry the same time everybody takes the next free
    event, so it is paired by numbering both sides, whatever its size.
 3. Other blocks are settled in tasks, many per task. A block above
-   `chunk_rows` is cut into chunks of whole cells, each settled on its own
-   with a copy of the events its neighbours can reach.
+   `chunk_rows` is cut into chunks of whole cells (a minute at most), each
+   settled on its own with the events it can see beyond its ends. A chunk sees
+   further when one of its rows may be served better from there.
 4. Chunks of one block tell each other which shared events they took, and
    those that learn something new are settled again, until nothing changes.
    The fixed point is the serial result: by induction over arrival order no
@@ -83,15 +84,14 @@ def pair_fuzzy(
     busy = several_rows.where("NOT instant")
     found = [
         ck.decide_single(cells, tolerance_us),
-        ck.settle(ck.units_of(rows, busy.where("chunks = 1"), tolerance_us), tolerance_us),
+        ck.settle(ck.whole_blocks(rows, busy.where("chunks = 1"), tolerance_us), tolerance_us),
     ]
     # At most sixteen combinations.
     kinds = cells.select("route", "instant", (F.col("chunks") > 1).alias("cut")).distinct().collect()
     if any(k.instant for k in kinds):
         found.append(_pair_instants(rows, several_rows.where("instant"), tolerance_us, hot_rows))
     if any(k.cut for k in kinds):
-        several = ck.units_of(rows, busy.where("chunks > 1"), tolerance_us)
-        found.append(ck.settle_chunked(several, tolerance_us))
+        found.append(ck.settle_chunked(rows, busy.where("chunks > 1"), tolerance_us))
     routes = {k.route for k in kinds}
     if "numbered" in routes:
         # One side has no times at all: everybody takes the next free event.

@@ -23,10 +23,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.functions import nearest
+from tallymark.functions.nearest import nearest_between, scan_in_order
 from tallymark.functions.ranking import before, null_safe_join, number_hot_rows
 from tallymark.operators import chunks as ck
-from tallymark.operators.chunks import EVENT, KEY, LEDGER
+from tallymark.operators.chunks import EVENT, KEY, LEDGER, is_short
 from tallymark.session import materialise
 
 _FREE = (1 << 62) + (1 << 61)
@@ -121,19 +121,29 @@ def _with_distance(
     timed = rows.where(f"side = {EVENT} AND t IS NOT NULL").select(
         *KEY, "side", "ord", "t", zero.alias("mark"), zero.alias("low")
     )
-    around = probes.unionByName(timed)
-    cells = ck.plan_cells(around, tolerance_us, chunk_rows)
+    around = materialise(probes.unionByName(timed))
+    cells = materialise(ck.plan_cells(around, tolerance_us, chunk_rows))
+    chunks = ck.Chunks(around, cells, tolerance_us)
 
-    def work(u: dict[str, np.ndarray]) -> dict[str, list]:
+    def work(u: dict[str, np.ndarray]):
         left, event = u["kind"] == LEDGER, u["kind"] == EVENT
-        l_ord, distance = nearest.nearest_between(
+        l_ord, distance = nearest_between(
             u["ord"][left], u["t"][left], u["low"][left], u["mark"][left],
             u["ord"][event], u["t"][event], tolerance_us,
         )
-        return {"l_ord": l_ord, "near_us": distance}
+        short = is_short(u, left, l_ord, distance, tolerance_us)
+        return {"l_ord": l_ord, "near_us": distance}, short
 
-    units = ck.units_of(around, cells, tolerance_us)
-    near = ck.per_unit(units, work, "l_ord bigint, near_us bigint")
+    near = materialise(ck.per_unit(chunks.units(), work, "near_us"))
+    while True:
+        short = materialise(near.where("near_us < 0").select("gid", "chunk"))
+        if short.isEmpty():
+            break
+        chunks.widen(short)
+        units = chunks.units().join(short, ["gid", "chunk"], "left_semi")
+        kept = near.join(short, ["gid", "chunk"], "left_anti")
+        near = materialise(kept.unionByName(ck.per_unit(units, work, "near_us")))
+    near = near.select("l_ord", "near_us")
     return first.select(F.col("ord").alias("l_ord"), "e_ord").join(near, "l_ord", "left").select(
         "l_ord", "e_ord", F.coalesce("near_us", F.lit(0)).alias("delta_us")
     )
@@ -147,12 +157,8 @@ def _settle_rest(
         *KEY, F.lit(LEDGER).alias("side"), "ord", "t"
     ).unionByName(free.select(*KEY, "side", "ord", "t"))
     timed_rows = materialise(timed_rows)
-    cells = ck.plan_cells(timed_rows, tolerance_us, chunk_rows)
-    units = materialise(ck.units_of(timed_rows, cells, tolerance_us))
-    # Every event of a unit may be taken by a row without a time.
-    seen = units.where(f"kind = {EVENT}").select(
-        "gid", F.col("chunk").alias("seen_by"), F.col("ord").alias("e_ord")
-    )
+    cells = materialise(ck.plan_cells(timed_rows, tolerance_us, chunk_rows))
+    rounds = ck.Rounds(ck.Chunks(timed_rows, cells, tolerance_us))
     lanes = free.groupBy(*KEY).agg(F.min("ord").alias("lane"))
     slots = null_safe_join(free, lanes, KEY).select(
         "lane", F.expr(f"CAST((m - 1) div {chunk_rows} AS INT)").alias("slice"), "ord"
@@ -164,25 +170,17 @@ def _settle_rest(
     )
     waiting = materialise(waiting)
 
-    pairs = materialise(ck.settle(units, tolerance_us))
-    starts = materialise(_starts(_unclaimed(slots, pairs)))
-    known = None
+    starts = materialise(_starts(_unclaimed(slots, rounds.pairs)))
     while True:
-        scanned = materialise(_scan(slots, waiting, pairs, starts))
+        scanned = materialise(_scan(slots, waiting, rounds.pairs, starts))
         next_starts = materialise(_starts(_taken_per_slice(slots, scanned)))
-        taken = pairs.join(seen, ["gid", "e_ord"]).where("seen_by <> chunk")
-        by_scan = scanned.select("l_ord", "e_ord").join(seen, "e_ord")
-        columns = ["gid", "seen_by", "e_ord", "l_ord"]
-        claims = materialise(
-            ck.as_claims(taken.select(*columns).unionByName(by_scan.select(*columns)))
-        )
-        news = ck.changed_units(claims, claims.limit(0) if known is None else known)
-        moved = next_starts.join(starts, ["lane", "slice", "start"], "left_anti")
-        if news.isEmpty() and moved.isEmpty():
+        moved = not next_starts.join(starts, ["lane", "slice", "start"], "left_anti").isEmpty()
+        # Every event a chunk sees may be taken by a row without a time.
+        changed = rounds.again(scanned.select("l_ord", "e_ord"))
+        if not changed and not moved:
             result = ["l_ord", "e_ord", "delta_us"]
-            return pairs.select(*result).unionByName(scanned.select(*result))
-        pairs = ck.settle_again(pairs, units, claims, news, tolerance_us)
-        known, starts = claims, next_starts
+            return rounds.pairs.select(*result).unionByName(scanned.select(*result))
+        starts = next_starts
 
 
 def _unclaimed(slots: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -241,18 +239,18 @@ def _scan(slots: DataFrame, waiting: DataFrame, pairs: DataFrame, starts: DataFr
         .join(waiting.withColumn("bucket", bucket), ["lane", "bucket"])
         .where("place >= start AND place < start + room")
     )
-    zero = F.lit(0).cast("bigint")
 
-    def as_unit(frame: DataFrame, kind: int, t) -> DataFrame:
-        return frame.select(
-            F.col("lane").alias("gid"), F.col("slice").alias("chunk"), F.lit(kind).alias("kind"),
-            "ord", t.alias("t"), zero.alias("mark"), zero.alias("low"),
+    def as_unit(frame: DataFrame, kind: int) -> DataFrame:
+        return ck.as_units(
+            frame.withColumnRenamed("lane", "gid").withColumnRenamed("slice", "chunk").withColumn(
+                "kind", F.lit(kind)
+            )
         )
 
-    def work(u: dict[str, np.ndarray]) -> dict[str, list]:
+    def work(u: dict[str, np.ndarray]):
         left, event = u["kind"] == LEDGER, u["kind"] == EVENT
-        l_ord, e_ord = nearest.scan_in_order(u["ord"][left], u["ord"][event], u["t"][event])
-        return {"l_ord": l_ord, "e_ord": e_ord, "delta_us": [0] * len(l_ord)}
+        l_ord, e_ord = scan_in_order(u["ord"][left], u["ord"][event], u["t"][event])
+        return {"l_ord": l_ord, "e_ord": e_ord}, False
 
-    units = as_unit(served, LEDGER, zero).unionByName(as_unit(offered, EVENT, F.col("gone_at")))
-    return ck.per_unit(units, work, ck.PAIR_SCHEMA)
+    events = as_unit(offered.withColumnRenamed("gone_at", "t"), EVENT)
+    return ck.per_unit(as_unit(served, LEDGER).unionByName(events), work, "delta_us")

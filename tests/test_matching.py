@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from helpers import event_row, frames, greedy_exact, greedy_fuzzy, ledger_row
+from helpers import at, event_row, frames, greedy_exact, greedy_fuzzy, ledger_row
 
 from tallymark.functions.ranking import number_rows
 from tallymark.operators.fuzzy import match_fuzzy, pair_fuzzy
@@ -159,6 +159,15 @@ def test_fuzzy_large_keys_with_unknown_times_on_both_sides(spark, seed):
     assert sorted(tuple(r) for r in got.collect()) == greedy_fuzzy(ledger, events, 250)
 
 
+@pytest.mark.parametrize("null_l, null_e", [(0, 0), (0.1, 0.1)])
+def test_fuzzy_chunks_much_narrower_than_the_tolerance(spark, null_l, null_e):
+    """Chunks start with what is near and look further only where they must."""
+    ledger, events = random_fuzzy(21, 24, 1_200, null_l, null_e)
+    events = [e for e in events if e[7] is None or e[7] < at(700)]
+    got = pair_fuzzy(*frames(spark, ledger, events), 3_600, chunk_rows=7, hot_rows=10)
+    assert sorted(tuple(r) for r in got.collect()) == greedy_fuzzy(ledger, events, 3_600)
+
+
 @pytest.mark.parametrize("hot_rows", [None, 5])
 def test_fuzzy_many_rows_at_the_same_times(spark, hot_rows):
     """Dates as times: blocks of one instant are paired by number."""
