@@ -11,6 +11,7 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
 import __spark_entry__ as contract  # noqa: E402
+from tallymark.plans import registry  # noqa: E402
 from tallymark.plans.fixtures import VIEWS, view, with_inputs  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -30,7 +31,7 @@ def plain(rows):
     return sorted((tuple(format(v, "f") if isinstance(v, Decimal) else v for v in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(spark, sql, name):
     frame = contract.queries()[name](spark, DATA)
     columns = sorted(frame.columns)
