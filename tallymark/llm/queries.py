@@ -6,20 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import quality
-from tallymark.llm.common import table
+from tallymark.llm import decontaminate, quality, url_filter
+from tallymark.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(
+        documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op3_decontaminate": op3_decontaminate,
+    "op4_url_filter": op4_url_filter,
     "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_decontaminate": decontaminate.oracle(),
+    "op4_url_filter": url_filter.oracle(),
     "op8_quality_rules": quality.oracle(),
 }
