@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import math
-import uuid
+import zipfile
+from pathlib import Path
 
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.session import materialise, run_folder
 
-__all__ = ["materialise", "run_folder", "table", "documents", "words", "ascii_lower", "tasks_for", "view_name"]
+__all__ = ["ship", "materialise", "run_folder", "table", "documents", "words", "ascii_lower", "tasks_for", "tokenizer"]
 
 #: ASCII white space as a Java class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -22,6 +25,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, wherever they run; once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    folder = run_folder(spark, "code")
+    system, place = pafs.FileSystem.from_uri(folder)
+    system.create_dir(place, recursive=True)
+    with system.open_output_stream(f"{place}/tallymark.zip") as sink:
+        sink.write(packed.getvalue())
+    spark.sparkContext.addPyFile(f"{folder}/tallymark.zip")
+    _SHIPPED.add(app)
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def documents(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) only, a null text as an empty one."""
     return frame.select(
@@ -48,7 +79,3 @@ def ascii_lower(text: Column) -> Column:
 def tasks_for(rows: int, per_task: int, least: int = 1) -> int:
     """Tasks so that each has about `per_task` rows; no upper limit."""
     return max(least, math.ceil(rows / per_task))
-
-
-def view_name(label: str) -> str:
-    return f"{label}_{uuid.uuid4().hex}"

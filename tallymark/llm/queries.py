@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import decontaminate, quality, url_filter
-from tallymark.llm.common import documents, table
+from tallymark.llm import arrow_stream, decontaminate, packing, quality, url_filter
+from tallymark.llm.common import documents, ship, table, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def shipped(build: Query) -> Query:
+    """The query, with this package sent to the Python workers first."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return build(spark, sf_dir)
+
+    return run
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
         documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
@@ -22,14 +32,24 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op7_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(documents(table(spark, sf_dir, "documents")), tokenizer("byte_bpe_50k.json"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op9_arrow_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrow_stream.round_trip(documents(table(spark, sf_dir, "documents")), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
+    "op7_best_fit_pack": shipped(op7_best_fit_pack),
     "op8_quality_rules": op8_quality_rules,
+    "op9_arrow_stream": shipped(op9_arrow_stream),
 }
 
 ORACLES: dict[str, str] = {
