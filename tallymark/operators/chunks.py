@@ -14,7 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-import tallymark
+import tallymark.functions
+import tallymark.operators
 from tallymark.functions.nearest import UNKNOWN, serve
 from tallymark.functions.ranking import null_safe_join
 from tallymark.functions.scalars import amount_or_zero, micros
@@ -22,7 +23,8 @@ from tallymark.session import materialise
 
 # Code that runs in tasks travels with them; the package need not be installed
 # on the executors.
-cloudpickle.register_pickle_by_value(tallymark)
+cloudpickle.register_pickle_by_value(tallymark.functions)
+cloudpickle.register_pickle_by_value(tallymark.operators)
 
 CHUNK_ROWS = 50_000
 _SECOND = 1_000_000
