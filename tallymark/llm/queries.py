@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import arrow_stream, decontaminate, packing, quality, url_filter
+from tallymark.llm import arrow_stream, decontaminate, hmm, packing, quality, simhash, url_filter
 from tallymark.llm.common import documents, ship, table, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def shipped(build: Query) -> Query:
     return run
 
 
+def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scores(documents(table(spark, sf_dir, "documents")))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
         documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
@@ -44,12 +48,18 @@ def op9_arrow_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_stream.round_trip(documents(table(spark, sf_dir, "documents")), tokenizer("word_bpe_49k.json"))
 
 
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_hmm_score": shipped(op1_hmm_score),
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op7_best_fit_pack": shipped(op7_best_fit_pack),
     "op8_quality_rules": op8_quality_rules,
     "op9_arrow_stream": shipped(op9_arrow_stream),
+    "op10_simhash_dedup": shipped(op10_simhash_dedup),
 }
 
 ORACLES: dict[str, str] = {
