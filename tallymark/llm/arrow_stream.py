@@ -93,7 +93,7 @@ def write_files(docs: DataFrame, folder: str, path: str, length: int = SEQUENCE,
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    ordered = docs.repartitionByRange(tasks_for(size, FILE_BYTES), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(tasks_for(size, FILE_BYTES), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, keep_space)
