@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import arrow_stream, decontaminate, hmm, packing, quality, simhash, suffix, url_filter
+from tallymark.llm import arrow_stream, decontaminate, hmm, packing, quality, simhash, suffix, toxicity, url_filter
 from tallymark.llm.common import documents, ship, table, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_digests(documents(table(spark, sf_dir, "documents")))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op1_hmm_score": shipped(op1_hmm_score),
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
+    "op5_toxicity": shipped(op5_toxicity),
     "op6_suffix_dedup": shipped(op6_suffix_dedup),
     "op7_best_fit_pack": shipped(op7_best_fit_pack),
     "op8_quality_rules": op8_quality_rules,
