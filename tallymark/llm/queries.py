@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import arrow_stream, decontaminate, hmm, packing, quality, simhash, suffix, toxicity, url_filter
+from tallymark.llm import arrow_stream, decontaminate, hmm, licences, packing, quality, simhash, suffix, toxicity, url_filter
 from tallymark.llm.common import documents, ship, table, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scores(documents(table(spark, sf_dir, "documents")))
 
 
+def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(documents(table(spark, sf_dir, "documents")))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
         documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
@@ -62,6 +66,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_hmm_score": shipped(op1_hmm_score),
+    "op2_license_rules": op2_license_rules,
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": shipped(op5_toxicity),
@@ -73,6 +78,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_license_rules": licences.oracle(),
     "op3_decontaminate": decontaminate.oracle(),
     "op4_url_filter": url_filter.oracle(),
     "op8_quality_rules": quality.oracle(),

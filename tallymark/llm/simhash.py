@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import materialise, tasks_for
@@ -249,7 +249,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component, all columns kept; null ids stay."""
+    """The rows of `docs` whose doc_id is the smallest of its component, all columns kept.
+
+    Of rows with one doc_id one stays; rows without a doc_id all stay.
+    """
     found = near_duplicates(docs.select("doc_id", "text"), radius)
+    found = materialise(found.select("doc_id", "component_id"))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+        kept = kept.withColumn("_row", F.row_number().over(order)).where("_row = 1 OR doc_id IS NULL").drop("_row")
+    return kept

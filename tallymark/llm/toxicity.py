@@ -31,7 +31,7 @@ LEET = {
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
 SYMBOLS = len(LETTERS) + 1
 #: Log-probabilities of the channel: a sign for a letter, a sign put in, a letter written twice of three or more.
-SWAP, PUT_IN, DOUBLE = -1.0, -4.5, -0.7
+SWAP, PUT_IN, DOUBLE = -1.0, -7.0, -0.7
 
 _CODE = {c: k + 1 for k, c in enumerate(LETTERS)}
 _TABLE = np.zeros(0x250, np.int64)
