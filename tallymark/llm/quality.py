@@ -202,9 +202,9 @@ def judge(stats: DataFrame) -> DataFrame:
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (any columns besides doc_id, text, lang, source) that are kept."""
-    row = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    stats = text_statistics(row, keep=["lang", "source", "_row"])
-    judged = judge(materialise(stats))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = whole.select(*[F.col(f"_row.{c}").alias(c) for c in ("doc_id", "text", "lang", "source")], "_row")
+    judged = judge(materialise(text_statistics(rows, keep=["lang", "source", "_row"])))
     return judged.where("kept").select("_row.*")
 
 

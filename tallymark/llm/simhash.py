@@ -256,8 +256,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = near_duplicates(docs.select("doc_id", "text"), radius)
     found = materialise(found.select("doc_id", "component_id"))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = rows.join(gone, F.col("_id") == F.col("doc_id"), "left_anti")
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        kept = kept.withColumn("_row", F.row_number().over(order)).where("_row = 1 OR doc_id IS NULL").drop("_row")
-    return kept
+        order = Window.partitionBy("_id").orderBy(F.xxhash64("_row.text"))
+        rows = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1 OR _id IS NULL")
+    return rows.select("_row.*")
