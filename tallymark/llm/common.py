@@ -5,15 +5,17 @@ from __future__ import annotations
 import io
 import math
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.session import materialise, run_folder
 
-__all__ = ["ship", "materialise", "run_folder", "table", "documents", "words", "ascii_lower", "tasks_for", "tokenizer"]
+__all__ = ["ship", "materialise", "run_folder", "table", "documents", "rows_of", "words", "ascii_lower", "tasks_for", "tokenizer"]
 
 #: ASCII white space as a Java class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -53,6 +55,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows as dictionaries, only one of them turned into Python values at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names)}
+
+
 def documents(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) only, a null text as an empty one."""
     return frame.select(

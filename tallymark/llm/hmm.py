@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import run_folder
+from tallymark.llm.common import rows_of, run_folder
 
 STATES = 8
 #: Words share emission weights by hash class; the end of a text is a class of its own.
@@ -215,7 +215,7 @@ def expectation(table: DataFrame, model: Model) -> Counts:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, any_rows = Counts(states, width), False
-        for row in (r for b in batches for r in b.to_pylist()):
+        for row in rows_of(batches):
             any_rows = True
             classes, sizes = _classes_of(row), np.array(row["sizes"], np.int64)
             begin = np.cumsum(sizes) - sizes

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tallymark.llm.common import materialise, run_folder, tasks_for
+from tallymark.llm.common import materialise, rows_of, run_folder, tasks_for
 
 #: Bytes of a passage, of what an anchor hashes, and the windows around an anchor (one bit each in a mask).
 LENGTH = 100
@@ -32,7 +32,7 @@ WINDOWS = LENGTH - KMER + 1
 LEFT = WINDOWS - 1
 AROUND = LEFT + LENGTH
 #: Bytes of a block of documents, and places that are hashed at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 STEP = 1 << 18
 #: Bytes of text for each bucket of the index.
 BUCKET_BYTES = 64 << 20
@@ -146,7 +146,7 @@ class Block:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` as blocks of about 16 MB, written once in buckets by block.
+    """Rows of `docs` as blocks of about 4 MB, written once in buckets by block.
 
     A block keeps the other columns of its rows. Later steps bring their
     findings to the blocks; the texts themselves are never shuffled.
@@ -172,8 +172,8 @@ def blocks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             start = 0
             struct = pa.StructArray.from_arrays([batch.column(c) for c in others], others)
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                texts.append((text or "").encode())
+            for k, text in enumerate(batch.column("text")):
+                texts.append((text.as_py() or "").encode())
                 total += len(texts[-1])
                 if total >= BLOCK_BYTES:
                     rows.append(struct[start:k + 1])
@@ -197,7 +197,7 @@ def batch_suffixes(table: DataFrame, buckets: int) -> DataFrame:
     shift = _U(64 - (buckets - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
+        for row in rows_of(batches):
             keys = np.unique(Block(row["data"], row["sizes"]).key)
             if not len(keys):
                 continue
@@ -287,7 +287,7 @@ def _per_block(table: DataFrame, findings: DataFrame, work, spec: str, columns:
     """`work(row, findings)` for each block, which stays where it is stored."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [work(row, right) for row in left.to_pylist()]
+        parts = [work(row, right) for row in rows_of(left.to_batches())]
         return pa.concat_tables(parts) if parts else empty
 
     empty = work(None, None)
