@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import math
 import zipfile
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallymark.session import materialise, run_folder
 
-__all__ = ["ship", "materialise", "run_folder", "table", "documents", "rows_of", "words", "ascii_lower", "tasks_for", "tokenizer"]
+__all__ = ["ship", "materialise", "run_folder", "table", "documents", "rows_of", "settle", "words", "ascii_lower", "tasks_for", "tokenizer"]
 
 #: ASCII white space as a Java class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -55,6 +56,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets the driver drop what no frame needs any more; Spark then deletes the shuffle files behind it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows as dictionaries, only one of them turned into Python values at a time."""
     for batch in batches:

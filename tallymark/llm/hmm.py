@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import rows_of, run_folder
+from tallymark.llm.common import rows_of, run_folder, settle
 
 STATES = 8
 #: Words share emission weights by hash class; the end of a text is a class of its own.
@@ -89,16 +89,18 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(table: DataFrame) -> DataFrame:
-    """(block, number, c, class, first): each block's words with their counts in all training rows.
+    """(block, word, c, first): each block's words with their counts in all training rows.
 
-    A word has a row per block that holds it, wherever it stands in the texts,
-    so that frequent words are no hot keys; `first` marks one of them.
+    `word` is the number within the block and the class (low 16 bits). A word
+    has a row per block that holds it, wherever it stands in the texts, so that
+    frequent words are no hot keys; `first` marks one of them.
     """
     rows = table.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("at", "w"))
-    counted = rows.selectExpr(
-        "block", "at + 1 AS number", f"CAST(crc32(w.words) % {CLASSES} AS INT) AS class",
-        "sum(w.trained) OVER (PARTITION BY w.words) AS c",
-        "row_number() OVER (PARTITION BY w.words ORDER BY block) = 1 AS first",
+    packed = rows.selectExpr("block", "w.words AS text", "shiftleft(CAST(at + 1 AS BIGINT), 32) + w.trained AS packed")
+    own = "(PARTITION BY text"
+    counted = packed.selectExpr(
+        "block", f"shiftleft(shiftright(packed, 32), 16) + crc32(text) % {CLASSES} AS word",
+        f"sum(packed & 4294967295L) OVER {own}) AS c", f"row_number() OVER {own} ORDER BY block) = 1 AS first",
     )
     spark, place = table.sparkSession, run_folder(table.sparkSession, "vocabulary")
     counted.write.option("compression", "zstd").parquet(place)
@@ -207,16 +209,15 @@ def _classes_of(row: dict) -> np.ndarray:
 
 
 def expectation(table: DataFrame, model: Model) -> Counts:
-    """Expected counts of all blocks, added up by stretches of classes in Spark; only their sum is collected."""
+    """Expected counts of all blocks, added up by class in Spark; only their sums, bounded by the classes, are collected."""
     spark = table.sparkSession
     shared = spark.sparkContext.broadcast(model)
     states, width = model.emit.shape
-    parts = np.array_split(np.arange(width), 32)
+    columns = [f"s{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, any_rows = Counts(states, width), False
+        counts = Counts(states, width)
         for row in rows_of(batches):
-            any_rows = True
             classes, sizes = _classes_of(row), np.array(row["sizes"], np.int64)
             begin = np.cumsum(sizes) - sizes
             learnt = np.array([not held_out(d) for d in row["doc_ids"]], bool)
@@ -228,29 +229,28 @@ def expectation(table: DataFrame, model: Model) -> Counts:
             for group in _split(lengths, BATCH_TOKENS):
                 if len(group):
                     counts.add(shared.value, classes, starts[group], lengths[group], k[group] == 0)
-        if any_rows:
-            blobs = [counts.emit[:, p].tobytes() for p in parts] + [counts.start.tobytes() + counts.moves.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["part", "sums"])
-
-    def add(pieces: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x) for x in pieces.column("sums").to_pylist())
-        return pa.table({"part": pieces.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
-
-    summed = table.select("doc_ids", "sizes", "tokens", "words").mapInArrow(run, "part int, sums binary")
-    # Two steps, so that no task adds up the sums of all others at once.
-    mixed = summed.withColumn("slot", F.spark_partition_id() % 64).groupBy("part", "slot").applyInArrow(add, "part int, sums binary")
-    found = {r.part: np.frombuffer(r.sums) for r in mixed.groupBy("part").applyInArrow(add, "part int, sums binary").collect()}
+        used = np.flatnonzero(counts.emit.any(0))
+        # Moves and starts as rows behind the classes.
+        names = np.concatenate([used, width + np.arange(states + 1)])
+        sums = np.concatenate([counts.emit[:, used], counts.moves.T, counts.start[:, None]], axis=1).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *map(pa.array, sums)], ["name", *columns])
+
+    rows = table.select("doc_ids", "sizes", "tokens", "words").mapInArrow(run, "name int, " + ", ".join(f"{c} float" for c in columns))
     out = Counts(states, width)
-    if found:
-        out.emit = np.concatenate([found[i].reshape(states, -1) for i in range(len(parts))], axis=1)
-        out.start, out.moves = found[len(parts)][:states], found[len(parts)][states:].reshape(states, states)
+    for r in rows.groupBy("name").agg(*[F.sum(c).alias(c) for c in columns]).collect():
+        if r.name < width:
+            out.emit[:, r.name] = r[1:]
+        elif r.name < width + states:
+            out.moves[:, r.name - width] = r[1:]
+        else:
+            out.start[:] = r[1:]
     return out
 
 
 def maximisation(counts: Counts, class_counts: np.ndarray) -> Model:
-    """Smoothed maximum likelihood: a few observations are added in proportion to all texts."""
+    """Maximum likelihood, mixed with the distribution of all texts as often as a state shows something new."""
     prior = (class_counts + 0.5) / (class_counts + 0.5).sum()
-    emit = counts.emit + 2.0 * len(prior) ** 0.5 * prior
+    emit = counts.emit + (np.minimum(counts.emit, 1).sum(1, keepdims=True) + 1) * prior
     moves, start = counts.moves + 0.1, counts.start + 0.1
     return Model(start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
@@ -260,6 +260,7 @@ def train(table: DataFrame, class_counts: np.ndarray, iterations: int = ITERATIO
     model = first_model(class_counts)
     for _ in range(iterations):
         model = maximisation(expectation(table, model), class_counts)
+        settle(table.sparkSession)
     return model
 
 
@@ -275,10 +276,11 @@ def scores(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """
     table = blocks(docs)
     words = vocabulary(table)
+    settle(docs.sparkSession)
     ends = table.select(F.explode("doc_ids").alias("d")).agg(
         F.sum(F.when(F.coalesce(F.crc32(F.col("d").cast("string").cast("binary")) % FOLDS, F.lit(-1)) != HELD_OUT, 1).otherwise(0)).alias("n")
     ).first().n or 0
-    per_class = words.where("first AND c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    per_class = words.where("first AND c > 0").groupBy((F.col("word") % (1 << 16)).alias("class")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     tokens, kinds = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     for r in per_class:
         tokens[r["class"]], kinds[r["class"]] = r.n, r.v
@@ -290,11 +292,11 @@ def scores(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         model, tokens, kinds = shared.value
         out = []
-        for row in left.to_pylist():
+        for row in rows_of(left.to_batches()):
             ids, sizes = np.frombuffer(row["tokens"], np.uint32), np.array(row["sizes"], np.int64)
-            number, c = right.column("number").to_numpy(), right.column("c").to_numpy()
-            count, kind = np.zeros(len(number) + 1), np.full(len(number) + 1, CLASSES)
-            count[number], kind[number], count[0] = c, right.column("class").to_numpy(), ends
+            word, c = right.column("word").to_numpy(), right.column("c").to_numpy()
+            count, kind = np.zeros(len(word) + 1), np.full(len(word) + 1, CLASSES)
+            count[word >> 16], kind[word >> 16], count[0] = c, word & 0xFFFF, ends
             base = np.log10((count + 1) / (n + v + 1))
             share = np.log10((count + 1) / (tokens[kind] + kinds[kind] + 1))
             share[0] = 0.0  # the end is alone in its class
@@ -313,7 +315,7 @@ def scores(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
 
     return (
         table.select("block", "doc_ids", "sizes", "tokens").groupBy("block")
-        .cogroup(words.select("block", "number", "class", "c").groupBy("block"))
+        .cogroup(words.select("block", "word", "c").groupBy("block"))
         .applyInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint,"
                            " base_score double, score double")
     )
