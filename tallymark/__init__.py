@@ -1 +1 @@
-"""Ledger reconciliation as Spark jobs."""
+"""Ledger matching as Spark jobs."""

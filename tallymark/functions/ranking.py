@@ -20,7 +20,6 @@ from tallymark.session import materialise
 # many rows and can always be broadcast.
 HASH_BUCKETS = 16_384
 HOT_ROWS = 1_000_000
-HOT_FACTOR = 4
 SLICE_BITS = 20
 
 _BUCKET = "_hash_bucket"
@@ -31,7 +30,7 @@ def key_bucket(keys: list[str]) -> Column:
 
 
 def hot_buckets(rows: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
-    """Hash buckets with far more rows than their share; at most HASH_BUCKETS rows.
+    """Hash buckets with more than `hot_rows` rows, however many rows there are; at most HASH_BUCKETS.
 
     Counting is combined before the shuffle, so each task sends at most one row
     per bucket. A hot bucket may also hold ordinary keys: the longer way is
@@ -39,13 +38,7 @@ def hot_buckets(rows: DataFrame, keys: list[str], hot_rows: int | None = None) -
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
     counts = rows.groupBy(key_bucket(keys).alias(_BUCKET)).agg(F.count("*").alias("_n"))
-    all_rows = F.sum("_n").over(Window.partitionBy(F.lit(0)))
-    fair_share = F.floor(F.lit(HOT_FACTOR) * all_rows / F.lit(HASH_BUCKETS))
-    return (
-        counts.withColumn("_limit", F.greatest(F.lit(limit), fair_share))
-        .where("_n > _limit")
-        .select(_BUCKET)
-    )
+    return counts.where(F.col("_n") > limit).select(_BUCKET)
 
 
 def split_by_heat(

@@ -10,11 +10,13 @@ from tallymark.functions.scalars import iso_z, json_with_nulls, money_text, stab
 
 # --- Fixed values of the audit envelope ---
 ENVELOPE_VERSION = "1"
-SOURCE_SERVICE = "reconciliation"
 ACTION_PREFIX = "recon."
 TARGET_TYPE = "break"
 HASH_PREFIX = "sha256:"
 
+# Our own name in messages, unless another one is given.
+SERVICE = "tallymark"
+
 # Fields in alphabetical order: that is the canonical form that is hashed.
 _STATE = "struct<age_seconds:bigint,classification:string,run_id:string,status:string>"
 
@@ -69,7 +71,7 @@ def detected_audits(breaks: DataFrame, at: Column) -> DataFrame:
     )
 
 
-def envelope(audits: DataFrame) -> DataFrame:
+def envelope(audits: DataFrame, service: str = SERVICE) -> DataFrame:
     """Audit rows wrapped and hashed.
 
     The hash is over compact JSON with keys in alphabetical order. The id is
@@ -86,7 +88,7 @@ def envelope(audits: DataFrame) -> DataFrame:
         F.lit(ENVELOPE_VERSION).alias("schema_version"),
         stable_id(F.col("payload")).alias("id"),
         iso_z("timestamp").alias("ts"),
-        F.lit(SOURCE_SERVICE).alias("source_service"),
+        F.lit(service).alias("source_service"),
         F.col("actor").alias("actor_id"),
         F.concat(F.lit(ACTION_PREFIX), F.col("action")).alias("action"),
         F.lit(TARGET_TYPE).alias("target_type"),
@@ -96,15 +98,22 @@ def envelope(audits: DataFrame) -> DataFrame:
     )
 
 
-def as_audit_messages(audits: DataFrame) -> DataFrame:
-    wrapped = envelope(audits)
+def as_audit_messages(audits: DataFrame, service: str = SERVICE) -> DataFrame:
+    """The payload goes into the message as an object, by the very text that is hashed."""
+    wrapped = envelope(audits, service)
+    head = json_with_nulls(F.struct(*[F.col(c) for c in wrapped.columns if c != "payload"]))
+    value = F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"payload":'), F.col("payload"), F.lit("}"))
     return wrapped.select(
-        F.lit(schemas.AUDIT_TOPIC).alias("topic"),
-        F.col("target_id").alias("key"),
-        json_with_nulls(F.struct(*[F.col(c) for c in wrapped.columns])).alias("value"),
+        F.lit(schemas.AUDIT_TOPIC).alias("topic"), F.col("target_id").alias("key"), value.alias("value")
     )
 
 
+def dead_letter_messages(letters: DataFrame) -> DataFrame:
+    """Dead letters as messages: where each came from, its text and what is wrong with it."""
+    body = F.struct("topic", "partition", "offset", "key", F.col("value").alias("payload"), "error")
+    return letters.select(F.lit(schemas.DEAD_LETTER_TOPIC).alias("topic"), "key", json_with_nulls(body).alias("value"))
+
+
 def replay(audits: DataFrame) -> DataFrame:
     """Every state change of every break with its position, and where it ends.
 

@@ -264,8 +264,13 @@ def auto_resolve(
 
 
 def set_status(breaks: DataFrame, changes: DataFrame, now: Column | datetime) -> DataFrame:
-    """Apply (break_id, new_status, new_age?); a null age leaves the age as it is."""
-    rows = breaks.join(changes.select("break_id", "new_status", "new_age"), "break_id")
+    """Apply (ord, break_id, new_status, new_age?); a null age leaves the age as it is.
+
+    Of several changes to a break the last by `ord` holds; they are combined
+    before the shuffle.
+    """
+    last = changes.groupBy("break_id").agg(F.max_by(F.struct("new_status", "new_age"), "ord").alias("c"))
+    rows = breaks.join(last.select("break_id", "c.*"), "break_id")
     return _transition(
         rows, as_column(now), F.col("new_status"), F.coalesce("new_age", "age_seconds"),
         "status", F.lit("system"),
@@ -286,10 +291,10 @@ def new_state(transitions: DataFrame) -> DataFrame:
 
 
 def apply_to(breaks: DataFrame, transitions: DataFrame) -> DataFrame:
-    """The full state afterwards."""
-    changed = new_state(transitions)
-    kept = breaks.select(*_BREAK).join(changed.select("break_id"), "break_id", "left_anti")
-    return kept.unionByName(changed)
+    """The full state afterwards; transitions are of breaks that exist."""
+    changed = new_state(transitions).select("break_id", F.struct(*_BREAK).alias("_new"))
+    rows = breaks.select("break_id", F.struct(*_BREAK).alias("_old")).join(changed, "break_id", "left")
+    return rows.select(F.coalesce("_new", "_old").alias("b")).select("b.*")
 
 
 def current_state(breaks: DataFrame, log: DataFrame) -> DataFrame:

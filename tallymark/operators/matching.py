@@ -181,13 +181,10 @@ def roll_forward(ledger: DataFrame, external: DataFrame) -> DataFrame:
     """
     # Sources are few, so this leaves a few rows per asset; only fixed-width
     # values are aggregated, which keeps it a hash aggregation.
-    flows = external.groupBy("asset", "source").agg(
-        F.sum("amount").alias("_flow"), F.min("ord").alias("_first")
-    )
-    everything = Window.partitionBy(F.lit(0))
-    first_row = F.min(F.struct("_first", "source")).over(everything)
+    flows = external.groupBy("asset", "source").agg(F.sum("amount").alias("_flow"))
+    first_row = external.agg(F.min(F.struct("ord", "source"))["source"].alias("source")).scalar()
     flows = (
-        flows.withColumn("_source", first_row["source"])
+        flows.withColumn("_source", first_row)
         .groupBy("asset", F.col("_source").alias("source"))
         .agg(F.sum("_flow").cast(schemas.MATCH_MONEY).alias("net_flow"))
         .where("net_flow IS NOT NULL")

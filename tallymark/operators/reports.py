@@ -107,22 +107,25 @@ def write_rows(rows: DataFrame, path: str, fmt: str = "csv") -> None:
         writer.option("header", "true").option("emptyValue", "").csv(path)
 
 
-FILES_PER_RUN = 16
+ROWS_PER_FILE = 200_000
 
 
 def archive_reports(runs: DataFrame, breaks: DataFrame, root: str) -> str:
     """One folder of CSV files per run: `reports/run_source=…/run_id=…`.
 
-    A run is spread over a few tasks, so that one with very many breaks is not
-    written by a single one.
+    Folders of other runs stay as they are. A run is spread over as many tasks
+    as its breaks ask for.
     """
     place = f"{root}/reports"
-    known = runs.select("run_id", F.col("source").alias("run_source"))
+    sizes = breaks.groupBy("run_id").agg(F.ceil(F.count("*") / ROWS_PER_FILE).alias("_files"))
+    known = runs.select("run_id", F.col("source").alias("run_source")).join(sizes, "run_id")
     rows = report_rows(breaks).join(known, "run_id")
-    spread = F.pmod(F.xxhash64("break_id"), F.lit(FILES_PER_RUN))
+    rows = rows.withColumn("_file", F.pmod(F.xxhash64("break_id"), F.col("_files")))
     (
-        rows.repartition("run_source", "run_id", spread)
+        rows.repartition("run_source", "run_id", "_file")
+        .drop("_file", "_files")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_source", "run_id")
         .option("header", "true")
         .csv(place)

@@ -1,4 +1,4 @@
-"""Reconciliation inputs derived from the benchmark tables.
+"""Inputs of matching runs, derived from the benchmark tables.
 
 The texts run unchanged on Spark and on the engine that checks the results.
 `with_inputs` puts the views a statement needs in front of it.
@@ -63,16 +63,16 @@ _view(
 _view(
     "fx_fuzzy_ledger",
     ("events",),
-    """SELECT event_id AS ord, event_type AS asset, CAST(round(value / 10) AS DECIMAL(38,18)) AS amount,
-  CASE WHEN event_id % 41 = 0 THEN NULL ELSE CAST(ts AS TIMESTAMP) END AS ts
-FROM events WHERE event_id % 10 <> 0""",
+    """SELECT event_id AS ord, CASE WHEN event_id % 10 = 0 THEN concat(event_type, ' inside') ELSE event_type END AS asset,
+  CAST(round(value / 10) AS DECIMAL(38,18)) AS amount, CASE WHEN event_id % 41 = 0 THEN NULL ELSE CAST(ts AS TIMESTAMP) END AS ts
+FROM events""",
 )
 _view(
     "fx_fuzzy_external",
     ("events",),
-    """SELECT event_id AS ord, event_type AS asset, CAST(round(value / 10) AS DECIMAL(38,18)) AS amount,
-  CASE WHEN event_id % 53 = 0 THEN NULL ELSE CAST(ts AS TIMESTAMP) + (event_id * 7919 % 30000 - 15000) * INTERVAL '1' SECOND END AS ts
-FROM events WHERE event_id % 10 <> 1""",
+    """SELECT event_id AS ord, CASE WHEN event_id % 10 = 1 THEN concat(event_type, ' outside') ELSE event_type END AS asset,
+  CAST(round(value / 10) AS DECIMAL(38,18)) AS amount, CASE WHEN event_id % 53 = 0 THEN NULL ELSE CAST(ts AS TIMESTAMP) + (event_id * 7919 % 30000 - 15000) * INTERVAL '1' SECOND END AS ts
+FROM events""",
 )
 
 # Break state and what arrives later.
@@ -101,16 +101,16 @@ _view(
   CASE WHEN k % 11 = 0 THEN CAST(amt + 1 AS DECIMAL(38,18)) ELSE CAST(amt AS DECIMAL(38,18)) END AS amount,
   CAST(NULL AS VARCHAR(8)) AS counterparty,
   CASE WHEN k % 13 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' + (k * 37 % 10800 + k % 600) * INTERVAL '1' SECOND END AS ts
-FROM (SELECT * FROM ({_ORDERS}) o0 WHERE k % 2 = 0) o""",
+FROM ({_ORDERS}) o""",
 )
 # Operator commands: some on unknown breaks.
 _view(
     "fx_commands",
     ("orders",),
-    """SELECT CASE WHEN o_orderkey % 30 = 5 THEN concat('unknown', o_orderkey) ELSE concat('B', o_orderkey) END AS break_id,
+    """SELECT CASE WHEN o_orderkey % 5 <> 0 OR o_orderkey % 30 = 5 THEN concat('unknown', o_orderkey) ELSE concat('B', o_orderkey) END AS break_id,
   concat('operator', o_custkey % 7) AS actor,
   CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE concat('checked ', o_orderkey) END AS note
-FROM orders WHERE o_orderkey % 5 = 0""",
+FROM orders""",
 )
 _view(
     "fx_resolutions",
@@ -119,18 +119,18 @@ _view(
   CASE WHEN o_orderkey % 2 = 0 THEN 'MANUAL' ELSE 'AUTO' END AS type, concat('operator', o_custkey % 7) AS actor,
   CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat('note ', o_orderkey) END AS note,
   TIMESTAMP '2024-01-02 00:00:00' + (o_orderkey % 86400) * INTERVAL '1' SECOND AS created_at
-FROM orders WHERE o_orderkey % 6 <> 1""",
+FROM orders""",
 )
 # One rule per (source, asset); CUSTODY has no rule for all assets.
 _view(
     "fx_rules",
     ("supplier",),
     """SELECT CASE s % 4 WHEN 0 THEN 'RAILS' WHEN 1 THEN 'EXCHANGES' WHEN 2 THEN 'ONCHAIN' ELSE 'CUSTODY' END AS source,
-  CASE CAST(floor(s / 4) AS BIGINT) WHEN 0 THEN NULL WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' WHEN 3 THEN 'BTC' ELSE concat('AST', CAST(floor(s / 4) AS BIGINT)) END AS asset,
+  CASE CAST(floor(s / 4) AS BIGINT) WHEN 0 THEN CASE WHEN s = 3 THEN 'AST0' END WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' WHEN 3 THEN 'BTC' ELSE concat('AST', CAST(floor(s / 4) AS BIGINT)) END AS asset,
   CASE s % 3 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'FUZZY' ELSE 'BALANCE_ROLLFORWARD' END AS match_strategy,
   CAST(60 * (s % 7 + 1) AS BIGINT) AS tolerance_seconds, CAST(15 * (s % 8 + 1) AS BIGINT) AS escalation_age_minutes,
   s % 5 <> 0 AS auto_resolve_timing, concat('{"origin":', s, '}') AS config
-FROM (SELECT s_suppkey AS s FROM supplier) t WHERE s <> 3""",
+FROM (SELECT s_suppkey AS s FROM supplier) t""",
 )
 _view(
     "fx_runs",
@@ -172,7 +172,7 @@ _view(
     ("orders",),
     f"""SELECT k AS ord, {_SOURCE.format(k="k")} AS source, concat('ACC', cust) AS asset,
   CAST(CASE WHEN k % 2 = 0 THEN amt ELSE -amt END AS DECIMAL(38,18)) AS amount, d + (k * 31 % 86400) * INTERVAL '1' SECOND AS ts
-FROM (SELECT * FROM ({_ORDERS}) o0 WHERE k % 3 <> 0) o""",
+FROM ({_ORDERS}) o""",
 )
 
 

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import balances as bl
 from tallymark.operators import checks as ck
-from tallymark.operators.breaks import as_column, detect_breaks
 from tallymark.plans.fixtures import view, with_inputs
-from tallymark.plans.queries.matching import EXACT, SIDES, _exact, _sides
-from tallymark.plans.registry import NOW, RUN_ID, RUN_SOURCE, TOLERANCE, break_out, money, query, us
+from tallymark.plans.queries.matching import EXACT, SIDES, _exact
+from tallymark.plans.registry import money, query, us
 
 START = datetime(1997, 1, 1, tzinfo=timezone.utc)
 END = datetime(1999, 1, 1, tzinfo=timezone.utc)
@@ -111,12 +110,3 @@ def amount_mismatch_pairs(spark, d):
         money("difference"),
     )
 
-
-def second_run(spark, d):
-    """Breaks of a second identical run that are not open yet: none."""
-    first = detect_breaks(_exact(spark, d), RUN_ID, RUN_SOURCE, NOW, TOLERANCE)
-    again = detect_breaks(_exact(spark, d), "run-2", RUN_SOURCE, as_column(NOW), TOLERANCE)
-    return break_out(ck.new_breaks_only(again, first))
-
-
-__all__ = ["second_run", "_sides"]

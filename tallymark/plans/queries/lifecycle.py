@@ -138,7 +138,7 @@ FROM {_COMMANDED}"""),
 )
 def status_update(spark, d):
     changes = _commands(spark, d).select(
-        "break_id",
+        "break_id", F.lit(0).alias("ord"),
         F.when(F.length("actor") % 2 == 0, F.lit("CLOSED")).otherwise(F.lit("OPEN")).alias("new_status"),
         F.when(F.col("note").isNotNull(), F.lit(77).cast("bigint")).alias("new_age"),
     )
@@ -350,7 +350,7 @@ def break_audits(spark, d):
 @query(
     "audit_envelope",
     with_inputs(["fx_breaks", "fx_commands"], AUDITS + f"""SELECT '1' AS schema_version, sha256(payload) AS id, {_T} AS ts,
-  'reconciliation' AS source_service, actor AS actor_id, concat('recon.', action) AS action, 'break' AS target_type,
+  'tallymark' AS source_service, actor AS actor_id, concat('recon.', action) AS action, 'break' AS target_type,
   break_id AS target_id, concat('sha256:', sha256(payload)) AS payload_hash, payload FROM audits"""),
 )
 def audit_envelope(spark, d):

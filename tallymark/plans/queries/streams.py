@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.plans.fixtures import VIEWS, view, with_inputs
-from tallymark.plans.queries.ingest import FIRST, MESSAGES, as_messages
+from tallymark.plans.fixtures import view, with_inputs
+from tallymark.plans.queries.ingest import FIRST, MESSAGES, message_rows
 from tallymark.plans.queries.lifecycle import AGED, CLOSED
-from tallymark.plans.queries.matching import EXACT, SIDES
+from tallymark.plans.queries.matching import EXACT
 from tallymark.plans.registry import NOW, RUN_ID, RUN_SOURCE, TOLERANCE, query
-from tallymark.session import run_folder
-from tallymark.sources import messages as ms
+from tallymark.session import materialise, run_folder
 from tallymark.streaming import jobs
 from tallymark.streaming.store import run_available
 
@@ -24,8 +23,24 @@ def stream_of(spark: SparkSession, sf_dir: str, base: str, name: str) -> DataFra
     return spark.sql(with_inputs([name], f"SELECT * FROM {name}"))
 
 
+MICRO_BATCHES = 4
+
+
+def in_micro_batches(rows: DataFrame, order: str) -> DataFrame:
+    """The rows as a stream of several micro-batches, in this order.
+
+    Written as folders one after the other; each is read by a trigger of its own.
+    """
+    spark, place = rows.sparkSession, run_folder(rows.sparkSession, "arriving")
+    rows = rows.repartitionByRange(MICRO_BATCHES, order).withColumn("_part", F.spark_partition_id())
+    kept = materialise(rows)
+    for part in range(MICRO_BATCHES):
+        kept.where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(place)
+    return spark.readStream.schema(kept.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(place)
+
+
 def _messages(spark, d):
-    return as_messages(stream_of(spark, d, "events", "fx_messages"))
+    return in_micro_batches(message_rows(spark, d), "offset")
 
 
 @query(
@@ -55,24 +70,11 @@ def stream_ingest(spark, d):
     with_inputs(["fx_messages"], MESSAGES + "SELECT DISTINCT source, external_event_id FROM good"),
 )
 def stream_dedupe(spark, d):
-    """Repeats dropped by streaming state within a horizon."""
+    """Every id once, for ever: each micro-batch is compared with all that is stored."""
     out = run_folder(spark, "stream-dedupe")
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    base = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    base.createOrReplaceTempView("events")
-    timed = VIEWS["fx_messages"][1].replace("AS body\nFROM", "AS body, at\nFROM").replace(
-        "value AS v FROM events", "value AS v, CAST(ts AS TIMESTAMP) AS at FROM events"
-    )
-    rows = spark.sql(timed).select(
-        "topic", F.col("part").alias("partition"), F.col("pos").alias("offset"),
-        F.col("msg_key").alias("key"), F.col("body").alias("value"), "at",
-    )
-    good = ms.prepare(rows).where("error IS NULL").select("source", "external_event_id", "at")
-    kept = jobs.drop_redelivered(good, "at", "1 day").select("source", "external_event_id")
-    kept.writeStream.format("parquet").option("path", f"{out}/ids").option(
-        "checkpointLocation", f"{out}/checkpoint"
-    ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(kept.schema).parquet(f"{out}/ids")
+    job = jobs.Ingestion(spark, out)
+    run_available(_messages(spark, d), job.handle, f"{out}/checkpoint")
+    return job.events.rows().select("source", "external_event_id")
 
 
 @query(
@@ -81,7 +83,7 @@ def stream_dedupe(spark, d):
 )
 def stream_auto_resolve(spark, d):
     out = run_folder(spark, "stream-resolve")
-    arriving = stream_of(spark, d, "orders", "fx_new_events")
+    arriving = in_micro_batches(view(spark, d, "fx_new_events"), "ord")
     job = jobs.Ingestion(
         spark, out, breaks=view(spark, d, "fx_breaks"), tolerance_seconds=TOLERANCE, now=lambda: NOW
     )
@@ -120,8 +122,6 @@ def stream_match(spark, d):
 def stream_escalate(spark, d):
     out = run_folder(spark, "stream-escalate")
     job = jobs.Escalation(spark, out, 60, now=lambda: NOW)
-    run_available(stream_of(spark, d, "orders", "fx_breaks"), job.handle, f"{out}/checkpoint")
+    arriving = in_micro_batches(view(spark, d, "fx_breaks"), "break_id")
+    run_available(arriving, job.handle, f"{out}/checkpoint")
     return job.transitions.rows().select("break_id", "status", "age_seconds")
-
-
-__all__ = ["SIDES"]

@@ -1,4 +1,4 @@
-"""One reconciliation run: choose a strategy, match, detect breaks, count."""
+"""One matching run: choose a strategy, match, detect breaks, count."""
 
 from __future__ import annotations
 
@@ -6,16 +6,18 @@ from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark import schemas
 from tallymark.functions.scalars import stable_id
 from tallymark.operators import events
 from tallymark.operators.breaks import as_column, detect_breaks
 from tallymark.operators.fuzzy import match_fuzzy
-from tallymark.operators.matching import MatchOutcome, count_exact, match_balances, match_exact
-from tallymark.session import run_folder
+from tallymark.operators.matching import MatchOutcome, match_balances, match_exact
+from tallymark.operators.rules import strategy_per_source, with_tolerance
 
 
 def match(
@@ -120,14 +122,8 @@ class Run:
 
     @property
     def counters(self) -> DataFrame:
-        """As `count_outcome`, without pairing anything where that is possible."""
-        if self.strategy in ("FUZZY", "BALANCE_ROLLFORWARD"):
-            return count_outcome(self.outcome)
-        return count_exact(self.ledger, self.external).select(
-            F.col("matched").alias("matched_count"),
-            F.col("unmatched").alias("unmatched_count"),
-            (F.col("unmatched") + F.col("duplicates")).alias("breaks_count"),
-        )
+        """Counted from the pairs and breaks of the run."""
+        return count_outcome(self.outcome)
 
     @property
     def record(self) -> DataFrame:
@@ -172,6 +168,15 @@ def run_id_for(source: str, scope: str, started_at: datetime) -> Column:
     return stable_id(F.lit(source), F.lit(scope), as_column(started_at))
 
 
+def _attempt(spark: SparkSession, out: str, run_id: str) -> int:
+    """How often the run was begun before."""
+    try:
+        records = spark.read.schema(T.StructType([*schemas.RUN.fields, T.StructField("seq", T.IntegerType())])).parquet(f"{out}/runs")
+    except AnalysisException:  # nothing was written yet
+        return 0
+    return records.where((F.col("run_id") == run_id) & (F.col("status") == "RUNNING")).count()
+
+
 def _append_run(spark: SparkSession, out: str, status: str, seq: int, **values) -> None:
     row = {"run_id": None, "source": None, "scope": None, "status": status, "matched_count": 0,
            "unmatched_count": 0, "breaks_count": 0, "started_at": None, "completed_at": None, **values}
@@ -179,6 +184,15 @@ def _append_run(spark: SparkSession, out: str, status: str, seq: int, **values)
     frame.withColumn("seq", F.lit(seq)).write.mode("append").parquet(f"{out}/runs")
 
 
+def rule_settings(rules: DataFrame, source: str) -> dict:
+    """Strategy and tolerance of a source by its rules."""
+    own = rules.where(F.col("source") == source)
+    one = own.sparkSession.createDataFrame([(source, None)], "source string, asset string")
+    strategy = strategy_per_source(one, own).first().strategy
+    tolerance = with_tolerance(one, own.where("asset IS NULL")).first().tolerance_seconds
+    return {"strategy": strategy, "tolerance_seconds": int(tolerance)}
+
+
 def execute(
     ledger: DataFrame,
     external: DataFrame,
@@ -187,20 +201,31 @@ def execute(
     run_id: str,
     source: str,
     scope: str = "daily",
-    strategy: str = schemas.DEFAULT_STRATEGY,
-    tolerance_seconds: int = schemas.DEFAULT_TOLERANCE_SECONDS,
+    strategy: str | None = None,
+    tolerance_seconds: int | None = None,
+    rules: DataFrame | None = None,
     started_at: datetime,
 ) -> None:
     """Run and write: pairing, breaks, alerts, audits and run records under `out`.
 
     The pairing is written once and everything else is read from it. Files are
-    replaced per run id, so a repeated run leaves the same state. The run
-    record ends as COMPLETED or FAILED.
+    replaced per run id, so a repeated run leaves the same state. Each attempt
+    adds two run records; the latest one, COMPLETED or FAILED, counts.
+
+    Only events of `source` are taken. With `rules`, the first rule of the
+    source gives the strategy, and its rule for all assets the tolerance,
+    wherever they are not given.
     """
     spark = ledger.sparkSession
     header = {"run_id": run_id, "source": source, "scope": scope, "started_at": started_at}
-    _append_run(spark, out, "RUNNING", 0, **header)
+    seq = 2 * _attempt(spark, out, run_id)
+    _append_run(spark, out, "RUNNING", seq, **header)
     try:
+        external = external.where(F.col("source") == source)
+        by_rule = rule_settings(rules, source) if rules is not None else {}
+        strategy = strategy or by_rule.get("strategy") or schemas.DEFAULT_STRATEGY
+        if tolerance_seconds is None:
+            tolerance_seconds = by_rule.get("tolerance_seconds", schemas.DEFAULT_TOLERANCE_SECONDS)
         outcome = match(ledger, external, strategy, tolerance_seconds)
         place = f"{out}/pairing/run_id={run_id}"
         outcome.pairing.write.mode("overwrite").parquet(place)
@@ -219,10 +244,7 @@ def execute(
         )
         counts = count_outcome(stored).first()
     except Exception:
-        _append_run(spark, out, "FAILED", 1, **header)
+        _append_run(spark, out, "FAILED", seq + 1, **header)
         raise
-    _append_run(spark, out, "COMPLETED", 1, **header, **counts.asDict(), completed_at=datetime.now(timezone.utc))
-
+    _append_run(spark, out, "COMPLETED", seq + 1, **header, **counts.asDict(), completed_at=datetime.now(timezone.utc))
 
-def scratch_output(spark: SparkSession) -> str:
-    return run_folder(spark, "run")

@@ -21,6 +21,10 @@ from tallymark.functions.scalars import (
 # --- Fixed texts ---
 NOT_AN_OBJECT = "payload is not a JSON object"
 BAD_AMOUNT = "amount is not a number"
+AMOUNT_RANGE = "amount has more than 20 whole digits or 18 decimals"
+
+# Room for topics and partitions in an arrival position; 2^39 offsets are left.
+_TOPIC_BITS, _PARTITION_BITS = 8, 16
 
 _ORIGIN = ["topic", "partition", "offset", "key", "value"]
 
@@ -71,11 +75,30 @@ def parse_amount() -> Column:
     return F.col(field("amount")).try_cast(schemas.MATCH_MONEY)
 
 
+def _is_number() -> Column:
+    return F.col(field("amount")).rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
+
+
+def _decimals() -> Column:
+    """Decimals that count of a numeric text, its exponent included."""
+    text = F.trim(F.col(field("amount")))
+    fraction = F.regexp_extract(text, r"\.([0-9]*?)0*([eE].*)?$", 1)
+    exponent = F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int")
+    mantissa = F.regexp_extract(text, r"^[+-]?([0-9.]*)", 1)
+    return F.when(mantissa.rlike("[1-9]"), F.length(fraction) - F.coalesce(exponent, F.lit(0))).otherwise(0)
+
+
 def error_of(text: str = "value") -> Column:
     """Why a message cannot be taken. An amount that is an object or a list
-    counts as no amount; other values must be numbers."""
-    bad = F.col(field("amount")).isNotNull() & parse_amount().isNull() & ~_no_amount_type(text)
-    return F.when(~F.col("is_object"), F.lit(NOT_AN_OBJECT)).when(bad, F.lit(BAD_AMOUNT))
+    counts as no amount; other values must be numbers, and such that they can
+    be kept exactly: none is ever rounded."""
+    given = F.col(field("amount")).isNotNull() & ~_no_amount_type(text)
+    range_error = parse_amount().isNull() | (_decimals() > schemas.MATCH_MONEY.scale)
+    return (
+        F.when(~F.col("is_object"), F.lit(NOT_AN_OBJECT))
+        .when(given & ~_is_number(), F.lit(BAD_AMOUNT))
+        .when(given & range_error, F.lit(AMOUNT_RANGE))
+    )
 
 
 def event_id() -> Column:
@@ -85,15 +108,24 @@ def event_id() -> Column:
     return F.coalesce(given, place)
 
 
-def arrival_position() -> Column:
+def arrival_position(topics: dict[str, str] | None = None) -> Column:
     """A BIGINT per message: by offset, then topic, then partition.
 
-    Unique for up to 16 topics of 4,096 partitions; needs no shuffle and is
-    the same on every reading.
+    Needs no shuffle and is the same on every reading. Every configured source
+    has a slot. A message for which there is no room (256 sources, 65,536
+    partitions, 2^39 offsets) fails the job rather than share a position.
     """
-    slots = [F.lit(x) for n, source in enumerate(schemas.SOURCE_TOPICS) for x in (source, n)]
+    sources = {**schemas.SOURCE_TOPICS, **(topics or {})}
+    slots = [F.lit(x) for n, source in enumerate(sources) for x in (source, n)]
     slot = F.create_map(*slots)[F.col("source")].cast("bigint")
-    return F.col("offset") * 65_536 + slot * 4_096 + F.col("partition")
+    partition, offset = F.col("partition").cast("bigint"), F.col("offset")
+    room = (
+        slot.between(0, (1 << _TOPIC_BITS) - 1)
+        & partition.between(0, (1 << _PARTITION_BITS) - 1)
+        & offset.between(0, (1 << 63 - _TOPIC_BITS - _PARTITION_BITS) - 1)
+    )
+    position = (offset * (1 << _TOPIC_BITS) + slot) * (1 << _PARTITION_BITS) + partition
+    return F.when(room, position).otherwise(F.raise_error(F.lit("no arrival position for a message")))
 
 
 def prepare(
@@ -110,7 +142,7 @@ def prepare(
     return (
         rows.withColumn("external_event_id", event_id())
         .withColumn("error", error_of())
-        .withColumn("ord", arrival_position())
+        .withColumn("ord", arrival_position(topics))
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark import schemas
-from tallymark.operators import lifecycle
+from tallymark.operators import events, lifecycle
 from tallymark.operators.breaks import leftover_breaks
 from tallymark.operators.matching import pair_exact, side_by_side
 from tallymark.sources import messages as msg
@@ -114,6 +114,13 @@ class Ingestion:
         log = self.transitions.read().withColumnRenamed("batch_id", "step")
         return lifecycle.current_state(self.breaks, log)
 
+    def audits(self) -> DataFrame:
+        """Audit messages of all breaks that events have closed."""
+        return events.as_audit_messages(lifecycle.audits_of(self.transitions.rows()))
+
+    def dead_letter_messages(self) -> DataFrame:
+        return events.dead_letter_messages(self.dead_letters.rows())
+
     def resolve(self, arrived: DataFrame, batch_id: int) -> None:
         closed = self.transitions.before(batch_id).select("break_id")
         still_open = self.breaks.join(closed, "break_id", "left_anti")
@@ -127,7 +134,8 @@ class IncrementalMatch:
     A micro-batch is matched together with the rows still waiting, by the same
     operator as a batch run. A row waits until the newest time seen has passed
     its own by the tolerance plus the allowed delay; then it becomes a break.
-    Rows without a time wait until `close`.
+    Rows without a time wait until `close`. The clock never passes the time of
+    arrival, so that a row dated in the future ends nobody's wait.
     """
 
     def __init__(
@@ -138,7 +146,9 @@ class IncrementalMatch:
         source: str,
         tolerance_seconds: int = schemas.DEFAULT_TOLERANCE_SECONDS,
         delay_seconds: int = 0,
+        now: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     ):
+        self.now = now
         self.pairing = Table(spark, f"{out}/pairing", _PAIRING).create()
         self.pairs = Table(spark, f"{out}/pairs", _PAIR).create()
         self.waiting = Table(spark, f"{out}/waiting", _ENTRY).create()
@@ -155,7 +165,8 @@ class IncrementalMatch:
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         earlier = self.clock.before(batch_id)
-        times = batch.agg(F.max("ts").alias("latest")).unionByName(earlier)
+        arrived = F.lit(self.now()).cast("timestamp")
+        times = batch.agg(F.max(F.when(F.col("ts") <= arrived, F.col("ts"))).alias("latest")).unionByName(earlier)
         self.clock.put(times.agg(F.max("latest").alias("latest")), batch_id)
         rows = batch.select(*_ENTRY.names).unionByName(self.waiting.part(batch_id - 1))
         ledger = rows.where("side = 0").select(*schemas.columns(schemas.LEDGER))
@@ -199,7 +210,11 @@ class IncrementalMatch:
 
 
 class Escalation:
-    """Breaks as they are detected; each trigger escalates those that are due."""
+    """Breaks as they are detected; each trigger escalates those that are due.
+
+    A trigger comes with new breaks only. `tick`, run on a schedule, escalates
+    what has become due in a quiet stream.
+    """
 
     def __init__(
         self,
@@ -210,10 +225,27 @@ class Escalation:
     ):
         self.breaks = Table(spark, f"{out}/breaks", schemas.BREAK).create()
         self.transitions = Table(spark, f"{out}/transitions", TRANSITION).create()
+        self.timed = Table(spark, f"{out}/timed", TRANSITION).create()
         self.minutes, self.now = minutes, now
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         self.breaks.put(batch, batch_id)
-        done = self.transitions.before(batch_id).select("break_id")
-        known = self.breaks.before(batch_id + 1).join(done, "break_id", "left_anti")
-        self.transitions.put(lifecycle.escalate_stale(known, self.now(), self.minutes), batch_id)
+        done = self.transitions.before(batch_id).unionByName(self.timed.rows())
+        self._escalate(self.breaks.before(batch_id + 1), done, self.transitions, batch_id)
+
+    def tick(self) -> None:
+        """Escalates by the clock alone; repeated within a microsecond, it replaces its own part."""
+        part = int(self.now().timestamp() * 1_000_000)
+        done = self.transitions.rows().unionByName(self.timed.before(part))
+        self._escalate(self.breaks.rows(), done, self.timed, part)
+
+    def _escalate(self, breaks: DataFrame, done: DataFrame, into: Table, part: int) -> None:
+        known = breaks.join(done.select("break_id"), "break_id", "left_anti")
+        into.put(lifecycle.escalate_stale(known, self.now(), self.minutes), part)
+
+    def all_transitions(self) -> DataFrame:
+        return self.transitions.rows().unionByName(self.timed.rows())
+
+    def alerts(self) -> DataFrame:
+        """Alert messages of all escalations."""
+        return events.as_messages(lifecycle.alerts_of(self.all_transitions()))

@@ -9,6 +9,7 @@ from tallymark.functions.scalars import age_seconds, classify_amount, classify_t
 from tallymark.operators.breaks import as_column, detect_breaks
 from tallymark.operators.checks import amount_mismatches, detection_latency, new_breaks_only
 from tallymark.operators.matching import match_exact
+from tallymark.operators.views import latest_runs
 from tallymark.plans.run import count_outcome, execute, ledger_lookback, match, reconcile
 
 
@@ -117,6 +118,23 @@ def test_failed_run_is_recorded(spark, tmp_path):
         execute(l, broken, str(tmp_path), run_id="r1", source="RAILS", started_at=T0)
     states = {r.status for r in spark.read.parquet(f"{tmp_path}/runs").collect()}
     assert states == {"RUNNING", "FAILED"}
+    status = lambda: [r.status for r in latest_runs(spark.read.parquet(f"{tmp_path}/runs")).collect()]
+    assert status() == ["FAILED"]
+    execute(l, e, str(tmp_path), run_id="r1", source="RAILS", started_at=T0)
+    assert status() == ["COMPLETED"]
+    with pytest.raises(Exception):
+        execute(l, broken, str(tmp_path), run_id="r1", source="RAILS", started_at=T0)
+    assert status() == ["FAILED"]
+
+
+@pytest.mark.parametrize("strategy, matched", [("EXACT", 0), ("FUZZY", 1)])
+def test_a_run_follows_its_rules_and_takes_its_own_events(spark, tmp_path, strategy, matched):
+    rules = spark.createDataFrame(
+        [("RAILS", None, strategy, 700, 60, True, "{}"), ("CUSTODY", None, "EXACT", 1, 1, True, "{}")], schemas.RULE)
+    l, e = frames(spark, [ledger_row(ts=0)], [event_row(ord=1, reference="x", ts=600), event_row(ord=2, source="CUSTODY", ts=0)])
+    execute(l, e, str(tmp_path), run_id="r", source="RAILS", rules=rules, started_at=T0)
+    ended = spark.read.schema(schemas.RUN).parquet(f"{tmp_path}/runs").where("status = 'COMPLETED'").first()
+    assert (ended.matched_count, ended.unmatched_count) == (matched, 2 - 2 * matched)
 
 
 def test_lookback_includes_its_limit(spark):

@@ -74,7 +74,9 @@ def test_resolution_time_is_stamped_once(spark):
 
 def test_status_update_keeps_age_when_none_is_given(spark):
     breaks = breaks_frame(spark, break_row("a", age=7), break_row("b", age=7))
-    changes = spark.createDataFrame([("a", "CLOSED", None), ("b", "OPEN", 9)], "break_id string, new_status string, new_age bigint")
+    changes = spark.createDataFrame(
+        [(3, "a", "CLOSED", None), (2, "b", "OPEN", 9), (1, "b", "CLOSED", 8), (2, "a", "OPEN", 5)],
+        "ord bigint, break_id string, new_status string, new_age bigint")
     rows = {r.break_id: r for r in lc.set_status(breaks, changes, T0).collect()}
     assert (rows["a"].age_seconds, rows["b"].age_seconds) == (7, 9)
     assert rows["a"].resolved_at is not None and rows["b"].resolved_at is None

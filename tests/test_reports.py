@@ -3,6 +3,7 @@ import json
 from pathlib import Path
 
 from helpers import T0, at, break_row, breaks_frame
+from pyspark.sql import functions as F
 
 from tallymark import schemas
 from tallymark.operators import reports as rp
@@ -12,8 +13,8 @@ from tallymark.operators import views as vw
 def two(spark):
     return breaks_frame(
         spark,
-        break_row("a", run_id="r1", type="AMOUNT_MISMATCH", classification="REAL", external="90"),
-        break_row("b", run_id="r1", asset="EUR", detected=60, status="RESOLVED"),
+        break_row("a", run_id="r1", type="AMOUNT_MISMATCH", classification="REAL", external="73.25"),
+        break_row("b", run_id="r1", asset="CHF", detected=60, status="RESOLVED"),
         break_row("c", run_id="r2", source="CUSTODY", detected=120),
     )
 
@@ -35,7 +36,7 @@ def test_filters_and_order(spark):
     assert ids(vw.list_breaks(breaks, limit=1)) == ["c"]
     assert ids(vw.list_breaks(breaks, source="RAILS", status="OPEN")) == ["a"]
     assert ids(vw.list_breaks(breaks, since=at(60), until=at(60))) == ["b"]
-    assert ids(vw.list_breaks(breaks, classification="REAL", asset="EUR")) == []
+    assert ids(vw.list_breaks(breaks, classification="REAL", asset="CHF")) == []
     assert ids(vw.get_break(breaks, "c")) == ["c"]
 
 
@@ -58,7 +59,7 @@ def test_run_report(spark):
     rows = {r.run_id: r for r in rp.run_reports(runs(spark), two(spark)).collect()}
     assert rows["r1"].breaks_by_type == {"AMOUNT_MISMATCH": 1, "TIMING_GAP": 1}
     assert rows["r1"].breaks_by_classification == {"REAL": 1, "TIMING": 1}
-    assert rows["r1"].breaks_by_asset == {"USD": 1, "EUR": 1}
+    assert rows["r1"].breaks_by_asset == {"USD": 1, "CHF": 1}
     assert rows["r3"].breaks_by_asset == {} and rows["r1"].matched_count == 5
 
 
@@ -76,7 +77,7 @@ def test_export_csv_and_json(spark, tmp_path):
     got = read_csv(tmp_path / "csv")
     assert list(got[0]) == ["id", "type", "classification", "source", "asset", "reference", "internal_amount",
                             "external_amount", "status", "detected_at", "age_seconds"]
-    assert [(r["id"], r["external_amount"], r["detected_at"]) for r in got] == [("a", "90.00000000", "2024-01-01T00:00:00+00:00")]
+    assert [(r["id"], r["external_amount"], r["detected_at"]) for r in got] == [("a", "73.25000000", "2024-01-01T00:00:00+00:00")]
     rp.write_rows(rp.export_rows(two(spark), source="CUSTODY"), f"{tmp_path}/json", "json")
     body = json.loads("".join(f.read_text() for f in (tmp_path / "json").glob("*.json")))
     assert body["id"] == "c" and body["external_amount"] is None
@@ -87,6 +88,14 @@ def test_export_with_history(spark):
     assert sorted((r.id, r.resolution_type or "") for r in rows) == [("a", "AUTO"), ("a", "MANUAL"), ("b", "")]
 
 
+def test_archives_of_other_runs_stay(spark, tmp_path):
+    for run in ("r1", "r3", "r1"):
+        breaks = two(spark).withColumn("run_id", F.lit(run))
+        place = rp.archive_reports(runs(spark).where(f"run_id = '{run}'"), breaks, str(tmp_path))
+    counts = {r.run_id: r["count"] for r in rp.archived_files(spark, place).groupBy("run_id").count().collect()}
+    assert counts == {"r1": 3, "r3": 3}
+
+
 def test_archive_and_read_back(spark, tmp_path):
     place = rp.archive_reports(runs(spark), two(spark), str(tmp_path))
     assert len(read_csv(Path(place) / "run_source=RAILS" / "run_id=r1")) == 2
@@ -99,7 +108,7 @@ def test_report_json_lines(spark):
     rows = rp.report_json(runs(spark), two(spark)).collect()
     assert sorted((r.run_id, r.kind) for r in rows) == [("r1", "break"), ("r1", "break"), ("r1", "report"), ("r3", "report")]
     head = json.loads(next(r.json for r in rows if r.run_id == "r1" and r.kind == "report"))
-    assert head["breaks_by_asset"] == {"EUR": 1, "USD": 1} and head["completed_at"] == "2024-01-01T00:00:30Z"
+    assert head["breaks_by_asset"] == {"CHF": 1, "USD": 1} and head["completed_at"] == "2024-01-01T00:00:30Z"
 
 
 def test_totals_never_mix_assets(spark):

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -115,6 +116,47 @@ def test_escalation_on_every_trigger(spark, tmp_path):
     assert sorted((r.break_id, r.batch_id) for r in job.transitions.read().collect()) == [("a", 0), ("b", 1)]
 
 
+def test_escalation_in_a_quiet_stream(spark, tmp_path):
+    clock = [at(0)]
+    job = jobs.Escalation(spark, f"{tmp_path}/out", 60, now=lambda: clock[0])
+    job.handle(breaks_frame(spark, break_row("a"), break_row("b", detected=50)), 0)
+    for seconds, escalated in ((10, []), (3600, ["a"]), (3601, ["a"]), (9000, ["a", "b"])):
+        clock[0] = at(seconds)
+        job.tick()
+        assert sorted(r.break_id for r in job.all_transitions().collect()) == escalated
+    job.handle(breaks_frame(spark, break_row("c", detected=8000)), 1)
+    assert job.all_transitions().count() == 2 and sorted(r.key for r in job.alerts().collect()) == ["a", "b"]
+
+
+def test_ids_are_stored_once_for_ever(spark, tmp_path):
+    job = jobs.Ingestion(spark, f"{tmp_path}/out")
+    stamps = ["2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z", "2023-01-01T00:00:00Z", "2024-03-01T00:00:00Z"]
+    for n, (stamp, ids) in enumerate(zip(stamps, (["a"], ["b"], ["late"], ["a", "late", "b", "c"]), strict=True)):
+        rows = [("rail.events.v1", 0, 10 * n + k, "k", json.dumps(event(i, timestamp=stamp))) for k, i in enumerate(ids)]
+        job.handle(spark.createDataFrame(rows, schemas.MESSAGE), n)
+    assert sorted(r.external_event_id for r in job.events.rows().collect()) == ["a", "b", "c", "late"]
+
+
+def test_messages_of_a_stream(spark, tmp_path):
+    stamp = "2024-01-01T00:00:00Z"
+    job = jobs.Ingestion(spark, f"{tmp_path}/out", breaks=breaks_frame(spark, break_row("x")), now=lambda: T0)
+    rows = [("rail.events.v1", 0, 0, "k", json.dumps(event("a", timestamp=stamp, reference="ref1"))), ("rail.events.v1", 0, 1, "k", "{")]
+    job.handle(spark.createDataFrame(rows, schemas.MESSAGE), 0)
+    audit = job.audits().first()
+    body = json.loads(audit.value)
+    assert (audit.topic, audit.key, body["payload"]["action"]) == ("audit.v1", "x", "auto-resolved")
+    text = json.dumps(body["payload"], separators=(",", ":"), ensure_ascii=False)
+    assert body["payload_hash"] == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+    letter = job.dead_letter_messages().first()
+    assert letter.topic == "recon-dlq" and json.loads(letter.value)["error"] == "payload is not a JSON object"
+
+
+def test_a_row_dated_in_the_future_ends_no_wait(spark, tmp_path):
+    job = jobs.IncrementalMatch(spark, f"{tmp_path}/out", "run", "RAILS", 300, now=lambda: at(100))
+    job.handle(entries(spark, [ledger_row(1, "a", ts=0), ledger_row(2, "b", ts=10**8)], []), 0)
+    assert job.breaks.rows().isEmpty() and job.waiting.part(0).count() == 2
+
+
 def test_bounded_deduplication(spark, tmp_path):
     source = tmp_path / "ev"
     for n, ids in enumerate((["a", "b", "a"], ["b", "c"])):
