@@ -15,8 +15,8 @@ LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: after it, nor a letter with a following stop or comma.
 WITH_SPACE = re.compile(f"[{SPACE}]*[{LETTER}]+(?=[.,])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WITHOUT_SPACE = re.compile(f"[{LETTER}]+(?=[.,])|[^{SPACE}]+")
-#: Pieces remembered by a worker process; then it starts anew. Results don't depend on it.
-REMEMBER = 1_000_000
+#: Pieces remembered by a worker process (about 100 MB); then it keeps those used most. Results don't depend on it.
+REMEMBER = 400_000
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 
@@ -30,12 +30,21 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = pieces
-        self._forget()
-
-    def _forget(self) -> None:
         self.codes: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps at most half of the pieces, the ones used most, and no piece used once."""
+        keep = np.argsort(-self.uses, kind="stable")[:REMEMBER // 2]
+        keep = np.sort(keep[self.uses[keep] > 1])
+        names, begin = list(self.codes), self.ends[keep]
+        length = self.ends[keep + 1] - begin
+        self.ends = np.concatenate([[0], np.cumsum(length)])
+        self.ids = self.ids[np.arange(self.ends[-1]) + np.repeat(begin - self.ends[:-1], length)]
+        self.codes = {names[k]: n for n, k in enumerate(keep.tolist())}
+        self.uses = self.uses[keep] // 2
 
     @property
     def vocabulary(self) -> int:
@@ -55,6 +64,9 @@ class PieceEncoder:
             self.ends = np.concatenate([self.ends, self.ends[-1] + more])
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+        used = np.bincount(codes, minlength=len(self.codes))
+        used[:len(self.uses)] += self.uses
+        self.uses = used
         begin = self.ends[codes]
         length = self.ends[codes + 1] - begin
         upto = np.concatenate([[0], np.cumsum(length)])
