@@ -258,11 +258,12 @@ def ledger_event_ids(spark, d):
 @query(
     "ledger_from_events",
     with_inputs(["fx_messages"], MESSAGES + """SELECT coalesce(nullif(j->>'$.reference', ''), nullif(j->>'$.posting_id', ''), '') AS reference,
-  coalesce(j->>'$.asset', '') AS asset, coalesce(amount, 0) AS amount FROM good WHERE source = 'LEDGER'"""),
+  coalesce(j->>'$.asset', '') AS asset, coalesce(amount, 0) AS amount, coalesce(nullif(j->>'$.counterparty', ''), nullif(j->>'$.account_id', '')) AS counterparty,
+  epoch_us(CAST(replace(coalesce(j->>'$.timestamp', j->>'$.created_at'), 'Z', '') AS TIMESTAMP)) AS ts_us FROM good WHERE source = 'LEDGER'"""),
 )
 def ledger_from_events(spark, d):
     rows = ms.ledger_entries(ms.events_of(prepared(spark, d)))
-    return rows.select("reference", "asset", money("amount"))
+    return rows.select("reference", "asset", money("amount"), "counterparty", us("ts"))
 
 
 FIRST = """, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, external_event_id ORDER BY pos) AS rn FROM {rows}) t WHERE rn = 1)

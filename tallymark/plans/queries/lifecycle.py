@@ -357,13 +357,26 @@ def audit_envelope(spark, d):
     return ev.envelope(_audits(spark, d))
 
 
+@query(
+    "audit_messages",
+    with_inputs(["fx_breaks", "fx_commands"], AUDITS + f"""SELECT 'audit.v1' AS topic, break_id AS key,
+  concat('{{"schema_version":"1","id":"', sha256(payload), '","ts":"', {_T}, '","source_service":"tallymark","actor_id":"', actor,
+  '","action":"recon.', action, '","target_type":"break","target_id":"', break_id, '","payload_hash":"sha256:', sha256(payload),
+  '","payload":', payload, '}}') AS value FROM audits"""),
+)
+def audit_messages(spark, d):
+    """The messages as they are sent; the payload is an object in them."""
+    return ev.as_audit_messages(_audits(spark, d))
+
+
 @query(
     "lifecycle_replay",
-    with_inputs(["fx_breaks", "fx_commands"], AUDITS + """, steps AS (SELECT *,
+    with_inputs(["fx_breaks", "fx_commands"], AUDITS + f""", steps AS (SELECT *,
   CASE action WHEN 'detected' THEN 0 WHEN 'escalated' THEN 1 ELSE 3 END AS stage FROM audits)
 SELECT break_id, row_number() OVER (PARTITION BY break_id ORDER BY stage) AS step, action, actor, before_status AS status_before,
-  after_status AS status_after, coalesce(max_by(after_status, stage) FILTER (WHERE after_status IS NOT NULL) OVER (PARTITION BY break_id), 'OPEN') AS final_status
-FROM steps"""),
+  after_status AS status_after, coalesce(max_by(after_status, stage) FILTER (WHERE after_status IS NOT NULL) OVER (PARTITION BY break_id), 'OPEN') AS final_status,
+  epoch_us({NOW_SQL}) AS timestamp_us FROM steps"""),
 )
 def lifecycle_replay(spark, d):
-    return ev.replay(_audits(spark, d)).drop("timestamp")
+    rows = ev.replay(_audits(spark, d))
+    return rows.select(*[c for c in rows.columns if c != "timestamp"], us("timestamp"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.plans.fixtures import view, with_inputs
@@ -15,14 +15,6 @@ from tallymark.streaming import jobs
 from tallymark.streaming.store import run_available
 
 
-def stream_of(spark: SparkSession, sf_dir: str, base: str, name: str) -> DataFrame:
-    """A derived input over its base table read as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{base}.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{base}.parquet").parquet(sf_dir)
-    rows.createOrReplaceTempView(base)
-    return spark.sql(with_inputs([name], f"SELECT * FROM {name}"))
-
-
 MICRO_BATCHES = 4
 
 
@@ -100,10 +92,12 @@ UNION ALL SELECT 'TIMING_GAP', ord, NULL FROM open_l UNION ALL SELECT 'MISSING_E
 def stream_match(spark, d):
     """Pairs as rows arrive; what is left at the close becomes breaks."""
     out = run_folder(spark, "stream-match")
-    ledger = stream_of(spark, d, "orders", "fx_ledger")
-    external = stream_of(spark, d, "orders", "fx_external_raw")
+    ledger, external = view(spark, d, "fx_ledger"), view(spark, d, "fx_external_raw")
     job = jobs.IncrementalMatch(spark, out, RUN_ID, RUN_SOURCE, TOLERANCE, delay_seconds=10**9)
-    run_available(job.input(ledger, external), job.handle, f"{out}/checkpoint")
+    rows = job.input(ledger, external)
+    # Both sides by the order they stem from, as they would arrive.
+    rows = rows.withColumn("_at", F.when(F.col("side") == 0, F.col("ord")).otherwise(F.expr("ord div 10")))
+    run_available(in_micro_batches(rows, "_at"), job.handle, f"{out}/checkpoint")
     last = job.clock.read().agg(F.max("batch_id")).first()[0]
     job.close(last, NOW)
     pairs = job.pairs.rows().select(F.lit("pair").alias("kind"), "l_ord", "e_ord")
