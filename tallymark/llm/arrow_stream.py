@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import materialise, run_folder, tasks_for
+from tallymark.llm.common import file_system, materialise, run_folder, tasks_for
 from tallymark.llm.tokens import encoder, groups
 
 SEQUENCE = 2048
@@ -66,7 +66,7 @@ class SequenceFile:
     """Random access to a file's sequences, without copies where the file system can map files."""
 
     def __init__(self, path: str):
-        system, place = pafs.FileSystem.from_uri(path)
+        system, place = file_system(path)
         local = isinstance(system, pafs.LocalFileSystem)
         self.reader = pa.ipc.open_file(pa.memory_map(place) if local else system.open_input_file(place))
 
@@ -98,7 +98,7 @@ def write_files(docs: DataFrame, folder: str, path: str, length: int = SEQUENCE,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, keep_space)
         dtype = np.dtype("uint16" if max(coder.vocabulary, end_id + 1) <= 1 << 16 else "uint32")
-        system, root = pafs.FileSystem.from_uri(folder)
+        system, root = file_system(folder)
         system.create_dir(root, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         doc_type = pa.schema([("doc_id", pa.int64())])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import io
 import math
+import re
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallymark.session import materialise, run_folder
 
-__all__ = ["ship", "materialise", "run_folder", "table", "documents", "rows_of", "settle", "words", "ascii_lower", "tasks_for", "tokenizer"]
+__all__ = ["ship", "file_system", "materialise", "run_folder", "table", "documents", "rows_of", "settle", "words", "ascii_lower", "tasks_for", "tokenizer"]
 
 #: ASCII white space as a Java class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -28,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """A file system and the path in it, for Python code in tasks."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -41,7 +47,7 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(root.rglob("*.py")):
             out.write(file, file.relative_to(root.parent))
     folder = run_folder(spark, "code")
-    system, place = pafs.FileSystem.from_uri(folder)
+    system, place = file_system(folder)
     system.create_dir(place, recursive=True)
     with system.open_output_stream(f"{place}/tallymark.zip") as sink:
         sink.write(packed.getvalue())
