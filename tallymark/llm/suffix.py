@@ -31,8 +31,8 @@ KMER = 37
 WINDOWS = LENGTH - KMER + 1
 LEFT = WINDOWS - 1
 AROUND = LEFT + LENGTH
-#: Bytes of a block of documents, and places that are hashed at once.
-BLOCK_BYTES = 4 << 20
+#: Bytes of a block of documents (below what Java's collector treats as huge), and places that are hashed at once.
+BLOCK_BYTES = 400_000
 STEP = 1 << 18
 #: Bytes of text for each bucket of the index.
 BUCKET_BYTES = 64 << 20
@@ -146,7 +146,7 @@ class Block:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` as blocks of about 4 MB, written once in buckets by block.
+    """Rows of `docs` as blocks of about 400 kB, written once in buckets by block.
 
     A block keeps the other columns of its rows. Later steps bring their
     findings to the blocks; the texts themselves are never shuffled.
