@@ -35,9 +35,13 @@ AROUND = LEFT + LENGTH
 BLOCK_BYTES = 400_000
 STEP = 1 << 18
 #: Bytes of text for each bucket of the index.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
+#: Bytes of blocks whose keys are dealt to the buckets together.
+DEAL_BYTES = 16 << 20
 #: Hits with more different surroundings are compared window by window, dealt by the window's hash.
 HOT = 20_000
+#: Surroundings that one task compares about.
+SIDE_ROWS = 30_000
 BATCHES = 2
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -193,22 +197,35 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def batch_suffixes(table: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, keys): the sorted suffix keys of each block, each once."""
+    """(bucket, keys, owners): the suffix keys of blocks, each once and in order, and the block of each key.
+
+    Some blocks share a row for each bucket, so that rows don't get smaller with more buckets.
+    """
     shift = _U(64 - (buckets - 1).bit_length())
 
+    def deal(keys: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+        every = np.concatenate(keys)
+        owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
+        bucket = (every >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(every), np.int64)
+        order = np.argsort(bucket, kind="stable")
+        own, first = np.unique(bucket[order], return_index=True)
+        parts = [[x.tobytes() for x in np.split(v[order], first[1:])] if len(own) else [] for v in (every, owner)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(own), pa.array(parts[0], pa.binary()), pa.array(parts[1], pa.binary())], ["bucket", "keys", "owners"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, size = [], [], 0
         for row in rows_of(batches):
-            keys = np.unique(Block(row["data"], row["sizes"]).key)
-            if not len(keys):
-                continue
-            bucket = (keys >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
-            own, first = np.unique(bucket, return_index=True)
-            parts = [x.tobytes() for x in np.split(keys, first[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own), pa.array([row["block"]] * len(own), pa.int64()), pa.array(parts, pa.binary())],
-                ["bucket", "block", "keys"])
+            keys.append(np.unique(Block(row["data"], row["sizes"]).key))
+            owners.append(row["block"])
+            size += len(row["data"])
+            if size >= DEAL_BYTES:
+                yield deal(keys, owners)
+                keys, owners, size = [], [], 0
+        if keys:
+            yield deal(keys, owners)
 
-    return table.select("block", "sizes", "data").mapInArrow(run, "bucket bigint, block bigint, keys binary")
+    return table.select("block", "sizes", "data").mapInArrow(run, "bucket bigint, keys binary, owners binary")
 
 
 class SuffixFamily:
@@ -231,7 +248,7 @@ class SuffixFamily:
         size, merged = 1, 0
         while keep and merged < len(self.levels) and self.levels[-1 - merged][0] == size:
             size, merged = size * 2, merged + 1
-        own = batch.select(F.lit(-1).alias("kind"), "bucket", "block", "keys", F.lit(None).cast("binary").alias("owners"))
+        own = batch.select(F.lit(-1).alias("kind"), "bucket", F.lit(None).cast("bigint").alias("block"), "keys", "owners")
         for k, (_, level) in enumerate(self.levels):
             joins = k >= len(self.levels) - merged
             own = own.unionByName(level.withColumn("kind", F.lit(1 if joins else 0)))
@@ -239,8 +256,8 @@ class SuffixFamily:
         def scan(group: pa.Table) -> pa.Table:
             rows = group.to_pylist()
             new = [r for r in rows if r["kind"] == -1]
-            keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in new] or [np.zeros(0, np.uint64)])
-            blocks = np.repeat(np.array([r["block"] for r in new], np.int64), [len(r["keys"]) // 8 for r in new])
+            keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in new)])
+            blocks = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["owners"], np.int64) for r in new)])
             order = np.argsort(keys, kind="stable")
             keys, blocks = keys[order], blocks[order]
             same = np.zeros(len(keys) + 1, bool)
@@ -398,7 +415,7 @@ def masks(sides: DataFrame, rows: int) -> DataFrame:
             [pa.array(block[order]), pa.array(at[order]), pa.array(mask.view(np.int64))], ["block", "at", "mask"])
 
     columns = _schema(SIDES).names
-    return sides.select(*columns).repartition(tasks_for(rows, 100_000), "key").mapInArrow(run, MASKS)
+    return sides.select(*columns).repartition(tasks_for(rows, SIDE_ROWS), "key").mapInArrow(run, MASKS)
 
 
 def hot_masks(sides: DataFrame) -> DataFrame:
