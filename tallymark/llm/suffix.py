@@ -35,7 +35,9 @@ AROUND = LEFT + LENGTH
 BLOCK_BYTES = 400_000
 STEP = 1 << 18
 #: Bytes of text for each bucket of the index.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
+#: Keys in a row of a level.
+LEVEL_KEYS = 1 << 15
 #: Bytes of blocks whose keys are dealt to the buckets together.
 DEAL_BYTES = 16 << 20
 #: Hits with more different surroundings are compared window by window, dealt by the window's hash.
@@ -231,8 +233,8 @@ def batch_suffixes(table: DataFrame, buckets: int) -> DataFrame:
 class SuffixFamily:
     """Levels of sorted suffix arrays, each about as large as a power of two of batches.
 
-    A level has a row per bucket: its keys in order and the block of each key's
-    first suffix. Adding a batch reads every level once, bucket by bucket.
+    A level has rows of keys in order, each in one bucket, and the block of each
+    key's first suffix. Adding a batch reads every level once, bucket by bucket.
     """
 
     ROW = "kind int, bucket bigint, block bigint, keys binary, owners binary"
@@ -288,7 +290,10 @@ class SuffixFamily:
             if keep:
                 merge_key, merge_block = np.concatenate(merge_key), np.concatenate(merge_block)
                 merge_key, index = np.unique(merge_key, return_index=True)
-                out.append((3, bucket, None, merge_key.tobytes(), merge_block[index].tobytes()))
+                merge_block = merge_block[index]
+                for a in range(0, len(merge_key), LEVEL_KEYS):
+                    part = slice(a, a + LEVEL_KEYS)
+                    out.append((3, bucket, None, merge_key[part].tobytes(), merge_block[part].tobytes()))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             names = ("kind", "bucket", "block", "keys", "owners")
             columns = zip(*out, strict=True) if out else [[]] * 5
