@@ -34,6 +34,7 @@ AROUND = LEFT + LENGTH
 #: Bytes of a block of documents (below what Java's collector treats as huge), and places that are hashed at once.
 BLOCK_BYTES = 400_000
 STEP = 1 << 18
+ROW_GROUP_BYTES = 4 << 20
 #: Bytes of text for each bucket of the index.
 BUCKET_BYTES = 16 << 20
 #: Keys in a row of a level.
@@ -194,7 +195,10 @@ def blocks(docs: DataFrame) -> DataFrame:
     name = "texts_" + folder.rsplit("-", 1)[1]
     made = docs.mapInArrow(run, spec)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    made.write.option("compression", "zstd").option("path", folder).bucketBy(buckets, "block").saveAsTable(name)
+    writer = made.write.option("compression", "zstd").option("path", folder)
+    # Rows are large: look at the sizes of pages and row groups after each one, so that readers hold a few rows.
+    writer = writer.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size.row.check.min", 1)
+    writer.option("parquet.page.size.row.check.max", 4).bucketBy(buckets, "block").saveAsTable(name)
     return spark.table(name)
 
 
