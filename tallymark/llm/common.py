@@ -73,6 +73,7 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
             yield {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names)}
+        pa.default_memory_pool().release_unused()
 
 
 def documents(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

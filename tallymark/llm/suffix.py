@@ -45,6 +45,7 @@ DEAL_BYTES = 16 << 20
 HOT = 20_000
 #: Surroundings that one task compares about.
 SIDE_ROWS = 30_000
+AROUND_ROWS = 2_000
 BATCHES = 2
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -129,8 +130,8 @@ class Block:
 
     def around_hash(self, place: np.ndarray) -> np.ndarray:
         out = np.empty(len(place), np.uint64)
-        for a in range(0, len(place), 20_000):
-            part = place[a:a + 20_000]
+        for a in range(0, len(place), AROUND_ROWS):
+            part = place[a:a + AROUND_ROWS]
             low, high = self.reach(part)
             words = np.zeros((len(part), -(-AROUND // 8) * 8), np.uint8)
             words[:, :AROUND] = self.around(part)
@@ -138,7 +139,7 @@ class Block:
             for column in words.view(np.uint64).T:
                 h = (h ^ column) * _M2
                 h ^= h >> _U(29)
-            out[a:a + 20_000] = h
+            out[a:a + AROUND_ROWS] = h
         return out
 
     def hits(self, shared: np.ndarray) -> np.ndarray:
@@ -367,8 +368,8 @@ def _find_sides(row: dict | None, found: pa.Table | None) -> pa.Table:
     place = found.column("at").to_numpy()
     low, high = block.reach(place)
     parts = []
-    for a in range(0, len(place), 20_000):
-        parts += [x.tobytes() for x in block.around(place[a:a + 20_000])]
+    for a in range(0, len(place), AROUND_ROWS):
+        parts += [x.tobytes() for x in block.around(place[a:a + AROUND_ROWS])]
     return pa.table([
         found.column("block"), found.column("at"), found.column("doc_id"), found.column("key"),
         pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(parts, pa.binary()),
