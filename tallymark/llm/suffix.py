@@ -67,6 +67,18 @@ def kmer_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key, a power of two of them.
+
+    Anchors are minima, so their hashes crowd at the low end; they are mixed once more before the top bits are taken.
+    """
+    if buckets == 1:
+        return np.zeros(len(keys), np.int64)
+    mixed = (keys ^ (keys >> _U(32))) * _M1
+    mixed = (mixed ^ (mixed >> _U(29))) * _M2
+    return (mixed >> _U(64 - (buckets - 1).bit_length())).astype(np.int64)
+
+
 def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     """The smallest or largest of each `width` neighbours."""
     size = 1
@@ -208,12 +220,11 @@ def batch_suffixes(table: DataFrame, buckets: int) -> DataFrame:
 
     Some blocks share a row for each bucket, so that rows don't get smaller with more buckets.
     """
-    shift = _U(64 - (buckets - 1).bit_length())
 
     def deal(keys: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
         every = np.concatenate(keys)
         owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
-        bucket = (every >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(every), np.int64)
+        bucket = buckets_of(every, buckets)
         order = np.argsort(bucket, kind="stable")
         own, first = np.unique(bucket[order], return_index=True)
         parts = [[x.tobytes() for x in np.split(v[order], first[1:])] if len(own) else [] for v in (every, owner)]

@@ -169,6 +169,14 @@ def test_anchors_do_not_depend_on_steps(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(whole_way, suffix.anchors(data, sizes), strict=True))
 
 
+def test_buckets_of_anchors_are_even():
+    data = np.random.default_rng(7).integers(97, 123, 2_000_000).astype(np.uint8)
+    key = np.unique(suffix.anchors(data, np.array([len(data)]))[1])
+    for buckets in (1, 32, 512):
+        counts = np.bincount(suffix.buckets_of(key, buckets), minlength=buckets)
+        assert len(counts) == buckets and counts.max() < 2 * len(key) / buckets
+
+
 def test_repeats_of_odd_rows(spark):
     long = "".join(random.Random(5).choices("abcdefgh ", k=3000))
     frame = docs(spark, long, None, "", "short", long[:99], long[500:700], "é" * 60, "é" * 200, long).select("doc_id", "text")
