@@ -105,7 +105,9 @@ def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
         least = _sliding(hashes, WINDOWS, np.minimum)
         least[~whole[a:b]] = 0
         edge = np.zeros(WINDOWS - 1, np.uint64)
-        chosen = np.flatnonzero((_sliding(np.concatenate([edge, least, edge]), WINDOWS, np.maximum) == hashes) & (hashes > 0))
+        # 0 is a hash as well (of 37 NUL bytes, for one), so whether a whole window is near is asked on its own.
+        near = _sliding(np.concatenate([edge > 0, whole[a:b], edge > 0]), WINDOWS, np.logical_or)
+        chosen = np.flatnonzero((_sliding(np.concatenate([edge, least, edge]), WINDOWS, np.maximum) == hashes) & near)
         places.append(chosen + a)
         found.append(hashes[chosen])
     if not places:

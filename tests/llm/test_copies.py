@@ -189,6 +189,15 @@ def test_repeats_of_odd_rows(spark):
     assert both == {(1, 0), (1, 3000)}
 
 
+def test_repeats_of_nul_bytes(spark):
+    make = lambda seed, k: "".join(random.Random(seed).choices("abcdefgh ", k=k))
+    padded = make(1, 200) + "\0" * 300 + make(2, 200)
+    frame = docs(spark, make(3, 150) + padded, padded + make(4, 99), make(5, 40) + "\0" * 40 + make(6, 40), "\0" * 99,
+                 "\0" * 37, make(5, 40) + "\0" * 40 + make(6, 40)).select("doc_id", "text")
+    rows = [tuple(r) for r in frame.orderBy("doc_id").collect()]
+    assert digests(frame) == sorted(plain_repeats(rows), key=repr)
+
+
 def test_texts_without_repeats_keep_their_columns(spark):
     passage = "The same passage of more than one hundred bytes, which stands in two texts, is kept in the first one only. "
     frame = docs(spark, "One " + passage, "Two é" + passage + "ü end", None).withColumns({c: F.lit(c) for c in ("block", "sizes", "data", "rows", "ids", "mask")})
