@@ -30,10 +30,18 @@ LEET = {
 #: Symbols of the language model: none of these, a to z, and the letters of Latin-1 from ß on.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
 SYMBOLS = len(LETTERS) + 1
-#: Log-probabilities of the channel: a sign for a letter, a sign put in, a letter written twice of three or more.
-SWAP, PUT_IN, DOUBLE = -1.0, -7.0, -0.7
+#: Log-probabilities of the channel: a sign for a letter, a sign put in, a letter written twice of three or more,
+#: one letter of two, a space put into a word.
+SWAP, PUT_IN, DOUBLE, HALVE, SPACED = -1.0, -7.0, -0.7, -3.0, -3.0
+#: Where three single letters follow each other, a space between two is rather one put in: what a boundary costs there.
+SPELT = (0.0, -2.0, -4.0)
+#: Words of so many letters at most may be parts of a word; the decoded rows of so many words at most are remembered.
+SHORT, ROW = 3, 8
+#: In a decoded row: a gap that is no word boundary.
+JOINT = "\0"
 
 _CODE = {c: k + 1 for k, c in enumerate(LETTERS)}
+_SYMBOL = _CODE | {" ": 0}
 _TABLE = np.zeros(0x250, np.int64)
 _TABLE[[ord(c) for c in LETTERS]] = np.arange(1, SYMBOLS)
 
@@ -75,35 +83,78 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 ways += [(letter, cost), (letter * 2, cost + DOUBLE)]
             else:
                 ways.append((letter * run, cost * run))
+                if run == 2:
+                    ways.append((letter, cost + HALVE))
         if sign not in _CODE:
             ways.append(("", PUT_IN if letters else 0.0))
         out.append(ways)
     return out
 
 
-def restore(token: str, model: CharModel) -> str:
-    """The most probable spelling of a token: Viterbi over its lattice, by the last two letters."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def decode(stretches: list[list[tuple[str, float]]], model: CharModel) -> str:
+    """The most probable way through a lattice: Viterbi by the last two symbols."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     log = model.log
-    for ways in lattice(token):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (p, text) in best.items():
+    for ways in stretches:
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (p, path) in best.items():
             for letters, cost in ways:
                 x, y, q = a, b, p + cost
-                for c in letters:
-                    z = _CODE[c]
-                    q += log[x, y, z]
-                    x, y = y, z
+                if letters != JOINT:
+                    for c in letters:
+                        z = _SYMBOL[c]
+                        q += log[x, y, z]
+                        x, y = y, z
                 if (x, y) not in new or new[x, y][0] < q:
-                    new[x, y] = (q, text + letters)
+                    new[x, y] = (q, (path, letters))
         best = new
-    return max((p + log[a, b, 0], text) for (a, b), (p, text) in best.items())[1]
+    path = max(((p + log[a, b, 0], path) for (a, b), (p, path) in best.items()), key=lambda x: x[0])[1]
+    out = []
+    while path:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def restore(token: str, model: CharModel) -> str:
+    """The most probable spelling of a token."""
+    return decode(lattice(token), model)
+
+
+def short_core(token: str) -> str:
+    """What may be part of a spaced word: the token without punctuation, if that is short."""
+    core = token.strip(".,;:?\"'`´)[]{}<>*#%&~^=/\\_-").rstrip("!")
+    return core if 0 < len(core) <= SHORT and any(c in _CODE or c in LEET for c in core) else ""
+
+
+def spaced_words(cores: list[str], model: CharModel) -> set[str]:
+    """The words that a row of short tokens spells together: each gap is a word boundary or nothing.
+
+    If it has three single letters running, the row is decoded once more for each cost in `SPELT`, and with
+    the first, the last or both of such letters taken for words of their own (a, I, y, o).
+    """
+    single = [len(c) == 1 for c in cores]
+    spelt = any(x and y and z for x, y, z in zip(single, single[1:], single[2:], strict=False))
+    out = set()
+    ways = [(b, False, False) for b in SPELT] + [(SPELT[-1], *x) for x in ((True, False), (False, True), (True, True))]
+    for boundary, first, last in [(None, False, False), *(ways if spelt else [])]:
+        stretches = lattice(cores[0])
+        for k in range(1, len(cores)):
+            if boundary is not None and single[k - 1] and single[k]:
+                alone = first and (k == 1 or not single[k - 2]) or last and (k + 1 == len(cores) or not single[k + 1])
+                stretches.append([(" ", boundary)] if alone else [(" ", boundary), (JOINT, 0.0)])
+            else:
+                stretches.append([(" ", 0.0), (JOINT, SPACED)])
+            stretches += lattice(cores[k])
+        words = (w.strip(JOINT) for w in decode(stretches, model).split(" "))
+        out.update(w.replace(JOINT, "") for w in words if JOINT in w)
+    return out - {""}
 
 
 def _is_odd(core: str) -> bool:
-    """Whether a token has signs among its letters, or a letter three times running."""
+    """Whether a token has signs among its letters, or a letter twice or more running."""
     if core.isalpha():
-        return any(a == b == c for a, b, c in zip(core, core[1:], core[2:], strict=False))
+        return any(a == b for a, b in zip(core, core[1:], strict=False)) and any(c in _CODE for c in core)
     return any(c in _CODE for c in core)
 
 
@@ -143,28 +194,42 @@ class Reader:
         self.times += 1
         self.codes: dict[str, int] = {}
         self.own: list[np.ndarray] = []
+        self.short: list[str] = []
+        self.rows: dict[tuple[str, ...], list[int]] = {}
 
     def add(self, token: str) -> int:
         self.codes[token] = n = len(self.codes)
         self.own.append(np.fromiter(features(readings(token, self.model)), np.int64))
+        self.short.append(short_core(token))
         return n
 
+    def joined(self, row: list[str]) -> list[int]:
+        """The words that a row of short tokens spells together."""
+        key = tuple(row)
+        if key in self.rows:
+            return self.rows[key]
+        out = [self.codes[w] if w in self.codes else self.add(w) for w in sorted(spaced_words(row, self.model))]
+        if len(key) <= ROW:
+            self.rows[key] = out
+        return out
+
     def read(self, text: str) -> list[int]:
-        """The tokens of a text, and behind them rows of three or more single characters as one token each."""
-        if len(self.codes) > REMEMBER:
+        """The tokens of a text, and behind them the words that rows of short tokens spell together."""
+        if len(self.codes) + len(self.rows) > REMEMBER:
             self.forget()
-        tokens = text.lower().split()
-        joined, row = [], []
-        if len(tokens) > 2:
-            for token in [*tokens, "  "]:
-                if len(token) == 1:
-                    row.append(token)
-                elif row:
-                    if len(row) >= 3:
-                        joined.append("".join(row))
-                    row = []
         codes = self.codes
-        return [codes[t] if t in codes else self.add(t) for t in (*tokens, *joined)]
+        out = [codes[t] if t in codes else self.add(t) for t in text.lower().split()]
+        short, more, row = self.short, [], []
+        for code in out:
+            if short[code]:
+                row.append(short[code])
+            elif row:
+                if len(row) > 1:
+                    more += self.joined(row)
+                row = []
+        if len(row) > 1:
+            more += self.joined(row)
+        return out + more
 
 
 _READERS: dict[int, Reader] = {}

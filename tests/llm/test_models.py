@@ -154,6 +154,27 @@ def test_spaced_letters_are_read_as_a_word():
     assert set(reader.read("idiot")) <= set(reader.read("you i d i o t !x"))
 
 
+PLAIN = "you are a man and i am the one who will say it to you so i hate the day and you hate it too yo y o é " * 30
+
+
+@pytest.mark.parametrize("text, word", [
+    ("you are a s t u p i d man", "stupid"), ("i h a t e you", "hate"), ("you are s t u p i d.", "stupid"), ("a st up id one", "stupid"),
+    ("a stu pid one", "stupid"), ("i am a m o r o n i d i o t", "idiot"), ("i am a m o r o n i d i o t", "moron"), ("such stuupid", "stupid"),
+    ("y o u, 1 d 1 0 t!", "idiot"), ("o s t u p i d", "stupid"), ("y s t u p i d é", "stupid"),
+    ("i t r a s h", "trash"), ("o s c u m y", "scum"),
+])
+def test_spaced_words_beside_short_words(text, word):
+    reader = toxicity.Reader(char_model(ENGLISH + PLAIN))
+    want = set(reader.own[reader.read(word)[0]])
+    assert want <= {f for c in reader.read(text) for f in reader.own[c]}
+
+
+def test_short_words_stay_apart():
+    reader = toxicity.Reader(char_model(ENGLISH + PLAIN))
+    assert len(reader.read("you are the man and i am to say it")) == 10
+    assert len(reader.read("x " * 50_000)) >= 50_000
+
+
 def labelled(spark, n=400):
     plain = ["some quite harmless words number%d here" % k for k in range(n)]
     texts = [f"{t} idiot" if k % 4 == 0 else t for k, t in enumerate(plain)]
