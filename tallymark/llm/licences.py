@@ -46,6 +46,30 @@ RULES = [
     ("CC-BY-4.0", ["cc-by-4"]),
 ]
 
+_FSF = "as published by the Free Software Foundation, "
+_LATER = "of the License, or (at your option) any later version"
+#: Further fixed values: sentences and decisive clauses of other licences, and rules that come after the others.
+CLAUSES = {
+    "gpl3-clause": f"GNU General Public License {_FSF}either version 3 {_LATER}",
+    "gpl2-clause": f"GNU General Public License {_FSF}either version 2 {_LATER}",
+    "lgpl3-clause": f"GNU Lesser General Public License {_FSF}either version 3 {_LATER}",
+    "lgpl21-clause": f"GNU Lesser General Public License {_FSF}either version 2.1 {_LATER}",
+    "agpl3-clause": f"GNU Affero General Public License {_FSF}either version 3 {_LATER}",
+    "mpl2": "subject to the terms of the Mozilla Public License, v. 2.0",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
+           " granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "bsd-use": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
+               " the following conditions are met",
+    "bsd-names": "may be used to endorse or promote products derived from this software without specific prior written permission",
+    "cc0": "CC0 1.0 Universal",
+    "cc-by-sa-4": "Licensed under CC BY-SA 4.0.",
+}
+CLAUSE_RULES = [
+    ("GPL-3.0-or-later", ["gpl3-clause"]), ("GPL-2.0-or-later", ["gpl2-clause"]), ("LGPL-3.0-or-later", ["lgpl3-clause"]),
+    ("LGPL-2.1-or-later", ["lgpl21-clause"]), ("AGPL-3.0-or-later", ["agpl3-clause"]), ("MPL-2.0", ["mpl2"]), ("ISC", ["isc"]),
+    ("BSD-3-Clause", ["bsd-use", "bsd-names"]), ("BSD-2-Clause", ["bsd-use"]), ("CC0-1.0", ["cc0"]), ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
+]
+
 
 def _plain(sentence: str) -> str:
     return " ".join(re.findall("[a-z0-9]+", sentence.lower()))
@@ -66,6 +90,23 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def _all_known() -> list[tuple[str, str]]:
+    return _known() + [(_plain(s), f"<{name}>") for name, s in CLAUSES.items()]
+
+
+def known_sentences(text: Column) -> Column:
+    """The known sentences and clauses in the words of each paragraph, in order; a line end inside one is a space.
+
+    The longest is taken where several begin. Each has one of four words, so that most texts are not searched.
+    """
+    low = ascii_lower(F.coalesce(text, F.lit("")))
+    paragraphs = F.regexp_replace(F.translate(low, "|", " "), r"\n[^a-z0-9\n]*\n", "\n\n")
+    plain = F.regexp_replace(F.regexp_replace(paragraphs, r"\n{2,}", "|"), r"[^a-z0-9|]+", " ")
+    either = "|".join(sorted((s for s, _ in _all_known()), key=len, reverse=True))
+    found = F.regexp_extract_all(plain, F.lit(rf"\b(?:{either})\b"), F.lit(0))
+    return F.when(low.rlike("licen|warranty|software|cc0"), found).otherwise(F.array().cast("array<string>"))
+
+
 def licences(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text): sentences, known ones, their sequence and the licences it shows.
 
@@ -73,12 +114,12 @@ def licences(docs: DataFrame) -> DataFrame:
     among the known ones, other text between them or not; a licence is listed
     once, in the order of the rules. Nothing is shuffled and no row grows with others.
     """
-    names = F.create_map(*[F.lit(x) for pair in _known() for x in pair])
-    rows = docs.select("doc_id", sentences(F.col("text")).alias("s"))
-    rows = rows.withColumn("ids", F.filter(F.transform("s", lambda s: F.try_element_at(names, s)), lambda x: x.isNotNull()))
+    names = F.create_map(*[F.lit(x) for pair in _all_known() for x in pair])
+    rows = docs.select("doc_id", sentences(F.col("text")).alias("s"), known_sentences(F.col("text")).alias("known"))
+    rows = rows.withColumn("ids", F.transform("known", lambda s: F.try_element_at(names, s)))
     rows = rows.withColumn("left", F.concat_ws("", "ids"))
     found = []
-    for k, (licence, ids) in enumerate(RULES):
+    for k, (licence, ids) in enumerate(RULES + CLAUSE_RULES):
         rows = rows.withColumn(f"f{k}", F.when(F.contains(F.col("left"), F.lit(_sequence(ids))), F.lit(licence)))
         rows = rows.withColumn("left", F.replace(F.col("left"), F.lit(_sequence(ids)), F.lit("|")))
         found.append(F.col(f"f{k}"))
@@ -90,7 +131,7 @@ def licences(docs: DataFrame) -> DataFrame:
 
 
 def oracle(documents: str = "documents") -> str:
-    """The same rows in SQL."""
+    """The same rows in SQL, where each known sentence stands on a line and none of `CLAUSES` occurs."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     names = "MAP {" + ", ".join(f"{quote(a)}: {quote(b)}" for a, b in _known()) + "}"
     left, found = "seq", []

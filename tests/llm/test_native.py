@@ -87,6 +87,25 @@ def test_licences_follow_the_order_of_the_rules(spark):
     same_as_sql(licences.licences(odd_docs(spark)), licences.oracle(), {"documents": odd_docs(spark)})
 
 
+WRAPPED = [
+    ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public"
+     " License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any"
+     " later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY;", "GPL-3.0-or-later"),
+    (' * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in\n'
+     " * compliance with the License.", "Apache-2.0"),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+     "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+     "LGPL-2.1-or-later"),
+    ("// subject to the terms of the Mozilla Public\n// License, v. 2.0.", "MPL-2.0"),
+    ("Licensed under\n\nCC BY 4.0.", ""), ("Licensed under CC BY-NC\n4.0.", "CC-BY-NC-4.0"),
+]
+
+
+def test_licences_of_wrapped_notices(spark):
+    found = {r.doc_id: r.licences for r in licences.licences(docs(spark, *[t for t, _ in WRAPPED])).collect()}
+    assert found == {1 + k: want for k, (_, want) in enumerate(WRAPPED)}
+
+
 ITEMS = [(1, "a b c d e f g h i j k l"), (2, "short item"), (3, None), (4, ""), (5, "É Été one two three"), (10, "A B-C d E f G h I j"),
          (2, "short item"), (7, "z z z z z z z z z z z z")]
 
