@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -32,19 +32,20 @@ class PieceEncoder:
         self.pieces = pieces
         self.codes: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
-        self.ends = np.zeros(1, np.int64)
+        self.ends = np.zeros(1, np.int32)
         self.uses = np.zeros(0, np.int64)
 
     def _forget(self) -> None:
         """Keeps at most half of the pieces, the ones used most, and no piece used once."""
-        keep = np.argsort(-self.uses, kind="stable")[:REMEMBER // 2]
-        keep = np.sort(keep[self.uses[keep] > 1])
-        names, begin = list(self.codes), self.ends[keep]
-        length = self.ends[keep + 1] - begin
-        self.ends = np.concatenate([[0], np.cumsum(length)])
+        uses, ends = self.uses[:len(self.codes)], self.ends[:len(self.codes) + 1]
+        keep = np.argsort(-uses, kind="stable")[:REMEMBER // 2]
+        keep = np.sort(keep[uses[keep] > 1])
+        names, begin = list(self.codes), ends[keep]
+        length = ends[keep + 1] - begin
+        self.ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
         self.ids = self.ids[np.arange(self.ends[-1]) + np.repeat(begin - self.ends[:-1], length)]
         self.codes = {names[k]: n for n, k in enumerate(keep.tolist())}
-        self.uses = self.uses[keep] // 2
+        self.uses = uses[keep] // 2
 
     @property
     def vocabulary(self) -> int:
@@ -55,25 +56,45 @@ class PieceEncoder:
         if len(self.codes) > REMEMBER:
             self._forget()
         found = [self.pieces.findall(t) for t in texts]
-        new = list(dict.fromkeys(p for p in chain.from_iterable(found) if p not in self.codes))
-        if new:
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.uint32)])
-            more = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
-            self.ends = np.concatenate([self.ends, self.ends[-1] + more])
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
-        used = np.bincount(codes, minlength=len(self.codes))
-        used[:len(self.uses)] += self.uses
-        self.uses = used
+        flat = list(chain.from_iterable(found))
+        codes = np.fromiter(map(self.codes.get, flat, repeat(-1)), np.int32, len(flat))
+        unknown = np.flatnonzero(codes < 0).tolist()
+        if unknown:
+            new = list({flat[k] for k in unknown})
+            self._add(new, [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+            codes[unknown] = [self.codes[flat[k]] for k in unknown]
+        self.uses[:len(self.codes)] += np.bincount(codes, minlength=len(self.codes))
         begin = self.ends[codes]
         length = self.ends[codes + 1] - begin
-        upto = np.concatenate([[0], np.cumsum(length)])
-        where = np.arange(upto[-1]) + np.repeat(begin - upto[:-1], length)
+        upto = np.zeros(len(codes) + 1, np.int32)
+        np.cumsum(length, out=upto[1:])
+        where = np.repeat(begin - upto[:-1], length)
+        where += np.arange(upto[-1], dtype=np.int32)
         bounds = upto[np.concatenate([[0], np.cumsum(sizes)])]
         return self.ids[where], np.diff(bounds)
 
+    def _add(self, new: list[str], coded: list[list[int]]) -> None:
+        """Remembers pieces with their ids; the arrays grow in place, by half at a time."""
+        have, lengths = len(self.codes), np.fromiter(map(len, coded), np.int32, len(coded))
+        first = int(self.ends[have])
+        last = first + int(lengths.sum())
+        self.ids = _room(self.ids, last)
+        self.ends, self.uses = _room(self.ends, have + len(new) + 1), _room(self.uses, have + len(new))
+        self.ids[first:last] = np.fromiter(chain.from_iterable(coded), np.uint32, last - first)
+        self.ends[have + 1:have + len(new) + 1] = first + np.cumsum(lengths)
+        self.uses[have:have + len(new)] = 0
+        self.codes.update(zip(new, range(have, have + len(new)), strict=True))
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a larger copy that has room for `size` values."""
+    if size <= len(array):
+        return array
+    out = np.zeros(size + size // 2, array.dtype)
+    out[:len(array)] = array
+    return out
+
 
 def encoder(path: str, keep_space: bool) -> PieceEncoder:
     """This process's encoder for a file; `keep_space` for tokenizers to which white space matters."""
