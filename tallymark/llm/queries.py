@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import arrow_stream, decontaminate, hmm, licences, packing, quality, simhash, suffix, toxicity, url_filter
+from tallymark.llm import arrow_stream, decontaminate, hmm, licences, packing, quality, simhash, suffix, tournament_pack, toxicity, url_filter
 from tallymark.llm.common import documents, ship, table, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(table(spark, sf_dir, "documents")))
 
 
+def op13_tournament_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tournament_pack.packed_sequences(documents(table(spark, sf_dir, "documents")), tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_hmm_score": shipped(op1_hmm_score),
     "op2_license_rules": op2_license_rules,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_arrow_stream": shipped(op9_arrow_stream),
     "op10_simhash_dedup": shipped(op10_simhash_dedup),
+    "op13_tournament_pack": shipped(op13_tournament_pack),
 }
 
 ORACLES: dict[str, str] = {
