@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import arrow_stream, decontaminate, hmm, licences, packing, quality, simhash, suffix, tournament_pack, toxicity, url_filter
+from tallymark.llm import arrow_stream, conversation_repair, decontaminate, hard_negatives, hmm, licences, packing, quality, simhash, suffix, tournament_pack, toxicity, url_filter
 from tallymark.llm.common import documents, ship, table, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,14 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired_digests(table(spark, sf_dir, "conversations"))
+
+
 def op13_tournament_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tournament_pack.packed_sequences(documents(table(spark, sf_dir, "documents")), tokenizer("byte_bpe_50k.json"))
 
@@ -79,6 +87,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_arrow_stream": shipped(op9_arrow_stream),
     "op10_simhash_dedup": shipped(op10_simhash_dedup),
+    "op11_hard_negatives": shipped(op11_hard_negatives),
+    "op12_conversation_repair": shipped(op12_conversation_repair),
     "op13_tournament_pack": shipped(op13_tournament_pack),
 }
 
@@ -87,4 +97,6 @@ ORACLES: dict[str, str] = {
     "op3_decontaminate": decontaminate.oracle(),
     "op4_url_filter": url_filter.oracle(),
     "op8_quality_rules": quality.oracle(),
+    "op11_hard_negatives": hard_negatives.oracle(),
+    "op12_conversation_repair": conversation_repair.oracle(),
 }
