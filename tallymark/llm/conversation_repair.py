@@ -391,12 +391,12 @@ rows_after AS (
   FROM coded WHERE kind <> 0),
 judged AS (
   SELECT *, left(role, 1) AS initial, rtrim(text, {blanks}) AS rest,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen
   FROM rows_after),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS pos FROM judged),
 ordered AS (
   SELECT *, CASE WHEN rest = '' THEN 1 WHEN seen > 1 THEN 2 WHEN right(rest, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
-    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM judged),
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM placed),
 every AS (SELECT DISTINCT conv_id FROM conversations),
 walk AS (
   SELECT conv_id, 0::BIGINT AS pos, [{{'c': 0::BIGINT, 'a': '', 't': ''}}, {never}, {{'c': 3::BIGINT, 'a': 'I', 't': chr(10) || 'user:'}},
