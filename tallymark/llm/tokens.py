@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from itertools import chain, repeat
@@ -55,6 +56,16 @@ class PieceEncoder:
         """All ids of all texts one after the other, and the number of each text's."""
         if len(self.codes) > REMEMBER:
             self._forget()
+        # Millions of small lists without cycles: the collector would go through them again and again.
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [self.pieces.findall(t) for t in texts]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = list(chain.from_iterable(found))

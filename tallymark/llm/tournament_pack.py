@@ -148,7 +148,7 @@ def _cut(docs: DataFrame, path: str, capacity: int, end_id: int, keep_space: boo
                     at, total = at + n, n + 1
                     # Equal documents are told apart by their number in this task, so that a repeated task
                     # deals the same rows to the same groups in whatever order they come.
-                    name = f"{doc_id}:{total}:{zlib.crc32(own)}"
+                    name = (doc_id, total, xxhash.xxh3_64_intdigest(own))
                     seen[name] += 1
                     draw = xxhash.xxh3_64_intdigest(f"{name}:{seen[name]}")
                     for start in range(0, total, capacity):
