@@ -87,14 +87,14 @@ def pair_in_order(rows: DataFrame, keys: list[str], hot_rows: int | None = None)
     )
 
 
-def _with_match_keys(ledger: DataFrame, external: DataFrame) -> DataFrame:
-    """Both sides with the values that must be equal for an exact pair.
+def with_match_keys(sides: DataFrame) -> DataFrame:
+    """Rows of `side_by_side` with the values that must be equal for an exact pair.
 
     Absent external references and amounts compare as '' and 0, and an empty
     counterparty is the same as none.
     """
     is_external = F.col("side") == _EXTERNAL_SIDE
-    return side_by_side(ledger, external).select(
+    return sides.select(
         "*",
         F.when(is_external, text_or_empty("reference")).otherwise(F.col("reference")).alias("k_ref"),
         F.col("asset").alias("k_asset"),
@@ -115,7 +115,7 @@ def pair_exact(
     reference and amount. Rows are shuffled by these two alone, which serves
     pairing and counting copies at once.
     """
-    rows = _with_match_keys(ledger, external)
+    rows = with_match_keys(side_by_side(ledger, external))
     place = ["k_ref", "k_amount"]
     same = [*place, "side", "reference", "amount"]
     usual, hot = ranking.split_by_heat(rows, place, hot_rows)
@@ -144,7 +144,7 @@ def count_exact(ledger: DataFrame, external: DataFrame) -> DataFrame:
     Counting needs no pairs: a key has as many as its smaller side has rows.
     All sums are combined before the shuffle, so hot keys need no care.
     """
-    sides = _with_match_keys(ledger, external).groupBy(*_MATCH_KEY).agg(
+    sides = with_match_keys(side_by_side(ledger, external)).groupBy(*_MATCH_KEY).agg(
         F.count_if(F.col("side") == _LEDGER_SIDE).alias("n_l"),
         F.count_if(F.col("side") == _EXTERNAL_SIDE).alias("n_e"),
     )

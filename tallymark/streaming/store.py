@@ -55,6 +55,20 @@ def run_available(stream: DataFrame, handle, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def written(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """All rows that an append-only stream gives out for what is there now, as a table; each stands there once."""
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", folder)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
+
+
 def keep_running(stream: DataFrame, handle, checkpoint: str, every: str = "1 minute"):
     """The same job as a standing query."""
     return (
