@@ -27,7 +27,7 @@ AUTO_NOTE = "auto-resolved by external event for {source}/{asset}/{reference}"
 MISSING_REFERENCE = "None"
 
 
-def _transition(
+def transition(
     rows: DataFrame,
     now: Column,
     status: Column | str,
@@ -39,6 +39,7 @@ def _transition(
     before_status: Column | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
+    """Rows in a new state, with what they were before and who acted."""
     new_status = F.lit(status) if isinstance(status, str) else status
     closed_at = F.when(new_status.isin(*_CLOSING), now)
     changed = {
@@ -63,7 +64,7 @@ def update_ages(breaks: DataFrame, now: Column | datetime) -> DataFrame:
     """OPEN breaks whose age in whole seconds has changed."""
     at = as_column(now)
     aged = breaks.where("status = 'OPEN'").withColumn("_age", age_seconds("detected_at", at))
-    return _transition(
+    return transition(
         aged.where("_age <> age_seconds"), at, "OPEN", F.col("_age"), "aged", F.lit("system")
     )
 
@@ -78,7 +79,7 @@ def escalate_stale(
     limit = (F.lit(minutes) if isinstance(minutes, int) else minutes).cast("bigint") * 60
     age = age_seconds("detected_at", at)
     stale = breaks.where((F.col("status") == "OPEN") & (age >= limit))
-    return _transition(stale, at, "ESCALATED", age, "escalated", F.lit("system"))
+    return transition(stale, at, "ESCALATED", age, "escalated", F.lit("system"))
 
 
 def age_and_escalate(
@@ -92,7 +93,7 @@ def age_and_escalate(
     aged = breaks.where("status = 'OPEN'").withColumn("_age", age_seconds("detected_at", at))
     due = F.col("_age") >= limit
     moved = aged.where((F.col("_age") != F.col("age_seconds")) | due)
-    out = _transition(
+    out = transition(
         moved, at, F.when(due, F.lit("ESCALATED")).otherwise(F.lit("OPEN")), F.col("_age"),
         "aged", F.lit("system"),
     )
@@ -121,7 +122,7 @@ def escalate_manually(breaks: DataFrame, commands: DataFrame, now: Column | date
     at = as_column(now)
     rows = _commanded(breaks, commands)
     before = F.when(F.col("_first"), F.col("status")).otherwise(F.lit("ESCALATED"))
-    return _transition(
+    return transition(
         rows, at, "ESCALATED", age_seconds("detected_at", at), "escalated", F.col("_actor"),
         F.col("_note"), "MANUAL", before,
     )
@@ -131,7 +132,7 @@ def resolve_manually(breaks: DataFrame, commands: DataFrame, now: Column | datet
     """Whatever the status, the break becomes RESOLVED; its first closing time stays."""
     rows = _commanded(breaks, commands)
     before = F.when(F.col("_first"), F.col("status")).otherwise(F.lit("RESOLVED"))
-    return _transition(
+    return transition(
         rows, as_column(now), "RESOLVED", F.col("age_seconds"), "manually-resolved",
         F.col("_actor"), F.col("_note"), "MANUAL", before,
     )
@@ -167,18 +168,20 @@ def count_open_timing_breaks(breaks: DataFrame, incoming: DataFrame) -> DataFram
     return joined.select(*incoming.columns, F.coalesce(count, F.lit(0)).alias("open_breaks"))
 
 
-def _first_closing_event(
-    breaks: DataFrame, incoming: DataFrame, tolerance_seconds: int
+def first_closing_event(
+    breaks: DataFrame, incoming: DataFrame, tolerance_seconds: Column | int
 ) -> DataFrame:
     """(break_id, ord) of the first event to arrive that closes the break.
 
     Breaks and events never meet as pairs. For each break the smallest arrival
     position among the events of its key within the tolerance is read from
     running minima over time cells as wide as that interval: it is a tail of
-    one cell and a head of the next.
+    one cell and a head of the next. A tolerance given as a column stands on
+    both sides and is the same for all rows of a source and asset.
     """
-    tolerance = tolerance_seconds * 1_000_000
-    width = 2 * tolerance + 1
+    given = F.lit(tolerance_seconds) if isinstance(tolerance_seconds, int) else tolerance_seconds
+    tolerance = F.col("tolerance")
+    given = (given.cast("bigint") * 1_000_000).alias("tolerance")
     key = ["source", "asset", "amount", "ref"]
     wanted = breaks.where("classification = 'TIMING' AND status = 'OPEN'").select(
         "break_id", "source", "asset",
@@ -187,30 +190,30 @@ def _first_closing_event(
         F.explode(
             F.array_distinct(F.array(F.col("reference"), F.lit(None).cast("string")))
         ).alias("ref"),
-        micros("detected_at").alias("t"),
+        micros("detected_at").alias("t"), given,
     )
     # Breaks of one run share their time, and events may come in bursts: both
     # sides are reduced to distinct key and time, combined before the shuffle.
-    moments = wanted.select(*key, "t").distinct()
+    moments = wanted.select(*key, "t", "tolerance").distinct()
     offered = (
         incoming.select(
             "source", "asset", amount_or_zero(match_money("amount")).alias("amount"),
-            F.col("reference").alias("ref"), micros("ts").alias("t"), "ord",
+            F.col("reference").alias("ref"), micros("ts").alias("t"), "ord", given,
         )
-        .groupBy(*key, "t")
+        .groupBy(*key, "t", "tolerance")
         .agg(F.min("ord").alias("ord"))
     )
     parts = F.explode(F.array(F.lit("head"), F.lit("tail"))).alias("part")
     none = F.lit(None).cast("bigint")
-    points = offered.where("t IS NOT NULL").select(*key, "t", "ord", none.alias("moment"), parts)
+    points = offered.where("t IS NOT NULL").select(*key, "t", "ord", none.alias("moment"), parts, "tolerance")
     ends = F.array(
         F.struct((F.col("t") + tolerance).alias("t"), F.lit("head").alias("part")),
         F.struct((F.col("t") - tolerance).alias("t"), F.lit("tail").alias("part")),
     )
-    probes = moments.select(*key, F.col("t").alias("moment"), F.explode(ends).alias("p")).select(
-        *key, "p.t", none.alias("ord"), "moment", "p.part"
+    probes = moments.select(*key, F.col("t").alias("moment"), F.explode(ends).alias("p"), "tolerance").select(
+        *key, "p.t", none.alias("ord"), "moment", "p.part", "tolerance"
     )
-    cell = F.expr(f"(t - pmod(t, {width}L)) div {width}L")
+    cell = F.expr("(t - pmod(t, 2 * tolerance + 1)) div (2 * tolerance + 1)")
     # Heads run forward in time, tails backward; an event at the very time of a
     # probe counts, which a range frame takes care of.
     at = F.when(F.col("part") == "head", F.col("t")).otherwise(-F.col("t"))
@@ -225,7 +228,7 @@ def _first_closing_event(
         .where("moment IS NOT NULL AND ord IS NOT NULL")
         .select(*key, F.col("moment").alias("t"), "ord")
     )
-    untimed = null_safe_join(moments, offered.where("t IS NULL").select(*key, "ord"), key)
+    untimed = null_safe_join(moments.drop("tolerance"), offered.where("t IS NULL").select(*key, "ord"), key)
     first = timed.unionByName(untimed.select(*timed.columns)).groupBy(*key, "t").agg(
         F.min("ord").alias("ord")
     )
@@ -237,7 +240,7 @@ def auto_resolve(
     breaks: DataFrame,
     incoming: DataFrame,
     now: Column | datetime,
-    tolerance_seconds: int = schemas.DEFAULT_TOLERANCE_SECONDS,
+    tolerance_seconds: Column | int = schemas.DEFAULT_TOLERANCE_SECONDS,
     enabled: bool = schemas.DEFAULT_AUTO_RESOLVE,
 ) -> DataFrame:
     """Open timing breaks closed by new events; an event may close many.
@@ -249,17 +252,21 @@ def auto_resolve(
     """
     if not enabled:
         breaks = breaks.limit(0)
-    first = _first_closing_event(breaks, incoming, tolerance_seconds)
+    first = first_closing_event(breaks, incoming, tolerance_seconds)
     by = incoming.select("ord", "external_event_id", F.col("reference").alias("_event_ref"))
     closed = breaks.join(first, "break_id").join(by, "ord")
+    return transition(
+        closed, as_column(now), "RESOLVED", F.lit(0), "auto-resolved", F.lit("system"),
+        auto_note(F.col("_event_ref")), "AUTO", keep=("external_event_id",),
+    )
+
+
+def auto_note(reference: Column) -> Column:
+    """The note of a break that an event with this reference closed."""
     prefix, _, _ = AUTO_NOTE.partition("{")
-    note = F.concat(
+    return F.concat(
         F.lit(prefix), F.col("source"), F.lit("/"), F.col("asset"), F.lit("/"),
-        F.coalesce("_event_ref", F.lit(MISSING_REFERENCE)),
-    )
-    return _transition(
-        closed, as_column(now), "RESOLVED", F.lit(0), "auto-resolved", F.lit("system"), note, "AUTO",
-        keep=("external_event_id",),
+        F.coalesce(reference, F.lit(MISSING_REFERENCE)),
     )
 
 
@@ -271,7 +278,7 @@ def set_status(breaks: DataFrame, changes: DataFrame, now: Column | datetime) ->
     """
     last = changes.groupBy("break_id").agg(F.max_by(F.struct("new_status", "new_age"), "ord").alias("c"))
     rows = breaks.join(last.select("break_id", "c.*"), "break_id")
-    return _transition(
+    return transition(
         rows, as_column(now), F.col("new_status"), F.coalesce("new_age", "age_seconds"),
         "status", F.lit("system"),
     )

@@ -176,6 +176,42 @@ FROM ({_ORDERS}) o""",
 )
 
 
+# What arrives in four micro-batches: rows of both sides by a time of arrival
+# that may be days after their own, and changes of breaks in a fixed order.
+_view(
+    "fx_arriving",
+    ("fx_ledger", "fx_external_raw"),
+    """SELECT *, CASE WHEN arrive < TIMESTAMP '1993-09-01 00:00:00' THEN 0 WHEN arrive < TIMESTAMP '1995-05-01 00:00:00' THEN 1
+  WHEN arrive < TIMESTAMP '1997-01-01 00:00:00' THEN 2 ELSE 3 END AS batch FROM (
+  SELECT 0 AS side, ord, CAST(NULL AS VARCHAR(8)) AS external_event_id, CAST(NULL AS VARCHAR(8)) AS source, asset, reference, amount, counterparty, ts, ts AS arrive FROM fx_ledger
+  UNION ALL SELECT 1, ord, external_event_id, source, asset, reference, amount, counterparty, ts,
+    coalesce(ts, TIMESTAMP '1992-01-01 00:00:00' + ord % 2400 * INTERVAL '1' DAY)
+    + CASE WHEN floor(ord / 10) % 20 = 12 THEN 40 WHEN floor(ord / 10) % 20 = 13 THEN 10 ELSE ord % 3 END * INTERVAL '1' DAY FROM fx_external_raw) a""",
+)
+_view(
+    "fx_loop_breaks",
+    ("fx_breaks",),
+    """SELECT b.*, k % 3 AS batch, k % 3 * 10000000000000 + k AS ord FROM (SELECT *, CAST(substring(break_id, 2) AS BIGINT) AS k FROM fx_breaks) b
+UNION ALL SELECT concat(break_id, '-again') AS break_id, run_id, type, classification, source, asset, reference, internal_amount, external_amount,
+  'OPEN' AS status, detected_at, CAST(NULL AS TIMESTAMP) AS resolved_at, age_seconds, k, 3 AS batch, 3 * 10000000000000 + k AS ord
+FROM (SELECT *, CAST(substring(break_id, 2) AS BIGINT) AS k FROM fx_breaks) a WHERE k % 9 = 0""",
+)
+_view(
+    "fx_loop_events",
+    ("fx_new_events",),
+    """SELECT external_event_id, source, asset, reference, amount, counterparty, ts, ord % 3 + ord % 2 AS batch,
+  (ord % 3 + ord % 2) * 10000000000000 + 1000000000000 + 2 * ord AS ord FROM fx_new_events""",
+)
+_view(
+    "fx_loop_commands",
+    ("orders",),
+    """SELECT concat('B', k) AS break_id, action, concat('operator', k % 7) AS actor, concat('checked ', k) AS note, batch,
+  batch * 10000000000000 + 1000000000000 + 2 * k + 1 AS ord FROM (
+  SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'resolve' ELSE 'escalate' END AS action, o_orderkey % 4 AS batch FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT o_orderkey, 'escalate', 3 FROM orders WHERE o_orderkey % 10 = 0) c""",
+)
+
+
 def _needed(name: str, seen: list[str]) -> list[str]:
     for need in VIEWS[name][0]:
         if need in VIEWS and need not in seen:

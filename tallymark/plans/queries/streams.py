@@ -2,33 +2,45 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark import schemas
 from tallymark.plans.fixtures import view, with_inputs
 from tallymark.plans.queries.ingest import FIRST, MESSAGES, message_rows
-from tallymark.plans.queries.lifecycle import AGED, CLOSED
-from tallymark.plans.queries.matching import EXACT
-from tallymark.plans.registry import NOW, RUN_ID, RUN_SOURCE, TOLERANCE, query
+from tallymark.plans.queries.lifecycle import CLOSED
+from tallymark.plans.registry import AGE_SQL, NOW, RUN_ID, RUN_SOURCE, TOLERANCE, query, us
 from tallymark.session import materialise, run_folder
-from tallymark.streaming import jobs
-from tallymark.streaming.store import run_available
+from tallymark.streaming import break_table, jobs, keyed
+from tallymark.streaming.store import run_available, written
 
 
 MICRO_BATCHES = 4
 
 
 def in_micro_batches(rows: DataFrame, order: str) -> DataFrame:
-    """The rows as a stream of several micro-batches, in this order.
+    """The rows with `_batch`, a number from 0 by `order`: ranges of even size, each cut by many tasks."""
+    spread = rows.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartitionByRange(MICRO_BATCHES * spread, order)
+    return rows.withColumn("_batch", F.floor(F.spark_partition_id() / spread))
+
 
-    Written as folders one after the other; each is read by a trigger of its own.
+def in_turn(rows: DataFrame, run) -> None:
+    """Lets `_batch` 0, 1, ... arrive one after the other; `run` takes the stream and works off what is there.
+
+    A micro-batch has as many files as its size asks for. Each run starts anew
+    from the checkpoint, as after a restart.
     """
     spark, place = rows.sparkSession, run_folder(rows.sparkSession, "arriving")
-    rows = rows.repartitionByRange(MICRO_BATCHES, order).withColumn("_part", F.spark_partition_id())
     kept = materialise(rows)
+    stream = None
     for part in range(MICRO_BATCHES):
-        kept.where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(place)
-    return spark.readStream.schema(kept.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(place)
+        own = kept.where(F.col("_batch") == part).drop("_batch")
+        own.write.mode("append").parquet(place)
+        stream = stream or spark.readStream.schema(own.schema).parquet(place)
+        run(stream)
 
 
 def _messages(spark, d):
@@ -44,7 +56,7 @@ UNION ALL SELECT 'dead letter', topic, concat(part, ':', pos), error FROM checke
 def stream_ingest(spark, d):
     out = run_folder(spark, "stream-ingest")
     job = jobs.Ingestion(spark, out)
-    run_available(_messages(spark, d), job.handle, f"{out}/checkpoint")
+    in_turn(_messages(spark, d), lambda stream: run_available(stream, job.handle, f"{out}/checkpoint"))
     stored = job.events.rows().select(
         F.lit("event").alias("kind"), "source", F.col("external_event_id").alias("id"),
         F.col("payload").alias("content"),
@@ -65,7 +77,7 @@ def stream_dedupe(spark, d):
     """Every id once, for ever: each micro-batch is compared with all that is stored."""
     out = run_folder(spark, "stream-dedupe")
     job = jobs.Ingestion(spark, out)
-    run_available(_messages(spark, d), job.handle, f"{out}/checkpoint")
+    in_turn(_messages(spark, d), lambda stream: run_available(stream, job.handle, f"{out}/checkpoint"))
     return job.events.rows().select("source", "external_event_id")
 
 
@@ -79,43 +91,176 @@ def stream_auto_resolve(spark, d):
     job = jobs.Ingestion(
         spark, out, breaks=view(spark, d, "fx_breaks"), tolerance_seconds=TOLERANCE, now=lambda: NOW
     )
-    run_available(arriving, job.resolve, f"{out}/checkpoint")
+    in_turn(arriving, lambda stream: run_available(stream, job.resolve, f"{out}/checkpoint"))
     return job.transitions.rows().select("break_id", "status", "resolution_type")
 
 
+#: Rows wait five minutes more than their own time; the clock stays twenty days behind the latest.
+LATENESS = "20 days 1 second"
+_LATE_US = (20 * 86_400 + 1) * 1_000_000
+
+# The clock after each micro-batch, and the first micro-batch after which a row's time is over (99: none).
+_CLOCK = f""",
+clock AS (SELECT batch, max(max(epoch_us(ts))) OVER (ORDER BY batch) - {_LATE_US} AS now FROM fx_arriving GROUP BY batch),
+a AS (SELECT r.*, coalesce((SELECT min(c.batch) FROM clock c WHERE c.batch >= r.batch AND c.now > epoch_us(r.ts) + {TOLERANCE}000000), 99) AS over
+  FROM fx_arriving r),
+l AS (SELECT * FROM a WHERE side = 0), e AS (SELECT * FROM a WHERE side = 1),
+met AS (SELECT l.ord AS l_ord, e.ord AS e_ord, row_number() OVER (PARTITION BY l.ord ORDER BY greatest(l.batch, e.batch), e.batch, e.ord) AS n
+  FROM l JOIN e ON l.reference = coalesce(e.reference, '') AND l.asset = e.asset AND l.amount = coalesce(e.amount, 0)
+    AND coalesce(l.counterparty, '') = coalesce(e.counterparty, '') AND greatest(l.batch, e.batch) <= least(l.over, e.over)),
+pairs AS (SELECT l_ord, e_ord FROM met WHERE n = 1),
+seen AS (SELECT *, max(over) OVER (PARTITION BY reference, amount ORDER BY batch, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM e),
+spell AS (SELECT *, sum(CASE WHEN known IS NULL OR known < batch THEN 1 ELSE 0 END) OVER (PARTITION BY reference, amount ORDER BY batch, ord) AS part FROM seen),
+copies AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY reference, amount, part ORDER BY batch, ord) AS n FROM spell) t WHERE n = 2)"""
+
+
 @query(
     "stream_match",
-    with_inputs(["fx_ledger", "fx_external_raw"], EXACT.replace("fx_external", "fx_external_raw") + """
-SELECT 'pair' AS kind, l_ord, e_ord FROM exact
-UNION ALL SELECT 'TIMING_GAP', ord, NULL FROM open_l UNION ALL SELECT 'MISSING_ENTRY', NULL, ord FROM open_e"""),
+    with_inputs(["fx_arriving"], _CLOCK + f"""
+SELECT 'pair' AS kind, concat(l_ord, '-', e_ord) AS id, 'match' AS by FROM pairs
+UNION ALL SELECT 'TIMING_GAP', sha256(concat_ws('|', '{RUN_ID}', 'ledger', ord)), CASE WHEN over < 99 THEN 'clock' ELSE 'close' END
+  FROM l WHERE ord NOT IN (SELECT l_ord FROM pairs)
+UNION ALL SELECT 'MISSING_ENTRY', sha256(concat_ws('|', '{RUN_ID}', 'external', ord)), CASE WHEN over < 99 THEN 'clock' ELSE 'close' END
+  FROM e WHERE ord NOT IN (SELECT e_ord FROM pairs)
+UNION ALL SELECT 'DUPLICATE', sha256(concat_ws('|', '{RUN_ID}', 'duplicate', ord)), 'clock' FROM copies"""),
 )
 def stream_match(spark, d):
-    """Pairs as rows arrive; what is left at the close becomes breaks."""
+    """Pairs, ended rows and copies as they come about; what still waits at the close becomes breaks."""
     out = run_folder(spark, "stream-match")
-    ledger, external = view(spark, d, "fx_ledger"), view(spark, d, "fx_external_raw")
-    job = jobs.IncrementalMatch(spark, out, RUN_ID, RUN_SOURCE, TOLERANCE, delay_seconds=10**9)
-    rows = job.input(ledger, external)
-    # Both sides by the order they stem from, as they would arrive.
-    rows = rows.withColumn("_at", F.when(F.col("side") == 0, F.col("ord")).otherwise(F.expr("ord div 10")))
-    run_available(in_micro_batches(rows, "_at"), job.handle, f"{out}/checkpoint")
-    last = job.clock.read().agg(F.max("batch_id")).first()[0]
-    job.close(last, NOW)
-    pairs = job.pairs.rows().select(F.lit("pair").alias("kind"), "l_ord", "e_ord")
-    left = job.waiting.part(last).select(
-        F.when(F.col("side") == 0, F.lit("TIMING_GAP")).otherwise(F.lit("MISSING_ENTRY")).alias("kind"),
-        F.when(F.col("side") == 0, F.col("ord")).alias("l_ord"),
-        F.when(F.col("side") == 1, F.col("ord")).alias("e_ord"),
-    )
-    return pairs.unionByName(left)
+    rows = view(spark, d, "fx_arriving").withColumnRenamed("batch", "_batch").drop("arrive")
+    in_turn(rows, lambda stream: written(keyed.match_stream(stream, TOLERANCE, LATENESS), f"{out}/found", f"{out}/checkpoint"))
+    found = spark.read.schema(keyed.MATCHED).parquet(f"{out}/found")
+    waiting = keyed.still_waiting(spark, f"{out}/checkpoint")
+    pairs = found.where("kind = 'pair'").select(
+        "kind", F.concat_ws("-", F.col("l.ord").cast("string"), F.col("e.ord").cast("string")).alias("id"), F.lit("match").alias("by"))
+    ended = keyed.breaks_of(found, RUN_ID, RUN_SOURCE, TOLERANCE).withColumn("by", F.lit("clock"))
+    closed = keyed.breaks_of(keyed.closed(waiting, NOW), RUN_ID, RUN_SOURCE, TOLERANCE).withColumn("by", F.lit("close"))
+    return pairs.unionByName(ended.unionByName(closed).select(F.col("type").alias("kind"), F.col("break_id").alias("id"), "by"))
+
+
+#: The last tick; nothing else comes with it.
+QUIET = "2024-01-01 03:30:00"
 
 
 @query(
     "stream_escalate",
-    with_inputs(["fx_breaks"], f"SELECT break_id, 'ESCALATED' AS status, new_age AS age_seconds FROM {AGED} b WHERE status = 'OPEN' AND new_age >= 3600"),
+    with_inputs(["fx_breaks", "fx_commands", "fx_rules"], f""",
+opened AS (SELECT b.break_id, epoch_us(b.detected_at) AS opened, coalesce(o.escalation_age_minutes, g.escalation_age_minutes, 60) * 60 AS age
+  FROM fx_breaks b LEFT JOIN fx_rules o ON o.source = b.source AND o.asset = b.asset
+  LEFT JOIN fx_rules g ON g.source = b.source AND g.asset IS NULL WHERE b.status = 'OPEN'),
+closed AS (SELECT b.break_id, epoch_us(b.detected_at) + CAST(length(c.actor) + 600 * (length(coalesce(c.note, '')) % 7) AS BIGINT) * 1000000 AS closed
+  FROM fx_commands c JOIN fx_breaks b ON b.break_id = c.break_id)
+SELECT o.break_id, 'ESCALATED' AS status, age AS age_seconds, opened + age * 1000000 AS due_us FROM opened o
+WHERE opened + age * 1000000 <= epoch_us(TIMESTAMP '{QUIET}')
+  AND NOT EXISTS (SELECT 1 FROM closed c WHERE c.break_id = o.break_id AND c.closed < o.opened + o.age * 1000000 AND c.closed <= epoch_us(TIMESTAMP '{QUIET}'))"""),
 )
 def stream_escalate(spark, d):
+    """Open breaks by their rule's deadline, commands that close some, then only the clock."""
     out = run_folder(spark, "stream-escalate")
-    job = jobs.Escalation(spark, out, 60, now=lambda: NOW)
-    arriving = in_micro_batches(view(spark, d, "fx_breaks"), "break_id")
-    run_available(arriving, job.handle, f"{out}/checkpoint")
-    return job.transitions.rows().select("break_id", "status", "age_seconds")
+    breaks = view(spark, d, "fx_breaks")
+    opened = breaks.where("status = 'OPEN'").select("break_id", "source", "asset", F.lit("opened").alias("kind"), F.col("detected_at").alias("at"))
+    after = F.length("actor") + 600 * (F.length(F.coalesce("note", F.lit(""))) % 7)
+    closed = view(spark, d, "fx_commands").join(breaks, "break_id").select(
+        "break_id", "source", "asset", F.lit("closed").alias("kind"), (F.col("detected_at") + F.make_dt_interval(secs=after)).alias("at"))
+    closed = closed.where(F.col("at") <= F.lit(QUIET).cast("timestamp"))
+    changes = in_micro_batches(opened.unionByName(closed), "at").withColumn("_batch", F.least("_batch", F.lit(MICRO_BATCHES - 2)))
+    tick = spark.range(1).select(
+        F.lit("").alias("break_id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("asset"),
+        F.lit("tick").alias("kind"), F.lit(QUIET).cast("timestamp").alias("at"), F.lit(MICRO_BATCHES - 1).cast("bigint").alias("_batch"))
+    rules = view(spark, d, "fx_rules")
+    in_turn(changes.unionByName(tick), lambda stream: written(keyed.escalations(stream, rules), f"{out}/found", f"{out}/checkpoint"))
+    return spark.read.schema(keyed.ESCALATED).parquet(f"{out}/found").select(
+        "break_id", "status", "age_seconds", (F.col("at_ms") * 1000).alias("due_us"))
+
+
+# --- One table of breaks ------------------------------------------------------
+
+_TICK = "TIMESTAMP '2024-01-01 00:30:00' + {batch} * INTERVAL '50' MINUTE"
+
+# Breaks that micro-batch 3 detects again are stored if no equal one is open then; so states are found for the others first.
+_LIFE = f"""
+{{p}}_ruled AS (SELECT b.*, coalesce(o.tolerance_seconds, g.tolerance_seconds, 300) AS tolerance, coalesce(o.escalation_age_minutes, g.escalation_age_minutes, 60) AS minutes,
+    coalesce(o.auto_resolve_timing, g.auto_resolve_timing, true) AS auto
+  FROM ({{rows}}) b LEFT JOIN fx_rules o ON o.source = b.source AND o.asset = b.asset LEFT JOIN fx_rules g ON g.source = b.source AND g.asset IS NULL),
+{{p}}_event AS (SELECT b.break_id, min(e.ord) AS ord FROM {{p}}_ruled b JOIN fx_loop_events e ON b.source = e.source AND b.asset = e.asset
+    AND coalesce(b.internal_amount, 0) = coalesce(e.amount, 0) AND e.batch >= b.batch
+  WHERE b.classification = 'TIMING' AND b.auto AND (e.reference IS NULL OR b.reference = e.reference)
+    AND (e.ts IS NULL OR abs(epoch_us(b.detected_at) - epoch_us(e.ts)) <= b.tolerance * 1000000) GROUP BY b.break_id),
+{{p}}_tick AS (SELECT b.break_id, min(t.ord) AS ord FROM {{p}}_ruled b JOIN ticks t ON t.batch >= b.batch
+    AND epoch_us(b.detected_at) + b.minutes * 60000000 <= epoch_us(t.at) GROUP BY b.break_id),
+{{p}}_command AS (SELECT c.* FROM fx_loop_commands c JOIN {{p}}_ruled b ON b.break_id = c.break_id AND c.batch >= b.batch),
+{{p}}_first AS (SELECT b.break_id, CASE WHEN b.status = 'OPEN' THEN least(coalesce(e.ord, {{never}}), coalesce(t.ord, {{never}}), coalesce(c.ord, {{never}})) END AS ord,
+    e.ord AS e_ord, t.ord AS t_ord FROM {{p}}_ruled b LEFT JOIN {{p}}_event e ON e.break_id = b.break_id LEFT JOIN {{p}}_tick t ON t.break_id = b.break_id
+  LEFT JOIN (SELECT break_id, min(ord) AS ord FROM {{p}}_command GROUP BY break_id) c ON c.break_id = b.break_id),
+{{p}}_steps AS (
+  SELECT break_id, ord, 'detected' AS what FROM {{p}}_ruled
+  UNION ALL SELECT break_id, ord, CASE WHEN ord = e_ord THEN 'auto' ELSE 'tick' END FROM {{p}}_first WHERE ord = e_ord OR ord = t_ord
+  UNION ALL SELECT break_id, ord, action FROM {{p}}_command),
+{{p}}_timed AS (SELECT s.*, s.ord // 10000000000000 AS batch, b.detected_at, b.age_seconds AS age0, b.status AS status0, b.resolved_at AS resolved0,
+    ({_TICK.format(batch="(s.ord // 10000000000000)")}) - CASE WHEN s.what = 'tick' THEN INTERVAL '0' SECOND ELSE INTERVAL '60' SECOND END AS at
+  FROM {{p}}_steps s JOIN {{p}}_ruled b ON b.break_id = s.break_id),
+{{p}}_state AS (SELECT m.upto, break_id, count(*) AS versions,
+    CASE max_by(what, t.ord) WHEN 'detected' THEN any_value(status0) WHEN 'auto' THEN 'RESOLVED' WHEN 'resolve' THEN 'RESOLVED' ELSE 'ESCALATED' END AS status,
+    coalesce(max_by(CASE WHEN what = 'auto' THEN 0 ELSE {AGE_SQL.format(now="t.at", a="t")} END, t.ord) FILTER (what IN ('auto', 'tick', 'escalate')), any_value(age0)) AS age_seconds,
+    coalesce(epoch_us(any_value(resolved0)), min(epoch_us(t.at)) FILTER (what IN ('auto', 'resolve'))) AS resolved_us
+  FROM {{p}}_timed t JOIN (SELECT b AS upto FROM range(4) r(b)) m ON t.batch <= m.upto GROUP BY m.upto, break_id)"""
+_NEVER = "9223372036854775807"
+_SAME = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ("type", "source", "asset", "reference", "internal_amount", "external_amount"))
+
+_STATES = f""",
+ticks AS (SELECT b AS batch, {_TICK.format(batch="b")} AS at, b * 10000000000000 + 9000000000000 AS ord FROM range(4) r(b)),
+""" + _LIFE.format(p="one", rows="SELECT * FROM fx_loop_breaks WHERE batch < 3", never=_NEVER) + """,
+again AS (SELECT * FROM fx_loop_breaks a WHERE a.batch = 3 AND NOT EXISTS (SELECT 1 FROM fx_loop_breaks b JOIN one_state s
+  ON s.break_id = b.break_id AND s.upto = 2 AND s.status = 'OPEN' WHERE """ + _SAME + """)),
+""" + _LIFE.format(p="two", rows="SELECT * FROM again", never=_NEVER) + """,
+states AS (SELECT * FROM one_state UNION ALL SELECT * FROM two_state)"""
+
+
+def _loop(spark, d, out: str) -> break_table.SharedBreaks:
+    """Breaks of runs, events, commands and ticks through one table, in four micro-batches with a snapshot after every second."""
+    def at(batch, early=60):
+        minutes = 30 + 50 * batch
+        return F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=minutes.cast("int"), secs=F.lit(-early))
+
+    def rows(kind, name, field, schema):
+        own = view(spark, d, name)
+        part = F.struct(*[F.col(c) if c in own.columns else F.lit(None).alias(c) for c in schemas.columns(schema)])
+        return own.select(*break_table.change(kind, at(F.col("batch")), F.col("ord"), **{field: part}), F.col("batch").cast("bigint").alias("_batch"))
+
+    ticks = spark.range(MICRO_BATCHES).select(
+        *break_table.change("tick", at(F.col("id"), 0), F.expr("id * 10000000000000 + 9000000000000")), F.col("id").alias("_batch"))
+    changes = (
+        rows("break", "fx_loop_breaks", "b", schemas.BREAK).unionByName(rows("event", "fx_loop_events", "e", schemas.EXTERNAL))
+        .unionByName(rows("command", "fx_loop_commands", "c", break_table.COMMAND)).unionByName(ticks)
+    )
+    job = break_table.SharedBreaks(spark, out, materialise(view(spark, d, "fx_rules")), compact_every=2, buckets=8)
+    in_turn(changes, lambda stream: run_available(stream, job.handle, f"{out}/checkpoint"))
+    return job
+
+
+@query(
+    "shared_breaks",
+    with_inputs(["fx_loop_breaks", "fx_loop_events", "fx_loop_commands", "fx_rules"], _STATES + """
+SELECT break_id, status, age_seconds, resolved_us, versions FROM states WHERE upto = 3"""),
+)
+def shared_breaks(spark, d):
+    """State and number of versions after runs, ingestion, commands and escalation have shared one table."""
+    job = _loop(spark, d, run_folder(spark, "shared-breaks"))
+    counts = job.table.versions().groupBy("break_id").agg(F.count("*").alias("versions"))
+    return job.table.state().join(counts, "break_id").select("break_id", "status", "age_seconds", us("resolved_at", "resolved_us"), "versions")
+
+
+@query(
+    "break_state_at",
+    with_inputs(["fx_loop_breaks", "fx_loop_events", "fx_loop_commands", "fx_rules"], _STATES + """
+SELECT upto, break_id, status, age_seconds, resolved_us FROM states WHERE upto < 3"""),
+)
+def break_state_at(spark, d):
+    """The states of three past times, each from the nearest snapshot and the versions since."""
+    job = _loop(spark, d, run_folder(spark, "state-at"))
+    states = [
+        job.table.state_at(datetime(2024, 1, 1, 0, 45, tzinfo=timezone.utc) + timedelta(minutes=50 * n)).select(
+            F.lit(n).cast("bigint").alias("upto"), "break_id", "status", "age_seconds", us("resolved_at", "resolved_us"))
+        for n in range(3)
+    ]
+    return states[0].unionByName(states[1]).unionByName(states[2])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 from tallymark import schemas
 from tallymark.operators import rules as rl
-from tallymark.operators.breaks import duplicate_breaks, leftover_breaks
+from tallymark.operators.breaks import as_column, duplicate_breaks, leftover_breaks
 from tallymark.operators.matching import ENTRY, with_match_keys
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -216,6 +217,14 @@ def still_waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
     return state.select("user_map_value.*").drop("deadline")
 
 
+def closed(waiting: DataFrame, now: datetime) -> DataFrame:
+    """End of the day: what still waits, in the shape of `MATCHED`."""
+    entry = F.struct(*[F.col(c).cast(schemas.EXTERNAL[c].dataType).alias(c) for c in ENTRY])
+    is_ledger = F.col("side") == _LEDGER_SIDE
+    return waiting.select(F.lit("ended").alias("kind"), F.when(is_ledger, entry).alias("l"), F.when(~is_ledger, entry).alias("e"),
+                          F.unix_millis(as_column(now)).alias("at_ms"))
+
+
 # --- Deadlines of breaks -----------------------------------------------------
 
 ESCALATED = "break_id string, status string, age_seconds bigint, at_ms bigint"
