@@ -114,28 +114,46 @@ spell AS (SELECT *, sum(CASE WHEN known IS NULL OR known < batch THEN 1 ELSE 0 E
 copies AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY reference, amount, part ORDER BY batch, ord) AS n FROM spell) t WHERE n = 2)"""
 
 
-@query(
-    "stream_match",
-    with_inputs(["fx_arriving"], _CLOCK + f"""
+_MATCH_SQL = with_inputs(["fx_arriving"], _CLOCK + f"""
 SELECT 'pair' AS kind, concat(l_ord, '-', e_ord) AS id, 'match' AS by FROM pairs
 UNION ALL SELECT 'TIMING_GAP', sha256(concat_ws('|', '{RUN_ID}', 'ledger', ord)), CASE WHEN over < 99 THEN 'clock' ELSE 'close' END
   FROM l WHERE ord NOT IN (SELECT l_ord FROM pairs)
 UNION ALL SELECT 'MISSING_ENTRY', sha256(concat_ws('|', '{RUN_ID}', 'external', ord)), CASE WHEN over < 99 THEN 'clock' ELSE 'close' END
   FROM e WHERE ord NOT IN (SELECT e_ord FROM pairs)
-UNION ALL SELECT 'DUPLICATE', sha256(concat_ws('|', '{RUN_ID}', 'duplicate', ord)), 'clock' FROM copies"""),
-)
+UNION ALL SELECT 'DUPLICATE', sha256(concat_ws('|', '{RUN_ID}', 'duplicate', ord)), 'clock' FROM copies""")
+
+
+def _arriving(spark, d):
+    return view(spark, d, "fx_arriving").withColumnRenamed("batch", "_batch").drop("arrive")
+
+
+def _match_out(pairs: DataFrame, by_clock: DataFrame, at_close: DataFrame) -> DataFrame:
+    found = by_clock.withColumn("by", F.lit("clock")).unionByName(at_close.withColumn("by", F.lit("close")))
+    return pairs.select(F.lit("pair").alias("kind"), F.concat_ws("-", F.col("l_ord").cast("string"), F.col("e_ord").cast("string")).alias("id"),
+                        F.lit("match").alias("by")).unionByName(found.select(F.col("type").alias("kind"), F.col("break_id").alias("id"), "by"))
+
+
+@query("stream_match", _MATCH_SQL)
 def stream_match(spark, d):
     """Pairs, ended rows and copies as they come about; what still waits at the close becomes breaks."""
     out = run_folder(spark, "stream-match")
-    rows = view(spark, d, "fx_arriving").withColumnRenamed("batch", "_batch").drop("arrive")
-    in_turn(rows, lambda stream: written(keyed.match_stream(stream, TOLERANCE, LATENESS), f"{out}/found", f"{out}/checkpoint"))
+    job = jobs.IncrementalMatch(spark, out, RUN_ID, RUN_SOURCE, TOLERANCE, delay_seconds=_LATE_US // 1_000_000)
+    in_turn(_arriving(spark, d), lambda stream: run_available(stream, job.handle, f"{out}/checkpoint"))
+    last = job.clock.read().agg(F.max("batch_id")).first()[0]
+    job.close(last, NOW)
+    return _match_out(job.pairs.rows(), job.breaks.before(last + 1), job.breaks.part(last + 1))
+
+
+@query("stream_match_keyed", _MATCH_SQL)
+def stream_match_keyed(spark, d):
+    """The same from state by key: a row's wait ends by a timer, and nothing is read but the keys that arrive."""
+    out = run_folder(spark, "stream-match-keyed")
+    in_turn(_arriving(spark, d), lambda stream: written(keyed.match_stream(stream, TOLERANCE, LATENESS), f"{out}/found", f"{out}/checkpoint"))
     found = spark.read.schema(keyed.MATCHED).parquet(f"{out}/found")
+    pairs = found.where("kind = 'pair'").select(F.col("l.ord").alias("l_ord"), F.col("e.ord").alias("e_ord"))
     waiting = keyed.still_waiting(spark, f"{out}/checkpoint")
-    pairs = found.where("kind = 'pair'").select(
-        "kind", F.concat_ws("-", F.col("l.ord").cast("string"), F.col("e.ord").cast("string")).alias("id"), F.lit("match").alias("by"))
-    ended = keyed.breaks_of(found, RUN_ID, RUN_SOURCE, TOLERANCE).withColumn("by", F.lit("clock"))
-    closed = keyed.breaks_of(keyed.closed(waiting, NOW), RUN_ID, RUN_SOURCE, TOLERANCE).withColumn("by", F.lit("close"))
-    return pairs.unionByName(ended.unionByName(closed).select(F.col("type").alias("kind"), F.col("break_id").alias("id"), "by"))
+    return _match_out(pairs, keyed.breaks_of(found, RUN_ID, RUN_SOURCE, TOLERANCE),
+                      keyed.breaks_of(keyed.closed(waiting, NOW), RUN_ID, RUN_SOURCE, TOLERANCE))
 
 
 #: The last tick; nothing else comes with it.

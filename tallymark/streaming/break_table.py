@@ -21,8 +21,9 @@ from tallymark.operators import lifecycle as lc
 from tallymark.operators import rules as rl
 from tallymark.operators.breaks import as_column
 from tallymark.operators.checks import new_breaks_only
+from tallymark.session import materialise
 from tallymark.streaming.jobs import TRANSITION
-from tallymark.streaming.store import Table
+from tallymark.streaming.store import Table, numbered
 
 _BREAK = schemas.columns(schemas.BREAK)
 #: A transition and its place among those of its commit.
@@ -40,28 +41,17 @@ class BreakTable:
 
     # --- Folders ---
 
-    def _listed(self, folder: str) -> list[int]:
-        """Numbers of the finished commits below a folder."""
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(place):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()]
-        found = (int(n.partition("=")[2]) for n in names if n.startswith(("commit=", "epoch=")))
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(n for n in found if folder.endswith("log") or files.exists(done(f"{folder}/commit={n}/_SUCCESS")))
-
     def _epoch(self, commit: int) -> str:
         return f"{self.path}/log/epoch={commit // EPOCH}"
 
     def commits(self, after: int = -1, upto: int | None = None) -> list[int]:
         """Commits in (after, upto], from the folders that can have them."""
-        epochs = [e for e in self._listed(f"{self.path}/log") if e >= (after + 1) // EPOCH and (upto is None or e <= upto // EPOCH)]
-        found = (n for e in epochs for n in self._listed(f"{self.path}/log/epoch={e}"))
+        epochs = [e for e in numbered(self.spark, f"{self.path}/log", "epoch", finished=False) if e >= (after + 1) // EPOCH and (upto is None or e <= upto // EPOCH)]
+        found = (n for e in epochs for n in numbered(self.spark, f"{self.path}/log/epoch={e}", "commit"))
         return [n for n in found if n > after and (upto is None or n <= upto)]
 
     def snapshots(self) -> list[int]:
-        return self._listed(f"{self.path}/snapshots")
+        return numbered(self.spark, f"{self.path}/snapshots", "commit")
 
     # --- Writing ---
 
@@ -184,12 +174,15 @@ class SharedBreaks:
     def _versions(self, rows: DataFrame, batch_id: int) -> DataFrame:
         before = batch_id - 1
         commands = rows.where("kind = 'command'").select("ord", "at", "c.*")
-        is_open = self.table.state(before, open_only=True)
+        # Written once each: they are read several times below, and plans stay short.
+        is_open = materialise(self.table.state(before, open_only=True))
         others = self.table.state(before, ids=commands).where("status <> 'OPEN'")
-        found = self._new(rows, is_open, before)
+        found = materialise(self._new(rows, is_open, before))
         known = is_open.unionByName(others).unionByName(found.select(*_BREAK))
-        left = self._left_open(known, rows, commands)
-        state = lc.apply_to(known, left)
+        left = materialise(self._left_open(known.where("status = 'OPEN'"), rows, commands))
+        targets = known.join(commands.select("break_id").distinct(), "break_id", "left_semi")
+        changed = left.join(commands.select("break_id").distinct(), "break_id", "left_semi")
+        state = lc.apply_to(targets, changed)
         return (
             self._version(found.withColumn("before_status", F.lit(None)), "detected", F.lit("system"), F.lit(0), age=F.lit(None))
             .unionByName(left.withColumn("seq", F.lit(1).cast("bigint")).select(*VERSION.names))
@@ -211,10 +204,10 @@ class SharedBreaks:
         stored = self.table.state(before, ids=found).select("break_id")
         return new_breaks_only(found.join(stored, "break_id", "left_anti"), is_open)
 
-    def _left_open(self, known: DataFrame, rows: DataFrame, commands: DataFrame) -> DataFrame:
+    def _left_open(self, open_breaks: DataFrame, rows: DataFrame, commands: DataFrame) -> DataFrame:
         """The first change that takes each open break out of OPEN, unless a command came before."""
         minutes = F.lit(schemas.DEFAULT_ESCALATION_MINUTES).cast("bigint")
-        open_breaks = rl.with_auto_resolve(known.where("status = 'OPEN'"), self.rules).drop("rule_level")
+        open_breaks = rl.with_auto_resolve(open_breaks, self.rules).drop("rule_level")
         open_breaks = rl.with_tolerance(open_breaks, self.rules).drop("rule_level")
         open_breaks = rl.with_rule_value(open_breaks, self.rules, "escalation_age_minutes", minutes).drop("rule_level")
         events = rl.with_tolerance(rows.where("kind = 'event'").select("e.*", "at", F.col("ord").alias("_ord")).withColumn("ord", F.col("_ord")), self.rules)

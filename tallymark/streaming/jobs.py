@@ -9,16 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark import schemas
 from tallymark.operators import events, lifecycle
-from tallymark.operators.breaks import leftover_breaks
-from tallymark.operators.matching import pair_exact, side_by_side
+from tallymark.operators.breaks import duplicate_breaks, leftover_breaks
+from tallymark.operators.matching import pair_exact, side_by_side, with_match_keys
 from tallymark.sources import messages as msg
-from tallymark.streaming.store import Table
+from tallymark.streaming.store import KeyedTable, Table
 
 DEAD_LETTER = T.StructType([*schemas.MESSAGE.fields, T.StructField("error", T.StringType())])
 TRANSITION = T.StructType(
@@ -45,6 +45,7 @@ _ENTRY = T.StructType([T.StructField("side", T.IntegerType()), *schemas.EXTERNAL
 _SIDE = T.StructType([*schemas.EXTERNAL.fields, T.StructField("copy", T.LongType())])
 _PAIRING = T.StructType([T.StructField("l", _SIDE), T.StructField("e", _SIDE)])
 _PAIR = T.StructType([T.StructField("l_ord", T.LongType()), T.StructField("e_ord", T.LongType())])
+_COPIES = T.StructType([T.StructField("n", T.LongType()), T.StructField("latest", T.TimestampType())])
 _CLOCK = T.StructType([T.StructField("latest", T.TimestampType())])
 
 
@@ -131,11 +132,18 @@ class Ingestion:
 class IncrementalMatch:
     """Exact pairing of ledger rows and events as they arrive.
 
-    A micro-batch is matched together with the rows still waiting, by the same
-    operator as a batch run. A row waits until the newest time seen has passed
-    its own by the tolerance plus the allowed delay; then it becomes a break.
-    Rows without a time wait until `close`. The clock never passes the time of
-    arrival, so that a row dated in the future ends nobody's wait.
+    Rows of a micro-batch are matched together with the rows still waiting that
+    share their reference and amount, by the same operator as a batch run. A
+    row waits until the newest time seen has passed its own by the tolerance
+    plus the allowed delay; then it becomes a break. Rows without a time wait
+    until `close`. The clock never passes the time of arrival, so that a row
+    dated in the future ends nobody's wait. An event is a duplicate if it is the
+    second with its stored reference and amount while copies are remembered,
+    which is as long as the latest of them could wait.
+
+    Waiting rows and counts of copies are keyed tables: a micro-batch writes
+    what it changes and nothing else. They are read for each (by columns, in
+    one scan), since any row's wait may end.
     """
 
     def __init__(
@@ -149,9 +157,11 @@ class IncrementalMatch:
         now: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     ):
         self.now = now
+        self.landed = Table(spark, f"{out}/landed", _ENTRY).create()
         self.pairing = Table(spark, f"{out}/pairing", _PAIRING).create()
         self.pairs = Table(spark, f"{out}/pairs", _PAIR).create()
-        self.waiting = Table(spark, f"{out}/waiting", _ENTRY).create()
+        self.waiting = KeyedTable(spark, f"{out}/waiting", _ENTRY)
+        self.copies = KeyedTable(spark, f"{out}/copies", _COPIES)
         self.breaks = Table(spark, f"{out}/breaks", schemas.BREAK).create()
         self.clock = Table(spark, f"{out}/clock", _CLOCK).create()
         self.run_id, self.source = F.lit(run_id), F.lit(source)
@@ -164,49 +174,77 @@ class IncrementalMatch:
         return side_by_side(ledger, external)
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
-        earlier = self.clock.before(batch_id)
+        self.landed.put(batch, batch_id)
+        rows = self.landed.part(batch_id)
         arrived = F.lit(self.now()).cast("timestamp")
-        times = batch.agg(F.max(F.when(F.col("ts") <= arrived, F.col("ts"))).alias("latest")).unionByName(earlier)
-        self.clock.put(times.agg(F.max("latest").alias("latest")), batch_id)
-        rows = batch.select(*_ENTRY.names).unionByName(self.waiting.part(batch_id - 1))
-        ledger = rows.where("side = 0").select(*schemas.columns(schemas.LEDGER))
-        external = rows.where("side = 1").drop("side")
+        times = rows.agg(F.max(F.when(F.col("ts") <= arrived, F.col("ts"))).alias("latest"))
+        self.clock.put(times.unionByName(self.clock.before(batch_id)).agg(F.max("latest").alias("latest")), batch_id)
+        latest = self.clock.part(batch_id).first().latest
+        known = self.clock.part(batch_id - 1).first()
+        waiting = self.waiting.state(batch_id - 1)
+        place = ["k_ref", "k_amount"]
+        asked = with_match_keys(rows).select(*place).distinct()
+        touched = with_match_keys(waiting).join(asked, place, "left_semi").select(*_ENTRY.names)
+        both = rows.unionByName(touched)
+        ledger = both.where("side = 0").select(*schemas.columns(schemas.LEDGER))
+        external = both.where("side = 1").drop("side")
         # All results are read from the pairing; it is written once.
         self.pairing.put(pair_exact(ledger, external), batch_id)
         pairing = self.pairing.part(batch_id)
-        self.pairs.put(
-            pairing.where("l IS NOT NULL AND e IS NOT NULL").select(
-                F.col("l.ord").alias("l_ord"), F.col("e.ord").alias("e_ord")
-            ),
-            batch_id,
-        )
-        latest = self.clock.part(batch_id).first().latest
-        alone = pairing.where("(l IS NULL) <> (e IS NULL)")
-        own_time = F.coalesce(F.col("l.ts"), F.col("e.ts"))
-        expired = F.lit(False) if latest is None else own_time < F.lit(latest - self.patience)
-        expired = F.coalesce(expired, F.lit(False))
-        self._to_breaks(alone.where(expired), batch_id, latest)
+        paired = pairing.where("l IS NOT NULL AND e IS NOT NULL")
+        self.pairs.put(paired.select(F.col("l.ord").alias("l_ord"), F.col("e.ord").alias("e_ord")), batch_id)
         entry = F.coalesce("l", "e")
         side = F.when(F.col("l").isNotNull(), 0).otherwise(1)
-        self.waiting.put(
-            alone.where(~expired).select(side.alias("side"), entry.alias("x")).select("side", "x.*"),
-            batch_id,
-        )
-
-    def _to_breaks(self, alone: DataFrame, batch_id: int, now: datetime | None) -> None:
+        alone = _with_key(pairing.where("(l IS NULL) <> (e IS NULL)").select(side.alias("side"), entry.alias("x")).select("side", "x.*"))
+        over = F.lit(False) if latest is None else F.coalesce(F.col("ts") < F.lit(latest - self.patience), F.lit(False))
+        met = paired.select(F.explode(F.array(F.concat(F.lit("0:"), "l.ord"), F.concat(F.lit("1:"), "e.ord"))).alias("key"))
+        settled = met.unionByName(alone.select("key"))
+        ended = alone.where(over).select(*_ENTRY.names).unionByName(
+            waiting.where(over).join(settled, "key", "left_anti").select(*_ENTRY.names))
+        second = self._second_copies(rows.where("side = 1").drop("side"), batch_id, known and known.latest)
+        self._to_breaks(_one_sided(ended), batch_id, latest, second)
+        before = waiting.select("key")
+        self.waiting.commit(
+            batch_id, alone.where(~over).join(before, "key", "left_anti"),
+            waiting.where(over).select("key").unionByName(before.join(met, "key", "left_semi")).distinct())
+
+    def _second_copies(self, events: DataFrame, batch_id: int, before: datetime | None) -> DataFrame:
+        """Events that are the second of their reference and amount; counts are kept by these two, null equal to null."""
+        named = events.withColumn("key", F.to_json(F.struct("reference", "amount"), {"ignoreNullFields": "false"}))
+        state = self.copies.state(batch_id - 1)
+        forgotten = F.lit(False) if before is None else F.coalesce(F.col("latest") < F.lit(before - self.patience), F.lit(False))
+        kept = state.where(~forgotten).select("key", F.col("n").alias("_n"), F.col("latest").alias("_latest"), F.lit(True).alias("_known"))
+        first = Window.partitionBy("key").orderBy("ord")
+        two = named.withColumn("_place", F.row_number().over(first)).where("_place <= 2")
+        # An event without a time has no end: the copies of its key are remembered for good.
+        counts = named.groupBy("key").agg(
+            F.count("*").alias("n"), F.when(F.count("ts") == F.count("*"), F.max("ts")).alias("latest"))
+        endless = F.col("latest").isNull() | (F.col("_known") & F.col("_latest").isNull())
+        merged = counts.join(kept, "key", "left").select(
+            "key", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"),
+            F.when(~F.coalesce(endless, F.lit(False)), F.greatest("latest", "_latest")).alias("latest"))
+        self.copies.commit(batch_id, merged, state.where(forgotten).select("key").join(counts, "key", "left_anti"))
+        return two.join(kept, "key", "left").where(F.col("_place") + F.coalesce("_n", F.lit(0)) == 2).select(*schemas.columns(schemas.EXTERNAL))
+
+    def _to_breaks(self, alone: DataFrame, batch_id: int, now: datetime | None, second: DataFrame | None = None) -> None:
         at = F.lit(now).cast("timestamp")
-        self.breaks.put(
-            leftover_breaks(alone, self.run_id, self.source, at, self.tolerance_seconds), batch_id
-        )
+        found = leftover_breaks(alone, self.run_id, self.source, at, self.tolerance_seconds)
+        if second is not None:
+            found = found.unionByName(duplicate_breaks(second, self.run_id, at))
+        self.breaks.put(found, batch_id)
 
     def close(self, last_batch_id: int, now: datetime) -> None:
         """End of the day: what still waits becomes breaks."""
-        rows = self.waiting.part(last_batch_id)
-        entry = F.struct(*[F.col(c) for c in _ENTRY.names if c != "side"])
-        alone = rows.select(
-            F.when(F.col("side") == 0, entry).alias("l"), F.when(F.col("side") == 1, entry).alias("e")
-        )
-        self._to_breaks(alone, last_batch_id + 1, now)
+        self._to_breaks(_one_sided(self.waiting.state(last_batch_id)), last_batch_id + 1, now)
+
+
+def _with_key(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("key", F.concat_ws(":", F.col("side").cast("string"), F.col("ord").cast("string")))
+
+
+def _one_sided(rows: DataFrame) -> DataFrame:
+    entry = F.struct(*[F.col(c) for c in _ENTRY.names if c != "side"])
+    return rows.select(F.when(F.col("side") == 0, entry).alias("l"), F.when(F.col("side") == 1, entry).alias("e"))
 
 
 class Escalation:

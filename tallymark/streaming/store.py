@@ -44,6 +44,54 @@ class Table:
         return self.read().drop(PART)
 
 
+def numbered(spark: SparkSession, folder: str, name: str, finished: bool = True) -> list[int]:
+    """Numbers n of the folders `name=n` below `folder`; only those with the writer's mark of success if `finished`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path(folder)):
+        return []
+    names = (s.getPath().getName() for s in files.listStatus(path(folder)) if s.isDirectory())
+    found = sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{name}="))
+    return [n for n in found if not finished or files.exists(path(f"{folder}/{name}={n}/_SUCCESS"))]
+
+
+class KeyedTable:
+    """Rows by key that micro-batches add, replace and remove; only changes are written.
+
+    Commit n holds the changed rows and marks of removed ones; every
+    `compact_every`-th commit is followed by a snapshot. A commit that is
+    repeated replaces its part.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, compact_every: int = 16):
+        self.spark, self.path, self.compact_every = spark, path.rstrip("/"), compact_every
+        self.names = [f.name for f in schema.fields]
+        self.schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("gone", T.BooleanType()), *schema.fields])
+
+    def commit(self, n: int, rows: DataFrame, removed: DataFrame) -> None:
+        """`rows` have key and the columns of the table, `removed` has key."""
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields[2:]]
+        changes = rows.select("key", F.lit(False).alias("gone"), *self.names).unionByName(
+            removed.select("key", F.lit(True).alias("gone"), *empty))
+        changes.write.mode("overwrite").parquet(f"{self.path}/log/commit={n}")
+        if (n + 1) % self.compact_every == 0:
+            self.state(n).write.mode("overwrite").parquet(f"{self.path}/snapshots/commit={n}")
+
+    def state(self, upto: int) -> DataFrame:
+        """key and columns after commit `upto`."""
+        since = max((s for s in numbered(self.spark, f"{self.path}/snapshots", "commit") if s <= upto), default=-1)
+        base = self.spark.createDataFrame([], self.schema)
+        if since >= 0:
+            base = self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshots/commit={since}")
+        base = base.select(F.lit(-1).alias("_n"), "key", F.lit(False).alias("gone"), *self.names)
+        for n in numbered(self.spark, f"{self.path}/log", "commit"):
+            if since < n <= upto:
+                part = self.spark.read.schema(self.schema).parquet(f"{self.path}/log/commit={n}")
+                base = base.unionByName(part.withColumn("_n", F.lit(n)))
+        last = base.groupBy("key").agg(F.max_by(F.struct("gone", *self.names), "_n").alias("x"))
+        return last.where("NOT x.gone").select("key", *[F.col(f"x.{c}") for c in self.names])
+
+
 def run_available(stream: DataFrame, handle, checkpoint: str) -> None:
     """Process everything that is there now, then stop."""
     query = (

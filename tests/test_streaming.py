@@ -105,7 +105,7 @@ def test_incremental_match_as_a_stream(spark, tmp_path):
     run_available(stream, job.handle, f"{tmp_path}/cp")
     assert sorted(tuple(r) for r in job.pairs.rows().collect()) == [(i, i) for i in range(5, 20)]
     last = job.clock.read().agg(F.max("batch_id")).first()[0]
-    assert last == 2 and job.waiting.part(last).count() == 10
+    assert last == 2 and job.waiting.state(last).count() == 10
 
 
 def test_escalation_on_every_trigger(spark, tmp_path):
@@ -154,7 +154,7 @@ def test_messages_of_a_stream(spark, tmp_path):
 def test_a_row_dated_in_the_future_ends_no_wait(spark, tmp_path):
     job = jobs.IncrementalMatch(spark, f"{tmp_path}/out", "run", "RAILS", 300, now=lambda: at(100))
     job.handle(entries(spark, [ledger_row(1, "a", ts=0), ledger_row(2, "b", ts=10**8)], []), 0)
-    assert job.breaks.rows().isEmpty() and job.waiting.part(0).count() == 2
+    assert job.breaks.rows().isEmpty() and job.waiting.state(0).count() == 2
 
 
 def test_bounded_deduplication(spark, tmp_path):
