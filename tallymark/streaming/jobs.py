@@ -18,7 +18,7 @@ from tallymark.operators import events, lifecycle
 from tallymark.operators.breaks import duplicate_breaks, leftover_breaks
 from tallymark.operators.matching import pair_exact, side_by_side, with_match_keys
 from tallymark.sources import messages as msg
-from tallymark.streaming.store import KeyedTable, Table
+from tallymark.streaming.store import KeyedTable, Table, at_once
 
 DEAD_LETTER = T.StructType([*schemas.MESSAGE.fields, T.StructField("error", T.StringType())])
 TRANSITION = T.StructType(
@@ -157,10 +157,9 @@ class IncrementalMatch:
         now: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     ):
         self.now = now
-        self.landed = Table(spark, f"{out}/landed", _ENTRY).create()
         self.pairing = Table(spark, f"{out}/pairing", _PAIRING).create()
         self.pairs = Table(spark, f"{out}/pairs", _PAIR).create()
-        self.waiting = KeyedTable(spark, f"{out}/waiting", _ENTRY)
+        self.waiting = KeyedTable(spark, f"{out}/waiting", _ENTRY, once=True)
         self.copies = KeyedTable(spark, f"{out}/copies", _COPIES)
         self.breaks = Table(spark, f"{out}/breaks", schemas.BREAK).create()
         self.clock = Table(spark, f"{out}/clock", _CLOCK).create()
@@ -174,13 +173,11 @@ class IncrementalMatch:
         return side_by_side(ledger, external)
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
-        self.landed.put(batch, batch_id)
-        rows = self.landed.part(batch_id)
+        rows = batch.select(*_ENTRY.names)
         arrived = F.lit(self.now()).cast("timestamp")
-        times = rows.agg(F.max(F.when(F.col("ts") <= arrived, F.col("ts"))).alias("latest"))
-        self.clock.put(times.unionByName(self.clock.before(batch_id)).agg(F.max("latest").alias("latest")), batch_id)
-        latest = self.clock.part(batch_id).first().latest
-        known = self.clock.part(batch_id - 1).first()
+        newest = rows.agg(F.max(F.when(F.col("ts") <= arrived, F.col("ts")))).first()[0]
+        before = self.clock.part(batch_id - 1).agg(F.max("latest")).first()[0]
+        latest = max((t for t in (newest, before) if t is not None), default=None)
         waiting = self.waiting.state(batch_id - 1)
         place = ["k_ref", "k_amount"]
         asked = with_match_keys(rows).select(*place).distinct()
@@ -189,10 +186,12 @@ class IncrementalMatch:
         ledger = both.where("side = 0").select(*schemas.columns(schemas.LEDGER))
         external = both.where("side = 1").drop("side")
         # All results are read from the pairing; it is written once.
-        self.pairing.put(pair_exact(ledger, external), batch_id)
+        copies, second = self._copies(rows.where("side = 1").drop("side"), batch_id, before)
+        clock = self.pairing.spark.createDataFrame([(latest,)], _CLOCK)
+        pairs = pair_exact(ledger, external)
+        at_once(lambda: self.pairing.put(pairs, batch_id), lambda: self.copies.commit(batch_id, *copies), lambda: self.clock.put(clock, batch_id))
         pairing = self.pairing.part(batch_id)
         paired = pairing.where("l IS NOT NULL AND e IS NOT NULL")
-        self.pairs.put(paired.select(F.col("l.ord").alias("l_ord"), F.col("e.ord").alias("e_ord")), batch_id)
         entry = F.coalesce("l", "e")
         side = F.when(F.col("l").isNotNull(), 0).otherwise(1)
         alone = _with_key(pairing.where("(l IS NULL) <> (e IS NULL)").select(side.alias("side"), entry.alias("x")).select("side", "x.*"))
@@ -201,15 +200,15 @@ class IncrementalMatch:
         settled = met.unionByName(alone.select("key"))
         ended = alone.where(over).select(*_ENTRY.names).unionByName(
             waiting.where(over).join(settled, "key", "left_anti").select(*_ENTRY.names))
-        second = self._second_copies(rows.where("side = 1").drop("side"), batch_id, known and known.latest)
-        self._to_breaks(_one_sided(ended), batch_id, latest, second)
-        before = waiting.select("key")
-        self.waiting.commit(
-            batch_id, alone.where(~over).join(before, "key", "left_anti"),
-            waiting.where(over).select("key").unionByName(before.join(met, "key", "left_semi")).distinct())
-
-    def _second_copies(self, events: DataFrame, batch_id: int, before: datetime | None) -> DataFrame:
-        """Events that are the second of their reference and amount; counts are kept by these two, null equal to null."""
+        fresh = alone.where(~over).join(_with_key(rows).select("key"), "key", "left_semi")
+        at_once(
+            lambda: self.pairs.put(paired.select(F.col("l.ord").alias("l_ord"), F.col("e.ord").alias("e_ord")), batch_id),
+            lambda: self._to_breaks(_one_sided(ended), batch_id, latest, second),
+            lambda: self.waiting.commit(batch_id, fresh, met.unionByName(_with_key(ended).select("key"))),
+        )
+
+    def _copies(self, events: DataFrame, batch_id: int, before: datetime | None) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
+        """New counts by reference and amount (null equal to null) with keys to forget, and the events that are second."""
         named = events.withColumn("key", F.to_json(F.struct("reference", "amount"), {"ignoreNullFields": "false"}))
         state = self.copies.state(batch_id - 1)
         forgotten = F.lit(False) if before is None else F.coalesce(F.col("latest") < F.lit(before - self.patience), F.lit(False))
@@ -223,8 +222,11 @@ class IncrementalMatch:
         merged = counts.join(kept, "key", "left").select(
             "key", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"),
             F.when(~F.coalesce(endless, F.lit(False)), F.greatest("latest", "_latest")).alias("latest"))
-        self.copies.commit(batch_id, merged, state.where(forgotten).select("key").join(counts, "key", "left_anti"))
-        return two.join(kept, "key", "left").where(F.col("_place") + F.coalesce("_n", F.lit(0)) == 2).select(*schemas.columns(schemas.EXTERNAL))
+        # What is over is left out of the snapshots; until then it is passed over.
+        last = (batch_id + 1) % self.copies.compact_every == 0
+        old = state.where(forgotten).select("key").join(counts, "key", "left_anti") if last else counts.select("key").limit(0)
+        second = two.join(kept, "key", "left").where(F.col("_place") + F.coalesce("_n", F.lit(0)) == 2)
+        return (merged, old), second.select(*schemas.columns(schemas.EXTERNAL))
 
     def _to_breaks(self, alone: DataFrame, batch_id: int, now: datetime | None, second: DataFrame | None = None) -> None:
         at = F.lit(now).cast("timestamp")

@@ -6,6 +6,10 @@ whole, so a micro-batch that runs twice leaves the same table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +48,13 @@ class Table:
         return self.read().drop(PART)
 
 
+def at_once(*jobs: Callable[[], None]) -> None:
+    """Independent writes side by side: small ones leave most cores idle."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(inheritable_thread_target(job)) for job in jobs]:
+            done.result()
+
+
 def numbered(spark: SparkSession, folder: str, name: str, finished: bool = True) -> list[int]:
     """Numbers n of the folders `name=n` below `folder`; only those with the writer's mark of success if `finished`."""
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -63,8 +74,9 @@ class KeyedTable:
     repeated replaces its part.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, compact_every: int = 16):
-        self.spark, self.path, self.compact_every = spark, path.rstrip("/"), compact_every
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, compact_every: int = 16, once: bool = False):
+        """`once`: a key is never added again, so that marks of removal settle what is left without an aggregation."""
+        self.spark, self.path, self.compact_every, self.once = spark, path.rstrip("/"), compact_every, once
         self.names = [f.name for f in schema.fields]
         self.schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("gone", T.BooleanType()), *schema.fields])
 
@@ -80,15 +92,20 @@ class KeyedTable:
     def state(self, upto: int) -> DataFrame:
         """key and columns after commit `upto`."""
         since = max((s for s in numbered(self.spark, f"{self.path}/snapshots", "commit") if s <= upto), default=-1)
-        base = self.spark.createDataFrame([], self.schema)
+        later = [n for n in numbered(self.spark, f"{self.path}/log", "commit") if since < n <= upto]
+        places = [f"{self.path}/log/commit={n}" for n in later]
         if since >= 0:
-            base = self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshots/commit={since}")
-        base = base.select(F.lit(-1).alias("_n"), "key", F.lit(False).alias("gone"), *self.names)
-        for n in numbered(self.spark, f"{self.path}/log", "commit"):
-            if since < n <= upto:
-                part = self.spark.read.schema(self.schema).parquet(f"{self.path}/log/commit={n}")
-                base = base.unionByName(part.withColumn("_n", F.lit(n)))
-        last = base.groupBy("key").agg(F.max_by(F.struct("gone", *self.names), "_n").alias("x"))
+            places.append(f"{self.path}/snapshots/commit={since}")
+        columns = [F.col(c) for c in ("key", *self.names)]
+        if not places:
+            return self.spark.createDataFrame([], self.schema).select(*columns)
+        # A snapshot has no `gone`: null there, as good as false.
+        rows = self.spark.read.schema(self.schema).parquet(*places)
+        gone = F.coalesce("gone", F.lit(False))
+        if self.once:
+            return rows.where(~gone).select(*columns).join(rows.where(gone).select("key"), "key", "left_anti")
+        version = F.coalesce(F.regexp_extract(F.col("_metadata.file_path"), r"/log/commit=(\d+)/", 1).try_cast("bigint"), F.lit(-1))
+        last = rows.select("*", version.alias("_n")).groupBy("key").agg(F.max_by(F.struct(gone.alias("gone"), *self.names), "_n").alias("x"))
         return last.where("NOT x.gone").select("key", *[F.col(f"x.{c}") for c in self.names])
 
 
