@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark import schemas
+from tallymark.functions.ranking import before
+from tallymark.functions.scalars import micros
 from tallymark.operators.breaks import as_column
 
 _KEY = ["source", "asset"]
@@ -72,3 +74,33 @@ def check_snapshots(flows: DataFrame, snapshots: DataFrame) -> DataFrame:
         *_KEY, "reported", "reported_at", "ledger_total", delta.alias("delta"),
         (delta == 0).alias("matched"),
     )
+
+
+def all_windows(flows: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Every two consecutive snapshots of a source and asset: opening + flows in between against closing.
+
+    Flows and snapshots are merged by time; a snapshot carries the total of all
+    flows up to its time, flows of that very time included, and takes the last
+    snapshot before it as its opening. Both are prefixes that are cut into
+    slices, so that a key of any size is spread. Of snapshots with one time the
+    later arrival counts; rows without a time take no part.
+    """
+    money = schemas.MATCH_MONEY
+    zero = F.lit(0).cast(money)
+    reported = snapshots.where("ts IS NOT NULL").groupBy(*_KEY, "ts").agg(F.max_by("balance", "ord").alias("balance"))
+    none = F.lit(None).cast(money)
+    # Twice the time, and one more for snapshots: they come behind all flows of their time.
+    merged = flows.where("ts IS NOT NULL").select(
+        *_KEY, (micros("ts") * 2).alias("ord"), F.col("amount").cast(money).alias("amount"), none.alias("balance"), F.lit(False).alias("is_snapshot"),
+    ).unionByName(reported.select(
+        *_KEY, (micros("ts") * 2 + 1).alias("ord"), none.alias("amount"), F.col("balance").cast(money).alias("balance"), F.lit(True).alias("is_snapshot")))
+    totals = before(merged, _KEY, F.col("amount"), "upto").where("is_snapshot").select(
+        *_KEY, "ord", "balance", F.coalesce(F.col("upto").cast(money), zero).alias("upto"))
+    last = before(totals, _KEY, F.struct("ord", "balance", "upto"), "last", F.max).where("last IS NOT NULL")
+    net = (F.col("upto") - F.col("last.upto")).cast(money)
+    expected = (F.coalesce("last.balance", zero) + net).cast(money)
+    delta = (F.coalesce("balance", zero) - expected).cast(money)
+    return last.select(
+        *_KEY, F.timestamp_micros(F.expr("(last.ord - 1) div 2")).alias("opened_at"), F.timestamp_micros(F.expr("(ord - 1) div 2")).alias("closed_at"),
+        F.coalesce("last.balance", zero).alias("opening"), net.alias("net_flow"), F.coalesce("balance", zero).alias("actual_closing"),
+        expected.alias("expected_closing"), delta.alias("delta"), (delta == 0).alias("matched"))

@@ -68,7 +68,9 @@ class BreakTable:
         done = self.commits(upto=upto)
         if not done:
             return
-        state = self.state(upto).withColumn("open", F.col("status") == "OPEN").withColumn("bucket", self._bucket("break_id"))
+        # A snapshot that is written again must not read itself.
+        since = max((s for s in self.snapshots() if s < done[-1]), default=-1)
+        state = self.state(upto, since=since).withColumn("open", F.col("status") == "OPEN").withColumn("bucket", self._bucket("break_id"))
         state.repartition("open", "bucket").write.mode("overwrite").partitionBy("open", "bucket").parquet(
             f"{self.path}/snapshots/commit={done[-1]}")
 

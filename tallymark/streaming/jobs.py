@@ -18,6 +18,8 @@ from tallymark.operators import events, lifecycle
 from tallymark.operators.breaks import duplicate_breaks, leftover_breaks
 from tallymark.operators.matching import pair_exact, side_by_side, with_match_keys
 from tallymark.sources import messages as msg
+from tallymark.streaming.id_index import KEY, IdIndex
+from tallymark.streaming.message_sink import send
 from tallymark.streaming.store import KeyedTable, Table, at_once
 
 DEAD_LETTER = T.StructType([*schemas.MESSAGE.fields, T.StructField("error", T.StringType())])
@@ -82,6 +84,8 @@ class Ingestion:
     """Messages to stored events and dead letters; new events close timing breaks.
 
     A micro-batch is parsed once and landed; what follows reads the landed part.
+    Which ids are stored is asked of an index that opens the buckets of the
+    arriving ids only, and forgets none.
     """
 
     def __init__(
@@ -95,6 +99,7 @@ class Ingestion:
     ):
         self.landed = Table(spark, f"{out}/landed", _LANDED).create()
         self.events = Table(spark, f"{out}/events", schemas.EXTERNAL_EVENT).create()
+        self.ids = IdIndex(spark, f"{out}/ids")
         self.dead_letters = Table(spark, f"{out}/dead_letters", DEAD_LETTER).create()
         self.transitions = Table(spark, f"{out}/transitions", TRANSITION).create()
         self.breaks = breaks
@@ -104,8 +109,9 @@ class Ingestion:
         self.landed.put(msg.prepare(batch), batch_id)
         prepared = self.landed.part(batch_id)
         self.dead_letters.put(msg.dead_letters(prepared), batch_id)
-        fresh = msg.ingest(msg.events_of(prepared), self.events.before(batch_id))
-        self.events.put(fresh, batch_id)
+        arrived = msg.first_of_each(msg.events_of(prepared))
+        self.events.put(arrived.join(self.ids.known(arrived, batch_id), KEY, "left_anti"), batch_id)
+        self.ids.add(batch_id, self.events.part(batch_id))
         if self.breaks is not None and self.auto_resolve:
             arrived = msg.external_entries(self.events.part(batch_id))
             self.resolve(arrived, batch_id)
@@ -122,6 +128,12 @@ class Ingestion:
     def dead_letter_messages(self) -> DataFrame:
         return events.dead_letter_messages(self.dead_letters.rows())
 
+    def send(self, path: str, batch_id: int) -> None:
+        """Dead letters and audits of a micro-batch to their topics, once however often it is tried."""
+        letters = events.dead_letter_messages(self.dead_letters.part(batch_id))
+        audits = events.as_audit_messages(lifecycle.audits_of(self.transitions.part(batch_id)))
+        send(letters.unionByName(audits), path, f"batch-{batch_id}")
+
     def resolve(self, arrived: DataFrame, batch_id: int) -> None:
         closed = self.transitions.before(batch_id).select("break_id")
         still_open = self.breaks.join(closed, "break_id", "left_anti")

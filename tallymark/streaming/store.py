@@ -87,11 +87,15 @@ class KeyedTable:
             removed.select("key", F.lit(True).alias("gone"), *empty))
         changes.write.mode("overwrite").parquet(f"{self.path}/log/commit={n}")
         if (n + 1) % self.compact_every == 0:
-            self.state(n).write.mode("overwrite").parquet(f"{self.path}/snapshots/commit={n}")
+            self._state(n, before=n).write.mode("overwrite").parquet(f"{self.path}/snapshots/commit={n}")
 
     def state(self, upto: int) -> DataFrame:
         """key and columns after commit `upto`."""
-        since = max((s for s in numbered(self.spark, f"{self.path}/snapshots", "commit") if s <= upto), default=-1)
+        return self._state(upto, upto + 1)
+
+    def _state(self, upto: int, before: int) -> DataFrame:
+        """From the last snapshot before `before`: one that is written again must not read itself."""
+        since = max((s for s in numbered(self.spark, f"{self.path}/snapshots", "commit") if s < before), default=-1)
         later = [n for n in numbered(self.spark, f"{self.path}/log", "commit") if since < n <= upto]
         places = [f"{self.path}/log/commit={n}" for n in later]
         if since >= 0:
