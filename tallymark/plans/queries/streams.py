@@ -217,7 +217,7 @@ _LIFE = f"""
 {{p}}_timed AS (SELECT s.*, s.ord // 10000000000000 AS batch, b.detected_at, b.age_seconds AS age0, b.status AS status0, b.resolved_at AS resolved0,
     ({_TICK.format(batch="(s.ord // 10000000000000)")}) - CASE WHEN s.what = 'tick' THEN INTERVAL '0' SECOND ELSE INTERVAL '60' SECOND END AS at
   FROM {{p}}_steps s JOIN {{p}}_ruled b ON b.break_id = s.break_id),
-{{p}}_state AS (SELECT m.upto, break_id, count(*) AS versions,
+{{p}}_state AS (SELECT m.upto, break_id,
     CASE max_by(what, t.ord) WHEN 'detected' THEN any_value(status0) WHEN 'auto' THEN 'RESOLVED' WHEN 'resolve' THEN 'RESOLVED' ELSE 'ESCALATED' END AS status,
     coalesce(max_by(CASE WHEN what = 'auto' THEN 0 ELSE {AGE_SQL.format(now="t.at", a="t")} END, t.ord) FILTER (what IN ('auto', 'tick', 'escalate')), any_value(age0)) AS age_seconds,
     coalesce(epoch_us(any_value(resolved0)), min(epoch_us(t.at)) FILTER (what IN ('auto', 'resolve'))) AS resolved_us
@@ -259,26 +259,17 @@ def _loop(spark, d, out: str) -> break_table.SharedBreaks:
 @query(
     "shared_breaks",
     with_inputs(["fx_loop_breaks", "fx_loop_events", "fx_loop_commands", "fx_rules"], _STATES + """
-SELECT break_id, status, age_seconds, resolved_us, versions FROM states WHERE upto = 3"""),
+SELECT upto, break_id, status, age_seconds, resolved_us FROM states"""),
 )
 def shared_breaks(spark, d):
-    """State and number of versions after runs, ingestion, commands and escalation have shared one table."""
-    job = _loop(spark, d, run_folder(spark, "shared-breaks"))
-    counts = job.table.versions().groupBy("break_id").agg(F.count("*").alias("versions"))
-    return job.table.state().join(counts, "break_id").select("break_id", "status", "age_seconds", us("resolved_at", "resolved_us"), "versions")
+    """Runs, ingestion, commands and escalation share one table: its states at three past times and its last one.
 
-
-@query(
-    "break_state_at",
-    with_inputs(["fx_loop_breaks", "fx_loop_events", "fx_loop_commands", "fx_rules"], _STATES + """
-SELECT upto, break_id, status, age_seconds, resolved_us FROM states WHERE upto < 3"""),
-)
-def break_state_at(spark, d):
-    """The states of three past times, each from the nearest snapshot and the versions since."""
-    job = _loop(spark, d, run_folder(spark, "state-at"))
+    A past state is read from the nearest snapshot and the versions since.
+    """
+    table = _loop(spark, d, run_folder(spark, "shared-breaks")).table
+    past = [table.state_at(datetime(2024, 1, 1, 0, 45, tzinfo=timezone.utc) + timedelta(minutes=50 * n)) for n in range(MICRO_BATCHES - 1)]
     states = [
-        job.table.state_at(datetime(2024, 1, 1, 0, 45, tzinfo=timezone.utc) + timedelta(minutes=50 * n)).select(
-            F.lit(n).cast("bigint").alias("upto"), "break_id", "status", "age_seconds", us("resolved_at", "resolved_us"))
-        for n in range(3)
+        state.select(F.lit(n).cast("bigint").alias("upto"), "break_id", "status", "age_seconds", us("resolved_at", "resolved_us"))
+        for n, state in enumerate([*past, table.state()])
     ]
-    return states[0].unionByName(states[1]).unionByName(states[2])
+    return states[0].unionByName(states[1]).unionByName(states[2]).unionByName(states[3])

@@ -20,7 +20,7 @@ from tallymark.operators.matching import pair_exact, side_by_side, with_match_ke
 from tallymark.sources import messages as msg
 from tallymark.streaming.id_index import KEY, IdIndex
 from tallymark.streaming.message_sink import send
-from tallymark.streaming.store import KeyedTable, Table, at_once
+from tallymark.streaming.store import PART, KeyedTable, Table, at_once
 
 DEAD_LETTER = T.StructType([*schemas.MESSAGE.fields, T.StructField("error", T.StringType())])
 TRANSITION = T.StructType(
@@ -35,6 +35,7 @@ TRANSITION = T.StructType(
         T.StructField("at", T.TimestampType()),
     ]
 )
+_STORED = T.StructType([*schemas.EXTERNAL_EVENT.fields, T.StructField("ingested_at", T.TimestampType())])
 _LANDED = T.StructType(
     [
         *DEAD_LETTER.fields,
@@ -98,7 +99,7 @@ class Ingestion:
         now: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     ):
         self.landed = Table(spark, f"{out}/landed", _LANDED).create()
-        self.events = Table(spark, f"{out}/events", schemas.EXTERNAL_EVENT).create()
+        self.events = Table(spark, f"{out}/events", _STORED).create()
         self.ids = IdIndex(spark, f"{out}/ids")
         self.dead_letters = Table(spark, f"{out}/dead_letters", DEAD_LETTER).create()
         self.transitions = Table(spark, f"{out}/transitions", TRANSITION).create()
@@ -110,12 +111,24 @@ class Ingestion:
         prepared = self.landed.part(batch_id)
         self.dead_letters.put(msg.dead_letters(prepared), batch_id)
         arrived = msg.first_of_each(msg.events_of(prepared))
-        self.events.put(arrived.join(self.ids.known(arrived, batch_id), KEY, "left_anti"), batch_id)
+        fresh = arrived.join(self.ids.known(arrived, batch_id), KEY, "left_anti")
+        self.events.put(fresh.withColumn("ingested_at", F.lit(self.now()).cast("timestamp")), batch_id)
         self.ids.add(batch_id, self.events.part(batch_id))
         if self.breaks is not None and self.auto_resolve:
             arrived = msg.external_entries(self.events.part(batch_id))
             self.resolve(arrived, batch_id)
 
+    def listed(self, source: str | None = None, limit: int | None = None) -> DataFrame:
+        """Stored events as they were ingested: by micro-batch, then by position in it.
+
+        Offsets of different partitions are never compared across micro-batches.
+        """
+        rows = self.events.read()
+        if source is not None:
+            rows = rows.where(F.col("source") == source)
+        rows = rows.orderBy(PART, "ord").drop(PART)
+        return rows if limit is None else rows.limit(limit)
+
     def state(self) -> DataFrame:
         """The breaks as they are now."""
         log = self.transitions.read().withColumnRenamed("batch_id", "step")
