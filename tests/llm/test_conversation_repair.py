@@ -44,7 +44,7 @@ def repaired(rows):
 @pytest.mark.parametrize("seed", range(40))
 def test_against_all_repairs(seed):
     rng = random.Random(seed)
-    rows = [(rng.choice("suuaa t"), rng.choice([0, 0, 0, 1, 2, 3])) for _ in range(rng.randint(0, 4))]
+    rows = [(rng.choice("suuaa t"), rng.choice([0, 0, 0, 1, 2, 3])) for _ in range(rng.randint(0, 3))]
     assert repaired(rows)[:2] == all_repairs(rows)
 
 
