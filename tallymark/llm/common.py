@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallymark.session import materialise, run_folder
 
-__all__ = ["ship", "file_system", "materialise", "run_folder", "table", "documents", "rows_of", "settle", "words", "ascii_lower", "tasks_for", "tokenizer"]
+__all__ = ["ship", "file_system", "materialise", "run_folder", "table", "documents", "rows_of", "few", "settle", "words", "ascii_lower", "tasks_for", "tokenizer"]
 
 #: ASCII white space as a Java class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -62,6 +62,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A side of a join is broadcast up to so many narrow rows (a few numbers each, about 100 MB at most), found by counting.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows as a table, to be broadcast if there are at most `most` of them; else the session picks the join."""
+    kept = materialise(rows)
+    return F.broadcast(kept) if kept.count() <= (BROADCAST_ROWS if most is None else most) else kept
+
+
 def settle(spark: SparkSession) -> None:
     """Lets the driver drop what no frame needs any more; Spark then deletes the shuffle files behind it."""
     gc.collect()

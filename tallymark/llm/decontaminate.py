@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import ascii_lower, materialise, words
+from tallymark.llm.common import ascii_lower, few, materialise, words
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 10
@@ -159,7 +159,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` in which no window of the benchmark occurs, all columns kept."""
     found, _ = benchmark_hits(docs.select("doc_id", "text"), benchmark)
-    bad = found.where("window IS NOT NULL").select("doc_id", "version").distinct().alias("b")
+    bad = few(found.where("window IS NOT NULL").select("doc_id", "version").distinct()).alias("b")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("v"))
     return rows.join(bad, F.expr("row.doc_id <=> b.doc_id AND v = b.version"), "left_anti").select("row.*")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import SPACE, materialise, words
+from tallymark.llm.common import SPACE, few, materialise, words
 
 WINDOW = 5
 #: A fence lies this many interquartile ranges beyond the upper or lower quartile ...
@@ -158,15 +158,17 @@ def fences(sketches: DataFrame) -> DataFrame:
     )
 
 
-def judge(stats: DataFrame) -> DataFrame:
-    """`stats` (with lang and source) plus base_failed and kept.
+def judge(stats: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """`rows` (with the columns of `stats`, which are `rows` if not given) plus base_failed and kept.
 
     A null language or source counts as an empty one. A document is kept if
     it passes the base rules and no measure lies beyond its group's fences. A
     group of fewer than `LEAST_DOCS` documents uses its language's fences, a
     rare language those of all documents. Empty input gives no rows.
     """
-    stats = stats.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("lang", "source")})
+    named = {c: F.coalesce(F.col(c), F.lit("")) for c in ("lang", "source")}
+    rows = (stats if rows is None else rows).withColumns(named)
+    stats = stats.withColumns(named)
     limits = fences(quantile_sketches(stats))
     columns = [c for c in limits.columns if c not in ("level", "lang", "source")]
     asked = limits.where("level = 2").select(
@@ -192,19 +194,29 @@ def judge(stats: DataFrame) -> DataFrame:
         & (r["word_length"] <= F.col("limit.word_length_most"))
         & (r["word_length"] >= F.col("limit.word_length_least"))
     )
+    # One row per language and source: rows stay where they are.
     return (
-        stats.withColumn("base_failed", base_failed())
-        .join(chosen, ["lang", "source"])
+        rows.withColumn("base_failed", base_failed())
+        .join(few(chosen), ["lang", "source"])
         .withColumn("kept", ~F.col("base_failed") & inside)
         .drop("limit")
     )
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` (any columns besides doc_id, text, lang, source) that are kept."""
+    """The rows of `docs` (any columns besides doc_id, text, lang, source) that are kept.
+
+    A null text has no words and goes, as do all texts of fewer than ten words. Texts are read twice,
+    once for the sketches and once to be judged, and neither shuffled nor written on the way.
+    """
+    columns = ["doc_id", "text", "lang", "source"]
+    counts = materialise(text_statistics(docs.select(*columns), keep=["lang", "source"]))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    rows = whole.select(*[F.col(f"_row.{c}").alias(c) for c in ("doc_id", "text", "lang", "source")], "_row")
-    judged = judge(materialise(text_statistics(rows, keep=["lang", "source", "_row"])))
+    rows = whole.select(*[F.col(f"_row.{c}").alias(c) for c in columns], "_row")
+    stats = text_statistics(rows, keep=["lang", "source", "_row"])
+    # Generated columns keep the optimizer from working the counts out anew wherever a rule names them.
+    once = F.inline(F.array(F.struct(*[c for c in stats.columns if c not in ("lang", "source", "_row")])))
+    judged = judge(counts, stats.select("lang", "source", "_row", once))
     return judged.where("kept").select("_row.*")
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import materialise, tasks_for
+from tallymark.llm.common import few, materialise, tasks_for
 
 SHINGLE = 4
 RADIUS = 4
@@ -251,11 +251,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of its component, all columns kept.
 
-    Of rows with one doc_id one stays; rows without a doc_id all stay.
+    Of rows with one doc_id one stays, the one whose text has the smallest hash; rows without a doc_id all stay.
+    Texts are not shuffled while the ids that go are few enough to be broadcast.
     """
     found = near_duplicates(docs.select("doc_id", "text"), radius)
     found = materialise(found.select("doc_id", "component_id"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = few(found.where("doc_id <> component_id").select("doc_id").distinct())
     rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     rows = rows.join(gone, F.col("_id") == F.col("doc_id"), "left_anti")
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():

@@ -15,7 +15,7 @@ ODD = [None, "", " \n\t ", "a", "one two three four five", "x " * 3000, "É é 
 @needs_data
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
-    views = {t: f"{DATA}/{t}.parquet" for t in ("documents", "pages", "benchmark")}
+    views = {t: f"{DATA}/{t}.parquet" for t in ("documents", "pages", "benchmark", "embeddings", "conversations")}
     assert same_as_sql(run(spark, name), queries.ORACLES[name], views)
 
 
