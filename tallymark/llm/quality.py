@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import SPACE, few, materialise, words
 
 WINDOW = 5
-#: A fence lies this many interquartile ranges beyond the upper or lower quartile ...
-REACH = 3
-#: ... but at least this far: symbols and repeated lines in thousandths, word length in hundredths.
-SLACK = {"symbol_rate": 50, "dup_line_rate": 400, "word_length": 150}
+#: The share of documents, in percent, that lies in a tail of each measure; the sketch tells where the tail begins.
+TAIL = {"symbol_rate": 15, "dup_line_rate": 3, "word_length": 15}
+#: A fence lies this many spreads (from the lower tail to the upper one) beyond the tail's beginning.
+REACH = 2
 #: A group with fewer documents takes the sketch of its language, or else of everything.
 LEAST_DOCS = 100
 
@@ -135,43 +135,43 @@ def quantile_sketches(stats: DataFrame) -> DataFrame:
 
 
 def fences(sketches: DataFrame) -> DataFrame:
-    """(level, lang, source, n, and per measure its lower and upper fence)."""
+    """(level, lang, source, n, and per measure where its upper tail begins and its spread).
+
+    Word length also has the place where its lower tail ends.
+    """
     low, high = (_spark_sql(x) for x in bucket_edges("bucket"))
     over = "(PARTITION BY level, lang, source, measure"
-    ranked = sketches.selectExpr(
-        "level", "lang", "source", "measure", "bucket",
+    share = F.create_map(*[x for k, v in TAIL.items() for x in (F.lit(k), F.lit(v))])[F.col("measure")]
+    ranked = sketches.select("level", "lang", "source", "measure", "bucket", "docs", share.alias("share")).selectExpr(
+        "level", "lang", "source", "measure", "bucket", "share",
         f"sum(docs) OVER {over} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto",
         f"sum(docs) OVER {over}) AS n",
     )
-    quartiles = ranked.groupBy("level", "lang", "source", "measure").agg(
+    tails = ranked.groupBy("level", "lang", "source", "measure").agg(
         F.max("n").alias("n"),
-        F.expr(f"min(CASE WHEN 4 * upto >= n THEN {low} END)").alias("q1"),
-        F.expr(f"min(CASE WHEN 4 * upto >= 3 * n THEN {high} END)").alias("q3"),
+        F.expr(f"min(CASE WHEN 100 * upto >= share * n THEN {low} END)").alias("lower"),
+        F.expr(f"min(CASE WHEN 100 * upto >= (100 - share) * n THEN {high} END)").alias("upper"),
     )
-    slack = F.create_map(*[x for k, v in SLACK.items() for x in (F.lit(k), F.lit(v))])
-    reach = F.greatest(REACH * (F.col("q3") - F.col("q1")), slack[F.col("measure")])
-    pick = lambda c, name: F.max(F.when(F.col("measure") == name, c))
-    return quartiles.groupBy("level", "lang", "source").agg(
+    pick = lambda c, name: F.max(F.when(F.col("measure") == name, F.expr(c)))
+    return tails.groupBy("level", "lang", "source").agg(
         F.max("n").alias("n"),
-        *[pick(F.col("q3") + reach, name).alias(f"{name}_most") for name in SLACK],
-        pick(F.col("q1") - reach, "word_length").alias("word_length_least"),
+        *[pick("upper", name).alias(f"{name}_upper") for name in TAIL],
+        *[pick("upper - lower", name).alias(f"{name}_spread") for name in TAIL],
+        pick("lower", "word_length").alias("word_length_lower"),
     )
 
 
-def judge(stats: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """`rows` (with the columns of `stats`, which are `rows` if not given) plus base_failed and kept.
+def limits_by_group(stats: DataFrame) -> DataFrame:
+    """(lang, source, limit): the highest measures that are allowed, and the least word length.
 
-    A null language or source counts as an empty one. A document is kept if
-    it passes the base rules and no measure lies beyond its group's fences. A
-    group of fewer than `LEAST_DOCS` documents uses its language's fences, a
-    rare language those of all documents. Empty input gives no rows.
+    A group of fewer than `LEAST_DOCS` documents takes the tails of its language, a rare language those of
+    all documents. The spread is the widest of the group's own, its language's and that of all documents, so
+    that a group made of copies, which has none, does not refuse all other texts. One rounding unit is the
+    least that a fence lies beyond a tail.
     """
-    named = {c: F.coalesce(F.col(c), F.lit("")) for c in ("lang", "source")}
-    rows = (stats if rows is None else rows).withColumns(named)
-    stats = stats.withColumns(named)
-    limits = fences(quantile_sketches(stats))
-    columns = [c for c in limits.columns if c not in ("level", "lang", "source")]
-    asked = limits.where("level = 2").select(
+    found = fences(quantile_sketches(stats))
+    columns = [c for c in found.columns if c not in ("level", "lang", "source")]
+    asked = found.where("level = 2").select(
         "lang", "source",
         F.explode(
             F.array(
@@ -181,12 +181,38 @@ def judge(stats: DataFrame, rows: DataFrame | None = None) -> DataFrame:
             )
         ).alias("g"),
     )
-    found = limits.select("level", F.col("lang").alias("l"), F.col("source").alias("s"), F.struct(*columns).alias("limit"))
-    chosen = (
-        asked.select("lang", "source", "g.*").join(found, ["level", "l", "s"])
-        .where((F.col("level") == 0) | (F.col("limit.n") >= LEAST_DOCS))
-        .groupBy("lang", "source").agg(F.max_by("limit", "level").alias("limit"))
+    by_level = found.select("level", F.col("lang").alias("l"), F.col("source").alias("s"), *columns)
+    usable = F.when((F.col("level") == 0) | (F.col("n") >= LEAST_DOCS), F.col("level"))
+    spreads = [f"{m}_spread" for m in TAIL]
+    chosen = asked.select("lang", "source", "g.*").join(by_level, ["level", "l", "s"]).groupBy("lang", "source").agg(
+        *[F.max_by(c, usable).alias(c) for c in columns if c != "n"],
+        *[F.max(F.when(F.col("level") == 2, F.col(c))).alias(f"_{c}") for c in ("n", *spreads)],
+    )
+    of_language = Window.partitionBy("lang")
+    chosen = chosen.withColumns({
+        c: F.greatest(c, F.floor(F.sum(F.col(f"_{c}") * F.col("_n")).over(of_language) / F.sum("_n").over(of_language)))
+        for c in spreads
+    })
+    reach = {m: F.greatest(REACH * F.col(f"{m}_spread"), F.lit(1)) for m in TAIL}
+    return chosen.select(
+        "lang", "source",
+        F.struct(
+            *[(F.col(f"{m}_upper") + reach[m]).alias(f"{m}_most") for m in TAIL],
+            (F.col("word_length_lower") - reach["word_length"]).alias("word_length_least"),
+        ).alias("limit"),
     )
+
+
+def judge(stats: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """`rows` (with the columns of `stats`, which are `rows` if not given) plus base_failed and kept.
+
+    A null language or source counts as an empty one. A document is kept if
+    it passes the base rules and no measure lies beyond the fences of its language and source. Empty input
+    gives no rows, repeated rows are judged each on its own.
+    """
+    named = {c: F.coalesce(F.col(c), F.lit("")) for c in ("lang", "source")}
+    rows = (stats if rows is None else rows).withColumns(named)
+    limits = limits_by_group(stats.withColumns(named))
     r = rates()
     inside = (
         (r["symbol_rate"] <= F.col("limit.symbol_rate_most"))
@@ -197,7 +223,7 @@ def judge(stats: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     # One row per language and source: rows stay where they are.
     return (
         rows.withColumn("base_failed", base_failed())
-        .join(few(chosen), ["lang", "source"])
+        .join(few(limits), ["lang", "source"])
         .withColumn("kept", ~F.col("base_failed") & inside)
         .drop("limit")
     )
@@ -206,7 +232,8 @@ def judge(stats: DataFrame, rows: DataFrame | None = None) -> DataFrame:
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (any columns besides doc_id, text, lang, source) that are kept.
 
-    A null text has no words and goes, as do all texts of fewer than ten words. Texts are read twice,
+    A null text has no words and goes, as do all texts of fewer than ten words; a null language or source
+    counts as an empty one and stays null in the result. Texts are read twice,
     once for the sketches and once to be judged, and neither shuffled nor written on the way.
     """
     columns = ["doc_id", "text", "lang", "source"]
@@ -232,7 +259,11 @@ def oracle(table: str = "documents") -> str:
     """The same verdicts in SQL."""
     low, high = bucket_edges("bucket")
     bucket = sketch_bucket("value")
-    fence = lambda name: f"max(CASE WHEN measure = '{name}' THEN q3 + reach END) AS {name}_most"
+    part = lambda value, name, to: f"max(CASE WHEN measure = '{name}' THEN {value} END) AS {name}_{to}"
+    share = f"CASE measure {' '.join(f"WHEN '{k}' THEN {v}" for k, v in TAIL.items())} END"
+    tail = lambda c: f"CASE WHEN a.n >= {LEAST_DOCS} THEN a.{c} WHEN b.n >= {LEAST_DOCS} THEN b.{c} ELSE z.{c} END"
+    reach = lambda m: (
+        f"greatest(1, {REACH} * greatest({tail(m + '_spread')}, CAST(floor(t.{m}_spread) AS BIGINT)))")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
              row_number() OVER () AS row_id FROM {table}),
@@ -264,17 +295,17 @@ g AS (SELECT 2 AS level, * FROM m UNION ALL SELECT 1, lang, '', measure, value F
 k AS (SELECT level, lang, source, measure, {bucket} AS bucket, count(*) AS docs FROM g GROUP BY ALL),
 c AS (SELECT *, sum(docs) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto,
         sum(docs) OVER (PARTITION BY level, lang, source, measure) AS n FROM k),
-q AS (SELECT level, lang, source, measure, max(n) AS n, min(CASE WHEN 4 * upto >= n THEN {low} END) AS q1,
-        min(CASE WHEN 4 * upto >= 3 * n THEN {high} END) AS q3 FROM c GROUP BY ALL),
-f AS (SELECT level, lang, source, max(n) AS n, {', '.join(fence(x) for x in SLACK)},
-        max(CASE WHEN measure = 'word_length' THEN q1 - reach END) AS word_length_least
-      FROM (SELECT *, greatest({REACH} * (q3 - q1), CASE measure
-            {' '.join(f"WHEN '{k}' THEN {v}" for k, v in SLACK.items())} END) AS reach FROM q) GROUP BY ALL),
-chosen AS (SELECT a.lang, a.source, CASE WHEN a.n >= {LEAST_DOCS} THEN 2 WHEN b.n >= {LEAST_DOCS} THEN 1 ELSE 0 END AS level
-      FROM f a JOIN f b ON b.level = 1 AND a.lang = b.lang WHERE a.level = 2),
-x AS (SELECT r.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, f.* EXCLUDE (lang, source, level, n)
-      FROM r JOIN chosen h ON r.lang = h.lang AND r.source = h.source
-      JOIN f ON f.level = h.level AND (h.level = 0 OR f.lang = h.lang) AND (h.level < 2 OR f.source = h.source))
+q AS (SELECT level, lang, source, measure, max(n) AS n, min(CASE WHEN 100 * upto >= {share} * n THEN {low} END) AS lower,
+        min(CASE WHEN 100 * upto >= (100 - {share}) * n THEN {high} END) AS upper FROM c GROUP BY ALL),
+f AS (SELECT level, lang, source, max(n) AS n, {', '.join(part('upper', x, 'upper') for x in TAIL)},
+        {', '.join(part('upper - lower', x, 'spread') for x in TAIL)}, {part('lower', 'word_length', 'lower')}
+      FROM q GROUP BY ALL),
+t AS (SELECT lang, {', '.join(f'sum({x}_spread * n) / sum(n) AS {x}_spread' for x in TAIL)} FROM f WHERE level = 2 GROUP BY lang),
+h AS (SELECT a.lang, a.source, {', '.join(f"{tail(x + '_upper')} + {reach(x)} AS {x}_most" for x in TAIL)},
+        {tail('word_length_lower')} - {reach('word_length')} AS word_length_least
+      FROM f a JOIN f b ON b.level = 1 AND a.lang = b.lang JOIN f z ON z.level = 0 JOIN t ON t.lang = a.lang WHERE a.level = 2),
+x AS (SELECT r.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, h.* EXCLUDE (lang, source)
+      FROM r JOIN h ON r.lang = h.lang AND r.source = h.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND symbol_rate <= symbol_rate_most AND dup_line_rate <= dup_line_rate_most
   AND word_length <= word_length_most AND word_length >= word_length_least AS kept FROM x

@@ -45,6 +45,32 @@ def test_quality_fences_follow_the_group(spark):
     assert kept[0] and kept[200] and not kept[400]
 
 
+def test_quality_fences_come_from_the_sketches(spark):
+    def text(doc, letters, symbols):
+        return " ".join(f"{chr(97 + doc % 26) * (letters + (doc + k) % 3 + doc % 2)}{k}" + ("#" if k < symbols else "") for k in range(40))
+
+    rows = [(k, text(k, 3, k % 10), "en", "a", 0) for k in range(200)]
+    rows += [(1000 + k, text(k, 6, k % 3), "en", "b", 0) for k in range(200)]
+    rows += [(2000 + k, text(0, 4, 0), "en", "copies", 0) for k in range(150)] + [(2500, text(1, 4, 0), "en", "copies", 0)]
+    rows += [(3000, text(1, 3, 40), "en", "a", 0), (3001, text(1, 30, 0), "en", "b", 0), (3002, text(1, 3, 40), "en", "rare", 0)]
+    frame = spark.createDataFrame(rows, DOCS)
+    stats = quality.text_statistics(frame, keep=["lang", "source"])
+    limits = {r.source: r.limit.asDict() for r in quality.limits_by_group(stats).collect()}
+    assert len({x["symbol_rate_most"] for x in limits.values()}) >= 3
+    assert limits["a"]["word_length_most"] < limits["b"]["word_length_most"]
+    kept = {r.doc_id: r.kept for r in quality.quality_verdicts(frame).collect()}
+    assert all(v for k, v in kept.items() if k < 3000)  # the odd one among copies too
+    assert not any(kept[k] for k in (3000, 3001, 3002))
+    same_as_sql(quality.quality_verdicts(frame), quality.oracle(), {"documents": frame})
+
+
+@needs_data
+def test_quality_leaves_plain_documents_alone(spark):
+    rows = run(spark, "op8_quality_rules").collect()
+    plain = [r.kept for r in rows if not r.base_failed and not r.n_symbols]
+    assert sum(plain) >= 0.97 * len(plain) > 100
+
+
 def test_quality_filter_keeps_columns_with_clashing_names(spark):
     frame = docs(spark, *[" ".join(f"w{i}x{k}" for k in range(30)) for i in range(5)], "short")
     frame = frame.withColumns({c: F.lit(c) for c in ("n_words", "_text", "_row", "kept", "limit", "level")})
