@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ JOINT = "\0"
 
 _CODE = {c: k + 1 for k, c in enumerate(LETTERS)}
 _SYMBOL = _CODE | {" ": 0}
+#: The same character twice running.
+_TWICE = re.compile(r"(.)\1", re.DOTALL)
 _TABLE = np.zeros(0x250, np.int64)
 _TABLE[[ord(c) for c in LETTERS]] = np.arange(1, SYMBOLS)
 
@@ -65,6 +70,8 @@ class CharModel:
         one = (single + 1) / (single.sum() + SYMBOLS)
         two = (bigrams + 20 * one) / (bigrams.sum(1, keepdims=True) + 20)
         self.log = np.log((counts + 20 * two) / (counts.sum(2, keepdims=True) + 20))
+        #: The same as lists, which are read much faster one by one.
+        self.rows = self.log.tolist()
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -94,7 +101,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 def decode(stretches: list[list[tuple[str, float]]], model: CharModel) -> str:
     """The most probable way through a lattice: Viterbi by the last two symbols."""
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    log = model.log
+    log = model.rows
     for ways in stretches:
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (p, path) in best.items():
@@ -103,12 +110,12 @@ def decode(stretches: list[list[tuple[str, float]]], model: CharModel) -> str:
                 if letters != JOINT:
                     for c in letters:
                         z = _SYMBOL[c]
-                        q += log[x, y, z]
+                        q += log[x][y][z]
                         x, y = y, z
                 if (x, y) not in new or new[x, y][0] < q:
                     new[x, y] = (q, (path, letters))
         best = new
-    path = max(((p + log[a, b, 0], path) for (a, b), (p, path) in best.items()), key=lambda x: x[0])[1]
+    path = max(((p + log[a][b][0], path) for (a, b), (p, path) in best.items()), key=lambda x: x[0])[1]
     out = []
     while path:
         path, letters = path
@@ -151,10 +158,24 @@ def spaced_words(cores: list[str], model: CharModel) -> set[str]:
     return out - {""}
 
 
+def is_fixed(core: str) -> bool:
+    """Whether a token can only stand for itself and determines the model's state behind it."""
+    return len(core) > 1 and all(c in _CODE for c in core) and not _TWICE.search(core)
+
+
+def stays_apart(left: str, right: str, model: CharModel) -> bool:
+    """Whether the best way keeps a boundary between two fixed tokens, whatever stands around them.
+
+    Every way is in the same state before such a gap and two letters behind it, so the gap is decided alone.
+    """
+    log, (a, b), (c, d) = model.rows, (_CODE[x] for x in left[-2:]), (_CODE[x] for x in right[:2])
+    return log[a][b][0] + log[b][0][c] + log[0][c][d] > SPACED + log[a][b][c] + log[b][c][d]
+
+
 def _is_odd(core: str) -> bool:
     """Whether a token has signs among its letters, or a letter twice or more running."""
     if core.isalpha():
-        return any(a == b for a, b in zip(core, core[1:], strict=False)) and any(c in _CODE for c in core)
+        return _TWICE.search(core) is not None and any(c in _CODE for c in core)
     return any(c in _CODE for c in core)
 
 
@@ -173,7 +194,7 @@ def readings(token: str, model: CharModel) -> set[str]:
     return out
 
 
-def features(words: set[str]) -> set[int]:
+def features(words: Iterable[str]) -> set[int]:
     """Buckets of whole words and of their beginnings."""
     out = set()
     for w in words:
@@ -193,22 +214,53 @@ class Reader:
     def forget(self) -> None:
         self.times += 1
         self.codes: dict[str, int] = {}
-        self.own: list[np.ndarray] = []
+        self.own: list[array] = []
         self.short: list[str] = []
         self.rows: dict[tuple[str, ...], list[int]] = {}
+        self.fixed: dict[str, bool] = {}
+        self.gaps: dict[str, bool] = {}
 
     def add(self, token: str) -> int:
         self.codes[token] = n = len(self.codes)
-        self.own.append(np.fromiter(features(readings(token, self.model)), np.int64))
-        self.short.append(short_core(token))
+        plain = token.strip(".,;:?\"'")
+        if plain.isalpha() and not _TWICE.search(plain):  # nothing to restore
+            self.own.append(array("i", features((plain,))))
+            self.short.append(plain if len(plain) <= SHORT and any(c in _CODE for c in plain) else "")
+        else:
+            self.own.append(array("i", features(readings(token, self.model))))
+            self.short.append(short_core(token))
         return n
 
+    def apart(self, left: str, right: str) -> bool:
+        """`stays_apart`, remembered by the four letters that decide it."""
+        if left not in self.fixed:
+            self.fixed[left] = is_fixed(left)
+        if right not in self.fixed:
+            self.fixed[right] = is_fixed(right)
+        if not (self.fixed[left] and self.fixed[right]):
+            return False
+        key = left[-2:] + right[:2]
+        if key not in self.gaps:
+            self.gaps[key] = stays_apart(left, right, self.model)
+        return self.gaps[key]
+
     def joined(self, row: list[str]) -> list[int]:
-        """The words that a row of short tokens spells together."""
-        key = tuple(row)
+        """The words that a row of short tokens spells together.
+
+        The row is cut where a boundary is certain, which changes no best way, and its parts are decoded.
+        """
+        out, at = [], 0
+        for k in range(1, len(row) + 1):
+            if k == len(row) or self.apart(row[k - 1], row[k]):
+                if k - at > 1:
+                    out += self.spelt(tuple(row[at:k]))
+                at = k
+        return out
+
+    def spelt(self, key: tuple[str, ...]) -> list[int]:
         if key in self.rows:
             return self.rows[key]
-        out = [self.codes[w] if w in self.codes else self.add(w) for w in sorted(spaced_words(row, self.model))]
+        out = [self.codes[w] if w in self.codes else self.add(w) for w in sorted(spaced_words(list(key), self.model))]
         if len(key) <= ROW:
             self.rows[key] = out
         return out
@@ -313,7 +365,8 @@ def _count(docs: DataFrame, trigrams, fit, known) -> DataFrame:
     """(feature, toxic, clean): in how many of the fitted texts a feature is.
 
     With `known` (evidence by bucket), a toxic text counts only for the features
-    that speak for it most, so that words which merely stand beside them don't.
+    that speak for it most, so that words which merely stand beside them don't;
+    other texts, for which that changes nothing, are not counted again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,11 +377,13 @@ def _count(docs: DataFrame, trigrams, fit, known) -> DataFrame:
             own = batch.column(0).fill_null(-1).to_numpy()
             at = np.searchsorted(ids, own).clip(max=max(0, len(ids) - 1))
             chosen = (ids[at] == own) & batch.column(0).is_valid().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(len(own), bool)
+            if known is not None and len(ids):
+                chosen &= labels[at]
             for k in np.flatnonzero(chosen).tolist():
                 codes = set(reader.read(batch.column(1)[k].as_py() or ""))
                 if not codes:
                     continue
-                found = np.unique(np.concatenate([reader.own[c] for c in codes]))
+                found = np.unique(np.fromiter(chain.from_iterable(reader.own[c] for c in codes), np.int64))
                 if labels[at[k]]:
                     if known is not None and len(found):
                         strength = known.value[found]
@@ -345,6 +400,16 @@ def _count(docs: DataFrame, trigrams, fit, known) -> DataFrame:
     return counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _strongest(own: list[array], weight: np.ndarray) -> np.ndarray:
+    """The weight of each token's strongest feature, 0 for a token without any."""
+    sizes = np.fromiter(map(len, own), np.int64)
+    out = np.zeros(len(own), np.float32)
+    if sizes.any():
+        weights = weight[np.fromiter(chain.from_iterable(own), np.int64)]
+        out[sizes > 0] = np.maximum.reduceat(weights, (np.cumsum(sizes) - sizes)[sizes > 0])
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Trigram counts of all texts, and the evidence of each feature bucket.
 
@@ -372,7 +437,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     shared, fit = spark.sparkContext.broadcast(trigrams), spark.sparkContext.broadcast((ids, marks))
     known = None
     for _ in range(2):
-        counts = materialise(_count(docs, shared, fit, known))
+        if known is None:
+            counts = first = materialise(_count(docs, shared, fit, None))
+        else:
+            strongest = _count(docs, shared, fit, known).select("feature", "toxic")
+            counts = materialise(strongest.join(first.select("feature", "clean"), "feature"))
         found = counts.where("toxic > 0").orderBy(F.desc(F.expr("toxic / (toxic + clean + 10)")), "feature").limit(MODEL_ROWS).collect()
         evidence = np.full(BUCKETS, 0.0, np.float32)
         at = np.array([r.feature for r in found], np.int64)
@@ -402,8 +471,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 if len(best) != len(reader.own) or times != reader.times:
                     if times != reader.times:
                         best, times = best[:0], reader.times
-                    new = [float(weight[f].max()) if len(f) else 0.0 for f in reader.own[len(best):]]
-                    best = np.concatenate([best, np.array(new, np.float32)])
+                    best = np.concatenate([best, _strongest(reader.own[len(best):], weight)])
                 out.append(float(best[codes].max()) if codes else 0.0)
             ids = batch.column(0).to_pylist()
             score = np.array(out)
