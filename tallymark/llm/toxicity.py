@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,9 @@ JOINT = "\0"
 
 _CODE = {c: k + 1 for k, c in enumerate(LETTERS)}
 _SYMBOL = _CODE | {" ": 0}
+_LETTERS = frozenset(_CODE)
 #: The same character twice running.
-_TWICE = re.compile(r"(.)\1", re.DOTALL)
+_TWICE, _RUN = re.compile(r"(.)\1", re.DOTALL), re.compile(r"(.)\1+", re.DOTALL)
 _TABLE = np.zeros(0x250, np.int64)
 _TABLE[[ord(c) for c in LETTERS]] = np.arange(1, SYMBOLS)
 
@@ -123,9 +125,28 @@ def decode(stretches: list[list[tuple[str, float]]], model: CharModel) -> str:
     return "".join(reversed(out))
 
 
+def halve_runs(token: str, model: CharModel) -> str:
+    """The most probable way through the lattice of a token that has letters of the model only.
+
+    Such a lattice leaves open whether a run is one letter or two. Either way the state is the same two
+    symbols later, so a run is decided by its neighbours alone.
+    """
+    log = model.rows
+
+    def one_or_two(run: re.Match) -> str:
+        at, end = run.span()
+        before, letter = _CODE[token[at - 1]] if at else 0, _CODE[run[1]]
+        behind = _CODE[token[end]] if end < len(token) else 0
+        one = log[before][letter][behind] + (HALVE if end - at == 2 else 0.0)
+        two = log[before][letter][letter] + log[letter][letter][behind] + (0.0 if end - at == 2 else DOUBLE)
+        return run[1] if one > two else run[1] * 2
+
+    return _RUN.sub(one_or_two, token)
+
+
 def restore(token: str, model: CharModel) -> str:
     """The most probable spelling of a token."""
-    return decode(lattice(token), model)
+    return halve_runs(token, model) if _LETTERS.issuperset(token) else decode(lattice(token), model)
 
 
 def short_core(token: str) -> str:
@@ -134,14 +155,21 @@ def short_core(token: str) -> str:
     return core if 0 < len(core) <= SHORT and any(c in _CODE or c in LEET for c in core) else ""
 
 
-def spaced_words(cores: list[str], model: CharModel) -> set[str]:
+def has_spelling(cores: list[str]) -> bool:
+    """Whether three single letters follow each other."""
+    single = [len(c) == 1 for c in cores]
+    return any(x and y and z for x, y, z in zip(single, single[1:], single[2:], strict=False))
+
+
+def spaced_words(cores: list[str], model: CharModel, spelt: bool | None = None) -> set[str]:
     """The words that a row of short tokens spells together: each gap is a word boundary or nothing.
 
     If it has three single letters running, the row is decoded once more for each cost in `SPELT`, and with
-    the first, the last or both of such letters taken for words of their own (a, I, y, o).
+    the first, the last or both of such letters taken for words of their own (a, I, y, o). For a part
+    of a row, `spelt` says whether the row has them.
     """
     single = [len(c) == 1 for c in cores]
-    spelt = any(x and y and z for x, y, z in zip(single, single[1:], single[2:], strict=False))
+    spelt = has_spelling(cores) if spelt is None else spelt
     out = set()
     ways = [(b, False, False) for b in SPELT] + [(SPELT[-1], *x) for x in ((True, False), (False, True), (True, True))]
     for boundary, first, last in [(None, False, False), *(ways if spelt else [])]:
@@ -160,7 +188,7 @@ def spaced_words(cores: list[str], model: CharModel) -> set[str]:
 
 def is_fixed(core: str) -> bool:
     """Whether a token can only stand for itself and determines the model's state behind it."""
-    return len(core) > 1 and all(c in _CODE for c in core) and not _TWICE.search(core)
+    return len(core) > 1 and _LETTERS.issuperset(core) and not _TWICE.search(core)
 
 
 def stays_apart(left: str, right: str, model: CharModel) -> bool:
@@ -175,8 +203,8 @@ def stays_apart(left: str, right: str, model: CharModel) -> bool:
 def _is_odd(core: str) -> bool:
     """Whether a token has signs among its letters, or a letter twice or more running."""
     if core.isalpha():
-        return _TWICE.search(core) is not None and any(c in _CODE for c in core)
-    return any(c in _CODE for c in core)
+        return _TWICE.search(core) is not None and not _LETTERS.isdisjoint(core)
+    return not _LETTERS.isdisjoint(core)
 
 
 def readings(token: str, model: CharModel) -> set[str]:
@@ -198,8 +226,12 @@ def features(words: Iterable[str]) -> set[int]:
     """Buckets of whole words and of their beginnings."""
     out = set()
     for w in words:
-        out.add(zlib.crc32(w.encode()) % BUCKETS)
-        out.update(zlib.crc32(f"{w[:k]}-".encode()) % BUCKETS for k in PREFIXES if len(w) >= k)
+        whole = w.encode()
+        out.add(zlib.crc32(whole) % BUCKETS)
+        for k in PREFIXES:
+            if len(w) < k:
+                break
+            out.add(zlib.crc32((whole[:k] if len(whole) == len(w) else w[:k].encode()) + b"-") % BUCKETS)
     return out
 
 
@@ -216,7 +248,7 @@ class Reader:
         self.codes: dict[str, int] = {}
         self.own: list[array] = []
         self.short: list[str] = []
-        self.rows: dict[tuple[str, ...], list[int]] = {}
+        self.rows: dict[tuple[tuple[str, ...], bool], list[int]] = {}
         self.fixed: dict[str, bool] = {}
         self.gaps: dict[str, bool] = {}
 
@@ -249,36 +281,49 @@ class Reader:
 
         The row is cut where a boundary is certain, which changes no best way, and its parts are decoded.
         """
-        out, at = [], 0
+        out, at, spelt = [], 0, has_spelling(row)
         for k in range(1, len(row) + 1):
             if k == len(row) or self.apart(row[k - 1], row[k]):
                 if k - at > 1:
-                    out += self.spelt(tuple(row[at:k]))
+                    out += self.part(tuple(row[at:k]), spelt)
                 at = k
         return out
 
-    def spelt(self, key: tuple[str, ...]) -> list[int]:
-        if key in self.rows:
-            return self.rows[key]
-        out = [self.codes[w] if w in self.codes else self.add(w) for w in sorted(spaced_words(list(key), self.model))]
-        if len(key) <= ROW:
-            self.rows[key] = out
+    def part(self, cores: tuple[str, ...], spelt: bool) -> list[int]:
+        if (cores, spelt) in self.rows:
+            return self.rows[cores, spelt]
+        words = sorted(spaced_words(list(cores), self.model, spelt))
+        out = [self.codes[w] if w in self.codes else self.add(w) for w in words]
+        if len(cores) <= ROW:
+            self.rows[cores, spelt] = out
         return out
 
     def read(self, text: str) -> list[int]:
         """The tokens of a text, and behind them the words that rows of short tokens spell together."""
         if len(self.codes) + len(self.rows) > REMEMBER:
             self.forget()
+        # Millions of small objects without cycles: the collector would go through them again and again.
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._read(text.lower().split())
+        finally:
+            if on:
+                gc.enable()
+
+    def _read(self, tokens: list[str]) -> list[int]:
         codes = self.codes
-        out = [codes[t] if t in codes else self.add(t) for t in text.lower().split()]
-        short, more, row = self.short, [], []
-        for code in out:
-            if short[code]:
-                row.append(short[code])
-            elif row:
+        out = list(map(codes.get, tokens))
+        if None in out:
+            out = [codes[t] if t in codes else self.add(t) for t in tokens]
+        more, row, last = [], [], -2
+        for at in compress(range(len(out)), map(self.short.__getitem__, out)):
+            if at != last + 1:
                 if len(row) > 1:
                     more += self.joined(row)
                 row = []
+            row.append(self.short[out[at]])
+            last = at
         if len(row) > 1:
             more += self.joined(row)
         return out + more

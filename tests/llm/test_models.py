@@ -2,13 +2,15 @@
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tallymark.llm import hmm, toxicity
+from tallymark.llm import hmm, queries, toxicity
 
 from .helpers import DATA, DOCS, docs, needs_data, run, whole
 
@@ -175,6 +177,34 @@ def test_short_words_stay_apart():
     assert len(reader.read("x " * 50_000)) >= 50_000
 
 
+def test_rows_are_cut_only_where_a_boundary_is_certain():
+    """Cutting a row changes no word that the whole row spells."""
+    rng = random.Random(5)
+    model = char_model(ENGLISH + PLAIN)
+    short = ["a", "i", "st", "up", "id", "is", "the", "to", "on", "all", "see", "1", "d", "o", "t", "at", "é", "dio", "ot"]
+    for _ in range(3000):
+        row = rng.choices(short, k=rng.randint(2, 9))
+        reader = toxicity.Reader(model)
+        cut = {w for c in reader.joined(row) for w, k in reader.codes.items() if k == c}
+        assert cut == toxicity.spaced_words(row, model)
+
+
+def test_runs_of_letters_are_decided_as_by_the_whole_lattice():
+    rng = random.Random(6)
+    model = char_model(ENGLISH + PLAIN)
+    for _ in range(5000):
+        token = "".join(c * rng.choice((1, 1, 1, 2, 3, 5)) for c in rng.choices("abdeiostué", k=rng.randint(1, 8)))
+        assert toxicity.halve_runs(token, model) == toxicity.decode(toxicity.lattice(token), model)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="test tables not present")
+def test_toxic_texts_of_the_held_out_fold_are_found(spark):
+    place = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{place}/labels.parquet").join(queries.QUERIES["op5_toxicity"](spark, place), "doc_id").where("held_out").collect()
+    toxic, clean = ([r.predicted for r in rows if bool(r.toxic) == is_toxic] for is_toxic in (True, False))
+    assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.02 * len(clean) and toxic and clean
+
+
 def labelled(spark, n=400):
     plain = ["some quite harmless words number%d here" % k for k in range(n)]
     texts = [f"{t} idiot" if k % 4 == 0 else t for k, t in enumerate(plain)]
