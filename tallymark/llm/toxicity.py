@@ -508,15 +508,18 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, weight = _reader(shared.value), model.value
-        best, times = np.zeros(0, np.float32), reader.times
+        best, filled, times = np.zeros(1 << 16, np.float32), 0, reader.times
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
                 codes = reader.read(text or "")
-                if len(best) != len(reader.own) or times != reader.times:
-                    if times != reader.times:
-                        best, times = best[:0], reader.times
-                    best = np.concatenate([best, _strongest(reader.own[len(best):], weight)])
+                if times != reader.times:
+                    filled, times = 0, reader.times
+                if filled < len(reader.own):
+                    while len(best) < len(reader.own):
+                        best = np.concatenate([best, np.zeros_like(best)])
+                    best[filled:len(reader.own)] = _strongest(reader.own[filled:], weight)
+                    filled = len(reader.own)
                 out.append(float(best[codes].max()) if codes else 0.0)
             ids = batch.column(0).to_pylist()
             score = np.array(out)
