@@ -24,7 +24,7 @@ BUCKETS = 1 << 22
 MODEL_ROWS = 1 << 16
 PREFIXES = (4, 5, 6)
 #: Tokens remembered by a worker process; then it starts anew. Results don't depend on it.
-REMEMBER = 1_000_000
+REMEMBER = 400_000
 
 #: Letters that a sign is written for.
 LEET = {
