@@ -2,28 +2,29 @@
 
 Suffixes are sampled: a place is an anchor if the hash of its next 37 bytes is
 the smallest in some window of 100 bytes around it. Equal windows have the same
-anchors, so an index of the anchors' suffixes (about one in 33 bytes) misses no
-repeat. A batch of documents is indexed by a sorted array of its suffixes, by
-the hash of their first 37 bytes; it is scanned against the arrays of the
-levels so far, and levels of equal size are merged. What matches somewhere is a
-hit, and only hits are looked at more closely: by the hash of all 163 bytes
-that windows around them can reach, and where a hit has several surroundings,
-by the bytes themselves.
+anchors, so the suffixes of the anchors (about one in 33 bytes) miss no repeat.
+Documents come in batches in the order of their ids. A batch becomes an array
+of its suffixes in byte order, each with all 163 bytes that windows around it
+can reach. The array is merged with those of the levels so far: common lengths
+of neighbours tell which suffixes can share a window, and these are compared
+byte by byte, earlier ones first. What is new in a batch becomes a level, and
+levels of equal size are merged.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tallymark.llm.common import materialise, rows_of, run_folder, tasks_for
+from tallymark.llm.common import rows_of, run_folder, settle, tasks_for
+from tallymark.session import delete
 
 #: Bytes of a passage, of what an anchor hashes, and the windows around an anchor (one bit each in a mask).
 LENGTH = 100
@@ -35,18 +36,21 @@ AROUND = LEFT + LENGTH
 BLOCK_BYTES = 400_000
 STEP = 1 << 18
 ROW_GROUP_BYTES = 4 << 20
-#: Bytes of text for each bucket of the index.
-BUCKET_BYTES = 16 << 20
-#: Keys in a row of a level.
-LEVEL_KEYS = 1 << 15
-#: Bytes of blocks whose keys are dealt to the buckets together.
-DEAL_BYTES = 16 << 20
-#: Hits with more different surroundings are compared window by window, dealt by the window's hash.
+#: Bytes of text for each bucket of the arrays.
+BUCKET_BYTES = 8 << 20
+#: Suffixes in a row of a level.
+LEVEL_ROWS = 1 << 12
+#: Bytes of blocks whose suffixes are sorted and dealt to the buckets together.
+DEAL_BYTES = 8 << 20
+#: Blocks that findings come to together, as a power of two.
+DEAL_BITS = 4
+#: Suffixes whose windows are compared at once; a passage with more surroundings is compared on its own.
 HOT = 20_000
-#: Surroundings that one task compares about.
-SIDE_ROWS = 30_000
-AROUND_ROWS = 2_000
-BATCHES = 2
+#: Suffixes whose bytes are compared with their neighbours' at once.
+AROUND_ROWS = 1 << 14
+#: Bytes of a batch; small inputs have four batches too, so that levels merge at any size.
+BATCH_BYTES = 1 << 30
+LEAST_BATCHES = 4
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _U = np.uint64
@@ -125,286 +129,185 @@ class Block:
         self.place, self.key = anchors(self.data, self.sizes) if len(self.data) >= LENGTH else (
             np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
-    def doc(self, place: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, place, "right")
+    def suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each anchor the document, the smallest and largest distance from the start of a window, and the bytes.
 
-    def reach(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The smallest and largest distance of an anchor from the start of a window in its document."""
-        doc = self.doc(place)
-        return np.maximum(0, place + LENGTH - self.ends[doc]), np.minimum(LEFT, place - (self.ends - self.sizes)[doc])
-
-    def around(self, place: np.ndarray) -> np.ndarray:
-        """The 63 bytes before and 100 bytes from each place, 0 outside the document."""
+        These are the 100 bytes from the anchor on, then the 63 before it, the nearest first; 0 outside the document.
+        """
+        doc = np.searchsorted(self.ends, self.place, "right")
+        after, before = self.ends[doc] - self.place, self.place - (self.ends - self.sizes)[doc]
         padded = np.concatenate([np.zeros(LEFT, np.uint8), self.data, np.zeros(LENGTH, np.uint8)])
-        out = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[place]
-        doc = self.doc(place)
-        column = np.arange(AROUND) - LEFT + place[:, None]
-        out[(column < (self.ends - self.sizes)[doc][:, None]) | (column >= self.ends[doc][:, None])] = 0
-        return out
-
-    def around_hash(self, place: np.ndarray) -> np.ndarray:
-        out = np.empty(len(place), np.uint64)
-        for a in range(0, len(place), AROUND_ROWS):
-            part = place[a:a + AROUND_ROWS]
-            low, high = self.reach(part)
-            words = np.zeros((len(part), -(-AROUND // 8) * 8), np.uint8)
-            words[:, :AROUND] = self.around(part)
-            h = (low * 64 + high).astype(np.uint64) * _M1
-            for column in words.view(np.uint64).T:
-                h = (h ^ column) * _M2
-                h ^= h >> _U(29)
-            out[a:a + AROUND_ROWS] = h
-        return out
-
-    def hits(self, shared: np.ndarray) -> np.ndarray:
-        """Which anchors occur again in the block or are among the shared keys."""
-        order = np.argsort(self.key, kind="stable")
-        key = self.key[order]
-        same = np.zeros(len(key) + 1, bool)
-        same[1:-1] = key[1:] == key[:-1]
-        out = np.zeros(len(key), bool)
-        out[order] = same[1:] | same[:-1]
-        return out | np.isin(self.key, shared)
-
-
-def blocks(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` as blocks of about 400 kB, written once in buckets by block.
-
-    A block keeps the other columns of its rows. Later steps bring their
-    findings to the blocks; the texts themselves are never shuffled.
+        around = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[self.place]
+        out = np.concatenate([around[:, LEFT:], around[:, LEFT - 1::-1]], axis=1)
+        for side, room in ((out[:, :LENGTH], after), (out[:, LENGTH:], before)):
+            near = np.flatnonzero(room < side.shape[1])
+            cut = side[near]
+            cut[np.arange(side.shape[1]) >= room[near][:, None]] = 0
+            side[near] = cut
+        return doc, np.maximum(0, LENGTH - after).astype(np.uint8), np.minimum(LEFT, before).astype(np.uint8), out
+
+
+def blocks(docs: DataFrame, bounds: list[int]) -> DataFrame:
+    """Rows of `docs` as blocks of about 400 kB, written once, apart by batch and in buckets by deal.
+
+    A batch has the documents up to its bound, the last one the rest. A block keeps the other columns of its
+    rows. Later steps bring their findings to the blocks; the texts themselves are never shuffled.
     """
     others = [c for c in docs.columns if c != "text"]
     kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("s")).schema["s"].dataType
-    spec = f"block bigint, sizes array<int>, data binary, ids array<bigint>, rows array<{kind.simpleString()}>"
+    spec = f"deal bigint, block bigint, sizes array<int>, data binary, ids array<bigint>, rows array<{kind.simpleString()}>, batch int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, made = TaskContext.get().partitionId(), 0
-        texts: list[bytes] = []
-        rows: list[pa.StructArray] = []
-        total = 0
-
-        def flush() -> pa.RecordBatch:
-            struct = pa.concat_arrays(rows)
+        partition, deals = TaskContext.get().partitionId(), 0
+        texts: dict[int, list[bytes]] = {}
+        rows: dict[int, list[pa.StructArray]] = {}
+        total: dict[int, int] = {}
+        place: dict[int, int] = {}  # block number that is next in a batch
+
+        def flush(own: int) -> pa.RecordBatch:
+            nonlocal deals
+            if place.get(own, 0) % (1 << DEAL_BITS) == 0:
+                place[own] = ((partition << 24) + deals) << DEAL_BITS
+                deals += 1
+            block = place[own]
+            place[own] += 1
+            struct = pa.concat_arrays(rows.pop(own))
+            parts = texts.pop(own)
+            del total[own]
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             return pa.RecordBatch.from_arrays([
-                pa.array([(partition << 24) + made], pa.int64()), one(pa.array(map(len, texts), pa.int32())),
-                pa.array([b"".join(texts)], pa.binary()), one(struct.field("doc_id").cast(pa.int64())), one(struct),
-            ], ["block", "sizes", "data", "ids", "rows"])
+                pa.array([block >> DEAL_BITS], pa.int64()), pa.array([block], pa.int64()),
+                one(pa.array(map(len, parts), pa.int32())), pa.array([b"".join(parts)], pa.binary()),
+                one(struct.field("doc_id").cast(pa.int64())), one(struct), pa.array([own], pa.int32()),
+            ], ["deal", "block", "sizes", "data", "ids", "rows", "batch"])
 
         for batch in batches:
-            start = 0
             struct = pa.StructArray.from_arrays([batch.column(c) for c in others], others)
-            for k, text in enumerate(batch.column("text")):
-                texts.append((text.as_py() or "").encode())
-                total += len(texts[-1])
-                if total >= BLOCK_BYTES:
-                    rows.append(struct[start:k + 1])
-                    yield flush()
-                    made, start, total, texts, rows = made + 1, k + 1, 0, [], []
-            if start < len(struct):
-                rows.append(struct[start:])
-        if texts:
-            yield flush()
+            numbers = np.searchsorted(np.array(bounds, np.int64), _order(struct.field("doc_id").to_pylist()), "left")
+            for own in np.unique(numbers).tolist():
+                index = np.flatnonzero(numbers == own)
+                start, column = 0, batch.column("text")
+                for k, at in enumerate(index.tolist()):
+                    texts.setdefault(own, []).append((column[at].as_py() or "").encode())
+                    total[own] = total.get(own, 0) + len(texts[own][-1])
+                    if total[own] >= BLOCK_BYTES:
+                        rows.setdefault(own, []).append(struct.take(pa.array(index[start:k + 1])))
+                        yield flush(own)
+                        start = k + 1
+                if start < len(index):
+                    rows.setdefault(own, []).append(struct.take(pa.array(index[start:])))
+        for own in list(texts):
+            yield flush(own)
 
     spark, folder = docs.sparkSession, run_folder(docs.sparkSession, "texts")
     name = "texts_" + folder.rsplit("-", 1)[1]
     made = docs.mapInArrow(run, spec)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     writer = made.write.option("compression", "zstd").option("path", folder)
     # Rows are large: look at the sizes of pages and row groups after each one, so that readers hold a few rows.
     writer = writer.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size.row.check.min", 1)
-    writer.option("parquet.page.size.row.check.max", 4).bucketBy(buckets, "block").saveAsTable(name)
+    writer = writer.option("parquet.page.size.row.check.max", 4).partitionBy("batch")
+    writer.bucketBy(_buckets(spark), "deal").saveAsTable(name)
     return spark.table(name)
 
 
-def batch_suffixes(table: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, keys, owners): the suffix keys of blocks, each once and in order, and the block of each key.
-
-    Some blocks share a row for each bucket, so that rows don't get smaller with more buckets.
-    """
-
-    def deal(keys: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
-        every = np.concatenate(keys)
-        owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
-        bucket = buckets_of(every, buckets)
-        order = np.argsort(bucket, kind="stable")
-        own, first = np.unique(bucket[order], return_index=True)
-        parts = [[x.tobytes() for x in np.split(v[order], first[1:])] if len(own) else [] for v in (every, owner)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(own), pa.array(parts[0], pa.binary()), pa.array(parts[1], pa.binary())], ["bucket", "keys", "owners"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, size = [], [], 0
-        for row in rows_of(batches):
-            keys.append(np.unique(Block(row["data"], row["sizes"]).key))
-            owners.append(row["block"])
-            size += len(row["data"])
-            if size >= DEAL_BYTES:
-                yield deal(keys, owners)
-                keys, owners, size = [], [], 0
-        if keys:
-            yield deal(keys, owners)
-
-    return table.select("block", "sizes", "data").mapInArrow(run, "bucket bigint, keys binary, owners binary")
-
-
-class SuffixFamily:
-    """Levels of sorted suffix arrays, each about as large as a power of two of batches.
-
-    A level has rows of keys in order, each in one bucket, and the block of each
-    key's first suffix. Adding a batch reads every level once, bucket by bucket.
-    """
-
-    ROW = "kind int, bucket bigint, block bigint, keys binary, owners binary"
-
-    def __init__(self):
-        self.levels: list[tuple[int, DataFrame]] = []
-
-    def add(self, batch: DataFrame, keep: bool = True) -> DataFrame:
-        """(block, keys): suffix keys that the batch shares with other blocks, for both sides.
+def _buckets(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
-        With `keep` the batch becomes a level, merged with those of equal size.
-        """
-        size, merged = 1, 0
-        while keep and merged < len(self.levels) and self.levels[-1 - merged][0] == size:
-            size, merged = size * 2, merged + 1
-        own = batch.select(F.lit(-1).alias("kind"), "bucket", F.lit(None).cast("bigint").alias("block"), "keys", "owners")
-        for k, (_, level) in enumerate(self.levels):
-            joins = k >= len(self.levels) - merged
-            own = own.unionByName(level.withColumn("kind", F.lit(1 if joins else 0)))
-
-        def scan(group: pa.Table) -> pa.Table:
-            rows = group.to_pylist()
-            new = [r for r in rows if r["kind"] == -1]
-            keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in new)])
-            blocks = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["owners"], np.int64) for r in new)])
-            order = np.argsort(keys, kind="stable")
-            keys, blocks = keys[order], blocks[order]
-            same = np.zeros(len(keys) + 1, bool)
-            same[1:-1] = keys[1:] == keys[:-1]
-            hit = same[1:] | same[:-1]
-            out_key, out_block = [], []
-            first = np.flatnonzero(~same[:-1])
-            merge_key, merge_block = [keys[first]], [blocks[first]]
-            for r in rows:
-                if r["kind"] == -1:
-                    continue
-                level, owner = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["owners"], np.int64)
-                at = np.searchsorted(level, keys).clip(max=max(0, len(level) - 1))
-                met = level[at] == keys if len(level) else np.zeros(len(keys), bool)
-                hit |= met
-                touched = np.unique(at[met])
-                out_key.append(level[touched])
-                out_block.append(owner[touched])
-                if r["kind"] == 1:
-                    merge_key.append(level)
-                    merge_block.append(owner)
-            out_key, out_block = np.concatenate([keys[hit], *out_key]), np.concatenate([blocks[hit], *out_block])
-            order = np.argsort(out_block, kind="stable")
-            out_key, out_block = out_key[order], out_block[order]
-            named, start = np.unique(out_block, return_index=True)
-            bucket = rows[0]["bucket"]
-            out = [(2, bucket, int(b), k.tobytes(), None) for b, k in zip(named, np.split(out_key, start[1:]), strict=True)] if len(named) else []
-            if keep:
-                merge_key, merge_block = np.concatenate(merge_key), np.concatenate(merge_block)
-                merge_key, index = np.unique(merge_key, return_index=True)
-                merge_block = merge_block[index]
-                for a in range(0, len(merge_key), LEVEL_KEYS):
-                    part = slice(a, a + LEVEL_KEYS)
-                    out.append((3, bucket, None, merge_key[part].tobytes(), merge_block[part].tobytes()))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            names = ("kind", "bucket", "block", "keys", "owners")
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, columns, kinds, strict=True)})
 
-        found = materialise(own.groupBy("bucket").applyInArrow(scan, self.ROW))
-        if keep:
-            self.levels = self.levels[:len(self.levels) - merged] + [(size, found.where("kind = 3"))]
-        return found.where("kind = 2").select("block", "keys")
+def _order(ids: list) -> np.ndarray:
+    """doc_ids as they are ordered; without one, before all others."""
+    return np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64)
 
 
-def _per_block(table: DataFrame, findings: DataFrame, work, spec: str, columns: list[str]) -> DataFrame:
-    """`work(row, findings)` for each block, which stays where it is stored."""
+def _pack(*arrays: np.ndarray) -> bytes:
+    return pa.compress(b"".join(a.tobytes() for a in arrays), codec="zstd", asbytes=True)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [work(row, right) for row in rows_of(left.to_batches())]
-        return pa.concat_tables(parts) if parts else empty
 
-    empty = work(None, None)
-    return table.select("block", *columns).groupBy("block").cogroup(findings.groupBy("block")).applyInArrow(run, spec)
+def _unpack(blob: bytes, *parts: tuple[type, int]) -> list[np.ndarray]:
+    """The arrays of a packed value, by type and length."""
+    sizes = [np.dtype(kind).itemsize * n for kind, n in parts]
+    raw = pa.decompress(blob, decompressed_size=sum(sizes), codec="zstd", asbytes=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    return [np.frombuffer(raw, kind, n, start) for (kind, n), start in zip(parts, starts, strict=False)]
 
 
-def _keys(found: pa.Table) -> np.ndarray:
-    parts = [np.frombuffer(k, np.uint64) for k in found.column("keys").to_pylist() if k is not None]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+def _texts(data: np.ndarray) -> np.ndarray:
+    """Rows of bytes as strings, which numpy compares byte by byte."""
+    return np.ascontiguousarray(data).view(f"S{AROUND}").ravel()
 
 
-HITS = "block bigint, at bigint, doc_id bigint, key bigint, around bigint"
-SIDES = "block bigint, at bigint, doc_id bigint, key bigint, low int, high int, bytes binary"
-MASKS = "block bigint, at bigint, mask bigint"
+def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The mask of all windows from low to high."""
+    wide = (LEFT - (high.astype(np.int64) - low)).astype(np.uint64)
+    return (~_U(0) >> wide) << low.astype(np.uint64)
 
 
-def _schema(spec: str) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in spec.split(", "))])
+DEALT = "bucket bigint, n int, m int, blob binary"
 
 
-def _ids(row: dict, block: Block, place: np.ndarray) -> np.ndarray:
-    """doc_ids of places; without one, before all others."""
-    ids = np.array([np.iinfo(np.int64).min if i is None else i for i in row["ids"]], np.int64)
-    return ids[block.doc(place)]
+def batch_suffixes(table: DataFrame, buckets: int) -> DataFrame:
+    """Suffix arrays of some blocks each, in byte order, dealt to buckets by the hash of the first 37 bytes.
 
+    A row has n different suffixes with their reach, and for each of their m places, in the order of the
+    suffixes, whether it is the first of a suffix, doc_id, block and place.
+    """
 
-def _find_hits(row: dict | None, found: pa.Table | None) -> pa.Table:
-    """The first hit of a block for each key and surroundings."""
-    schema = _schema(HITS)
-    if row is None:
-        return schema.empty_table()
-    block = Block(row["data"], row["sizes"])
-    hit = block.hits(_keys(found))
-    place, key = block.place[hit], block.key[hit]
-    around, doc = block.around_hash(place), _ids(row, block, place)
-    order = np.lexsort((place, doc, around, key))
-    keep = order[np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(around[order]) != 0)])] if len(order) else order
-    columns = [np.full(len(keep), row["block"]), place[keep], doc[keep], key[keep].view(np.int64), around[keep].view(np.int64)]
-    return pa.table([pa.array(c, pa.int64()) for c in columns], schema=schema)
+    def deal(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, doc, block, at, low, high = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        data = np.concatenate([p[6] for p in parts])
+        if not len(data):
+            return
+        order = np.lexsort((at, block, doc, high, low))
+        bucket = buckets_of(key, buckets)
+        order = order[np.argsort(_texts(data)[order], kind="stable")]
+        order = order[np.argsort(bucket[order], kind="stable")]
+        data, bucket, low, high = data[order], bucket[order], low[order], high[order]
+        text, new = _texts(data), np.ones(len(data), bool)
+        new[1:] = (text[1:] != text[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        named, start = np.unique(bucket, return_index=True)
+        rows = []
+        for own, a, b in zip(named.tolist(), start.tolist(), [*start[1:].tolist(), len(data)], strict=True):
+            first, places = a + np.flatnonzero(new[a:b]), order[a:b]
+            rows.append((own, len(first), b - a, _pack(
+                data[first], low[first], high[first], new[a:b], doc[places], block[places], at[places].astype(np.int32))))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "n", "m", "blob"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for row in rows_of(batches):
+            block = Block(row["data"], row["sizes"])
+            doc, low, high, data = block.suffixes()
+            parts.append((block.key, _order(row["ids"])[doc], np.full(len(doc), row["block"]), block.place, low, high, data))
+            size += len(row["data"])
+            if size >= DEAL_BYTES:
+                yield from deal(parts)
+                parts, size = [], 0
+        if parts:
+            yield from deal(parts)
 
-def _find_sides(row: dict | None, found: pa.Table | None) -> pa.Table:
-    """The bytes around the places that are asked for."""
-    schema = _schema(SIDES)
-    if row is None or not found.num_rows:
-        return schema.empty_table()
-    block = Block.__new__(Block)
-    block.data, block.sizes = np.frombuffer(row["data"], np.uint8), np.array(row["sizes"], np.int64)
-    block.ends = np.cumsum(block.sizes)
-    place = found.column("at").to_numpy()
-    low, high = block.reach(place)
-    parts = []
-    for a in range(0, len(place), AROUND_ROWS):
-        parts += [x.tobytes() for x in block.around(place[a:a + AROUND_ROWS])]
-    return pa.table([
-        found.column("block"), found.column("at"), found.column("doc_id"), found.column("key"),
-        pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(parts, pa.binary()),
-    ], schema=schema)
+    return table.select("block", "sizes", "data", "ids").mapInArrow(run, DEALT)
 
 
 def window_masks(key: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """A bit per window around each hit: whether an earlier row with the same key has the same window.
+    """A bit per window around each suffix: whether an earlier row with the same key has the same window.
 
     Rows are in order of appearance. Windows are grouped by a rolling hash and then compared byte by byte.
     """
     n = len(key)
-    prefix = np.zeros((AROUND + 1, n), np.uint64)
-    for j in range(AROUND):
-        prefix[j + 1] = (prefix[j] + data[:, j] + _U(1)) * _M1
-    power = _U(pow(int(_M1), LENGTH, 1 << 64))
-    salt = (key.view(np.uint64) ^ (key.view(np.uint64) >> _U(32))) * _M2
+    columns = np.ascontiguousarray(data.T)
+    power = _U(pow(int(_M1), LENGTH + 1, 1 << 64))
+    rolling = np.zeros(n, np.uint64)
+    for j in range(LENGTH):
+        rolling = (rolling + columns[j] + _U(1)) * _M1
+    salt = (key.astype(np.uint64) + _U(1)) * _M2
+    salt ^= salt >> _U(32)
     mask = np.zeros(n, np.uint64)
-    for o in range(WINDOWS):
+    for a in range(WINDOWS):
+        o = LEFT - a
         rows = np.flatnonzero((low <= o) & (o <= high))
-        a = LEFT - o
-        h = prefix[a + LENGTH, rows] - prefix[a, rows] * power
+        h = rolling[rows]
         h = (h ^ (h >> _U(31))) * _M2 ^ salt[rows]
         _, first, back = np.unique(h, return_index=True, return_inverse=True)
         lead = rows[first[back]]
@@ -416,103 +319,191 @@ def window_masks(key: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.nd
             before = np.flatnonzero((key[:rows[k]] == key[rows[k]]) & (low[:rows[k]] <= o) & (o <= high[:rows[k]]))
             same[k] = bool((data[before, a:a + LENGTH] == own).all(1).any())
         mask[rows[same]] |= _U(1) << _U(o)
+        if o:
+            rolling = (rolling + columns[a + LENGTH] + _U(1)) * _M1 - (columns[a] + _U(1)) * power
     return mask
 
 
-def _sides_of(table: pa.Table) -> tuple[np.ndarray, ...]:
-    data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(-1, AROUND)
-    return (*(table.column(c).to_numpy() for c in ("block", "at", "doc_id", "key", "low", "high")), data)
+def merge_scan(rank: np.ndarray, old: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of suffixes in byte order, and which of them are not a copy of an earlier one.
 
+    Only suffixes with 37 bytes in common can share a window, and a window that begins o bytes before them
+    needs 100 - o in common. The longest common length of a suffix is the one with a neighbour.
+    """
+    mask = np.zeros(len(rank), np.uint64)
+    text, alone = _texts(data), np.ones(len(rank), bool)
+    alone[1:] = (text[1:] != text[:-1]) | (low[1:] < low[:-1]) | (high[1:] > high[:-1])
+    mask[~alone] = _whole(low[~alone], high[~alone])
+    index = np.flatnonzero(alone)
+    common = np.zeros(len(index) + 1, np.int64)
+    for a in range(1, len(index), AROUND_ROWS):
+        own = index[a - 1:a + AROUND_ROWS]
+        differ = data[own[1:], :LENGTH] != data[own[:-1], :LENGTH]
+        common[a:a + len(own) - 1] = np.where(differ.any(1), differ.argmax(1), LENGTH)
+    if not len(index):
+        return mask, alone
+    group = np.cumsum(common[:-1] < KMER)
+    least = np.maximum(low[index], LENGTH - np.maximum(common[:-1], common[1:]))
+    fresh = np.bincount(group, ~old[index]) > 0
+    chosen = np.flatnonzero(fresh[group] & (least <= high[index]))
+    starts = np.flatnonzero(np.diff(group[chosen], prepend=-1))
+    ends = np.append(starts[1:], len(chosen))
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + HOT, "right")))
+        part = chosen[starts[a]:ends[b - 1]]
+        part = part[np.argsort(rank[index[part]])]
+        own = index[part]
+        lines = np.concatenate([data[own, :LENGTH - 1:-1], data[own, :LENGTH]], axis=1)
+        mask[own] = window_masks(group[part], least[part], high[own], lines)
+        a = b
+    return mask, alone
 
-def masks(sides: DataFrame, rows: int) -> DataFrame:
-    """Masks of hits with several surroundings; the rows of a key come together."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), _schema(SIDES))
-        if not table.num_rows:
-            return
-        block, at, doc, key, low, high, data = _sides_of(table)
-        order = np.lexsort((at, block, doc))
-        mask = window_masks(key[order], low[order], high[order], data[order])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(block[order]), pa.array(at[order]), pa.array(mask.view(np.int64))], ["block", "at", "mask"])
-
-    columns = _schema(SIDES).names
-    return sides.select(*columns).repartition(tasks_for(rows, SIDE_ROWS), "key").mapInArrow(run, MASKS)
-
-
-def hot_masks(sides: DataFrame) -> DataFrame:
-    """The same for keys with very many surroundings: every window is a row, dealt by its own bytes."""
-    windows = sides.select("block", "at", "doc_id", "key", "bytes", F.explode(F.sequence("low", "high")).alias("o"))
-    windows = windows.select(
-        "block", "at", "doc_id", "key", "o", F.sha2(F.expr(f"substring(bytes, {LEFT} - o + 1, {LENGTH})"), 256).alias("w")
-    )
-    first = windows.groupBy("key", "o", "w").agg(F.min(F.struct("doc_id", "block", "at")).alias("first"))
-    met = windows.join(first, ["key", "o", "w"])
-    again = F.struct("doc_id", "block", "at") != F.col("first")
-    return met.groupBy("block", "at").agg(F.bit_or(F.when(again, F.expr("shiftleft(1L, o)")).otherwise(F.lit(0))).alias("mask"))
-
-
-def _removed(row: dict, found: pa.Table) -> tuple[Block, np.ndarray]:
-    """Which bytes of a block are covered by a passage that stands earlier too."""
-    block = Block(row["data"], row["sizes"])
-    hit = block.hits(_keys(found))
-    place = block.place[hit]
-    low, high = block.reach(place)
-    given = found.filter(found.column("at").is_valid())
-    at, mask = given.column("at").to_numpy(), given.column("mask").to_numpy().view(np.uint64)
-    order = np.argsort(at)
-    at, mask = at[order], mask[order]
-    first = np.isin(place, at)
-    change = np.zeros(len(block.data) + 1, np.int32)
-    np.add.at(change, place[~first] - high[~first], 1)
-    np.add.at(change, place[~first] - low[~first] + LENGTH, -1)
-    for o in range(WINDOWS):
-        own = at[(mask >> _U(o)) & _U(1) == 1]
-        np.add.at(change, own - o, 1)
-        np.add.at(change, own - o + LENGTH, -1)
-    return block, np.cumsum(change[:-1]) > 0
+class SuffixFamily:
+    """Levels of suffix arrays, each of a power of two of batches, in one table in buckets.
+
+    A level has the suffixes of its batches in byte order, each with a window that no earlier one has. Adding
+    a batch reads every level once, bucket by bucket where it is stored; only the batch is shuffled.
+    """
 
+    ROW = "bucket bigint, deal bigint, part int, n int, blob binary, level int"
 
-def repeats(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
-    """The blocks of `docs`, and what is found for them: (block, keys, at, mask).
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, run_folder(spark, "suffixes")
+        self.name = "suffixes_" + self.folder.rsplit("-", 1)[1]
+        self.levels: list[tuple[int, int]] = []
+        self.added = 0
 
-    `keys` are suffixes that other blocks have as well; a hit at `at` is the
-    first with its surroundings, and windows around it are repeats where the
-    mask has a bit. All other hits repeat an earlier one in all their windows.
-    """
-    table = blocks(docs)
-    size = table.select(F.coalesce(F.sum(F.length("data")), F.lit(0)).alias("n")).first().n
+    def add(self, batch: DataFrame, keep: bool = True) -> None:
+        """Finds what the batch repeats and, with `keep`, makes it a level, merged with those of equal size."""
+        size, merged = 1, 0
+        while keep and merged < len(self.levels) and self.levels[-1 - merged][0] == size:
+            size, merged = size * 2, merged + 1
+        stay, gone = self.levels[:len(self.levels) - merged], {k for _, k in self.levels[len(self.levels) - merged:]}
+        self.added += 1
+        level, finding = self.added, -self.added
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+        names = [x.split()[0] for x in self.ROW.split(", ")]
+
+        def scan(new: pa.Table, old: pa.Table) -> pa.Table:
+            out, parts, joins, many = [], [], [], []
+            for r in sorted(old.to_pylist(), key=lambda r: (r["level"], r["part"])):
+                n = r["n"]
+                data, low, high = _unpack(r["blob"], (np.uint8, n * AROUND), (np.uint8, n), (np.uint8, n))
+                parts.append((data.reshape(n, AROUND), low, high))
+                joins.append(np.full(n, r["level"] in gone))
+            before = sum(map(len, joins))
+            owners, others = [], []
+            for r in new.to_pylist():
+                n, m = r["n"], r["m"]
+                data, low, high, first, doc, block, at = _unpack(
+                    r["blob"], (np.uint8, n * AROUND), (np.uint8, n), (np.uint8, n), (bool, m), (np.int64, m), (np.int64, m), (np.int32, m))
+                parts.append((data.reshape(n, AROUND), low, high))
+                owners.append((doc[first], block[first], at[first]))
+                copy = (np.cumsum(first) - 1)[~first]
+                others.append((block[~first], at[~first], _whole(low[copy], high[copy])))
+            if parts:
+                data, low, high = (np.concatenate([p[k] for p in parts]) for k in range(3))
+                del parts
+                rank = np.arange(len(data))
+                doc, block, at = (np.concatenate([np.zeros(0, np.int64), *(o[k] for o in owners)]) for k in range(3))
+                rank[before:][np.lexsort((at, block, doc))] = before + np.arange(len(doc))
+                order = np.argsort(rank)
+                order = order[np.argsort(_texts(data)[order], kind="stable")]
+                data, low, high, rank = data[order], low[order], high[order], rank[order]
+                mask, alone = merge_scan(rank, order < before, low, high, data)
+                if keep:
+                    stays = np.concatenate([*joins, np.ones(len(doc), bool)])[order]
+                    many = np.flatnonzero(stays & ((order < before) | (alone & (mask != _whole(low, high)))))
+                batch_rows = np.flatnonzero((order >= before) & (mask != 0))
+                own = order[batch_rows] - before
+                others.append((block[own], at[own], mask[batch_rows]))
+                block, at, bits = (np.concatenate([o[k] for o in others]) for k in range(3))
+                by = np.lexsort((at, block))
+                block, at, bits = block[by], at[by].astype(np.int32), bits[by]
+                bucket = (new if new.num_rows else old).column("bucket")[0].as_py()
+                deals, start = np.unique(block >> DEAL_BITS, return_index=True)
+                for own, a, b in zip(deals.tolist(), start.tolist(), [*start[1:].tolist(), len(block)], strict=False):
+                    out.append((bucket, own, None, b - a, _pack(block[a:b], at[a:b], bits[a:b]), finding))
+                for k, a in enumerate(range(0, len(many), LEVEL_ROWS)):
+                    part = many[a:a + LEVEL_ROWS]
+                    out.append((bucket, None, k, len(part), _pack(data[part], low[part], high[part]), level))
+            columns = zip(*out, strict=True) if out else [[]] * len(names)
+            return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, columns, kinds, strict=True)})
+
+        found = batch.groupBy("bucket").cogroup(self._rows([k for _, k in self.levels]).groupBy("bucket")).applyInArrow(scan, self.ROW)
+        writer = found.write.mode("append").option("path", self.folder).option("compression", "none").partitionBy("level")
+        writer.bucketBy(_buckets(self.spark), "bucket").saveAsTable(self.name)
+        if keep:
+            self._drop(gone)
+            self.levels = [*stay, (size, level)]
+
+    def _rows(self, levels: list[int]) -> DataFrame:
+        if not levels:
+            return self.spark.createDataFrame([], self.ROW)
+        return self.spark.table(self.name).where(F.col("level").isin(levels))
+
+    def _drop(self, levels: Iterable[int]) -> None:
+        for level in levels:
+            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (level = {level})")
+            delete(self.spark, f"{self.folder}/level={level}")
+
+    def findings(self) -> DataFrame:
+        """(deal, n, blob): blocks, places and masks of what was found; the levels are dropped."""
+        self._drop(k for _, k in self.levels)
+        self.levels = []
+        return self.spark.table(self.name).where("level < 0").select("deal", "n", "blob")
+
+
+def _per_block(table: DataFrame, findings: DataFrame, work, spec: str, columns: list[str]) -> DataFrame:
+    """`work(row, places, masks)` for each block, which stays where it is stored."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [_unpack(r["blob"], (np.int64, r["n"]), (np.int32, r["n"]), (np.uint64, r["n"])) for r in right.to_pylist()]
+        block, at, mask = (np.concatenate([np.zeros(0, k), *(f[i] for f in found)]) for i, k in enumerate((np.int64, np.int32, np.uint64)))
+        order = np.argsort(block, kind="stable")
+        block, at, mask = block[order], at[order], mask[order]
+        parts = [empty]
+        for row in rows_of(left.to_batches()):
+            own = slice(*np.searchsorted(block, [row["block"], row["block"] + 1]).tolist())
+            parts.append(work(row, at[own], mask[own]))
+        return pa.concat_tables(parts)
+
+    empty = work(None, None, None)
+    return table.select("deal", "block", *columns).groupBy("deal").cogroup(findings.groupBy("deal")).applyInArrow(run, spec)
+
+
+def _removed(row: dict, at: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a block, where its documents end, and which bytes a passage covers that stands earlier too."""
+    data = np.frombuffer(row["data"], np.uint8)
+    starts = np.zeros(len(data), bool)
+    for o in range(WINDOWS):
+        starts[at[(mask >> _U(o)) & _U(1) == 1] - o] = True
+    count = np.concatenate([np.zeros(LENGTH, np.int64), np.cumsum(starts)])
+    return data, np.cumsum(row["sizes"]), count[LENGTH:] > count[:-LENGTH]
+
+
+def repeats(docs: DataFrame, batches: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The blocks of `docs`, and by deal where windows around a place repeat an earlier one (a bit each)."""
+    spark = docs.sparkSession
+    size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    batches = batches or tasks_for(size, BATCH_BYTES, LEAST_BATCHES)
+    shares = [k / batches for k in range(1, batches)]
+    bounds = docs.select(F.percentile_approx(F.col("doc_id").cast("bigint"), shares).alias("b")).first().b if shares else []
+    table = blocks(docs, sorted(bounds or []))
     buckets = 1 << (tasks_for(size, BUCKET_BYTES) - 1).bit_length()
-    family, shared = SuffixFamily(), None
+    family = SuffixFamily(spark)
     for k in range(batches):
-        batch = table.where(F.pmod(F.xxhash64("block"), F.lit(batches)) == k)
-        found = family.add(batch_suffixes(batch, buckets), keep=k + 1 < batches)
-        shared = found if shared is None else shared.unionByName(found)
-    nothing = lambda kind: F.lit(None).cast(kind)
-    hits = _per_block(table, shared, _find_hits, HITS, ["sizes", "data", "ids"])
-    first = hits.groupBy("key", "around").agg(F.min(F.struct("doc_id", "block", "at")).alias("f")).select("key", "f.*")
-    first = materialise(first)
-    sides = first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    asked = materialise(first.join(sides, "key"))
-    rows = asked.agg(F.count("*").alias("n"), F.max("n").alias("most")).first()
-    around = _per_block(table, asked.select("block", "at", "doc_id", "key"), _find_sides, SIDES, ["sizes", "data"])
-    if (rows.most or 0) > HOT:
-        around = materialise(around)
-        hot = asked.where(F.col("n") > HOT).select("key").distinct()
-        judged = masks(around.join(hot, "key", "left_anti"), rows.n).unionByName(hot_masks(around.join(hot, "key", "left_semi")))
-    else:
-        judged = masks(around, rows.n)
-    findings = shared.select("block", "keys", nothing("bigint").alias("at"), nothing("bigint").alias("mask")).unionByName(
-        first.join(sides, "key", "left_anti").select("block", nothing("binary").alias("keys"), "at", F.lit(0).cast("bigint").alias("mask"))
-    ).unionByName(judged.select("block", nothing("binary").alias("keys"), "at", "mask"))
-    return table, findings
+        family.add(batch_suffixes(table.where(F.col("batch") == k), buckets), keep=k + 1 < batches)
+        settle(spark)
+    return table, family.findings()
 
 
 DIGEST = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
-def repeat_digests(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def repeat_digests(docs: DataFrame, batches: int | None = None) -> DataFrame:
     """One row per row of `docs` (doc_id, text): bytes, bytes removed, runs removed, and a hash of what is left.
 
     A null text is empty; a row without doc_id comes before all others; of
@@ -520,14 +511,14 @@ def repeat_digests(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     bytes is left as it is. Empty input gives no rows.
     """
 
-    def digest(row: dict | None, found: pa.Table | None) -> pa.Table:
+    def digest(row: dict | None, at: np.ndarray | None, mask: np.ndarray | None) -> pa.Table:
         names = [x.split()[0] for x in DIGEST.split(", ")]
         kinds = [pa.int64()] * 4 + [pa.string()]
         out = []
         if row is not None:
-            block, gone = _removed(row, found)
-            for doc_id, end, size in zip(row["ids"], block.ends.tolist(), row["sizes"], strict=True):
-                own, data = gone[end - size:end], block.data[end - size:end]
+            every, ends, gone = _removed(row, at, mask)
+            for doc_id, end, size in zip(row["ids"], ends.tolist(), row["sizes"], strict=True):
+                own, data = gone[end - size:end], every[end - size:end]
                 runs = int(own[:1].sum()) + int((np.diff(own.astype(np.int8)) == 1).sum())
                 out.append((doc_id, size, int(own.sum()), runs, hashlib.sha256(data[~own].tobytes()).hexdigest()))
         columns = zip(*out, strict=True) if out else [[]] * 5
@@ -537,7 +528,7 @@ def repeat_digests(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     return _per_block(table, findings, digest, DIGEST, ["sizes", "data", "ids"])
 
 
-def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def without_repeats(docs: DataFrame, batches: int | None = None) -> DataFrame:
     """All rows and columns of `docs`, the repeated passages taken out of `text` (and `n_chars` set anew).
 
     Where a run of bytes begins or ends inside a character, the rest of that
@@ -546,12 +537,12 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     columns = docs.columns
     kinds = {f.name: f.dataType for f in docs.schema}
 
-    def cleaned(row: dict | None, found: pa.Table | None) -> pa.Table:
+    def cleaned(row: dict | None, at: np.ndarray | None, mask: np.ndarray | None) -> pa.Table:
         texts, others = [], []
         if row is not None:
-            block, gone = _removed(row, found)
-            for end, size in zip(block.ends.tolist(), row["sizes"], strict=True):
-                texts.append(block.data[end - size:end][~gone[end - size:end]].tobytes().decode("utf-8", "ignore"))
+            data, ends, gone = _removed(row, at, mask)
+            for end, size in zip(ends.tolist(), row["sizes"], strict=True):
+                texts.append(data[end - size:end][~gone[end - size:end]].tobytes().decode("utf-8", "ignore"))
             others = row["rows"]
         values = {c: [r[c] for r in others] for c in columns if c not in ("text", "n_chars")} | {"text": texts}
         if "n_chars" in columns:

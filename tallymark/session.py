@@ -78,7 +78,12 @@ def materialise(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(place)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this application that no frame reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete what this application wrote for its own use. Its frames are void then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_work_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, _work_folder(spark))

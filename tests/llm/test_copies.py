@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -206,3 +207,38 @@ def test_texts_without_repeats_keep_their_columns(spark):
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[1].text == "One " + passage and rows[2].text == "Two éü end" and rows[2].n_chars == 10
     assert rows[3].text == "" and rows[2].data == "data" and rows[2].lang == "en"
+
+
+def test_levels_are_arrays_in_byte_order_that_merge_at_equal_size(spark):
+    frame = docs(spark, *tangled(11, 80)).select("doc_id", "text")
+    table = suffix.blocks(frame, list(range(10, 80, 10)))
+    family, sizes = suffix.SuffixFamily(spark), []
+    for k in range(8):
+        family.add(suffix.batch_suffixes(table.where(F.col("batch") == k), 2))
+        sizes.append([size for size, _ in family.levels])
+    assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1], [8]]
+    (_, level), = family.levels
+    kept = sorted(int(f.name.split("=")[1]) for f in Path(family.folder).glob("level=*"))
+    assert [k for k in kept if k > 0] == [level]  # merged levels are gone from the disk
+    rows = spark.table(family.name).where(F.col("level") == level).orderBy("bucket", "part").collect()
+    seen = set()
+    for bucket in {r.bucket for r in rows}:
+        parts = [suffix._unpack(r.blob, (np.uint8, r.n * suffix.AROUND), (np.uint8, 2 * r.n))[0] for r in rows if r.bucket == bucket]
+        suffixes = [bytes(x) for x in np.concatenate(parts).reshape(-1, suffix.AROUND)]
+        assert suffixes == sorted(suffixes) and len(suffixes) > 50
+        heads = {x[:suffix.KMER] for x in suffixes}
+        assert not heads & seen
+        seen |= heads
+
+
+def test_the_registered_run_merges_levels(spark, monkeypatch):
+    sizes, add = [], suffix.SuffixFamily.add
+
+    def noted(self, batch, keep=True):
+        add(self, batch, keep)
+        sizes.append([size for size, _ in self.levels])
+
+    monkeypatch.setattr(suffix.SuffixFamily, "add", noted)
+    frame = docs(spark, *tangled(12)).select("doc_id", "text")
+    assert digests(frame) == sorted(plain_repeats([tuple(r) for r in frame.orderBy("doc_id").collect()]), key=repr)
+    assert sizes[:3] == [[1], [2], [2, 1]]
