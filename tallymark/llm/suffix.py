@@ -1,11 +1,11 @@
 """Removal of every passage of 100 bytes that stands earlier too, over a growing family of suffix arrays.
 
-Suffixes are sampled: a place is an anchor if the hash of its next 37 bytes is
-the smallest in some window of 100 bytes around it. Equal windows have the same
-anchors, so the suffixes of the anchors (about one in 33 bytes) miss no repeat.
+Suffixes are sampled: the anchor of a window of 100 bytes is the place in it
+whose next 37 bytes have the smallest hash. Equal windows have equal anchors,
+so the suffixes of the anchors (about one in 30 bytes) miss no repeat.
 Documents come in batches in the order of their ids. A batch becomes an array
-of its suffixes in byte order, each with all 163 bytes that windows around it
-can reach. The array is merged with those of the levels so far: common lengths
+of its suffixes in byte order, each with the bytes of its anchor's windows (up
+to 163). The array is merged with those of the levels so far: common lengths
 of neighbours tell which suffixes can share a window, and these are compared
 byte by byte, earlier ones first. What is new in a batch becomes a level, and
 levels of equal size are merged.
@@ -35,6 +35,8 @@ AROUND = LEFT + LENGTH
 #: Bytes of a block of documents (below what Java's collector treats as huge), and places that are hashed at once.
 BLOCK_BYTES = 400_000
 STEP = 1 << 18
+#: The bits of a place within a step.
+PLACE = np.uint64((1 << 19) - 1)
 ROW_GROUP_BYTES = 4 << 20
 #: Bytes of text for each bucket of the arrays.
 BUCKET_BYTES = 8 << 20
@@ -92,32 +94,32 @@ def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(values[:len(values) - (width - size)], values[width - size:]) if size < width else values
 
 
-def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of all anchors of documents that stand one after the other.
+def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of documents that stand one after the other: place, hash, distances from the last and first window's start.
 
-    Worked on in steps that overlap, so memory follows the step and not a document's length.
+    The windows of an anchor follow each other, and each window has one anchor, the first of its smallest
+    hashes. Worked on in steps that overlap, so memory follows the step and not a document's length.
     """
     n = len(data)
     ends = np.cumsum(sizes)
     whole = np.ones(n, bool)
-    short = (ends[:, None] - 1 - np.arange(LENGTH - 1)).clip(min=0)
+    short = ends[:, None] - 1 - np.arange(LENGTH - 1)
     whole[short[short >= (ends - sizes)[:, None]]] = False
-    places, found = [], []
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for a in range(0, n - LENGTH + 1, STEP):
         b = min(a + STEP, n - LENGTH + 1)
         hashes = kmer_hashes(data[a:b + LENGTH - 1])
-        least = _sliding(hashes, WINDOWS, np.minimum)
-        least[~whole[a:b]] = 0
-        edge = np.zeros(WINDOWS - 1, np.uint64)
-        # 0 is a hash as well (of 37 NUL bytes, for one), so whether a whole window is near is asked on its own.
-        near = _sliding(np.concatenate([edge > 0, whole[a:b], edge > 0]), WINDOWS, np.logical_or)
-        chosen = np.flatnonzero((_sliding(np.concatenate([edge, least, edge]), WINDOWS, np.maximum) == hashes) & near)
-        places.append(chosen + a)
-        found.append(hashes[chosen])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    place, index = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(found)[index]
+        least = _sliding(hashes & ~PLACE | np.arange(len(hashes), dtype=np.uint64), WINDOWS, np.minimum)
+        start = np.flatnonzero(whole[a:b])
+        chosen = (least[start] & PLACE).astype(np.int64)
+        first = np.flatnonzero(np.diff(chosen, prepend=-1))
+        place, last = chosen[first], np.append(first[1:], len(chosen))[:len(first)] - 1
+        found.append((place + a, hashes[place], place - start[last], place - start[first]))
+    place, key, low, high = (np.concatenate([f[k] for f in found]) for k in range(4))
+    place, index = np.unique(place, return_index=True)
+    if not len(place):
+        return place, key, low, high
+    return place, key[index], np.minimum.reduceat(low, index), np.maximum.reduceat(high, index)
 
 
 class Block:
@@ -125,26 +127,16 @@ class Block:
 
     def __init__(self, data: bytes, sizes: list[int]):
         self.data, self.sizes = np.frombuffer(data, np.uint8), np.array(sizes, np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.place, self.key = anchors(self.data, self.sizes) if len(self.data) >= LENGTH else (
-            np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        self.place, self.key, self.low, self.high = anchors(self.data, self.sizes)
 
-    def suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each anchor the document, the smallest and largest distance from the start of a window, and the bytes.
-
-        These are the 100 bytes from the anchor on, then the 63 before it, the nearest first; 0 outside the document.
-        """
-        doc = np.searchsorted(self.ends, self.place, "right")
-        after, before = self.ends[doc] - self.place, self.place - (self.ends - self.sizes)[doc]
+    def suffixes(self) -> np.ndarray:
+        """The 100 bytes from each anchor on, then the 63 before it, the nearest first; 0 outside its windows."""
         padded = np.concatenate([np.zeros(LEFT, np.uint8), self.data, np.zeros(LENGTH, np.uint8)])
         around = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[self.place]
         out = np.concatenate([around[:, LEFT:], around[:, LEFT - 1::-1]], axis=1)
-        for side, room in ((out[:, :LENGTH], after), (out[:, LENGTH:], before)):
-            near = np.flatnonzero(room < side.shape[1])
-            cut = side[near]
-            cut[np.arange(side.shape[1]) >= room[near][:, None]] = 0
-            side[near] = cut
-        return doc, np.maximum(0, LENGTH - after).astype(np.uint8), np.minimum(LEFT, before).astype(np.uint8), out
+        out[:, :LENGTH] *= np.arange(LENGTH) < (LENGTH - self.low)[:, None]
+        out[:, LENGTH:] *= np.arange(LEFT) < self.high[:, None]
+        return out
 
 
 def blocks(docs: DataFrame, bounds: list[int]) -> DataFrame:
@@ -220,7 +212,7 @@ def _order(ids: list) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return pa.compress(b"".join(a.tobytes() for a in arrays), codec="zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=3).compress(b"".join(a.tobytes() for a in arrays), asbytes=True)
 
 
 def _unpack(blob: bytes, *parts: tuple[type, int]) -> list[np.ndarray]:
@@ -278,8 +270,9 @@ def batch_suffixes(table: DataFrame, buckets: int) -> DataFrame:
         parts, size = [], 0
         for row in rows_of(batches):
             block = Block(row["data"], row["sizes"])
-            doc, low, high, data = block.suffixes()
-            parts.append((block.key, _order(row["ids"])[doc], np.full(len(doc), row["block"]), block.place, low, high, data))
+            doc = np.searchsorted(np.cumsum(block.sizes), block.place, "right")
+            parts.append((block.key, _order(row["ids"])[doc], np.full(len(doc), row["block"]), block.place,
+                          block.low.astype(np.uint8), block.high.astype(np.uint8), block.suffixes()))
             size += len(row["data"])
             if size >= DEAL_BYTES:
                 yield from deal(parts)

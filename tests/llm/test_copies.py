@@ -242,3 +242,15 @@ def test_the_registered_run_merges_levels(spark, monkeypatch):
     frame = docs(spark, *tangled(12)).select("doc_id", "text")
     assert digests(frame) == sorted(plain_repeats([tuple(r) for r in frame.orderBy("doc_id").collect()]), key=repr)
     assert sizes[:3] == [[1], [2], [2, 1]]
+
+
+def test_each_window_has_one_anchor_and_no_other_bytes_are_kept():
+    texts = [t.encode() for t in ["", *tangled(13), "x" * 300, "y" * 99]]
+    block = suffix.Block(b"".join(texts), [len(t) for t in texts])
+    ends = np.cumsum(block.sizes)
+    windows = [s for end, size in zip(ends, block.sizes, strict=True) for s in range(end - size, end - suffix.LENGTH + 1)]
+    assert sorted(p - o for p, low, high in zip(block.place, block.low, block.high, strict=True) for o in range(low, high + 1)) == windows
+    for p, low, high, row in zip(block.place, block.low, block.high, block.suffixes(), strict=True):
+        after = block.data[p:p + suffix.LENGTH - low].tobytes()
+        before = block.data[p - high:p].tobytes()[::-1]
+        assert row.tobytes() == after.ljust(suffix.LENGTH, b"\0") + before.ljust(suffix.LEFT, b"\0")
