@@ -23,6 +23,7 @@ from tallymark import schemas
 from tallymark.operators import rules as rl
 from tallymark.operators.breaks import as_column, duplicate_breaks, leftover_breaks
 from tallymark.operators.matching import ENTRY, with_match_keys
+from tallymark.streaming.processors import with_state
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _LEDGER_SIDE, _EXTERNAL_SIDE = 0, 1
@@ -38,9 +39,17 @@ MATCHED = T.StructType([
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """Keyed state on disk; each micro-batch uploads its changes only."""
+    """Keyed state on disk; each micro-batch uploads its changes only.
+
+    All partitions of an executor share one bound of memory, and those of a
+    query that has ended are let go within seconds: else the memory follows the
+    number of partitions and of restarts.
+    """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    spark.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "15s")
 
 
 def on_the_clock(rows: DataFrame, time: Column, delay: str = "0 seconds") -> DataFrame:
@@ -230,63 +239,11 @@ def closed(waiting: DataFrame, now: datetime) -> DataFrame:
 ESCALATED = "break_id string, status string, age_seconds bigint, at_ms bigint"
 
 
-class Deadlines(StatefulProcessor):
-    """Escalates a break when its time comes, unless it has left OPEN before.
-
-    Rows are `opened` (at: detection, minutes: the rule's), or `closed`, for any
-    change that takes a break out of OPEN. Whether a change came before the
-    deadline is told by its time, not by the micro-batch it came in.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "opened bigint, due bigint, closed bigint, done boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        rows = [r for r in rows if r.kind != "tick"]
-        if not rows:
-            return
-        known = self.state.get() or (None, None, None, False)
-        opened, due, closed, done = known
-        for row in rows:
-            if row.kind == "opened":
-                if opened is None or row.at_ms < opened:
-                    opened, due = row.at_ms, row.at_ms + row.minutes * 60_000
-            elif closed is None or row.at_ms < closed:
-                closed = row.at_ms
-        now, was = timerValues.getCurrentWatermarkInMs(), known[1]
-        if not done and due is not None:
-            if closed is not None and closed < due:
-                done = True
-            elif due <= now or closed is not None:
-                # Due before it was closed, or by the clock already.
-                yield _escalated(key[0], opened, due)
-                done = True
-        if was is not None and not known[3] and (done or was != due):
-            self.handle.deleteTimer(was - 1)
-        if due is not None and not done and was != due:
-            # A timer comes when the clock is past it; this one when the clock has reached the deadline.
-            self.handle.registerTimer(due - 1)
-        self.state.update((opened, due, closed, done))
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        opened, due, closed, done = self.state.get()
-        if not done:
-            yield _escalated(key[0], opened, due)
-            self.state.update((opened, due, closed, True))
-
-    def close(self) -> None:
-        pass
-
-
-def _escalated(break_id: str, opened: int, due: int) -> Row:
-    return Row("break_id", "status", "age_seconds", "at_ms")(break_id, "ESCALATED", (due - opened) // 1000, due)
-
-
 def escalations(changes: DataFrame, rules: DataFrame | None = None, minutes: int = schemas.DEFAULT_ESCALATION_MINUTES,
                 delay: str = "0 seconds", time_mode: str = "EventTime") -> DataFrame:
     """Escalations as a stream, one per break at most, at the very time they are due.
 
+    A break escalates unless it has left OPEN before its time; see `Deadlines.java`.
     `changes` is a stream of (break_id, source, asset, kind, at): `opened`, `closed`, or
     `tick`, which only moves the clock of a quiet stream. Deadlines follow the
     rule of source and asset. With `ProcessingTime` timers need no ticks, but
@@ -302,4 +259,4 @@ def escalations(changes: DataFrame, rules: DataFrame | None = None, minutes: int
     # Ticks must not be filtered out here: the filter would move below the watermark, and the clock would stand still.
     rows = rows.select(
         "break_id", "kind", F.unix_millis("at").alias("at_ms"), F.col("escalation_age_minutes").alias("minutes"))
-    return rows.groupBy("break_id").transformWithState(Deadlines(), ESCALATED, "Append", time_mode)
+    return with_state(rows, ["break_id"], ["kind", "at_ms", "minutes"], "Deadlines", T.StructType.fromDDL(ESCALATED), time_mode)

@@ -127,6 +127,23 @@ def test_escalation_survives_a_restart(spark, tmp_path):
         assert [r.break_id for r in out.collect()] == ["a"]
 
 
+def test_many_deadlines_stay_in_the_jvm(spark, tmp_path):
+    """Opened, closed and told twice, over two micro-batches and a tick; no state goes through Python."""
+    rng = random.Random(5)
+    batches, told = [[], []], {}
+    for k in range(4000):
+        for _ in range(rng.choice([1, 1, 2])):
+            kind, t = rng.choice(["opened", "opened", "closed"]), rng.randint(0, 7000)
+            batches[t > 4000].append((f"b{k}", "RAILS", "USD", kind, t))
+            told.setdefault(f"b{k}", {}).setdefault(kind, []).append(t)
+    stream = keyed.escalations(in_files(spark, tmp_path / "in", *[changes(spark, *b) for b in batches], changes(spark, ("", None, None, "tick", 9000))))
+    assert "InPySpark" not in stream._jdf.queryExecution().analyzed().toString()
+    out = written(stream, f"{tmp_path}/out", f"{tmp_path}/cp").collect()
+    due = {b: min(t["opened"]) + 3600 for b, t in told.items() if "opened" in t}
+    want = {b: d for b, d in due.items() if d <= 9000 and min(told[b].get("closed", [d])) >= d}
+    assert len(out) == len(want) > 1000 and {r.break_id: r.at_ms for r in out} == {b: int(at(d).timestamp() * 1000) for b, d in want.items()}
+
+
 def test_written_bytes_follow_the_batch(spark, tmp_path):
     """A quiet micro-batch uploads little, however many rows wait."""
     def size():
