@@ -9,15 +9,11 @@ handled, and end at once if their time is over.
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tallymark import schemas
 from tallymark.operators import rules as rl
@@ -26,16 +22,15 @@ from tallymark.operators.matching import ENTRY, with_match_keys
 from tallymark.streaming.processors import with_state
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_LEDGER_SIDE, _EXTERNAL_SIDE = 0, 1
-_NEVER = (1 << 63) - 1
-#: Stored values that compare alike: with and without a reference, with and without an amount.
-_FLAGS = [(ref, amount) for ref in (False, True) for amount in (False, True)]
+_LEDGER_SIDE = 0
 
 _ENTRY = T.StructType([T.StructField(c, schemas.EXTERNAL[c].dataType) for c in ENTRY])
-_WAITING = T.StructType([T.StructField("deadline", T.LongType()), T.StructField("side", T.IntegerType()), *_ENTRY.fields])
+#: As the processor has it: instants are microseconds there.
+_PLAIN = T.StructType([T.StructField(f.name, T.LongType() if f.name == "ts" else f.dataType) for f in _ENTRY.fields])
 MATCHED = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("l", _ENTRY), T.StructField("e", _ENTRY), T.StructField("at_ms", T.LongType()),
 ])
+_FOUND = T.StructType([T.StructField(f.name, _PLAIN if f.dataType == _ENTRY else f.dataType) for f in MATCHED.fields])
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -50,6 +45,8 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
     spark.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "15s")
+    # Else each write asks first whether the key is there, to count the rows for a metric.
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
 
 
 def on_the_clock(rows: DataFrame, time: Column, delay: str = "0 seconds") -> DataFrame:
@@ -61,154 +58,21 @@ def on_the_clock(rows: DataFrame, time: Column, delay: str = "0 seconds") -> Dat
     return rows.withColumn("_clock", clock).withWatermark("_clock", delay).drop("_clock")
 
 
-class Pairing(StatefulProcessor):
-    """One-to-one pairing of ledger rows and events of one reference and amount.
-
-    A row takes the earliest waiting row of the other side with the same asset
-    and counterparty; else it waits until its deadline, its time plus `patience`.
-    A queue has rows of one side only. They lie in a map by number, so that a key
-    with any number of waiting rows costs a few reads per arriving row.
-    """
-
-    def __init__(self, patience_seconds: int):
-        self.patience = patience_seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        queue = "asset string, party string"
-        self.ends = handle.getMapState("ends", queue, "side int, first bigint, next bigint, held bigint")
-        self.rows = handle.getMapState("rows", f"{queue}, n bigint", _WAITING)
-        self.due = handle.getMapState("due", "at bigint", "rows bigint")
-        self.places = handle.getMapState("places", "at bigint, k bigint", f"{queue}, n bigint")
-        self.copies = handle.getMapState("copies", "ref boolean, amount boolean", "n bigint, until bigint")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        queues: dict[tuple, dict] = {}
-        out, events = [], []
-        for row in sorted(rows, key=lambda r: (r.ord, r.side)):
-            entry = {c: row[c] for c in ENTRY}
-            if row.side == _EXTERNAL_SIDE:
-                events.append((row.deadline, entry))
-            place = (row.k_asset, row.k_party)
-            if place not in queues:
-                kept = self.ends.getValue(place)
-                side, first, after, held = kept if kept else (None, 0, 0, 0)
-                queues[place] = {"side": side, "first": first, "next": after, "held": held, "fresh": deque(), "was": kept is not None}
-            queue = queues[place]
-            if not queue["held"] and not queue["fresh"]:
-                queue["side"] = row.side
-            if queue["side"] == row.side:
-                queue["fresh"].append((row.deadline, entry))
-                continue
-            other = self._take(place, queue) if queue["held"] else queue["fresh"].popleft()[1]
-            left, right = (entry, other) if row.side == _LEDGER_SIDE else (other, entry)
-            out.append(_matched("pair", left, right, now))
-        out += [_matched("DUPLICATE", None, e, now) for e in self._second_copies(events)]
-        for place, queue in queues.items():
-            out += self._keep(place, queue, now)
-        yield from out
-
-    def _take(self, place: tuple, queue: dict) -> dict:
-        """The earliest waiting row; numbers of rows that have ended are skipped."""
-        while (kept := self.rows.getValue((*place, queue["first"]))) is None:
-            queue["first"] += 1
-        self.rows.removeKey((*place, queue["first"]))
-        queue["first"], queue["held"] = queue["first"] + 1, queue["held"] - 1
-        return dict(zip(ENTRY, kept[2:], strict=True))
-
-    def _keep(self, place: tuple, queue: dict, now: int) -> Iterator[Row]:
-        due: dict[int, list[int]] = {}
-        for deadline, entry in queue["fresh"]:
-            if deadline is not None and deadline < now:
-                yield _ended(queue["side"], entry, now)
-                continue
-            n = queue["next"]
-            self.rows.updateValue((*place, n), (deadline, queue["side"], *entry.values()))
-            queue["next"], queue["held"] = n + 1, queue["held"] + 1
-            if deadline is not None:
-                due.setdefault(deadline, []).append(n)
-        for deadline, numbers in due.items():
-            known = self.due.getValue((deadline,))
-            for k, n in enumerate(numbers, known[0] if known else 0):
-                self.places.updateValue((deadline, k), (*place, n))
-            self.due.updateValue((deadline,), (k + 1,))
-            self.handle.registerTimer(deadline)
-        self._close(place, queue)
-
-    def _close(self, place: tuple, queue: dict) -> None:
-        if queue["held"]:
-            self.ends.updateValue(place, (queue["side"], queue["first"], queue["next"], queue["held"]))
-        elif queue["was"]:
-            self.ends.removeKey(place)
-
-    def _second_copies(self, events: list[tuple]) -> list[dict]:
-        """Events that are the second with their stored reference and amount, while copies are remembered."""
-        seen: dict[tuple, list[int]] = {}
-        second = []
-        for deadline, entry in events:
-            flags = (entry["reference"] is None, entry["amount"] is None)
-            if flags not in seen:
-                seen[flags] = list(self.copies.getValue(flags) or (0, 0))
-            count = seen[flags]
-            count[0] += 1
-            until = _NEVER if deadline is None else deadline
-            if until > count[1]:
-                count[1] = until
-                if deadline is not None:
-                    self.handle.registerTimer(deadline)
-            if count[0] == 2:
-                second.append(entry)
-        for flags, count in seen.items():
-            self.copies.updateValue(flags, tuple(count))
-        return second
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        at, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
-        due = self.due.getValue((at,))
-        out = []
-        for k in range(due[0] if due else 0):
-            asset, party, n = self.places.getValue((at, k))
-            self.places.removeKey((at, k))
-            # A queue that was empty numbers from 0 again: the number may be another row's by now.
-            if (kept := self.rows.getValue((asset, party, n))) is None or kept[0] != at:
-                continue
-            self.rows.removeKey((asset, party, n))
-            side, first, after, held = self.ends.getValue((asset, party))
-            self._close((asset, party), {"side": side, "first": first, "next": after, "held": held - 1, "was": True})
-            out.append(_ended(side, dict(zip(ENTRY, kept[2:], strict=True)), now))
-        if due:
-            self.due.removeKey((at,))
-        for flags in _FLAGS:
-            if (count := self.copies.getValue(flags)) is not None and count[1] <= at:
-                self.copies.removeKey(flags)
-        yield from out
-
-    def close(self) -> None:
-        pass
-
-
-def _matched(kind: str, left: dict | None, right: dict | None, now: int) -> Row:
-    parts = (None if x is None else Row(*ENTRY)(*x.values()) for x in (left, right))
-    return Row("kind", "l", "e", "at_ms")(kind, *parts, now)
-
-
-def _ended(side: int, entry: dict, now: int) -> Row:
-    return _matched("ended", entry, None, now) if side == _LEDGER_SIDE else _matched("ended", None, entry, now)
-
-
 def match_stream(ledger_and_events: DataFrame, patience_seconds: int, delay: str = "0 seconds") -> DataFrame:
     """Pairs, second copies and rows that nobody came for, as a stream of `MATCHED`.
 
     Input: the rows of `side_by_side`. A row waits until the watermark has
     passed its time by `patience_seconds`; without a time it waits for good.
     An event is a copy while the watermark has not passed the latest of the
-    copies before it by as much.
+    copies before it by as much. How rows meet is told in `Pairing.java`.
     """
     use_state_store(ledger_and_events.sparkSession)
     rows = on_the_clock(with_match_keys(ledger_and_events), F.col("ts"), delay)
-    rows = rows.withColumn("deadline", F.expr(f"unix_millis(ts) + {patience_seconds * 1000}L"))
-    return rows.groupBy("k_ref", "k_amount").transformWithState(Pairing(patience_seconds), MATCHED, "Append", "EventTime")
+    rows = rows.withColumn("deadline", F.expr(f"unix_millis(ts) + {patience_seconds * 1000}L")).withColumn("ts", F.unix_micros("ts"))
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _PLAIN.fields)
+    found = with_state(rows, ["k_ref", "k_amount"], ["side", "k_asset", "k_party", "deadline", *ENTRY], "Pairing", _FOUND, "EventTime",
+                       ddl, len(ENTRY), ENTRY.index("reference"), ENTRY.index("amount"))
+    return found.select("kind", *[F.col(c).withField("ts", F.timestamp_micros(f"{c}.ts")).alias(c) for c in ("l", "e")], "at_ms")
 
 
 def breaks_of(found: DataFrame, run_id: str, source: str, tolerance_seconds: int) -> DataFrame:
@@ -223,7 +87,7 @@ def still_waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Rows that wait after the last micro-batch, from the state store: side and entry."""
     use_state_store(spark)
     state = spark.read.format("statestore").option("stateVarName", "rows").load(checkpoint)
-    return state.select("user_map_value.*").drop("deadline")
+    return state.select("user_map_value.*").drop("deadline").withColumn("ts", F.timestamp_micros("ts"))
 
 
 def closed(waiting: DataFrame, now: datetime) -> DataFrame:

@@ -97,6 +97,27 @@ def test_against_a_serial_restatement(spark, tmp_path, seed):
     assert sorted((r.side, r.ord) for r in keyed.still_waiting(spark, f"{tmp_path}/cp").collect()) == waiting
 
 
+def test_many_keys_pair_in_the_jvm(spark, tmp_path):
+    """Many keys and one with many rows of the same deadline, told apart by party; no state goes through Python."""
+    ledger = [ledger_row(k, f"r{k}", ts=0) for k in range(2000)] + [ledger_row(2000 + k, "hot", counterparty=f"c{k % 3}", ts=0) for k in range(300)]
+    events = [event_row(k, reference=f"r{k}", ts=0) for k in range(0, 2000, 2)] + [
+        event_row(2000 + k, reference="hot", counterparty="c1", ts=0) for k in range(40)]
+    nothing = [event_row(5000, reference=None, amount=None, counterparty=None, ts=0), event_row(5001, reference=None, amount=None, counterparty=None, ts=0)]
+    stream = keyed.match_stream(in_files(
+        spark, tmp_path / "in", sides(spark, ledger, nothing), sides(spark, [], events), sides(spark, [ledger_row(9000, "later", ts=9000)], []),
+    ), 300)
+    assert "InPySpark" not in stream._jdf.queryExecution().analyzed().toString()
+    out = written(stream, f"{tmp_path}/out", f"{tmp_path}/cp").collect()
+    found = {kind: sorted((r.l and r.l.ord, r.e and r.e.ord) for r in out if r.kind == kind) for kind in ("pair", "DUPLICATE")}
+    served = [r[0] for r in ledger if r[4] == "c1"][:40]
+    assert found["pair"] == sorted([(k, k) for k in range(0, 2000, 2)] + list(zip(served, range(2000, 2040))))
+    assert found["DUPLICATE"] == [(None, 2001), (None, 5001)]
+    ended = [(0, r.l.ord) if r.l else (1, r.e.ord) for r in out if r.kind == "ended"]
+    assert sorted(ended) == sorted([(0, r[0]) for r in ledger if r[0] not in served and (r[0] >= 2000 or r[0] % 2)] + [(1, 5000), (1, 5001)])
+    left = keyed.still_waiting(spark, f"{tmp_path}/cp").collect()
+    assert [(r.side, r.ord, r.amount, r.ts.timestamp()) for r in left] == [(0, 9000, 100, at(9000).timestamp())]
+
+
 def changes(spark, *rows):
     return spark.createDataFrame([(*r[:4], at(r[4])) for r in rows], "break_id string, source string, asset string, kind string, at timestamp")
 
